@@ -94,7 +94,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     share = F.col("before") / F.col("quota")
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, demand_inverse(share, F.col("ordinal"), knots, schedules)))
     picked = rows.select("doc_id", *(["source"] if "source" in keep else []), "size", "source_size", "target", "taken", "position", *[F.col(f"_keep_{c}").alias(c) for c in spare])
-    return picked.repartitionByRange(F.col("position")).sortWithinPartitions("position", "doc_id")
+    # what the mix leaves out stands behind the rest, spread by its hash so that it fills no single range
+    behind = 1.0 + F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 20)) / float(1 << 20)
+    return picked.repartitionByRange(F.coalesce("position", behind)).sortWithinPartitions(F.coalesce("position", behind), "doc_id")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
