@@ -23,11 +23,13 @@ def detect(text: Column) -> Column:
     """en where the text is short or no other language has enough of its words."""
     sample = F.lower(F.left(F.trim(text), F.lit(SAMPLE)))
     spaced = F.concat(F.lit(" "), sample, F.lit(" "))
-    votes = {k: sum((F.contains(spaced, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for k, ws in KEYWORDS.items()}
-    most = F.greatest(*votes.values())
-    out = F.lit("en")
-    for lang, n in reversed(votes.items()):
-        out = F.when((n == most) & (n >= LEAST_VOTES), lang).otherwise(out)
+    votes = F.array(*[sum((F.contains(spaced, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for ws in KEYWORDS.values()])
+    codes = F.array(*map(F.lit, KEYWORDS))
+
+    def first_of_most(v: Column) -> Column:
+        return F.when(F.array_max(v) >= LEAST_VOTES, F.element_at(codes, F.array_position(v, F.array_max(v)).cast("int"))).otherwise("en")
+
+    out = F.element_at(F.transform(F.array(votes), first_of_most), 1)  # the lambda evaluates the votes once
     for lang, pattern, share in reversed(SCRIPTS):
         out = F.when(F.regexp_count(sample, F.lit(pattern)) / F.greatest(F.length(sample), F.lit(1)) > share, lang).otherwise(out)
     return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) < LEAST_CHARS, "en").otherwise(out)

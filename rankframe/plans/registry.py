@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from rankframe.plans import conversing, graphing, ingesting, learning, monitoring, retrieval, scoring, texts
+
+MODULES = (texts, retrieval, scoring, ingesting, graphing, learning, monitoring, conversing)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25_evaluated(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
