@@ -1,4 +1,90 @@
-"""Queries."""
+"""Queries of sections, chunks and their diagnostics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankframe.functions import text as T
+from rankframe.operators import chunking as C
+from rankframe.plans.common import registering, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+register = registering(QUERIES, ORACLES)
+
+LINES_SQL = r"""
+l AS (SELECT doc_id, i, trim(line) AS line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+c AS (SELECT *, len(regexp_extract_all(line, '[A-Za-z]')) AS letters, len(regexp_extract_all(line, '[A-Z]')) AS caps, len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) AS nw, len(regexp_extract_all(line, '(^|\s)[A-Z]')) AS titled FROM l),
+h AS (SELECT *, line <> '' AND length(line) <= 150 AND (regexp_matches(line, '^\d') OR (length(line) >= 10 AND letters > 0 AND caps >= 0.7 * letters AND NOT regexp_matches(coalesce(nxt, ''), '^\s*[a-z]')) OR (nw >= 3 AND titled >= 0.6 * nw AND length(coalesce(nxt, '')) < 100) OR regexp_matches(line, '^[-*•]\s*[A-Z]')) AS header FROM c),
+g AS (SELECT *, sum(header::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+s AS (SELECT doc_id, sec, coalesce(max(CASE WHEN header THEN line END), '') AS section_title, string_agg(CASE WHEN NOT header AND line <> '' THEN line END, chr(10) ORDER BY i) AS content FROM g GROUP BY ALL)"""
+
+
+@register(f"WITH {LINES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS section_index, section_title, content FROM s WHERE content IS NOT NULL")
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, W7."""
+    return C.sections(table(spark, sf_dir, "documents")).withColumn("section_index", F.col("section_index").cast("long"))
+
+
+PACK_SQL = r"""
+n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+se AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM n)"""
+
+
+@register(
+    f"""WITH RECURSIVE {PACK_SQL}, st AS (SELECT doc_id, ss, list_transform(ss, lambda x: length(x)) AS ln FROM se WHERE len(ss) > 0),
+w AS (
+  SELECT doc_id, ss, ln, 0 AS i, 0 AS start, 0 AS size, 0 AS held, NULL::INT AS out_start, NULL::INT AS out_end FROM st
+  UNION ALL
+  SELECT doc_id, ss, ln, i + 1, CASE WHEN cl THEN greatest(i - least(held, 4), 0) ELSE start END, CASE WHEN cl THEN coalesce(list_sum(ln[i - least(held, 4) + 1 : i]), 0) ELSE size END + ln[i + 1], CASE WHEN cl THEN least(held, 4) ELSE held END + 1,
+    CASE WHEN cl THEN start END, CASE WHEN cl THEN i - 1 END
+  FROM (SELECT *, (held > 0 AND size + ln[i + 1] > 500 AND size >= 200) OR size >= 750 AS cl FROM w WHERE i < len(ln))),
+e AS (SELECT doc_id, ss, out_start AS s, out_end AS e FROM w WHERE out_end IS NOT NULL UNION ALL SELECT doc_id, ss, start, i - 1 FROM w WHERE i = len(ln))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_index, s::BIGINT AS start_sentence_index, e::BIGINT AS end_sentence_index, array_to_string(ss[s + 1 : e + 1], ' ') AS text FROM e"""
+)
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences packed with overlap."""
+    made = C.chunks(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_sentence_index").cast("long").alias("start_sentence_index"), F.col("end_sentence_index").cast("long").alias("end_sentence_index"), "text")
+
+
+@register(r"WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents), "
+          r"se AS (SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS k FROM n) SELECT doc_id, k AS n_sentences, k AS n_covered, 1.0::DOUBLE AS coverage FROM se WHERE k > 0")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence stands in some chunk."""
+    docs = table(spark, sf_dir, "documents")
+    return C.coverage(docs, C.chunks(docs))
+
+
+@register(
+    f"""WITH {LINES_SQL}, k AS (SELECT doc_id, content AS text FROM s WHERE content IS NOT NULL), p AS (SELECT lang, doc_id, left(k.text, 80) AS head, count(*) AS n, min(length(k.text)) AS lo, max(length(k.text)) AS hi, sum(length(k.text)) AS chars FROM k JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT lang, sum(n)::BIGINT AS n_chunks, min(lo) AS min_chars, max(hi) AS max_chars, round(sum(chars)::DOUBLE / sum(n), 1) AS avg_chars, sum(n - 1)::BIGINT AS n_duplicates FROM p GROUP BY 1"""
+)
+def section_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K12, K14."""
+    docs = table(spark, sf_dir, "documents")
+    made = C.sections(docs).select("doc_id", F.col("content").alias("text")).join(docs.select("doc_id", "lang"), "doc_id")
+    found = C.statistics(made, "lang").withColumn("avg_chars", F.round("avg_chars", 1))
+    return found.select("lang", "n_chunks", F.col("min_chars").cast("long").alias("min_chars"), F.col("max_chars").cast("long").alias("max_chars"), "avg_chars", "n_duplicates")
+
+
+@register(
+    f"""WITH {LINES_SQL}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS chunk_index, content AS text, length(content) AS n FROM s WHERE content IS NOT NULL),
+i AS (SELECT *, sum((n >= 550 OR chunk_index = 0)::INT) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS island FROM k)
+SELECT doc_id, island::BIGINT AS island, min(chunk_index) AS first_index, count(*) AS n_merged, length(string_agg(text, chr(10) ORDER BY chunk_index)) AS char_count FROM i GROUP BY ALL"""
+)
+def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: small sections join the one before."""
+    made = C.sections(table(spark, sf_dir, "documents")).select("doc_id", F.col("section_index").alias("chunk_index"), F.col("content").alias("text")).withColumn("char_count", F.length("text"))
+    found = C.merged(made)
+    return found.select("doc_id", "island", F.col("first_index").cast("long").alias("first_index"), "n_merged", F.col("char_count").cast("long").alias("char_count"))
+
+
+@register()
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: lines as paragraphs, packed to min(500, max(a third, 50)) characters."""
+    t = T.normalised(F.col("text"))
+    parts = F.filter(F.transform(F.split(t, "\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    size = F.least(F.lit(500), F.greatest(F.floor(F.length(t) / 3), F.lit(50)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.paragraphs_packed(parts, size)).alias("chunk_index", "text"))
