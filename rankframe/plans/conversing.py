@@ -44,7 +44,7 @@ def activity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT user_id, arg_min(event_type, struct_pack(a := ts, b := event_type)) AS event_type, arg_max(value, struct_pack(a := ts, b := value)) AS value, epoch(min(ts))::BIGINT AS registered_at, epoch(max(ts))::BIGINT AS updated_at FROM events GROUP BY 1"""
+    """SELECT user_id, arg_min(event_type, struct_pack(a := ts, b := event_type)) AS event_type, arg_max(value, struct_pack(a := ts, b := value)) AS value, floor(epoch(min(ts)))::BIGINT AS registered_at, floor(epoch(max(ts)))::BIGINT AS updated_at FROM events GROUP BY 1"""
 )
 def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first kind of event and the last value of each user."""

@@ -50,7 +50,7 @@ def windowed(events: DataFrame) -> DataFrame:
     return per.select(F.col("window.start").alias("start"), "monitor", "n", "error_rate", "latency")
 
 
-@register(f"WITH {WINDOWS_SQL} SELECT epoch(start)::BIGINT AS start, monitor, n, round(error_rate, 6) AS error_rate, round(latency, 6) AS latency FROM w")
+@register(f"WITH {WINDOWS_SQL} SELECT floor(epoch(start))::BIGINT AS start, monitor, n, round(error_rate, 6) AS error_rate, round(latency, 6) AS latency FROM w")
 def windowed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 in batch."""
     return windowed(_events(spark, sf_dir)).select(F.unix_seconds("start").alias("start"), "monitor", "n", F.round("error_rate", 6).alias("error_rate"), F.round("latency", 6).alias("latency"))
@@ -58,7 +58,7 @@ def windowed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {WINDOWS_SQL}, b AS (SELECT user_id % 50 AS monitor, avg(value) AS baseline FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING count(*) >= 10),
-j AS (SELECT w.*, baseline FROM w JOIN b USING (monitor)) SELECT epoch(start)::BIGINT AS start, monitor, 'latency' AS alert_type FROM j WHERE latency > 1.5 * baseline UNION ALL SELECT epoch(start)::BIGINT, monitor, 'error_rate' FROM j WHERE error_rate > 0.05"""
+j AS (SELECT w.*, baseline FROM w JOIN b USING (monitor)) SELECT floor(epoch(start))::BIGINT AS start, monitor, 'latency' AS alert_type FROM j WHERE latency > 1.5 * baseline UNION ALL SELECT floor(epoch(start))::BIGINT, monitor, 'error_rate' FROM j WHERE error_rate > 0.05"""
 )
 def degradation_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E20, J14, L2."""
@@ -69,7 +69,7 @@ def degradation_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """WITH RECURSIVE e AS (SELECT user_id % 50 AS monitor, ts FROM events WHERE event_type = 'error'), f AS (SELECT monitor, min(ts) AS ts FROM e GROUP BY 1 UNION ALL
-SELECT f.monitor, (SELECT min(ts) FROM e WHERE e.monitor = f.monitor AND e.ts >= f.ts + INTERVAL 1 HOUR) FROM f WHERE f.ts IS NOT NULL) SELECT monitor, epoch(ts)::BIGINT AS fired FROM f WHERE ts IS NOT NULL"""
+SELECT f.monitor, (SELECT min(ts) FROM e WHERE e.monitor = f.monitor AND e.ts >= f.ts + INTERVAL 1 HOUR) FROM f WHERE f.ts IS NOT NULL) SELECT monitor, floor(epoch(ts))::BIGINT AS fired FROM f WHERE ts IS NOT NULL"""
 )
 def cooled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors that raise an alert with an hour's cooldown."""
@@ -135,7 +135,7 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS s FROM events),
-k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch(min(ts))::BIGINT AS start, count(*) AS n FROM k GROUP BY user_id, k"""
+k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM k GROUP BY user_id, k"""
 )
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 in batch: sessions with a gap of half an hour."""
