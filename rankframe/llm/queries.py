@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankframe.llm import bpe, language_id, license_scan, media, mixing, pitman_yor, quality_rules, resampling, simhash, toxicity
 from rankframe.llm.common import table
@@ -29,8 +30,6 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
@@ -87,5 +86,4 @@ SELECT doc_id, size, source_size, target, taken,
 FROM mixed
 """
 
-#: What the contract's base says, with the method's matches of whole lines against the templates as list operations.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL}
