@@ -86,8 +86,8 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
     session = docs.sparkSession
     spaced = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.split(lowered(F.col("text")), "\n").alias("lines"))
     spaced = spaced.withColumn("lines", F.transform("lines", lambda x: F.regexp_replace(F.concat(F.lit(" "), x, F.lit(" ")), BETWEEN, "  ")))
-    # each line now starts and ends with two spaces: joined lines have four between them
-    spaced = spaced.withColumn("whole", F.replace(F.array_join("lines", ""), F.lit("    "), F.lit("  ")))
+    # each line now starts and ends with two spaces (an empty one is two): between joined lines stand four or more
+    spaced = spaced.withColumn("whole", F.regexp_replace(F.array_join("lines", ""), " {3,}", "  "))
     found = [phrase_places(F.col("whole"), p) for p in phrases]
     base = F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), label in zip(found, phrases.values(), strict=True)]), lambda x: x.isNotNull()))), ",")
     nothing = F.lit(None).cast("long")

@@ -1,0 +1,404 @@
+"""The training-data operators against brute-force versions on small tables with nulls, ties, repeats and odd texts."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from rankframe.llm import bpe, language_id, license_scan, media, mixing, pitman_yor, quality_rules, resampling, simhash, toxicity, webp
+from rankframe.llm.common import ASCII_LOWER
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+PROSE = {"en": "the of and to house with that is water for green", "de": "der und die das wasser mit nicht haus ein grün", "fr": "le la et les maison avec eau est dans été"}
+
+
+def words_of(text):
+    return (text or "").encode().translate(ASCII_LOWER).split()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(5)
+    out = []
+    for k in range(150):
+        lang = r.choice(sorted(PROSE))
+        text = " ".join(r.choice(PROSE[lang].split()) + r.choice(["", "", "ing", "s"]) for _ in range(r.randint(1, 60)))
+        out.append((k, text.capitalize() + "." * r.randint(0, 1), lang, r.choice(["a", "a", "a", "b", "é", None]), len(text), "x"))
+    long_text = " ".join(f"w{k}" for k in range(4000))
+    odd = [None, "", " ", "\n\n", "a", "A a\tA\n\na", "!!! 123", "naïve 中文 😀😀 été", "Under  the MIT-License. cc by nc cc by nc", "x y 　z", "\x00\x01 é", long_text, long_text]
+    out += [(1000 + k, t, None if k % 2 else "en", "b", 0, None) for k, t in enumerate(odd)]
+    out += [out[3], out[3], (None, "no id here", "en", "a", 1, None), (None, None, None, None, None, None), (2001, out[9][1], "en", "a", 1, "copy")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(frame):
+    return Counter(tuple(map(str, r)) for r in frame.collect())
+
+
+def is_held(doc_id, n, k):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == k
+
+
+def images():
+    r = np.random.RandomState(0)
+
+    def noise(h, w, colours):
+        return r.randint(0, 2**32, colours, dtype=np.uint64).astype(np.uint32)[r.randint(0, colours, (h, w))]
+
+    return [noise(5, 7, 3), noise(1, 1, 1), noise(9, 16, 200), np.zeros((4, 4), np.uint32), np.tile(noise(1, 8, 8), (20, 2)), noise(40, 16, 500)]
+
+
+@pytest.mark.parametrize("options", [{"cache_bits": c} for c in (0, 1, 7, 11)] + [{"transforms": t} for t in ((0,), (1,), (2,), (0, 1, 2), (2, 1, 0))] + [{"groups": 3, "cache_bits": 4}, {"transforms": (0, 1), "groups": 2}])
+def test_webp_round_trip(options):
+    made = webp.decode(webp.encode(images(), **options))
+    assert all(np.array_equal(a, b) for a, b in zip(images(), made, strict=True))
+
+
+def test_webp_palettes():
+    few = [i for i in images() if len(np.unique(i)) <= 256]
+    for more in ((), (0,), (1,)):
+        made = webp.decode(webp.encode(few, transforms=(webp.PALETTE, *more)))
+        assert all(np.array_equal(a, b) for a, b in zip(few, made, strict=True))
+
+
+def test_webp_by_hand():
+    """A file written bit by bit: one red pixel by simple codes; broken files are refused."""
+    bits = "".join(format(v, f"0{n}b")[::-1] for v, n in [(0x2F, 8), (0, 14), (0, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)])
+    for symbol in (0, 255, 0, 255, 0):
+        bits += "".join(format(v, f"0{n}b")[::-1] for v, n in [(1, 1), (0, 1), (1, 1), (symbol, 8)])
+    data = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+    data += bytes(len(data) & 1)
+    file = b"RIFF" + (len(data) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data
+    assert webp.decode([file])[0].tolist() == [[0xFFFF0000]]
+    with pytest.raises(ValueError):
+        webp.decode([b"not webp" * 5])
+    assert webp.decode([]) == []
+    assert (webp.NEAR[:5] == [[0, 1], [1, 0], [1, 1], [-1, 1], [0, 2]]).all() and len(webp.NEAR) == 120
+
+
+def test_media_query(docs, rows, empty):
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        raw = (text or "").encode()
+        data = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        want[doc_id, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:])] += 1
+    kept = media.stored(docs)
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.digests(kept).collect())
+    assert got == want
+    assert media.digests(media.stored(empty)).count() == 0
+    assert media.pixels(kept.where("doc_id = 1000")).first().pixels == [0] * 16
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mixed_documents(docs).collect()
+    size = defaultdict(int)
+    for _, text, _, source, *_ in rows:
+        size[source] += len(words_of(text))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    total = sum(size.values())
+    while True:  # reshare until none is above its cap
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+        open_ -= over
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+        taken[round(r.target, 6)] += r.taken
+    assert len(got) == len(rows)
+    for s in order:
+        assert abs(sum(r.taken for r in got if math.isclose(r.target, target[s])) - sum(target[x] for x in order if math.isclose(target[x], target[s]))) <= 2
+    assert by_id(mixing.mixed_documents(docs)) == Counter(tuple(map(str, r)) for r in got)
+    assert mixing.mixed_documents(empty).count() == 0 and mixing.training_order(docs).columns == docs.columns
+
+
+def test_demand_inverse(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 101).select((F.col("id") / 100).alias("u"), (F.col("id") % 3).alias("o"))
+    for r in rows.withColumn("t", mixing.demand_inverse(F.col("u"), F.col("o"))).collect():
+        w = np.interp(np.linspace(0, r.t, 20001), mixing.KNOTS, mixing.SCHEDULES[r.o])
+        assert abs(np.trapezoid(w, np.linspace(0, r.t, 20001)) - r.u) < 1e-4
+
+
+def test_license_scan(spark, docs, rows, empty):
+    def brute(text):
+        lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        w = license_scan.words_of(lower)
+        places, labels = [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            p = phrase.split()
+            found = [k for k in range(len(w)) if w[k : k + len(p)] == p]
+            places += found
+            labels |= {label} if found else set()
+        more = set(labels)
+        for line in lower.split("\n"):
+            for label, t in license_scan.TEMPLATES.items():
+                words = set(license_scan.words_of(t))
+                if len(words & set(license_scan.words_of(line))) >= 0.8 * len(words):
+                    more.add(label)
+        return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(more))
+
+    extra = ["Released under the MIT License", "this work is licensed under gnu general public license version 3 or so", "cc by nc cc by nc by nc", "x\nlicensed CC BY NC 4 0 under\ny", "under the mit\nlicense under the MIT license"]
+    table = docs.unionByName(spark.createDataFrame([(3000 + k, t, None, None, None, None) for k, t in enumerate(extra)], SCHEMA))
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.license_scan(table).collect())
+    want = Counter((r[0], *brute(r[1])) for r in rows) + Counter((3000 + k, *brute(t)) for k, t in enumerate(extra))
+    assert got == want
+    assert license_scan.license_scan(empty).count() == 0
+
+
+def test_language(docs, rows, empty):
+    got = language_id.identify(docs).collect()
+    known = {r[0]: r[2] for r in rows if r[0] is not None and r[0] < 1000 and len(r[1].split()) >= 8}
+    assert len(got) == len(rows) and all(r.held_out == is_held(r.doc_id, 4, 2) and 0 <= r.score <= 1 for r in got)
+    assert np.mean([r.lang_pred == known[r.doc_id] for r in got if r.held_out and r.doc_id in known]) > 0.9
+    assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002, 1006)} == {"und"}
+    assert language_id.identify(empty).count() == 0
+
+
+def test_presence_kernel_is_exact():
+    texts = ["abcab", "bcd a", "zz"]
+    marks = language_id.Landmarks(texts)
+    sets = [{t[k : k + n] for n in language_id.ORDERS for k in range(len(t) - n + 1)} for t in texts]
+    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets]
+    assert np.allclose(marks.matrix @ marks.matrix.T, want, atol=1e-6)
+
+
+def test_pitman_yor(docs, rows, empty):
+    counts = Counter()
+    for doc_id, text, *_ in rows:
+        if not is_held(doc_id, 7, 2):
+            counts.update([*words_of(text), "END"])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        t = [*words_of(text), "END"]
+        want[doc_id, is_held(doc_id, 7, 2), len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)] += 1
+    got = pitman_yor.score(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert pitman_yor.score(empty).count() == 0
+
+
+def test_restaurants_sum_to_one():
+    """The predictive probabilities of all words, and of one unknown word, sum to one in every context."""
+    r = np.random.RandomState(1)
+    words, k = np.repeat(np.arange(50), 3), np.tile(np.arange(3), 50)
+    n = r.randint(1, 200, 150)
+    customers = np.bincount(k, weights=n, minlength=pitman_yor.CONTEXTS).astype(float)
+    model = pitman_yor.Restaurants(customers, 50, (0.5, 0.6))
+    seed = np.arange(50, dtype=np.uint64)
+    for sweep in range(3):
+        *_, (opened, guests, at_root) = model.seat(seed, words, k, n, sweep)
+        assert (opened <= n).all() and (opened >= 1).all() and (at_root <= guests).all()
+        model.samples.append((np.bincount(k, weights=opened, minlength=pitman_yor.CONTEXTS), guests.sum(), at_root.sum()))
+        root = model.root(guests, at_root, sweep)
+        unknown = model.root(np.zeros(1), np.zeros(1), sweep)
+        assert math.isclose(root.sum() + unknown[0], 1)
+        inside = (n - 0.6 * opened) / (pitman_yor.STRENGTH + customers[k]) + model.back_off(sweep)[k] * root[words]
+        assert np.allclose(np.bincount(k, weights=inside)[:3] + model.back_off(sweep)[:3] * unknown, 1)
+
+
+def brute_fingerprint(text, size):
+    w = words_of(text)
+    if not w:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[k : k + size]), 42) for k in range(max(len(w) - size + 1, 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("size", [3, 5])
+def test_near_duplicates(docs, rows, empty, size):
+    fps = [(r[0], brute_fingerprint(r[1], size)) for r in rows]
+    distinct = sorted({f for _, f in fps})
+    roots = brute_components([(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 3], distinct)
+    least = {}
+    for doc_id, f in fps:
+        if doc_id is not None:
+            least[roots[f]] = min(least.get(roots[f], doc_id), doc_id)
+    got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs, size).collect())
+    assert got == Counter((d, f, least.get(roots[f])) for d, f in fps)
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+
+
+def test_links_are_complete(spark):
+    """Chains and clouds around centres: every pair at three bits or fewer is found, no other."""
+    r = random.Random(3)
+    made = set()
+    for _ in range(40):
+        centre = r.getrandbits(64)
+        made |= {centre} | {centre ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for _ in range(12)}
+    signed = sorted(f - 2**64 if f >= 2**63 else f for f in made)
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = simhash.links(frame)
+    assert {tuple(x) for x in got.collect()} == want
+    roots = brute_components(want, signed)
+    linked = {n for p in want for n in p}
+    assert {x.node: x.root for x in simhash.components(got).collect() if x.node != x.root} == {n: roots[n] for n in linked if roots[n] != n}
+
+
+def test_deduplicated_keeps_one_of_each(docs, rows):
+    got = simhash.deduplicated(docs).collect()
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and got[0].__fields__ == docs.columns and 2001 not in ids
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame([(r[0], int(r[1] is not None and "§" not in r[1]), int("stupid" in (r[1] or "")), None) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int, lang string")
+
+
+def test_resampling(spark, docs, rows, empty):
+    junk = [(5000 + k, " ".join(f"§§{w}$$$" for w in "the of and water green".split() * 8), "en", "a", 1, None) for k in range(40)]
+    every = rows + junk
+    table, labels = spark.createDataFrame(every, SCHEMA), labelled(spark, every)
+    got = resampling.resampled(table, labels).collect()
+    assert len(got) == len(every) and not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 5000)
+    assert np.mean([r.kept for r in got if r.doc_id is not None and r.doc_id < 1000]) > 0.97
+    top = resampling.resampled(table, labels, k=50).collect()
+    least = sorted((r.key for r in top), reverse=True)[49]
+    assert all(r.kept == (r.key >= least) for r in top)
+    assert resampling.resampled(empty, labels).count() == 0
+    assert all(r.kept for r in resampling.resampled(docs, labels.where("false")).collect())
+
+
+def test_kth_largest(spark):
+    values = [random.Random(2).choice([0.5, -1e9, 3.25, 1e-12, 7.0]) for _ in range(300)] + [float(k) for k in range(100)]
+    frame = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 7, 100, 250, 399):
+        assert resampling.kth_largest(frame, k) == sorted(values, reverse=True)[k - 1]
+    assert resampling.kth_largest(frame, 400) == -math.inf
+
+
+def reference_encoding():
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(docs, rows, empty):
+    encoding = reference_encoding()
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        ids = np.array(encoding.encode_ordinary(text or ""), dtype="<u4")
+        want[doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.digests(docs).collect()) == want
+    assert bpe.digests(empty).count() == 0
+    back = bpe.decoded(bpe.encoded(docs)).collect()
+    assert Counter((r.doc_id, bytes(r.data)) for r in back) == Counter((r[0], (r[1] or "").encode()) for r in rows)
+    spans = bpe.encoded(docs.where("doc_id = 1007"), offsets=True).first()
+    assert len(spans.ids) == len(spans.starts) == len(spans.ends) and max(spans.ends) == len(rows[157][1])
+
+
+def test_bpe_fuzz():
+    encoding, codec = reference_encoding(), bpe.Codec.of(bpe.vocabulary_path())
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab'\n\t 😀é1.,s\x85\x1c　\r") for _ in range(r.choice((3, 10, 50)))) for _ in range(1500)] + ["<|endoftext|> 's 'x", " a", "a ", "\n"]
+    got = codec.encode(texts)
+    assert got == [np.array(encoding.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts]
+
+
+def test_toxicity(spark, rows, empty):
+    r = random.Random(9)
+    insult = [(6000 + k, " ".join(r.choice(["the", "of", "stupid", "idiot", "water", "scum"]) for _ in range(30)) + " stupid", "en", "a", 1, None) for k in range(60)]
+    every = rows + insult
+    table, labels = spark.createDataFrame(every, SCHEMA), labelled(spark, every)
+    got = toxicity.scored(table, labels).collect()
+    assert len(got) == len(every) and all(x.held_out == is_held(x.doc_id, 3, 1) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in got)
+    held = [x for x in got if x.held_out]
+    assert np.mean([x.predicted for x in held if x.doc_id >= 6000]) > 0.9 and np.mean([x.predicted for x in held if x.doc_id < 1000]) < 0.05
+    assert toxicity.scored(empty, labels).count() == 0
+    assert not any(x.predicted for x in toxicity.scored(table, labels.where("false")).collect())
+
+
+def brute_rules(text):
+    text = text or ""
+    w = words_of(text)
+    windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    times = Counter(windows)
+    covered = {i for k, x in enumerate(windows) if times[x] > 1 for i in range(k, k + 8)}
+    raw = [x for x in text.encode().split()]  # windows compare words as they stand
+    windows = [tuple(raw[k : k + 8]) for k in range(len(raw) - 7)]
+    times = Counter(windows)
+    covered = {i for k, x in enumerate(windows) if times[x] > 1 for i in range(k, k + 8)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return len(raw), sum(len(x.decode()) for x in raw), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark, docs, rows, empty):
+    extra = ["a b c d e f g h " * 3 + "x", "one line\none line\n\n \none line", "$$ ## | a\nb", "a b c d e f g h a b c d e f g h i"]
+    table = docs.unionByName(spark.createDataFrame([(3000 + k, t, None, None, None, None) for k, t in enumerate(extra)], SCHEMA))
+    got = quality_rules.rule_verdicts(table).collect()
+    want = Counter((r[0], *brute_rules(r[1])) for r in rows) + Counter((3000 + k, *brute_rules(t)) for k, t in enumerate(extra))
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    assert quality_rules.rule_verdicts(empty).count() == 0
+
+
+def test_rule_estimates():
+    """On votes drawn from known rates, EM finds the share of good text and which rules err."""
+    r = random.Random(1)
+    patterns = Counter()
+    for _ in range(4000):
+        good = r.random() < 0.8
+        patterns["".join(r.choices("+-0", (0.9, 0.0, 0.1) if good else (0.3, 0.6, 0.1))[0] for _ in quality_rules.RULES)] += 1
+    found = quality_rules.estimate(patterns)
+    assert abs(found["prior"] - 0.8) < 0.05 and found["posterior"]["+" * len(quality_rules.RULES)] > 0.9
+
+
+def test_pipeline_stages(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    docs.drop("extra").write.parquet(f"{tmp_path}/documents.parquet")
+    labelled(spark, rows).write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = table.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, table, str(tmp_path))
+        assert after.columns == docs.drop("extra").columns, name
+        path = f"{tmp_path}/{name.replace(' ', '-')}"
+        after.write.parquet(path)
+        table = spark.read.parquet(path)
+    assert 0 < table.count() <= 3 * before
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() == table.count()
