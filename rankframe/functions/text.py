@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -116,3 +117,89 @@ def key_phrases(text: Column, window: int = 8, most_chars: int = 100, least_char
     fit = F.array_distinct(F.filter(runs, lambda x: F.length(x).between(least_chars, most_chars)))
     ranked = F.array_sort(F.transform(fit, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     return F.slice(F.transform(ranked, lambda s: s["x"]), 1, keep)
+
+
+#: Dashes, quotes, bullets and signs, each with its plain form; an empty form removes the character.
+PLAIN = {
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2015": "-", "\u2212": "-", "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00ab": '"', "\u00bb": '"',
+    "\u2022": "-", "\u25aa": "-", "\u25cf": "-", "\u25e6": "-", "\u00d7": "x", "\u00f7": "/", "\u2026": "...", "\u2264": "<=", "\u2265": ">=", "\u2260": "!=", "\u00b1": "+/-", "\u20ac": "EUR", "\u00a3": "GBP", "\u00a5": "JPY", "\u00ae": "(R)", "\u00a9": "(C)",
+    "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "", "\u00ad": "",
+}
+#: Latin letters, super- and subscripts, letterlike signs, fractions, roman numerals and ligatures: what Unicode decomposes there.
+DECOMPOSED_RANGES = ((0xA0, 0x17F), (0x2070, 0x209C), (0x2100, 0x214F), (0x2150, 0x217F), (0xFB00, 0xFB06))
+
+
+def plain_forms() -> dict[str, str]:
+    """Each character that `canonical` replaces: its compatibility decomposition without marks, or the fixed form."""
+    out = {}
+    for lo, hi in DECOMPOSED_RANGES:
+        for c in map(chr, range(lo, hi + 1)):
+            flat = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).replace("\u2044", "/")
+            if flat != c:
+                out[c] = flat
+    return out | PLAIN
+
+
+def canonical(text: Column) -> Column:
+    """Plain characters: accents off, ligatures, fractions, roman numerals and signs spelled out, controls and zero widths removed.
+
+    One `translate` takes all characters with one plain character or none; each of the rest is a `replace`, which does nothing
+    where no such character stands (a text without them is told by one pattern). Null stays null.
+    """
+    forms = plain_forms()
+    one = {c: f for c, f in forms.items() if len(f) == 1}
+    gone = [c for c, f in forms.items() if not f] + [chr(i) for i in range(1, 32) if chr(i) not in "\t\n\r"]
+    out = F.regexp_replace(text, "[\u0300-\u036f]", "")
+    out = F.translate(out, "".join([*one, *gone]), "".join(one.values()))
+    longer = {c: f for c, f in forms.items() if len(f) > 1}
+    spelled = out
+    for c, f in longer.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(f))
+    return F.when(out.rlike("[" + "".join(longer) + "]"), spelled).otherwise(out)
+
+
+def table_text(rows: Column, most_rows: int = 30, most_chars: int = 4000) -> Column:
+    """A table, array<array<string>>, as lines of cells: its first rows, cut to a length. Null cells are empty."""
+    lines = F.transform(F.slice(rows, 1, most_rows), lambda r: F.array_join(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | "))
+    return F.left(F.array_join(lines, "\n"), F.lit(most_chars))
+
+
+def table_fingerprint(rows: Column, most_rows: int = 5) -> Column:
+    """The first 16 hex digits of the SHA-256 of the first rows."""
+    return F.left(F.sha2(table_text(rows, most_rows, 1 << 30), 256), F.lit(16))
+
+
+def redistributed_citations(text: Column) -> Column:
+    """Citations grouped at the end of a paragraph go to its last sentences, one each in order; what is over stays on the last.
+
+    Paragraphs with fewer than two trailing marks or two sentences stay as they are.
+    """
+    mark = r"\[\d+\.\d+\]"
+
+    def one(p: Column) -> Column:
+        tail = F.regexp_extract(p, rf"((?:\s*{mark})+)\s*\.?\s*$", 1)
+        marks = F.regexp_extract_all(tail, F.lit(mark), F.lit(0))
+        body = F.rtrim(F.left(p, F.length(F.regexp_replace(p, rf"(?:\s*{mark})+\s*\.?\s*$", ""))))
+        parts = F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda x: x != "")
+        n, m = F.size(parts), F.size(marks)
+        first = F.greatest(n - m, F.lit(0))
+        put = F.transform(parts, lambda x, i: F.concat(x, F.when(i < first, "").when(i == n - 1, F.concat(F.lit(" "), F.array_join(F.slice(marks, i - first + 1, F.greatest(m, F.lit(1))), ""))).otherwise(F.concat(F.lit(" "), F.coalesce(F.get(marks, i - first), F.lit(""))))))
+        return F.when((m >= 2) & (n >= 2), F.array_join(put, " ")).otherwise(p)
+
+    return F.array_join(F.transform(F.split(text, "\n\n"), one), "\n\n")
+
+
+def renumbered(text: Column, mapping: Column) -> Column:
+    """Citation marks [d.p] replaced through map<string,string> "d.p" -> "d.p" in one pass, so no mark is replaced twice."""
+    mark = r"\[(\d+\.\d+)\]"
+    gaps = F.split(text, r"\[\d+\.\d+\]")
+    keys = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
+    new = F.transform(keys, lambda k: F.concat(F.lit("["), F.coalesce(F.element_at(mapping, k), k), F.lit("]")))
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(F.coalesce(F.get(new, i - 1), F.lit("")), g)), "")
+
+
+def past_answer(text: Column, fallback: str = "", most_chars: int = 200) -> Column:
+    """An earlier answer in plain words: no code fences, the `answer` of a JSON object, cut; null where it is blank or the fallback."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"```[\s\S]*?```", ""), r"^\s+|\s+$", "")
+    inner = F.when(bare.startswith("{"), F.coalesce(F.get_json_object(bare, "$.answer"), bare)).otherwise(bare)
+    return F.when((inner != "") & (inner != F.lit(fallback)), F.left(inner, F.lit(most_chars)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,20 @@ def is_header(line: Column, following: Column) -> Column:
     return (text != "") & (F.length(text) <= 150) & (text.rlike(r"^\d") | caps | title | bullet)
 
 
-def sections(docs: DataFrame, text: str = "text") -> DataFrame:
+def is_plain_header(line: Column, following: Column) -> Column:
+    """The older rule: a number and then a letter, or capitals for three fifths of the letters (four characters or more)."""
+    text = F.trim(line)
+    letters, capitals = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[A-Z]"))
+    return (text != "") & (F.length(text) <= 150) & (text.rlike(r"^\d+(\.\d+)*\.?\s+[A-Za-z]") | ((F.length(text) >= 4) & (letters > 0) & (capitals >= 0.6 * letters)))
+
+
+def sections(docs: DataFrame, text: str = "text", header: Callable[[Column, Column], Column] = is_header) -> DataFrame:
     """(doc_id, section_index, section_title, content): lines between headers; a section without content is dropped.
 
     Lines of one document are taken by array functions, so nothing shuffles.
     """
     lines = docs.select("doc_id", F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
-    lines = lines.withColumn("lines", F.transform("lines", lambda x, i: F.struct(F.trim(x).alias("line"), F.coalesce(is_header(x, F.get("lines", i + 1)), F.lit(False)).alias("header"))))
+    lines = lines.withColumn("lines", F.transform("lines", lambda x, i: F.struct(F.trim(x).alias("line"), F.coalesce(header(x, F.get("lines", i + 1)), F.lit(False)).alias("header"))))
     empty = F.array().cast("array<struct<title:string,parts:array<string>>>")
     first = F.struct(empty.alias("done"), F.lit("").alias("title"), F.array().cast("array<string>").alias("parts"))
 
@@ -116,3 +125,76 @@ def statistics(made: DataFrame, by: str) -> DataFrame:
     """(by, n_chunks, min_chars, max_chars, avg_chars, n_duplicates): a duplicate repeats document and first 80 characters."""
     per = made.groupBy(by, "doc_id", F.left("text", F.lit(80)).alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("lo"), F.max(F.length("text")).alias("hi"), F.sum(F.length("text")).alias("chars"))
     return per.groupBy(by).agg(F.sum("n").alias("n_chunks"), F.min("lo").alias("min_chars"), F.max("hi").alias("max_chars"), (F.sum("chars") / F.sum("n")).alias("avg_chars"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+
+
+def windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
+    """array<struct<start,end>> (characters from 0): windows of a size that end at the last sentence end of their final fifth, else
+    at the last white space of their second half, else at the size; the next begins `overlap` before, always further on."""
+    n = F.length(text)
+    least = max(1, size // 2 - overlap)
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(n / least).cast("int"), F.lit(1)))
+    pair = "array<struct<start:int,end:int>>"
+    first = F.struct(F.array().cast(pair).alias("done"), F.lit(0).alias("start"))
+
+    def step(acc: Column, _: Column) -> Column:
+        start = acc["start"]
+        near, far = size - size // 5, size // 2
+        sentence = F.length(F.regexp_extract(F.substring(text, start + near + 1, F.lit(size - near)), r"(?s)^(.*[.!?])\s", 1))
+        word = F.length(F.regexp_extract(F.substring(text, start + far + 1, F.lit(size - far)), r"(?s)^(.*)\s", 1))
+        end = F.when(start + size >= n, n).when(sentence > 0, start + near + sentence).when(word > 0, start + far + word).otherwise(start + size)
+        over = (start >= n) | (n == 0)
+        done = F.when(over, acc["done"]).otherwise(F.array_append(acc["done"], F.struct(start.alias("start"), end.alias("end"))))
+        return F.struct(done.alias("done"), F.when(over | (end >= n), n).otherwise(F.greatest(end - overlap, start + 1)).alias("start"))
+
+    return F.aggregate(steps, first, step, lambda acc: acc["done"])
+
+
+def windowed(docs: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk_index, start, end, text) of `windows`; null and empty texts have none."""
+    rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("_t"))
+    found = rows.select("doc_id", "_t", F.posexplode(windows(F.col("_t"), size, overlap)).alias("chunk_index", "w"))
+    return found.select("doc_id", "chunk_index", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.substring("_t", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
+
+
+def paragraphs_overlapped(parts: Column, size: int = 1000, overlap_words: int = 3, least: int = 100) -> Column:
+    """array<string>: parts packed to a size, each after the first led by the last words of the one before; the last joins the one
+    before where it is under the least size."""
+    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    blank = F.lit("\n\n")
+
+    def step(acc: Column, p: Column) -> Column:
+        flush = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(p) + 2 > size)
+        w = T.words(acc["cur"])
+        lead = F.array_join(F.slice(w, F.greatest(F.size(w) - overlap_words + 1, F.lit(1)), F.lit(overlap_words)), " ")
+        done = F.when(flush, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
+        cur = F.when(flush, F.concat(lead, F.lit(" "), p)).when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], blank, p))
+        return F.struct(done.alias("done"), cur.alias("cur"))
+
+    def finish(acc: Column) -> Column:
+        n = F.size(acc["done"])
+        short = (n > 0) & (F.length(acc["cur"]) < least)
+        joined = F.concat(F.slice(acc["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(acc["done"], n - 1), blank, acc["cur"])))
+        return F.when(acc["cur"] == "", acc["done"]).when(short, joined).otherwise(F.array_append(acc["done"], acc["cur"]))
+
+    return F.aggregate(parts, first, step, finish)
+
+
+def lines_of(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def dispatched(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, chunk_index, mode, section_title, text): texts over 500 characters by section, unless they are one section of
+    over 750; those and short texts by paragraphs (lines). Each document takes one way, and its chunks are numbered anew."""
+    rows = docs.select("doc_id", T.normalised(F.coalesce(text, F.lit(""))).alias("text"))
+    cut = sections(rows.where(F.length("text") > 500))
+    held = Window.partitionBy("doc_id")
+    cut = cut.withColumn("_n", F.count(F.lit(1)).over(held)).withColumn("_one", (F.col("_n") == 1) & (F.length("content") > 750))
+    by_section = cut.where("not _one").select("doc_id", "section_index", "section_title", F.posexplode(packed(sentences(F.col("content")))).alias("i", "c"))
+    by_section = by_section.select("doc_id", F.lit("section").alias("mode"), "section_title", "section_index", "i", F.array_join("c.parts", " ").alias("text"))
+    whole = rows.join(cut.where("not _one").select("doc_id").distinct(), "doc_id", "left_anti")
+    size = F.least(F.lit(500), F.greatest(F.floor(F.length("text") / 3), F.lit(50)))
+    simple = whole.select("doc_id", F.posexplode(paragraphs_packed(lines_of(F.col("text")), size)).alias("i", "text"))
+    simple = simple.select("doc_id", F.lit("simple").alias("mode"), F.lit("").alias("section_title"), F.lit(0).alias("section_index"), "i", "text")
+    both = by_section.unionByName(simple)
+    return both.withColumn("chunk_index", F.row_number().over(held.orderBy("section_index", "i")) - 1).select("doc_id", "chunk_index", "mode", "section_title", "text")

@@ -88,5 +88,25 @@ def fill_counts(rows: DataFrame, by: str, columns: tuple[str, ...]) -> DataFrame
 
 def first_passage(rows: DataFrame, key: str, text: Column, order: tuple[str, ...], least: int = 20) -> DataFrame:
     """The first row for each key and text, whatever its case and spaces, of at least `least` characters."""
-    rows = rows.withColumn("_t", F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))).where(F.length("_t") >= least)
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_t").orderBy(*order))).where("_r = 1").drop("_r", "_t")
+    flat = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    groups = rows.withColumn("_t", flat).where(F.length("_t") >= least).groupBy(F.col(key).alias("_k"), F.sha2("_t", 256).alias("_h"))
+    first = groups.agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
+
+
+def history(messages: DataFrame, at: str, limit: int = 50, **equal: object) -> DataFrame:
+    """The messages newest first, of the given users, sessions or pages only (column=value), up to a limit."""
+    for c, v in equal.items():
+        messages = messages.where(F.col(c) == F.lit(v))
+    return messages.orderBy(F.desc(at), *[c for c in messages.columns if c != at]).limit(limit)
+
+
+def latest_each(messages: DataFrame, key: str, at: str, most: int) -> DataFrame:
+    """The last messages of every key at once, numbered from the newest."""
+    return messages.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where(F.col("place") <= most)
+
+
+def listing(pages: DataFrame, messages: DataFrame, key: str) -> DataFrame:
+    """Each page with its number of messages, 0 where it has none."""
+    counts = messages.groupBy(key).agg(F.count(F.lit(1)).alias("n_messages"))
+    return pages.join(counts, key, "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))

@@ -76,3 +76,39 @@ def marked_used(feedback: DataFrame, exported: DataFrame, key: str) -> DataFrame
 
 def activated(models: DataFrame, target: object) -> DataFrame:
     return models.withColumn("is_active", F.col("model_id") == F.lit(target))
+
+
+def adaptive(found: DataFrame, positives: DataFrame, kind: str, group: Column, target: float = 0.6, ks: tuple[int, ...] = (5, 8, 10)) -> DataFrame:
+    """(query_id, doc_id, pick, strategy, k, quality): each query's first strategy and k whose negatives reach the target.
+
+    Strategies diverse, semantic and boundary are tried in turn at each k in order, a k under .5 quality leading to the next; where
+    none reaches the target, diverse at the last k stands. found carries text, score, kind and pos; quality is that of `quality`.
+    """
+    likeness = semantic(found, positives, MOST_CANDIDATES).select("query_id", "doc_id", "similarity")
+    rows = found.join(likeness, ["query_id", "doc_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).withColumn("_g", group)
+    kept = ["query_id", "doc_id", "pos", "score", kind, "_g", "similarity"]
+    tries = None
+    for turn, k in enumerate(ks):
+        made = (
+            ("diverse", diverse(rows, k, kind, F.col("_g"))),
+            ("semantic", rows.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "pos"))).where(F.col("pick") <= k)),
+            ("boundary", boundary(rows, k)),
+        )
+        for place, (name, frame) in enumerate(made):
+            part = frame.select(*kept, F.col("pick").cast("long").alias("pick"), F.lit(name).alias("strategy"), F.lit(k).alias("k"), F.lit(3 * turn + place).alias("_try"))
+            tries = part if tries is None else tries.unionByName(part)
+    last = 3 * (len(ks) - 1)
+    rated = tries.groupBy("query_id", "_try").agg(
+        F.avg("score").alias("_s"), F.count_distinct(kind).alias("_kinds"), F.count_distinct("_g").alias("_groups"), F.avg("similarity").alias("_sim")
+    )
+    one = F.lit(1.0)
+    rated = rated.select("query_id", "_try", (0.3 * F.least(F.col("_s") / 0.5, one) + 0.3 * F.least(F.col("_kinds") / 3, one) + 0.2 * F.least(F.col("_groups") / 5, one) + 0.2 * F.least("_sim", one)).alias("quality"))
+    best = rated.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.round("quality", 9) >= target, F.col("_try"))), F.lit(last)).alias("_try"))
+    chosen = best.join(rated, ["query_id", "_try"])
+    return tries.join(chosen, ["query_id", "_try"]).select("query_id", "doc_id", "pick", "strategy", "k", "quality")
+
+
+def newest_active(models: DataFrame) -> DataFrame:
+    """Adds is_active to (model_id, created_at, ...): true for the one made last, ties to the larger id."""
+    last = models.agg(F.max(F.struct("created_at", "model_id"))["model_id"].alias("_last"))
+    return models.crossJoin(F.broadcast(last)).withColumn("is_active", F.col("model_id") == F.col("_last")).drop("_last")

@@ -59,11 +59,12 @@ def object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.collision_safe(names, "name", ("page_id",)).select("page_id", "object_name")
 
 
-@register("WITH o AS (SELECT doc_id, source, text FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source, text || ' (new)' AS text FROM documents WHERE doc_id % 5 = 0) SELECT doc_id, source, text FROM (SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) WHERE trim(text) <> ''")
+@register("WITH n AS (SELECT doc_id, source, text || ' (new)' AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, source, text FROM (SELECT doc_id, source, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) WHERE trim(text) <> ''")
 def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows replace the old ones of their key."""
+    """New texts of the labelled documents replace the old rows of their key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return V.replaced(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" (new)"))), "doc_id")
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return V.replaced(docs, docs.join(labelled, "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" (new)"))), "doc_id")
 
 
 @register("SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1")
