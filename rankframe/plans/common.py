@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +24,12 @@ def registering(queries: dict, oracles: dict) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the cluster; where the session names none (tests), in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"

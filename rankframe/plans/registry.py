@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankframe.plans import composed, conversing, graphing, ingesting, learning, monitoring, retrieval, scoring, texts
+from rankframe.plans import composed, conversing, graphing, ingesting, learning, monitoring, retrieval, scoring, streams, texts
 
-MODULES = (texts, retrieval, scoring, ingesting, graphing, learning, monitoring, conversing, composed)
+MODULES = (texts, retrieval, scoring, ingesting, graphing, learning, monitoring, conversing, composed, streams)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,14 @@ def test_variants(spark):
     extra = spark.createDataFrame([(1, "home", 1), (1, "HOME", 2)], "query_id long, term string, ord int")
     assert sorted((r.ord, r.text) for r in search.variants(queries, extra).collect()) == [(0, "Big house"), (1, "Big house home")]
     assert scoring.first_variant(search.multi_query(queries.select(F.col("query_id").alias("doc_id"), "text"), queries, extra, 3)).count() <= 1
+
+
+def test_ingest_replaces(spark, tmp_path):
+    from rankframe.streaming import ingest
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "Old text."), (2, "Stays.")], [(1, "New text.")]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+        ingest.ingest(stream, path, str(tmp_path / "progress")).awaitTermination()
+    assert {(r.doc_id, r.text) for r in ingest.current(spark, path).collect()} == {(1, "New text."), (2, "Stays.")}
