@@ -20,7 +20,7 @@ def term_corpus(docs: DataFrame, phrases: Sequence[str], triggers: Sequence[str]
     """(term, n_docs): phrases that a pattern finds, and trigger words with the word after them, in lower case."""
     low = F.lower(F.coalesce("text", F.lit("")))
     w = T.words(low)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.when(F.get(w, i - 1).isin(list(triggers)) & F.get(w, i).isNotNull(), F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(a.isin(list(triggers)) & b.isNotNull(), F.concat_ws(" ", a, b)))
     found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in phrases], F.array_compact(pairs))
     return docs.select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
