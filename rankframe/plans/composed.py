@@ -142,7 +142,7 @@ def hybrid_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {HYBRID_SQL} SELECT query_id, lang AS kind, count(*) AS total, string_agg(DISTINCT d.source, ',' ORDER BY d.source) AS sources FROM hk JOIN documents d USING (doc_id) WHERE rank <= 20 AND lang IS NOT NULL GROUP BY ALL")
 def search_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and sources of the hits by kind."""
+    """Totals and sources of the hits by kind."""
     kinds = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), "source").where("kind is not null")
     return search.envelope(_hybrid(spark, sf_dir).select("query_id", "doc_id").join(kinds, "doc_id"), "kind")
 
