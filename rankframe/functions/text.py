@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 NUMERIC = (r"\d+(\.\d+)?\s*(mg|ml|kg|g|mcg|units?)", r"\d+(\.\d+)?\s*%", r"\d+\s*-\s*\d+", r"\d+/\d+")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once for each row however often f uses it, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalised(text: Column) -> Column:
     """LF line ends, single spaces, at most one blank line, trimmed."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
@@ -112,8 +117,7 @@ def padded(vector: Column, size: int) -> Column:
 
 def key_phrases(text: Column, window: int = 8, most_chars: int = 100, least_chars: int = 10, keep: int = 3) -> Column:
     """The longest distinct windows of words whose length fits, ties by text."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, window), " "))
+    runs = let(words(text), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, window), " ")))
     fit = F.array_distinct(F.filter(runs, lambda x: F.length(x).between(least_chars, most_chars)))
     ranked = F.array_sort(F.transform(fit, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     return F.slice(F.transform(ranked, lambda s: s["x"]), 1, keep)
@@ -178,9 +182,11 @@ def redistributed_citations(text: Column) -> Column:
 
     def one(p: Column) -> Column:
         tail = F.regexp_extract(p, rf"((?:\s*{mark})+)\s*\.?\s*$", 1)
-        marks = F.regexp_extract_all(tail, F.lit(mark), F.lit(0))
         body = F.rtrim(F.left(p, F.length(F.regexp_replace(p, rf"(?:\s*{mark})+\s*\.?\s*$", ""))))
-        parts = F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda x: x != "")
+        found = F.struct(F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda x: x != "").alias("parts"), F.regexp_extract_all(tail, F.lit(mark), F.lit(0)).alias("marks"))
+        return let(found, lambda s: placed(p, s["parts"], s["marks"]))
+
+    def placed(p: Column, parts: Column, marks: Column) -> Column:
         n, m = F.size(parts), F.size(marks)
         first = F.greatest(n - m, F.lit(0))
         put = F.transform(parts, lambda x, i: F.concat(x, F.when(i < first, "").when(i == n - 1, F.concat(F.lit(" "), F.array_join(F.slice(marks, i - first + 1, F.greatest(m, F.lit(1))), ""))).otherwise(F.concat(F.lit(" "), F.coalesce(F.get(marks, i - first), F.lit(""))))))
@@ -195,7 +201,7 @@ def renumbered(text: Column, mapping: Column) -> Column:
     gaps = F.split(text, r"\[\d+\.\d+\]")
     keys = F.regexp_extract_all(text, F.lit(mark), F.lit(1))
     new = F.transform(keys, lambda k: F.concat(F.lit("["), F.coalesce(F.element_at(mapping, k), k), F.lit("]")))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(F.coalesce(F.get(new, i - 1), F.lit("")), g)), "")
+    return let(new, lambda marks: F.array_join(F.transform(gaps, lambda g, i: F.concat(F.coalesce(F.get(marks, i - 1), F.lit("")), g)), ""))
 
 
 def past_answer(text: Column, fallback: str = "", most_chars: int = 200) -> Column:

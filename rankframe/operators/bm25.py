@@ -12,15 +12,24 @@ K1, B = 1.5, 0.75
 MOST_BROADCAST_TERMS = 200_000
 
 
+def few(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most `rows` rows, counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where df has at most `rows` rows, counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint where df has at most `rows` rows."""
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def postings(docs: DataFrame, terms: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(doc_id, term, tf, doc_len) for the given distinct terms; documents are read once and only these terms shuffle."""
+    """(doc_id, term, tf, doc_len) for the given distinct terms; documents are read once and only these terms shuffle.
+
+    The outer explode gives a text without tokens a null term, which the join drops; a plain one would have the optimiser
+    tokenise every text a second time in a filter for texts that have any.
+    """
     arrays = docs.select("doc_id", (T.tokens(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    each = arrays.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    each = arrays.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
     return each.join(small(terms, MOST_BROADCAST_TERMS), "term", "left_semi").groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -29,12 +38,15 @@ def corpus_stats(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     return docs.select(F.size(T.tokens(F.col("text")) if tokens is None else tokens).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl"))
 
 
-def idf(index: DataFrame, stats: DataFrame) -> DataFrame:
+def idf(index: DataFrame, stats: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(term, df, idf): ln((N - n + .5) / (n + .5)); negative values become a quarter of the mean of all.
 
-    The mean is over the terms of the index. This is the rule of the common public Okapi library.
+    The mean is over the terms of the index, or over those of the distinct terms `of` that it holds. This is the rule of
+    the common public Okapi library. df counts by tf, so that the plan keeps that column and the index is shuffled once
+    for all that read it.
     """
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    df = index.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    df = (df if of is None else df.join(small(of, MOST_BROADCAST_TERMS), "term")).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -45,15 +57,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best positive scores of each query, ties by doc_id."""
+def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best positive scores of each query, ties by doc_id.
+
+    index and stats: postings of just the queries' terms and corpus_stats, where the caller has them. While the
+    queries' terms can be broadcast, weighed postings are dealt by document, so that the scores of a document for all
+    queries are summed where its postings lie, and pairs of query and document never shuffle before they are cut.
+    """
     terms = query_terms(queries)
-    index = postings(docs, terms.select("term").distinct())
-    stats = corpus_stats(docs)
+    index = postings(docs, terms.select("term").distinct()) if index is None else index
+    stats = corpus_stats(docs) if stats is None else stats
     weighed = index.join(idf(index, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     weighed = weighed.select("doc_id", "term", part.alias("part"))
-    scores = weighed.join(small(terms, MOST_BROADCAST_TERMS), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
+    asked = weighed.repartition("doc_id").join(F.broadcast(terms), "term") if few(terms, MOST_BROADCAST_TERMS) else weighed.join(terms, "term")
+    scores = asked.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
     return top_k(scores, k)
 
 
@@ -82,5 +100,5 @@ def term_boost(hits: DataFrame, term_scores: DataFrame) -> DataFrame:
     term_scores: (query_id, term, score), few for each query; hits are already cut to candidates.
     """
     lists = term_scores.groupBy("query_id").agg(F.collect_list(F.struct("term", "score")).alias("_terms"))
-    boost = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.contains(F.lower("text"), t["term"]), t["score"]).otherwise(0.0))
+    boost = T.let(F.lower("text"), lambda low: F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.contains(low, t["term"]), t["score"]).otherwise(0.0)))
     return hits.join(lists, "query_id", "left").withColumn("bm25_boost", F.coalesce(boost, F.lit(0.0))).drop("_terms")

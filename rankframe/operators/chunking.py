@@ -95,13 +95,13 @@ def paragraphs_packed(parts: Column, size: Column) -> Column:
     """array<string>: parts joined by blank lines while they stay within the size."""
     first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
-    def step(acc: Column, p: Column) -> Column:
-        flush = (F.length(acc["cur"]) + F.length(p) > size) & (acc["cur"] != "")
+    def step(acc: Column, p: Column, most: Column) -> Column:
+        flush = (F.length(acc["cur"]) + F.length(p) > most) & (acc["cur"] != "")
         done = F.when(flush, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
         cur = F.when(flush | (acc["cur"] == ""), p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
         return F.struct(done.alias("done"), cur.alias("cur"))
 
-    return F.aggregate(parts, first, step, lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
+    return T.let(size, lambda most: F.aggregate(parts, first, lambda acc, p: step(acc, p, most), lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])))
 
 
 def merged(small: DataFrame, least: int = 550) -> DataFrame:

@@ -64,7 +64,7 @@ def quality_bonus(hits: DataFrame, query_tokens: str = "query_tokens", text: str
     """Adds quality_score (clamped to -.4 .. .85) and quality_factors by length, query coverage and section."""
     n = F.length(text)
     asked = F.size(query_tokens)
-    found = F.size(F.filter(query_tokens, lambda t: F.contains(F.lower(text), t)))
+    found = T.let(F.lower(text), lambda low: F.size(F.filter(query_tokens, lambda t: F.contains(low, t))))
     length = F.when(n.between(400, 1200), 0.2).when(n < 200, -0.15).when(n > 1600, -0.1).otherwise(0.0)
     cover = F.when(asked == 0, 0.0).when(found > 0, F.least(F.lit(0.2), 0.25 * found / asked)).otherwise(-0.18)
     part, label = F.lit(0.0), F.lit(None).cast("string")

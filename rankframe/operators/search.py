@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankframe.functions import text as T
 from rankframe.operators import bm25, dense
 from rankframe.operators import scoring as S
+from rankframe.sources.scratch import written
 
 #: What to fetch for an intent: number of hits, whether the query is expanded, and the sections that come first.
 STRATEGIES = (("safety", 15, True, "warnings,adverse"), ("dosing", 8, False, "dosage"), ("pediatric", 12, True, "pediatric"), ("monitoring", 10, True, "monitoring"), ("contraindication", 8, True, "contraindications"))
@@ -34,25 +35,32 @@ def variants(queries: DataFrame, extra: DataFrame) -> DataFrame:
 
 def multi_query(docs: DataFrame, queries: DataFrame, extra: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, variant_ord): BM25 hits of all variants in one pass, each document by the first variant that found it."""
-    each = variants(queries, extra).select(F.struct("query_id", "ord").alias("query_id"), "text")
-    hits = bm25.search(docs, each, k).select(F.col("query_id.query_id").alias("query_id"), "doc_id", "score", F.col("query_id.ord").alias("variant_ord"))
+    return _first_hits(docs, written(variants(queries, extra), "variants"), k)
+
+
+def _first_hits(docs: DataFrame, asked: DataFrame, k: int, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    each = asked.select(F.struct("query_id", "ord").alias("query_id"), "text")
+    hits = bm25.search(docs, each, k, index=index, stats=stats).select(F.col("query_id.query_id").alias("query_id"), "doc_id", "score", F.col("query_id.ord").alias("variant_ord"))
     return S.first_variant(hits)
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, extra: DataFrame, groups: Mapping[str, Sequence[str]], k: int, pool: int, section: str, sections: Sequence[tuple[str, float]]) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, extra: DataFrame, groups: Mapping[str, Sequence[str]], k: int, pool: int, section: str, sections: Sequence[tuple[str, float]]) -> DataFrame:
     """(query_id, doc_id, variant_ord, score, bm25_boost, alpha, hybrid_score, quality_score, final_score, rank).
 
-    docs: (doc_id, text, embedding, section), queries: (query_id, text, embedding). The pool is the dense hits (variant -1)
+    docs: (doc_id, text, section), vectors: (doc_id, embedding) of some of them, queries: (query_id, text, embedding). The pool is the dense hits (variant -1)
     and those of the variants; a document or query without a vector has a dense score of 0. Each hit's dense score is then
-    blended with what its query's terms weigh in it, raised by its quality and cut to k.
+    blended with what its query's terms weigh in it, raised by its quality and cut to k. The variants and one index of
+    their terms are written once and serve both the hits and the weights.
     """
-    near = dense.nearest(docs, queries, pool).select("query_id", "doc_id", "score", F.lit(-1).alias("variant_ord"))
-    found = S.first_variant(near.unionByName(multi_query(docs, queries, extra, pool))).select("query_id", "doc_id", "variant_ord")
+    every, stats = written(variants(queries, extra), "variants"), bm25.corpus_stats(docs)
+    index = written(bm25.postings(docs, bm25.query_terms(every).select("term").distinct()), "postings")
+    near = dense.nearest(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), queries, pool).select("query_id", "doc_id", "score", F.lit(-1).alias("variant_ord"))
+    found = S.first_variant(near.unionByName(_first_hits(docs, every, pool, index, stats))).select("query_id", "doc_id", "variant_ord")
     asked = S.adaptive_alpha(queries, groups).select("query_id", "alpha", F.col("embedding").alias("_q"), T.without(T.tokens(F.col("text"))).alias("query_tokens"))
-    hits = found.join(docs.select("doc_id", "text", section, F.col("embedding").alias("_d")), "doc_id").join(asked, "query_id")
+    hits = found.join(docs.select("doc_id", "text", section), "doc_id").join(vectors.select("doc_id", F.col("embedding").alias("_d")), "doc_id", "left").join(asked, "query_id")
     hits = hits.withColumn("score", F.coalesce(dense.cosine(F.col("_q"), F.col("_d")), F.lit(0.0))).drop("_q", "_d")
     terms = bm25.query_terms(queries)
-    weights = bm25.idf(bm25.postings(docs, terms.select("term").distinct()), bm25.corpus_stats(docs)).where("idf > 0")
+    weights = bm25.idf(index, stats, terms.select("term").distinct()).where("idf > 0")
     scored = terms.join(weights, "term").select("query_id", "term", F.col("idf").alias("score"))
     counts = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("bm25_terms"))
     hits = bm25.term_boost(hits, scored).join(counts, "query_id", "left").withColumn("bm25_terms", F.coalesce("bm25_terms", F.lit(0)))

@@ -128,9 +128,8 @@ hr AS (SELECT *, coalesce(hybrid_score, score) * (1 + quality_score) AS final_sc
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    docs = table(spark, sf_dir, "documents").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     queries = _passages(spark, sf_dir).join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return search.hybrid_search(docs, queries, _extra(spark, sf_dir), scoring.GROUPS, K, K, "source", scoring.SECTIONS)
+    return search.hybrid_search(table(spark, sf_dir, "documents"), v.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, _extra(spark, sf_dir), scoring.GROUPS, K, K, "source", scoring.SECTIONS)
 
 
 @register(f"WITH {HYBRID_SQL} SELECT query_id, doc_id, variant_ord::BIGINT AS variant_ord, round(score, 4) AS score, round(hybrid_score, 4) AS hybrid_score, round(final_score, 4) AS final_score, rank FROM hk WHERE rank <= 20")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.operators import bm25, dense, metrics
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import dealt, registering, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,7 +53,7 @@ def _rounded(evaluated: DataFrame) -> DataFrame:
 @register(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM run")
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against all documents."""
-    return bm25.search(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return bm25.search(dealt(table(spark, sf_dir, "documents")), _passages(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register(f"WITH {QRELS_SQL} SELECT * FROM rel")
@@ -65,7 +65,7 @@ def passage_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {BM25_SQL}, {QRELS_SQL}, {METRICS_SQL} SELECT * FROM ev")
 def bm25_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 to E5, J4, W2, T2."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return _rounded(metrics.per_query(bm25.search(docs, _passages(spark, sf_dir), K), bm25.containing(docs, _passages(spark, sf_dir))))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankframe.plans import ingesting
-from rankframe.plans.common import registering, scratch, table
+from rankframe.plans.common import registering, table
+from rankframe.sources.scratch import scratch
 from rankframe.streaming import ingest, measurements
 
 QUERIES: dict = {}
