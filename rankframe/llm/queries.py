@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media_webp, op2_mix_sources, op3_license_scan, op4_language_id, op5_pitman_yor, op6_simhash_golay, op7_importance_resampling, op8_byte_bpe, op9_toxicity_nnpu, op10_quality_rules, pipeline)}
 
+#: A word of the license scan.
+LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Water-filling, prefix sums in hash order and the inverse of the schedules' integrals, as in mixing.py.
 MIX_SQL = r"""
 WITH sizes AS (
@@ -86,4 +90,25 @@ SELECT doc_id, size, source_size, target, taken,
 FROM mixed
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL}
+def _rows(pairs: Iterable[tuple[str, str]]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in p) + ")" for p in pairs)
+
+
+#: Places of the phrases among all words, and the containment of every template in every line, without the join's filters.
+LICENSE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{LICENSE_WORDS}') AS ws FROM d),
+ph AS (SELECT label, regexp_extract_all(phrase, '{LICENSE_WORDS}') AS ps FROM (VALUES {_rows(license_scan.PHRASES.items())}) v(phrase, label)),
+pl AS (SELECT rid, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(ps)] = ps)) AS place FROM w JOIN ph ON list_has_all(ws, ps)),
+ba AS (SELECT rid, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM pl GROUP BY rid),
+te AS (SELECT label, list_distinct(regexp_extract_all(lower(notice), '{LICENSE_WORDS}')) AS ts FROM (VALUES {_rows(license_scan.TEMPLATES.items())}) v(label, notice)),
+bl AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{LICENSE_WORDS}')) AS bs FROM w),
+pr AS (SELECT rid, label, len(list_intersect(bs, ts)) AS shared, len(ts) AS size FROM bl, te),
+mt AS (SELECT rid, list(DISTINCT label) AS ls, max(shared::DOUBLE / size) AS share, count(*) AS n FROM pr WHERE shared >= ceil({license_scan.CONTAINMENT} * size - 1e-9) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(ba.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(ba.ls, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(coalesce(ba.ls, []) || coalesce(mt.ls, []))), ',') AS labels,
+  CASE WHEN ba.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, coalesce(mt.n, 0)::BIGINT AS n_blocks
+FROM w LEFT JOIN ba USING (rid) LEFT JOIN mt USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_license_scan": LICENSE_SQL}

@@ -402,3 +402,27 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert 0 < table.count() <= 3 * before
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() == table.count()
+
+
+def compared(spark, name, frame, con):
+    from rankframe.llm import queries
+
+    cursor = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(frame.columns)
+    want = sorted((tuple(map(str, r)) for r in cursor.fetchall()))
+    assert sorted(tuple(map(str, r)) for r in frame.select(*names).collect()) == want
+
+
+def test_license_scan_against_sql(spark, docs, rows):
+    """The SQL form over the odd rows (nulls, empty and long texts, repeats) and over whole documents."""
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    compared(spark, "op3_license_scan", license_scan.license_scan(spark.read.parquet(path)), con)
+    odd = duckdb.connect()
+    odd.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    odd.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], None if r[1] is None else r[1].replace("\x00", "\x01")) for r in rows])
+    clean = docs.selectExpr("doc_id", "replace(text, '\\0', '\\u0001') AS text")
+    compared(spark, "op3_license_scan", license_scan.license_scan(clean), odd)
