@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
 from rankframe.operators import chunking as C
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import dealt, registering, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,7 +45,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_i
 )
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed with overlap."""
-    made = C.chunks(table(spark, sf_dir, "documents"))
+    made = C.chunks(dealt(table(spark, sf_dir, "documents")))
     return made.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_sentence_index").cast("long").alias("start_sentence_index"), F.col("end_sentence_index").cast("long").alias("end_sentence_index"), "text")
 
 
