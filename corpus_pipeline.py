@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of five-word shingles at most three bits apart."""
+    """One document of each group of near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more."""
     return simhash.deduplicated(docs, shingle=5)
 
 

@@ -6,10 +6,15 @@ bit from x lies within four bits of the codeword that x decodes to, so x under i
 all codewords within four bits (one or six of them). A key joins the indices of two segments: the left side spreads
 the first and decodes the second, the right side the reverse. Keys are joined with the exact distance as the join's
 condition, and the links are closed to components.
+
+Three bits are near-exact copies only; the pipeline's stage wants every pair of documents whose sets of shingles are
+similar to 0.8. `deduplicated` adds the pairs of an exact prefix-filtered set join to those of the keys and keeps what the sets
+themselves confirm.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankframe.llm.common import ASCII_LOWER, slices, written
+from rankframe.llm.common import ASCII_LOWER, mixed, sampled, slices, written
 
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the Golay code, its length and redundancy.
 GENERATOR, LENGTH, CHECK = 0b101011100011, 23, 11
@@ -26,6 +31,13 @@ GENERATOR, LENGTH, CHECK = 0b101011100011, 23, 11
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: The distance that the keys guarantee.
 MOST_BITS = 3
+#: Jaccard similarity of shingle sets from which documents are near copies, as a ratio of whole numbers.
+SIMILAR = (4, 5)
+#: Documents in which frequent shingles are looked for, and how many of these are told to the tasks. They only order the
+#: shingles, so that frequent ones seldom stand in a prefix; the pairs found don't depend on them.
+ORDER_ROWS, MOST_FREQUENT = 20_000, 200_000
+#: Bits of the map of sets whose texts are fetched.
+MAP_BITS = 1 << 26
 #: The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
@@ -123,8 +135,8 @@ def xxh64(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 4
     return out
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text: bit k is 1 if over half of its word shingles' hashes have it; no word: 0."""
+def shingles_of(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the word shingles of all texts end to end, how many each text has, whether it has a word)."""
     rows = [b" ".join(t.translate(ASCII_LOWER).split()) for t in texts]
     buffer = np.frombuffer(b"\n".join(rows) + b"\n", dtype=np.uint8)
     gaps = np.flatnonzero((buffer == 32) | (buffer == 10))
@@ -136,20 +148,29 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.
     bounds = np.concatenate([[0], np.cumsum(many)])
     begin = np.arange(bounds[-1]) - np.repeat(bounds[:-1], many) + np.repeat(first, many)
     end = np.minimum(begin + shingle - 1, np.repeat(last, many))
-    hashes = xxh64(buffer, start[begin], stop[end], seed)
+    return xxh64(buffer, start[begin], stop[end], seed), many, np.array([bool(r) for r in rows], dtype=bool)
+
+
+def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text: bit k is 1 if over half of its word shingles' hashes have it; no word: 0."""
+    return _simhash(*shingles_of(texts, shingle, seed))
+
+
+def _simhash(hashes: np.ndarray, many: np.ndarray, worded: np.ndarray) -> np.ndarray:
+    bounds = np.concatenate([[0], np.cumsum(many)])
     # eight byte counters in a word; pieces of at most 255 shingles can't overflow
     pieces = -(-many // 255)
     edges = np.concatenate([[0], np.cumsum(pieces)])
     cuts = (np.arange(edges[-1]) - np.repeat(edges[:-1], pieces)) * 255 + np.repeat(bounds[:-1], pieces)
     ones = np.uint64(0x0101010101010101)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(len(many), dtype=np.uint64)
     for k in range(8):
         part = np.add.reduceat((hashes >> np.uint64(k)) & ones, cuts)
         lanes = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int64), edges[:-1], axis=0)
         bits = (2 * lanes > many[:, None]).astype(np.uint64)
         for byte in range(8):
             out |= bits[:, byte] << np.uint64(8 * byte + k)
-    out[np.array([not r for r in rows], dtype=bool)] = 0
+    out[~worded] = 0
     return out
 
 
@@ -236,12 +257,148 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = MOST_BITS, te
     return fps.join(classed, "fp").select(id_col, "fp", "component_id", "n_links")
 
 
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rising; counts) of the shingles that occur most in some of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, n = np.unique(shingles_of(_read(batch), shingle)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = sampled(docs, F.xxhash64("doc_id", "text"), ORDER_ROWS).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    hashes = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top["n"].to_numpy()[order]
+
+
+def ordered_sets(texts: list[bytes], shingle: int, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(SimHash of each text, hash of its shingle set, size of the set; the sets end to end, rarest shingles first).
+
+    A text without a word has the empty set, of hash 0.
+    """
+    hashes, many, worded = shingles_of(texts, shingle)
+    fp = _simhash(hashes, many, worded)
+    doc = np.repeat(np.arange(len(texts)), many)
+    hashes, doc = hashes[worded[doc]], doc[worded[doc]]
+    heat = np.zeros(len(hashes), dtype=np.int64)
+    known, counts = frequent or ((), ())
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        heat = np.where(known[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, heat, doc))
+    hashes, doc = hashes[order], doc[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, doc = hashes[fresh], doc[fresh]
+    sig = np.zeros(len(texts), dtype=np.uint64)
+    np.add.at(sig, doc, mixed(hashes))
+    return fp, sig, np.bincount(doc, minlength=len(texts)), hashes
+
+
+def _read(batch: pa.RecordBatch) -> list[bytes]:
+    return [(v or "").encode() for v in batch.column("text").to_pylist()]
+
+
+def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, sig): each document's fingerprint and the hash of its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fp, sig, _, _ = ordered_sets(_read(batch), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64))], names=["doc_id", "fp", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sig long")
+
+
+def shingle_prefixes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(shingle, sig, size, rest): of each set the rarest shingles, of which similar sets share one; how many come after each."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, sig, size, hashes = ordered_sets(_read(batch), shingle, shared.value)
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+            doc = np.repeat(np.arange(len(size)), size)
+            at = np.flatnonzero((size[doc] - place) * SIMILAR[1] >= size[doc] * SIMILAR[0])
+            columns = [hashes[at].view(np.int64), sig[doc[at]].view(np.int64), size[doc[at]].astype(np.int32), (size[doc] - place - 1)[at].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "sig", "size", "rest"])
+
+    rows = docs.select("text").mapInArrow(run, "shingle long, sig long, size int, rest int")
+    return rows.repartition("shingle").dropDuplicates(["shingle", "sig"])  # documents of one set bring the same rows
+
+
+def similar_candidates(docs: DataFrame, classes: DataFrame, shingle: int, bits: int = MOST_BITS) -> DataFrame:
+    """(u, v), u < v: pairs of sets that may be similar: all that share enough of their prefixes, and those near in SimHash."""
+    rows = shingle_prefixes(docs, shingle)
+    left, right = (rows.select("shingle", F.col("sig").alias(n), F.col("size").alias(f"size_{n}"), F.col("rest").alias(f"rest_{n}")) for n in ("u", "v"))
+    p, q = SIMILAR
+    # of sizes a and b, similar sets share p / (p + q) of a + b, which is 2 p / (p + q) or more of the smaller
+    first = F.when(F.col("size_u") <= F.col("size_v"), (F.col("rest_u") + 1) * (p + q) >= F.col("size_u") * 2 * p).otherwise((F.col("rest_v") + 1) * (p + q) >= F.col("size_v") * 2 * p)
+    near = (F.col("u") < F.col("v")) & (F.col("size_u") * q >= F.col("size_v") * p) & (F.col("size_v") * q >= F.col("size_u") * p) & first
+    met = left.join(right, "shingle").where(near).groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rest_u").alias("rest_u"), F.min("rest_v").alias("rest_v"), F.max(F.col("size_u") + F.col("size_v")).alias("both")
+    )
+    # what they share is counted up to the last shingle met, and no more can follow than either has left
+    met = met.where((F.col("n") + F.least("rest_u", "rest_v")) * (p + q) >= F.col("both") * p).select("u", "v")
+    heads = written(classes.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    close = links(heads, bits).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    same = classes.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
+    close = close.select("a", "b").unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return met.unionByName(close).distinct()
+
+
+def packed_texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(sig, packed): a compressed text of each wanted set. A bitmap of bounded size leaves most others out before the shuffle."""
+    place = F.pmod(F.col("sig"), F.lit(MAP_BITS)) + 1
+    parts = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    bitmap = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in parts.collect():  # at most MAP_BITS / 32768 rows of 4 KiB
+        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["map"], dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = _read(batch)
+            sig = ordered_sets(texts, shingle)[1].view(np.int64)
+            bit = sig % MAP_BITS
+            some = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array([zlib.compress(texts[k]) for k in some.tolist()], pa.binary())], names=["sig", "packed"])
+
+    return docs.select("text").mapInArrow(run, "sig long, packed binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+
+
+def similar(pairs: DataFrame, shingle: int) -> DataFrame:
+    """(u, v) of the pairs of packed texts a and b whose shingle sets are similar."""
+    p, q = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "a", 1 << 18):
+            n = batch.num_rows
+            _, _, size, hashes = ordered_sets([zlib.decompress(t) for c in ("a", "b") for t in batch.column(c).to_pylist()], shingle)
+            pair = np.repeat(np.arange(2 * n) % n, size)
+            order = np.lexsort((hashes, pair))
+            hashes, pair = hashes[order], pair[order]
+            both = np.bincount(pair[1:][(hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+            yield batch.select(["u", "v"]).filter(pa.array(both * (p + q) >= (size[:n] + size[n:]) * p))
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> DataFrame:
-    """The documents that lead their component (the smallest id), so that one of each group stays, with all columns.
+    """The documents that lead their group (the smallest id), so that one of each group stays, with all columns.
 
-    One of the rows that repeat that id stays. Rows without an id can't be told apart and all stay. Documents without
-    a word (fingerprint zero) are one group.
+    A group is what links of Jaccard similarity 0.8 or more between sets of word shingles connect; every such pair is
+    found. One of the rows that repeat a leader's id stays. Rows without an id can't be told apart and all stay. Documents
+    without a word (the empty set) are one group.
     """
-    found = near_duplicates(docs, shingle, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    found = shingle_classes(docs, shingle).groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    classes = written(found, "sets")
+    pairs = written(similar_candidates(docs, classes, shingle, bits), "candidates")
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), "wanted")
+    texts = written(packed_texts(docs, wanted, shingle), "texts")
+    both = pairs.join(texts.select(F.col("sig").alias("u"), F.col("packed").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("packed").alias("b")), "v")
+    members = classes.join(components(similar(both, shingle)), F.col("sig") == F.col("node"), "left")
+    leaders = members.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("_kept")).select("_kept").distinct()
+    kept = docs.join(leaders, docs["doc_id"] == leaders["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

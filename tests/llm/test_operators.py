@@ -280,6 +280,30 @@ def test_deduplicated_keeps_one_of_each(docs, rows):
     assert len(ids) == len(set(ids)) and got[0].__fields__ == docs.columns and 2001 not in ids
 
 
+def test_deduplicated_finds_all_similar_texts(spark, rows):
+    """Edited copies around 0.8, short and long, chains of them, copies by case: the groups are those of brute-force Jaccard."""
+    r = random.Random(8)
+    texts = [t for _, t, *_ in rows if t is not None]
+    for _ in range(60):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.choice((6, 12, 40, 120, 400)))]
+        texts.append(" ".join(words))
+        for _ in range(4):  # each edits the one before
+            for _ in range(r.choice((1, 1, 2, 3))):
+                words[r.randrange(len(words))] = "edit"
+            texts.append(" ".join(words).upper())
+
+    def shingles(text):
+        w = words_of(text)
+        return {b" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 100
+    roots = brute_components(pairs, range(len(texts)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.deduplicated(frame).collect()) == sorted(set(roots.values()))
+
+
 def labelled(spark, rows):
     return spark.createDataFrame([(r[0], int(r[1] is not None and "§" not in r[1]), int("stupid" in (r[1] or "")), None) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int, lang string")
 
