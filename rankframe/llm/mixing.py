@@ -2,7 +2,8 @@
 
 Every source has a piecewise-linear weight schedule over training time 0..1. Its integral up to t, scaled to the source's
 target, is the number of its tokens that training has asked for by t. A document's tokens stand at a place in its
-source's own order; the time at which demand reaches that place is the document's training position.
+source's own order, once for each pass over the source; the time at which demand reaches that place is the training position
+of the document in that pass.
 """
 
 from __future__ import annotations
@@ -67,44 +68,74 @@ def demand_inverse(share: Column, ordinal: Column, knots: Sequence[float] = KNOT
     return by_schedule
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: (doc_id, size, source_size, target, taken, position) and the columns named in `keep`.
+def placed(docs: DataFrame, weights: Sequence[float], most: float, bucket_rows: int, keep: Sequence[str]) -> DataFrame:
+    """Every row of docs as the struct `doc` (the columns named in keep) beside its size, the facts of its source (source_size,
+    target, ordinal, quota, passes, rest) and `before`: the words of its source that stand ahead of it in one pass.
 
-    A source's documents stand in the order of a hash of their id. The mix passes over them as often as the target
-    asks: whole passes first, then the words that are left of the target from the front, so that one document of a source
-    at most is cut. Prefix sums go over buckets of the hash, so a source may hold any share of the rows. position is
-    the training time of the document's first token; null for a document that the mix leaves out. Null text has size
-    0, a null source is a source of its own, repeated rows and ids count each time. Rows come range-sorted by position.
+    A source's rows stand in the order of a hash of id and text. Prefix sums go over buckets of the hash; rows that share
+    one hash (the same id and text, whose order among each other changes nothing) are dealt over salts where they are many.
     """
-    spare = set(keep) - {"doc_id", "source"}
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in spare])
-    sizes = written(sizes.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
-    sources = source_targets(sizes, weights, most)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), text))
+    rows = docs.select("source", size.alias("size"), h.alias("h"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"))
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))), "sizes")
+    sources = source_targets(rows, weights, most)
     sources = sources.withColumn("quota", F.floor(F.col("target") + 0.5)).withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(bucket_rows)).cast("long"))
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
-    rows = sizes.join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
+    # written, so that its size is known: a small table of sources is broadcast, a large one is not
+    rows = rows.join(written(sources.withColumnRenamed("source", "_source"), "sources"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(float(1 << 32))))
-    ahead = rows.groupBy("ordinal", "bucket").agg(F.sum("size").alias("held"))
-    ahead = ahead.withColumn("offset", F.coalesce(F.sum("held").over(Window.partitionBy("ordinal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("ordinal", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    many = rows.groupBy("ordinal", F.col("h").alias("hot")).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > bucket_rows)
+    many = written(many.withColumnRenamed("ordinal", "_ordinal"), "repeated")  # at most one for every bucket_rows rows
+    rows = rows.join(many, (F.col("ordinal") == F.col("_ordinal")) & (F.col("h") == F.col("hot")), "left").drop("_ordinal")
+    rows = rows.withColumn("hot", F.coalesce("hot", F.lit(""))).withColumn("part", F.when(F.col("hot") != "", F.pmod(F.col("salt"), F.ceil(F.col("copies") / F.lit(bucket_rows)).cast("long"))).otherwise(F.lit(0).cast("long")))
+    ahead = rows.groupBy("ordinal", "bucket", "hot", "part").agg(F.sum("size").alias("held"))
+    ahead = ahead.withColumn("offset", F.coalesce(F.sum("held").over(Window.partitionBy("ordinal").orderBy("bucket", "hot", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("ordinal", "bucket", "hot", "part").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(ahead.select("ordinal", "bucket", "offset"), ["ordinal", "bucket"]).withColumn("before", F.col("offset") + F.col("inside"))
+    rows = rows.join(ahead.drop("held"), ["ordinal", "bucket", "hot", "part"]).withColumn("before", F.col("offset") + F.col("inside"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    rows = rows.withColumn("taken", (F.col("passes") * F.col("size") + extra).cast("long"))
-    share = F.col("before") / F.col("quota")
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, demand_inverse(share, F.col("ordinal"), knots, schedules)))
-    picked = rows.select("doc_id", *(["source"] if "source" in keep else []), "size", "source_size", "target", "taken", "position", *[F.col(f"_keep_{c}").alias(c) for c in spare])
+    return rows.withColumn("extra", extra).withColumn("taken", (F.col("passes") * F.col("size") + F.col("extra")).cast("long"))
+
+
+def _position(turn: Column, knots: Sequence[float], schedules: Sequence[Sequence[float]]) -> Column:
+    """The training time at which pass `turn` over the source reaches the document."""
+    return demand_inverse((turn * F.col("source_size") + F.col("before")) / F.col("quota"), F.col("ordinal"), knots, schedules)
+
+
+def _turns() -> Column:
+    """How many passes take words of the document."""
+    return F.when(F.col("size") > 0, F.col("passes") + (F.col("extra") > 0).cast("long")).otherwise(F.lit(0))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per document: (doc_id, size, source_size, target, taken, position, last_position).
+
+    The mix passes over a source's documents as often as the target asks: whole passes first, then the words that are
+    left of the target from the front, so that one document of a source at most is cut. A source may hold any share of
+    the rows, and so may rows that repeat. position is the training time of the first token that the mix takes of the document,
+    last_position that of the last pass that takes any; both are null for a document that the mix leaves out. Null text has
+    size 0, a null source is a source of its own, repeated rows and ids count each time, an empty table gives no rows. Rows
+    come range-sorted by position. Sources pass through one task for their ranks, a row for each source.
+    """
+    rows = placed(docs, weights, most, bucket_rows, ["doc_id"])
+    some = F.col("taken") > 0
+    picked = rows.select(
+        "doc.doc_id", "size", "source_size", "target", "taken", F.when(some, _position(F.lit(0), knots, schedules)).alias("position"),
+        F.when(some, _position(_turns() - 1, knots, schedules)).alias("last_position"),
+    )
     # what the mix leaves out stands behind the rest, spread by its hash so that it fills no single range
     behind = 1.0 + F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 20)) / float(1 << 20)
     return picked.repartitionByRange(F.coalesce("position", behind)).sortWithinPartitions(F.coalesce("position", behind), "doc_id")
 
 
-def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that training meets a document, in its order.
+def training_order(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, knots: Sequence[float] = KNOTS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The mix itself, with the columns of docs (whatever their names): a row for each pass that takes words of a document.
 
-    A document that the mix takes k times its size (rounded up) appears k times; one that it leaves out doesn't.
+    Rows are range-sorted by the position of their pass, so a document that the mix takes three times stands at three places. One
+    that it leaves out, or that has no word, doesn't appear. Nulls, repeats and empty tables as in mixed_documents.
     """
-    mixed = mixed_documents(docs, keep=docs.columns, **options)
-    copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    rows = mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return rows.select(*[rows[c] for c in docs.columns])
+    rows = placed(docs, weights, most, bucket_rows, docs.columns).where("taken > 0")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), _turns() - 1))).withColumn("at", _position(F.col("turn"), knots, schedules))
+    return rows.repartitionByRange("at", "h").sortWithinPartitions("at", "h").select("doc.*")

@@ -66,7 +66,7 @@ LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIX_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS h FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 numbered AS (SELECT source, source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS ordinal FROM per),
 weighed AS (SELECT *, CAST(ordinal % 3 + 1 AS DOUBLE) AS w, 3.0 * CAST(source_size AS DOUBLE) AS cap FROM numbered),
@@ -79,15 +79,17 @@ plan AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM targets),
 passes AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM plan),
 placed AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, p.ordinal, p.quota, p.passes, p.quota - p.passes * p.source_size AS rest,
-    coalesce(sum(s.size) OVER (PARTITION BY p.ordinal ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(s.size) OVER (PARTITION BY p.ordinal ORDER BY s.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source),
-mixed AS (SELECT *, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken, CAST(before AS DOUBLE) / quota AS share FROM placed)
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN CASE ordinal % 3
+mixed AS (SELECT *, greatest(0, least(size, rest - before)) AS extra, row_number() OVER () AS rid FROM placed),
+turns AS (SELECT *, CAST(passes * size + extra AS BIGINT) AS taken, unnest(CASE WHEN size = 0 OR passes * size + extra = 0 THEN [NULL] ELSE range(passes + CASE WHEN extra > 0 THEN 1 ELSE 0 END) END) AS turn FROM mixed),
+timed AS (SELECT rid, doc_id, size, source_size, target, taken, ordinal, CAST(turn * source_size + before AS DOUBLE) / quota AS share FROM turns)
+SELECT doc_id, size, source_size, target, taken, min(t) AS position, max(t) AS last_position FROM (
+  SELECT *, CASE WHEN share IS NOT NULL THEN CASE ordinal % 3
     WHEN 1 THEN share
     WHEN 0 THEN (1.5 - sqrt(greatest(0.0, 2.25 - 2 * share)))
-    ELSE (sqrt(greatest(0.0, 0.25 + 2 * share)) - 0.5) END END AS position
-FROM mixed
+    ELSE (sqrt(greatest(0.0, 0.25 + 2 * share)) - 0.5) END END AS t FROM timed)
+GROUP BY rid, doc_id, size, source_size, target, taken
 """
 
 def _rows(pairs: Iterable[tuple[str, str]]) -> str:

@@ -126,7 +126,7 @@ def test_mixing(docs, rows, empty):
         open_ -= over
     taken = defaultdict(int)
     for r in got:
-        assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+        assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.last_position is None) == (r.taken == 0)
         taken[round(r.target, 6)] += r.taken
     assert len(got) == len(rows)
     for s in order:
@@ -135,6 +135,28 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed_documents(empty).count() == 0 and mixing.training_order(docs).columns == docs.columns
 
 
+def test_mix_follows_the_schedules(spark):
+    """Two small sources stand three times, half of the ids are null, one row repeats 300 times: each tenth of the mix asks for what the schedules say."""
+    from pyspark.sql import functions as F
+
+    texts = [(None if k % 2 else k, f"w{k} x y z", source, k) for source, n in (("a", 9000), ("b", 400), ("c", 500)) for k in range(n)]
+    texts += [(None, "again and again", "c", k) for k in range(300)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string, size long").withColumn("at", F.lit(1)).withColumn("doc", F.lit("x"))
+    order = mixing.training_order(frame, bucket_rows=64)
+    assert order.columns == frame.columns
+    rows = mixing.placed(frame, mixing.WEIGHTS, 3, 64, ["source"]).where("taken > 0").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), mixing._turns() - 1)))
+    rows = rows.withColumn("t", mixing._position(F.col("turn"), mixing.KNOTS, mixing.SCHEDULES)).select("doc.source", "size", "t", "passes").collect()
+    assert len(rows) == order.count() and {r.source: r.passes for r in rows if r.source != "a"} == {"b": 3, "c": 3}
+    for k, source in enumerate("abc"):
+        mine = [r for r in rows if r.source == source]
+        area = lambda t: np.interp(t, np.linspace(0, 1, 2001), np.concatenate([[0], np.cumsum(np.interp((np.arange(2000) + 0.5) / 2000, mixing.KNOTS, mixing.SCHEDULES[k]) / 2000)]))
+        for tenth in range(10):
+            share = sum(r.size for r in mine if tenth / 10 <= r.t < (tenth + 1) / 10) / sum(r.size for r in mine)
+            assert abs(share - (area((tenth + 1) / 10) - area(tenth / 10))) < 0.02
+    places = mixing.mixed_documents(frame, bucket_rows=64).where("taken > size").collect()
+    assert places and all(r.position <= r.last_position for r in places) and any(r.last_position - r.position > 0.5 for r in places)
+
+
 def test_demand_inverse(spark):
     from pyspark.sql import functions as F
 
