@@ -1,8 +1,11 @@
 """Quality rules under weak supervision.
 
-Each rule votes good, votes bad or abstains on a document. Expectation-maximisation over the counts of vote patterns (at
-most 3 to the number of rules, whatever the number of documents) estimates how each rule votes on good and on bad
-text, and the posterior probability of good text replaces the demand that every rule be passed.
+Each rule votes good, votes bad or abstains on a document. The votes come from a latent class model: text is good, or bad in
+one of several kinds, each kind the home of rules that find it together. Expectation-maximisation over the counts of vote
+patterns (at most 3 to the number of rules, whatever the number of documents) estimates, for good text and for each kind, how
+often each rule votes bad; nothing bounds these rates. The posterior probability of good text replaces the demand that
+every rule be passed. That bad text is a mixture is what models the dependence between rules: repeated windows and
+repeated words are votes on one defect, and a text full of symbols needn't shout too.
 """
 
 from __future__ import annotations
@@ -19,17 +22,19 @@ from rankframe.llm.common import LOWER, SPACE, Spans, mixed, slices, text_bytes,
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Each rule: name, when it votes bad, when else it votes good (it abstains otherwise), and the largest share of good text
-#: on which it can be believed to vote bad. That bound keeps EM from calling one kind of junk bad and the rest good;
-#: defects that come together (repeated words and windows, capitals and exclamation marks) are one rule each.
+#: Each rule: name, when it votes bad, when else it votes good (it abstains otherwise), and the kind of bad text it looks for.
 RULES = (
-    ("symbols", "n_symbols >= 0.10 * n_words", "n_symbols <= 0.03 * n_words", 0.001),
-    ("repetition", "(n_words >= 16 and n_repeat_words >= 0.3 * n_words) or (n_words >= 10 and n_same >= 0.3 * n_words)", "n_repeat_words <= 0.02 * n_words and n_same <= 0.05 * n_words", 0.001),
-    ("shouting", "2 * n_upper >= n_letters and n_letters >= 20 or n_bangs >= 0.25 * n_words", "n_upper <= 0.15 * n_letters and n_bangs <= 0.05 * n_words", 0.001),
-    ("lines", "n_lines >= 3 and n_dup_lines >= 0.5 * n_lines", "n_lines >= 3 and n_dup_lines = 0", 0.02),
-    ("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words", 0.02),
-    ("length", "n_words < 20", "n_words >= 40", 0.1),
+    ("symbols", "n_symbols >= 0.10 * n_words", "n_symbols <= 0.03 * n_words", "symbols"),
+    ("windows", "n_words >= 16 and n_repeat_words >= 0.3 * n_words", "n_words >= 16 and n_repeat_words <= 0.02 * n_words", "repetition"),
+    ("same_word", "n_words >= 10 and n_same >= 0.3 * n_words", "n_words >= 10 and n_same <= 0.05 * n_words", "repetition"),
+    ("capitals", "n_letters >= 20 and 2 * n_upper >= n_letters", "n_letters >= 20 and n_upper <= 0.15 * n_letters", "shouting"),
+    ("bangs", "n_bangs >= 0.25 * n_words", "n_bangs <= 0.05 * n_words", "shouting"),
+    ("lines", "n_lines >= 3 and n_dup_lines >= 0.5 * n_lines", "n_lines >= 3 and n_dup_lines = 0", "lines"),
+    ("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words", "word_length"),
+    ("length", "n_words < 20", "n_words >= 40", "length"),
 )
+#: EM starts from this trust in bad votes, smooths with so many pseudo-votes, and ends when no posterior moves by TOLERANCE.
+TRUST, PSEUDO, ROUNDS, TOLERANCE = 0.9, 0.01, 300, 1e-6
 #: The base rules that reject a document outright.
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 #: The features that the operator measures and their types.
@@ -125,33 +130,35 @@ def votes(features: DataFrame, rules=RULES) -> DataFrame:
     return features.withColumn("votes", F.concat(*marks))
 
 
-def estimate(patterns: dict[str, int], rules=RULES, rounds: int = 100, trust: float = 0.9, tolerance: float = 1e-9) -> dict:
-    """EM over vote patterns: P(good), P(votes bad | votes, class) of every rule, and the posterior of each pattern.
+def estimate(patterns: dict[str, int], rules=RULES, rounds: int = ROUNDS, trust: float = TRUST, tolerance: float = TOLERANCE) -> dict:
+    """EM over vote patterns: `shares` of good text and of each kind, `errs`: how often each rule that votes votes bad (a row
+    for good text, then one for each kind in `kinds`), and the `posterior` of good text for each pattern.
 
-    An abstaining rule says nothing. Starts by trusting bad votes: a pattern with one is bad with probability `trust`,
-    any other good with it. Add-one smoothed; ends when no posterior moves.
+    An abstaining rule says nothing. Starts by trusting bad votes: a pattern with some belongs to their kinds, in equal parts,
+    with probability `trust`, any other to good text.
     """
+    kinds = list(dict.fromkeys(r[3] for r in rules))
     keys = sorted(patterns)
     if not keys:
-        return {"prior": 0.5, "errs": np.zeros((2, 0)), "posterior": {}}
+        return {"kinds": kinds, "shares": np.zeros(1 + len(kinds)), "errs": np.zeros((1 + len(kinds), len(rules))), "posterior": {}}
     count = np.array([patterns[k] for k in keys], dtype=np.float64)
     mark = np.array([["+-0".index(c) for c in k] for k in keys])
-    against, voted, most = mark == 1, mark != 2, np.array([r[3] for r in rules])
-    posterior = np.where(against.any(axis=1), 1 - trust, trust)
-    prior, errs = 0.5, np.zeros((2, len(rules)))
+    against, voted = mark == 1, mark != 2
+    found = np.array([[any(m and r[3] == kind for m, r in zip(row, rules, strict=True)) for kind in kinds] for row in against], dtype=np.float64)
+    some = found.any(axis=1, keepdims=True)
+    bad = np.where(some, trust * found / np.maximum(found.sum(axis=1, keepdims=True), 1), (1 - trust) / len(kinds))
+    belongs = np.hstack([1 - bad.sum(axis=1, keepdims=True), bad])
     for _ in range(rounds):
-        good = count * posterior
-        prior = float((good.sum() + 1) / (count.sum() + 2))
-        for k, weight in enumerate((good, count - good)):
-            errs[k] = (weight @ against + 1) / (weight @ voted + 2)
-        errs[0] = np.minimum(errs[0], most)
-        says = np.where(against, np.log(errs[0] / errs[1]), np.log((1 - errs[0]) / (1 - errs[1]))) * voted
-        fresh = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + says.sum(axis=1), -50, 50)))
-        done = np.abs(fresh - posterior).max() < tolerance
-        posterior = fresh
-        if done:
+        held = count[:, None] * belongs
+        shares = (held.sum(axis=0) + PSEUDO) / (count.sum() + PSEUDO * (1 + len(kinds)))
+        errs = (held.T @ against + PSEUDO) / (held.T @ voted + 2 * PSEUDO)
+        says = np.log(shares) + (against & voted) @ np.log(errs).T + (~against & voted) @ np.log(1 - errs).T
+        fresh = np.exp(says - says.max(axis=1, keepdims=True))
+        fresh /= fresh.sum(axis=1, keepdims=True)
+        moved, belongs = np.abs(fresh - belongs).max(), fresh
+        if moved < tolerance:
             break
-    return {"prior": prior, "errs": errs, "posterior": dict(zip(keys, posterior.tolist(), strict=True))}
+    return {"kinds": kinds, "shares": shares, "errs": errs, "posterior": dict(zip(keys, belongs[:, 0].tolist(), strict=True))}
 
 
 def rule_verdicts(docs: DataFrame, rules=RULES, keep_above: float = 0.5) -> DataFrame:
