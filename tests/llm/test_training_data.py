@@ -346,10 +346,47 @@ def test_resampling(spark, docs, rows, empty):
     top = resampling.resampled(table, labels, k=50).collect()
     least = sorted((r.key for r in top), reverse=True)[49]
     assert all(r.kept == (r.key >= least) for r in top)
+    heaviest = {r.doc_id for r in sorted(top, key=lambda r: -r.log_weight)[:50]}
+    other = {r.doc_id for r in resampling.resampled(table, labels, k=50, seed=1).where("kept").collect()}
+    assert {r.doc_id for r in top if r.kept} not in (heaviest, other)  # the draw decides
     assert resampling.resampled(empty, labels).count() == 0
     assert all(r.kept for r in resampling.resampled(docs, labels.where("false")).collect())
 
 
+def test_draw_follows_the_weights(spark):
+    """Over seeds, a document is drawn first as often as its weight says; short and long texts of one kind weigh alike."""
+    from pyspark.sql import functions as F
+
+    weights = [1.0, 2.0, 3.0, 10.0]
+    frame = spark.createDataFrame([(k, math.log(w)) for k, w in enumerate(weights)], "i int, lw double").crossJoin(spark.range(4000))
+    frame = frame.withColumn("key", F.col("lw") + resampling.gumbel(F.xxhash64("i", F.lit("text"), F.concat(F.lit("gumbel "), F.col("id").cast("string")))))
+    first = Counter(r[0] for r in frame.groupBy("id").agg(F.max_by("i", "key").alias("i")).select("i").collect())
+    assert all(abs(first[k] / 4000 - w / sum(weights)) < 0.03 for k, w in enumerate(weights))
+
+
+def test_weights_against_brute_force(spark, docs, rows):
+    """Counts, ratios and weights of the bags of n-grams against a plain count of each text's words, pairs and shapes."""
+    from pyspark.sql import functions as F
+
+    some = [r[1] or "" for r in rows]
+    ids = spark.createDataFrame([(r[0],) for r in rows if r[0] is not None and r[0] % 2], "doc_id long").distinct()
+    counts = resampling.gram_counts(docs, ids)
+    each = [resampling.grams(__import__("pyarrow").array([t]))[1] for t in some]
+    want = np.zeros_like(counts)
+    for r, bucket in zip(rows, each, strict=True):
+        np.add.at(want[1], bucket, 1)
+        if r[0] is not None and r[0] % 2:
+            np.add.at(want[0], bucket, 1)
+    assert (counts == want).all()
+    for text, bucket in zip(some, each, strict=True):
+        w = words_of(text)
+        assert len(bucket) == len(w) + 2 * max(len(w) - 1, 0) and (len(w) > 99 or len(set(bucket[: len(w)])) == len(set(w)))
+    ratios = resampling.log_ratios(counts)
+    got = resampling.weighed(docs.select("doc_id", "text"), ratios).collect()
+    brute = Counter((r[0], len(words_of(r[1])), round(sum(ratios[b] for b in bucket) * 64 / max(len(bucket), 64), 6) + 0.0) for r, bucket in zip(rows, each, strict=True))
+    assert Counter((r.doc_id, r.n_words, round(r.log_weight, 6) + 0.0) for r in got) == brute
+
+
 def test_kth_largest(spark):
     values = [random.Random(2).choice([0.5, -1e9, 3.25, 1e-12, 7.0]) for _ in range(300)] + [float(k) for k in range(100)]
     frame = spark.createDataFrame([(v,) for v in values], "key double")
@@ -427,15 +464,57 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.rule_verdicts(empty).count() == 0
 
 
-def test_rule_estimates():
-    """On votes drawn from known rates, EM finds the share of good text and which rules err."""
-    r = random.Random(1)
+def drawn_votes(n, rates, shares, seed=1):
+    """Patterns of votes of rules that vote bad at the rates of good text (first) and of each kind."""
+    r = random.Random(seed)
     patterns = Counter()
-    for _ in range(4000):
-        good = r.random() < 0.8
-        patterns["".join(r.choices("+-0", (0.9, 0.0, 0.1) if good else (0.3, 0.6, 0.1))[0] for _ in quality_rules.RULES)] += 1
-    found = quality_rules.estimate(patterns)
-    assert abs(found["prior"] - 0.8) < 0.05 and found["posterior"]["+" * len(quality_rules.RULES)] > 0.9
+    for _ in range(n):
+        rate = rates[r.choices(range(len(shares)), shares)[0]]
+        patterns["".join("0" if r.random() < 0.1 else "-" if r.random() < x else "+" for x in rate)] += 1
+    return patterns
+
+
+def test_rule_estimates():
+    """On votes drawn from known rates, each kind found by its own rules only, EM finds the shares and every rule's accuracy."""
+    kinds = list(dict.fromkeys(x[3] for x in quality_rules.RULES))
+    rates = [[0.02] * len(quality_rules.RULES)] + [[0.9 if x[3] == kind else 0.03 for x in quality_rules.RULES] for kind in kinds]
+    found = quality_rules.estimate(drawn_votes(60_000, rates, [0.82] + [0.03] * len(kinds)))
+    assert found["kinds"] == kinds and abs(found["shares"][0] - 0.82) < 0.15
+    assert np.abs(found["errs"][0] - 0.02).max() < 0.03
+    for k, kind in enumerate(kinds):
+        mine = [i for i, x in enumerate(quality_rules.RULES) if x[3] == kind]
+        if len(mine) > 1:  # a kind that one rule alone finds can't be told from that rule's own errors
+            assert np.abs(found["errs"][k + 1][mine] - 0.9).max() < 0.1
+    clean = "+" * len(quality_rules.RULES)
+    assert found["posterior"][clean] > 0.95 and all(p < 0.5 for v, p in found["posterior"].items() if v[1:3] == "--" or v[3:5] == "--")
+
+
+def test_rule_posterior_against_plain_loops():
+    patterns = drawn_votes(500, [[0.05] * 8, [0.8] * 4 + [0.1] * 4], [0.8, 0.2], seed=4)
+    rules = [(str(k), "", "", "ab"[k // 4]) for k in range(8)]
+    found = quality_rules.estimate(patterns, rules, rounds=25)
+    part = {}
+    for v in patterns:
+        hit = ["-" in v[:4], "-" in v[4:]]
+        part[v] = [0.1, *[0.9 * h / sum(hit) for h in hit]] if any(hit) else [0.9, 0.05, 0.05]
+    for _ in range(25):
+        total = sum(patterns.values())
+        share = [(sum(n * part[v][c] for v, n in patterns.items()) + 0.01) / (total + 0.03) for c in range(3)]
+        err = [[(sum(n * part[v][c] for v, n in patterns.items() if v[k] == "-") + 0.01) / (sum(n * part[v][c] for v, n in patterns.items() if v[k] != "0") + 0.02) for k in range(8)] for c in range(3)]
+        for v in patterns:
+            like = [share[c] * math.prod({"-": err[c][k], "+": 1 - err[c][k], "0": 1}[v[k]] for k in range(8)) for c in range(3)]
+            part[v] = [x / sum(like) for x in like]
+    assert all(math.isclose(found["posterior"][v], part[v][0], abs_tol=1e-6) for v in patterns)
+
+
+def test_rules_on_labelled_text(spark, rows):
+    """Junk of three kinds beside prose: all junk goes, clean text of 40 words and more stays."""
+    r = random.Random(6)
+    prose = [" ".join(f"{a}{b}" for a, b in ((r.choice(["wa", "ter", "ho", "use"]), r.randint(0, 99)) for _ in range(r.randint(40, 90)))) for _ in range(400)]
+    junk = [" ".join(f"{w}###" for w in t.split()) for t in prose[:30]] + ["again and again " * 30] * 20 + [" ".join(f"{w.upper()}LOUD!!" for w in t.split()) for t in prose[30:60]]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(prose + junk)], "doc_id long, text string")
+    got = quality_rules.rule_verdicts(frame).collect()
+    assert np.mean([x.kept for x in got if x.doc_id < 400]) > 0.99 and not any(x.kept for x in got if x.doc_id >= 400)
 
 
 def test_pipeline_stages(spark, docs, rows, tmp_path):
