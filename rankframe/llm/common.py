@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +61,33 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
 def sampled(df: DataFrame, key: Column, most: int, by: Column | None = None) -> DataFrame:
     """About `most` rows (of each value of `by`), chosen by a hash of `key`: fewer if there are fewer, never over 1.5 times.
 
-    Only counts go to the driver (one for each value of `by`); rows stay distributed.
+    Only a count goes to the driver; rows, and the counts by value, stay distributed.
     """
-    by = F.lit(1) if by is None else by
+    unit = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    if by is None:
+        return df.where(unit * float(max(df.count(), 1)) < float(most))
     named = df.withColumn("_by", by)
     counts = named.groupBy(F.col("_by").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    kept = named.join(F.broadcast(counts), F.col("_by").eqNullSafe(F.col("_of")))
+    kept = named.join(counts, F.col("_by").eqNullSafe(F.col("_of")))
     return kept.where(unit < F.lit(float(most)) / F.col("_n")).drop("_by", "_of", "_n")
 
 
+def as_doc(docs: DataFrame) -> DataFrame:
+    """All columns of docs as one struct `doc`, whatever their names, beside the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
+
+
+def kept_as(keep: Sequence[str], outputs: Sequence[str]) -> dict[str, str]:
+    """The names under which an operator hands on the columns of keep: their own, with `_kept` behind where an output has it."""
+    names: dict[str, str] = {}
+    for c in keep:
+        name = c
+        while name in outputs or name in names.values():
+            name += "_kept"
+        names[c] = name
+    return names
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most `limit` bytes of the column (or one row)."""
     for batch in batches:

@@ -1,8 +1,9 @@
 """Language identification by a string kernel.
 
-The blended-spectrum presence kernel counts the distinct character n-grams (1 to 4) that two texts share, within the
-n-grams of the landmark texts, and is normalised to 1 on equal sets. Nystroem features against the landmarks feed
-one-versus-rest kernel ridge regression; documents are scored by products of presence and landmark matrices.
+The blended-spectrum presence kernel counts the distinct character n-grams (1 to 4) that two texts share, divided by the root of
+the product of how many distinct ones each has, so that it is 1 on equal sets. n-grams of whole code points are hashed
+to HASH_BITS bits; n-grams of one hash count as one. Nystroem features against the landmarks feed one-versus-rest kernel
+ridge regression; documents are scored by products of presence and landmark matrices.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankframe.llm.common import held_out, sampled, slices
+from rankframe.llm.common import held_out, kept_as, sampled, slices, written
 
-#: n-gram lengths; symbols are told apart up to ALPHABET (the rest is one symbol), so a table of ALPHABET ** 4 indexes n-grams.
-ORDERS, ALPHABET = (1, 2, 3, 4), 64
-#: Bounds of the fit: landmarks in all, training rows of each language, n-grams that the landmarks may span.
-LANDMARKS, ROWS_PER_LANGUAGE, MOST_GRAMS = 96, 500, 1 << 14
+#: n-gram lengths, and the bits of their hashes.
+ORDERS, HASH_BITS = (1, 2, 3, 4), 20
+#: Bounds of the fit: landmarks in all, training rows of each language. Landmarks are the texts nearest to LANDMARK_CHARS long.
+LANDMARKS, ROWS_PER_LANGUAGE, LANDMARK_CHARS = 96, 500, 1500
 RIDGE = 1e-3
-#: Documents scored in one matrix product.
-BLOCK = 256
+#: Presence values that one matrix product holds (documents times n-grams of the landmarks).
+BLOCK_CELLS = 1 << 24
 UNKNOWN = "und"
+#: In identified_documents(): the share of learned documents that may lie below the floor before it is lowered by the factor.
+FLOOR_SHARE, FLOOR_FACTOR = 0.001, 0.65
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -31,60 +35,59 @@ def codepoints(text: str) -> np.ndarray:
 
 
 class Spectrum:
-    """Presence vectors over the n-grams of the landmarks."""
+    """Presence of the landmarks' n-grams in texts, and the number of distinct n-grams of each text."""
 
     def __init__(self, landmarks: list[str]):
-        points, counts = np.unique(np.concatenate([codepoints(t) for t in landmarks]), return_counts=True)
-        self.points = np.sort(points[np.lexsort((points, -counts))][: ALPHABET - 1])
-        seen = [np.unique(np.concatenate([g for _, g in self._grams(t)])) for t in landmarks]
-        grams, df = np.unique(np.concatenate(seen), return_counts=True)
-        self.grams = np.sort(grams[np.lexsort((grams, -df))][:MOST_GRAMS])
-        self.table = None
+        self.grams = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[self.hashed(t) for t in landmarks]]))
+        self.table = self.stamps = None
 
     def __getstate__(self) -> dict:
-        return {"points": self.points, "grams": self.grams, "table": None}
+        return {"grams": self.grams, "table": None, "stamps": None}
 
-    def _grams(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+    @staticmethod
+    def hashed(text: str) -> np.ndarray:
+        """The hash of every n-gram of the text, of all lengths, one after the other."""
         points = codepoints(text)
-        at = np.searchsorted(self.points, points)
-        at[at == len(self.points)] = 0
-        symbols = np.where(self.points[at] == points, at + 1, 0).astype(np.int32)
+        value, out = np.zeros(len(points) + 1, dtype=np.uint32), []
         for order in ORDERS:
-            if len(symbols) >= order:
-                gram = symbols[: len(symbols) - order + 1].copy()
-                for k in range(1, order):
-                    gram *= ALPHABET
-                    gram += symbols[k : len(symbols) - order + 1 + k]
-                # each order has its own range: values below ALPHABET ** order, moved up by the sizes of the shorter ones
-                yield order, gram + np.int32(sum(ALPHABET**o for o in ORDERS if o < order))
-
-    def presence(self, texts: list[str]) -> np.ndarray:
+            if len(points) >= order:
+                value = (value[: len(points) - order + 1] + points[order - 1 :] + np.uint32(order)) * np.uint32(0x9E3779B1)
+                value ^= value >> np.uint32(15)
+                out.append((value * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS))
+        return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
+
+    def rows(self) -> int:
+        """How many texts one matrix product takes."""
+        return max(16, BLOCK_CELLS // (len(self.grams) + 1))
+
+    def normalised(self, texts: list[str]) -> np.ndarray:
+        """Presence by n-gram of the landmarks, over the root of the number of distinct n-grams of the whole text."""
         if self.table is None:
-            self.table = np.full(sum(ALPHABET**o for o in ORDERS), -1, dtype=np.int16)
+            self.table = np.full(1 << HASH_BITS, len(self.grams), dtype=np.int32)
             self.table[self.grams] = np.arange(len(self.grams))
+            self.stamps = np.zeros(1 << HASH_BITS, dtype=np.int32)
         out = np.zeros((len(texts), len(self.grams) + 1), dtype=np.float32)  # the last column takes all other n-grams
         for row, text in zip(out, texts, strict=True):
-            for _, gram in self._grams(text):
-                row[self.table[gram]] = 1
+            grams = self.hashed(text)
+            turn = np.arange(len(grams), dtype=np.int32)
+            self.stamps[grams] = turn
+            fresh = grams[self.stamps[grams] == turn]  # each distinct n-gram once
+            row[self.table[fresh]] = 1 / np.sqrt(max(len(fresh), 1))
         return out[:, :-1]
 
 
-def normalised(presence: np.ndarray) -> np.ndarray:
-    return presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-
-
 class Landmarks:
     """Nystroem features: the kernel with the landmarks times the inverse root of the landmarks' own kernel."""
 
     def __init__(self, texts: list[str]):
         self.spectrum = Spectrum(texts)
-        self.matrix = normalised(self.spectrum.presence(texts))
+        self.matrix = self.spectrum.normalised(texts)
         values, vectors = np.linalg.eigh((self.matrix @ self.matrix.T).astype(np.float64))
         sound = values > 1e-6 * values.max()
         self.root = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        return normalised(self.spectrum.presence(texts)) @ self.matrix.T @ self.root
+        return self.spectrum.normalised(texts) @ self.matrix.T @ self.root
 
 
 def _ridge_parts(rows: DataFrame, landmarks: Landmarks, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +97,10 @@ def _ridge_parts(rows: DataFrame, landmarks: Landmarks, languages: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = shared.value.root.shape[1] + 1
         gram, target = np.zeros((size, size)), np.zeros((size, len(languages)))
+        block = shared.value.spectrum.rows()
         for batch in slices(batches):
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
                 x = np.hstack([shared.value.features(part.column("text").to_pylist()), np.ones((part.num_rows, 1), dtype=np.float32)]).astype(np.float64)
                 y = np.where(np.array(part.column("lang").to_pylist())[:, None] == np.array(languages)[None, :], 1.0, -1.0)
                 gram += x.T @ x
@@ -124,19 +128,21 @@ class Model:
 def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = ROWS_PER_LANGUAGE, ridge: float = RIDGE) -> Model | None:
     """Fits on a bounded sample: about rows_per_language whole texts of each language, of which the landmarks are some.
 
-    docs: (doc_id, text, lang) rows to learn from; null text, text without a letter or null lang don't count. None if
-    nothing is left.
+    docs: (doc_id, text, lang) rows to learn from; null text, text without a letter or null lang don't count. Each language
+    has as many landmarks as any other (fewer if it has fewer texts), those whose length is nearest to LANDMARK_CHARS, by
+    powers of two. None if nothing is left.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    rows = sampled(rows, F.col("doc_id"), rows_per_language, F.col("lang")).cache()
+    rows = sampled(rows, F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), rows_per_language, F.col("lang")).cache()
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
+        rows.unpersist()
         return None
     share = max(1, landmarks // len(languages))
-    first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "text")
-    chosen = rows.where(F.length("text").between(200, 20_000)).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).orderBy("lang", "_r")
-    texts = [r["text"] for r in chosen.select("text").collect()] or [r["text"] for r in rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).orderBy("lang", "_r").select("text").collect()]
-    marks = Landmarks(texts)
+    far = F.abs(F.round(F.log2(F.length("text") / float(LANDMARK_CHARS))))
+    first = Window.partitionBy("lang").orderBy(far, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "text")
+    chosen = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).orderBy("lang", "_r")
+    marks = Landmarks([r["text"] for r in chosen.select("text").collect()])
     gram, target = _ridge_parts(rows, marks, languages)
     rows.unpersist()
     scale = max(gram[-1, -1], 1.0)
@@ -145,13 +151,19 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = RO
 
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns of `keep`, lang_pred and score (the probability of the language)."""
+    """docs' columns of `keep`, lang_pred and score (the probability of the language), one row per row of docs.
+
+    Null text and text without a letter, and every text if there is no model, are `und` with score 0. A kept column that is
+    called like an output has `_kept` behind its name. Repeated rows are predicted alike; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = kept_as(keep, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value.landmarks.spectrum.rows() if shared.value else 1024
         for batch in slices(batches, "_text"):
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
                 worded = [k for k, t in enumerate(texts) if shared.value is not None and any(map(str.isalpha, t))]
@@ -159,17 +171,32 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text", keep: tu
                     found = shared.value.scores([texts[k] for k in worded])
                     lang[worded] = np.array(shared.value.languages, dtype=object)[found.argmax(axis=1)]
                     score[worded] = found.max(axis=1)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*names.values(), "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], F.col(text).alias("_text"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double"))
+
+
+def identified_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs in a language that the model knows, with all their columns: those with a letter whose score reaches a floor.
+
+    The floor is FLOOR_FACTOR times the score that all but FLOOR_SHARE of the documents with a lang reach. Without any lang to
+    learn from there is no floor. Text that is null, empty or without a letter goes; repeated rows stay or go together.
+    """
+    model = fit(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.col("lang").isNotNull().alias("known"))
+    if model is None:
+        return rows.where(F.col("text").rlike(r"\p{L}")).select("doc.*")
+    found = written(predicted(rows, model, keep=("doc", "known")).where(F.col("lang_pred") != UNKNOWN), "languages")
+    floor = found.where("known").agg(F.percentile_approx("score", F.lit(FLOOR_SHARE), F.lit(100_000))).first()[0] or 0.0
+    return found.where(F.col("score") >= FLOOR_FACTOR * floor).select("doc.*")
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; fold 2 of 4 is held out of learning.
 
     lang_pred is `und` with score 0 for null text or text without a letter, and for all if nothing can be learned. Rows
-    without an id are never held out; repeated rows are predicted alike; only text is an input.
+    without an id are never held out; repeated rows are predicted alike; only text is an input; an empty table gives no rows.
     """
     source = docs if learn_from is None else learn_from
     model = fit(source.where(~held_out(F.col("doc_id"), 4, 2)))

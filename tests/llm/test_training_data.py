@@ -207,12 +207,44 @@ def test_language(docs, rows, empty):
     assert language_id.identify(empty).count() == 0
 
 
-def test_presence_kernel_is_exact():
-    texts = ["abcab", "bcd a", "zz"]
+def test_presence_kernel_is_exact(rows):
+    """Against sets of whole n-grams: toy texts, several scripts, and texts far longer than the landmarks, of which most n-grams are new."""
+    texts = ["abcab", "bcd a", "zz", "中文字符中文", "Привет мир", "naïve été 😀"] + [r[1] for r in rows[:40:4]]
     marks = language_id.Landmarks(texts)
-    sets = [{t[k : k + n] for n in language_id.ORDERS for k in range(len(t) - n + 1)} for t in texts]
-    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets]
-    assert np.allclose(marks.matrix @ marks.matrix.T, want, atol=1e-6)
+    more = texts + ["x y z " * 300, " ".join(r[1] for r in rows[:30])]
+    sets = [{t.lower()[k : k + n] for n in language_id.ORDERS for k in range(len(t) - n + 1)} for t in more]
+    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets[: len(texts)]] for a in sets]
+    assert np.mean(np.abs(marks.spectrum.normalised(more) @ marks.matrix.T - want) > 1e-3) < 0.03  # hashes of 20 bits: few n-grams share one
+
+
+def test_language_model_against_plain_ridge(spark, rows):
+    """Weights from partial sums equal a ridge regression over the whole kernel matrix; short texts and large scripts get landmarks."""
+    r = random.Random(2)
+    some = [(k, "".join(r.choice("的一是不了人我在有他这中大来上") for _ in range(r.randint(3, 9))), "zh") for k in range(40)]
+    some += [(k, f"{r.choice('xyz')} ok", "short") for k in range(40, 60)] + [(k, x[1], x[2]) for k, x in enumerate(rows[:100], 60)]
+    frame = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    x = np.hstack([model.landmarks.features([t for _, t, _ in some]).astype(float), np.ones((len(some), 1))])
+    y = np.where(np.array([s[2] for s in some])[:, None] == np.array(model.languages), 1.0, -1.0)
+    want = np.linalg.solve(x.T @ x / len(x) + language_id.RIDGE * np.eye(x.shape[1]), x.T @ y / len(x))
+    assert np.allclose(model.weights, want, atol=1e-2 * np.abs(want).max())
+    found = {s.doc_id: s.lang_pred for s in language_id.predicted(frame, model).collect()}
+    assert np.mean([found[k] == lang for k, _, lang in some]) > 0.95 and {"zh", "short"} <= set(found.values())
+
+
+def test_identified_documents(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(1)).withColumn("_text", F.lit(2)).withColumn("doc", F.lit(3))
+    kept = language_id.identified_documents(odd)
+    assert kept.columns == odd.columns and {x.score for x in kept.collect()} == {"mine"}
+    ids = {x.doc_id for x in kept.collect()}
+    assert {r[0] for r in rows[:150]} <= ids and not ids & {1000, 1001, 1002, 1006}
+    none = language_id.identified_documents(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r[0] for r in rows[:150]} <= {x.doc_id for x in none.collect()}
+    assert language_id.identified_documents(docs.limit(0)).count() == 0
+    kept = language_id.predicted(odd, None, keep=("doc_id", "score")).first()
+    assert (kept.score_kept, kept.score, kept.lang_pred) == ("mine", 0.0, "und")
 
 
 def test_pitman_yor(docs, rows, empty):
