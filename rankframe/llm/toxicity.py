@@ -1,13 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; documents at large, labels unread, are the unlabelled side. A linear model over
-the presence of words and word beginnings is trained on the risk  p R+(1) + max(0, Ru(-1) - p R+(-1)),  p the class
-prior, with the step reversed where the second term is negative, as the non-negative estimator asks.
+Confirmed toxic documents are the positives; all documents outside the held-out fold, labels unread, are the unlabelled side. A
+linear model over the presence of words and word beginnings is trained on the risk  p R+(1) + max(0, Ru(-1) - p R+(-1)),
+p the class prior, with the step reversed where the second term is negative, as the non-negative estimator asks. Rows
+that hold the same features are one pattern with a count, so that full-batch steps over all rows stay small: patterns that fit
+the driver are stepped there, more of them by sums over a distributed table, to the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,14 @@ from pyspark.sql import functions as F
 
 from rankframe.llm.common import LOWER, Spans, held_out, mixed, sampled, slices, text_bytes, written
 
-#: Bounds of the fit: confirmed toxic rows, unlabelled rows, features.
-POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 8000, 1024
+#: Bounds of the fit: confirmed toxic (labelled) rows, features of the model. Unlabelled rows have no bound.
+POSITIVE_ROWS, FEATURES = 4000, 1024
+#: Places of features in distinct patterns that the driver holds at most.
+LOCAL_PLACES = 8_000_000
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
-#: A feature stands in at least so many positive rows, and is so many times likelier there than at large.
+#: A feature stands in at least so many positive rows (a twentieth of them where that is less, but two), and is so many
+#: times likelier there than at large.
 LEAST_ROWS, LEAST_LIFT = 5, 3.0
 THRESHOLD = 0.7
 _LETTER = np.zeros(256, dtype=bool)
@@ -54,46 +59,65 @@ def present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return distinct(np.concatenate([d for d, _ in parts]), np.concatenate([f for _, f in parts]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positive_rows: int, unlabelled_rows: int) -> tuple[DataFrame, float]:
-    """(text, positive) rows outside the held-out fold, and the class prior: the share of toxic rows among the labelled."""
-    fair = labels.where(~held_out(F.col("doc_id"), 3, 1)).where("toxic is not null")
+def training_rows(docs: DataFrame, labels: DataFrame, positive_rows: int) -> tuple[DataFrame, DataFrame, float]:
+    """(text) of the confirmed toxic rows (a bounded number), (text) of all rows, both outside the held-out fold, and the class
+    prior: the share of toxic rows among the labelled."""
+    fair = labels.where(~held_out(F.col("doc_id"), 3, 1)).where("toxic is not null").select("doc_id", "toxic")
     known, toxic = fair.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
     ids = written(sampled(fair.where("toxic = 1").select("doc_id").distinct(), F.col("doc_id"), positive_rows), "toxic")
-    positive = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
-    at_large = sampled(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text"), F.col("doc_id"), unlabelled_rows)
-    rows = positive.unionByName(at_large.select("text", F.lit(False).alias("positive")))
-    return written(rows.repartition(16), "training"), (toxic or 0) / max(known, 1)
+    positive = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    at_large = docs.where(~held_out(F.col("doc_id"), 3, 1)).select("text")
+    return written(positive.repartition(16), "positive"), at_large, (toxic or 0) / max(known, 1)
 
 
-def choose_features(rows: DataFrame, most: int = FEATURES) -> np.ndarray:
-    """Hashes of the features that set the positive rows apart, at most `most` of them, sorted."""
+def choose_features(positive: DataFrame, at_large: DataFrame, most: int = FEATURES) -> np.ndarray:
+    """Hashes of the features that set the positive rows apart from all rows, at most `most` of them, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            doc, feature = present(batch.column("text"))
-            positive = batch.column("positive").to_numpy(zero_copy_only=False)[doc]
-            values, place = np.unique(feature, return_inverse=True)
-            yes = np.bincount(place[positive], minlength=len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(yes), pa.array(np.bincount(place, minlength=len(values)) - yes)], names=["feature", "yes", "other"])
+            values, n = np.unique(present(batch.column("text"))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["feature", "yes"])
+
+    n_yes, n_other = positive.count(), at_large.count()
+    least = max(2, min(LEAST_ROWS, n_yes // 20))
+    counts = positive.mapInArrow(run, "feature long, yes long").groupBy("feature").agg(F.sum("yes").alias("yes")).where(F.col("yes") >= least).toArrow()
+    order = np.argsort(counts["feature"].to_numpy().view(np.uint64))
+    candidates, yes = counts["feature"].to_numpy().view(np.uint64)[order], counts["yes"].to_numpy()[order]
+    if not len(candidates):
+        return candidates
+    known = Known(candidates)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(known.features), dtype=np.int64)
+        for batch in slices(batches):
+            sums += np.bincount(known.matches(batch.column("text"))[1], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["place", "n"])
 
-    n_yes, n_other = rows.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
-    counts = rows.mapInArrow(run, "feature long, yes long, other long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("other").alias("other"))
-    lift = ((F.col("yes") + 0.5) / float((n_yes or 0) + 1)) / ((F.col("other") + 0.5) / float((n_other or 0) + 1))
-    strong = counts.where(F.col("yes") >= LEAST_ROWS).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    picked = strong.orderBy(F.desc(F.col("yes") * F.log("lift")), "feature").limit(most).collect()
-    return np.sort(np.array([r["feature"] for r in picked], dtype=np.int64).view(np.uint64))
+    other = np.zeros(len(candidates))
+    for r in at_large.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # one row for each candidate
+        other[r["place"]] = r["n"]
+    lift = ((yes + 0.5) / (n_yes + 1)) / ((other + 0.5) / (n_other + 1))
+    strong = np.flatnonzero(lift >= LEAST_LIFT)
+    best = strong[np.lexsort((candidates[strong], -yes[strong] * np.log(lift[strong])))][:most]
+    return np.sort(candidates[best])
 
 
 class Known:
     """The chosen features; a bitmap of their low bits passes over nearly all others."""
 
-    BITS = 20
+    BITS = 22
 
     def __init__(self, features: np.ndarray):
         self.features, self.map = features, None
 
+    def __getstate__(self) -> dict:
+        return {"features": self.features, "map": None}
+
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(document, place of the feature), distinct, for the known features that stand in the texts."""
+        if not len(self.features):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         if self.map is None:
             self.map = np.zeros(1 << self.BITS, dtype=bool)
             self.map[self.features & np.uint64((1 << self.BITS) - 1)] = True
@@ -108,51 +132,84 @@ class Known:
         return distinct(np.concatenate(docs), np.concatenate(places))
 
 
-def threshold(z: np.ndarray, positive: np.ndarray) -> float:
-    """The cut that maximises recall squared over the share of unlabelled rows above it, which needs no negatives."""
-    cuts = np.unique(z[positive])
-    if not len(cuts) or positive.all():
+class Patterns:
+    """Distinct sets of features: their places end to end, and how many positive and unlabelled rows have each."""
+
+    def __init__(self, places: list[bytes], positive: np.ndarray, unlabelled: np.ndarray, features: int):
+        self.count = np.array([len(p) // 4 for p in places], dtype=np.int64)
+        self.places = np.frombuffer(b"".join(places), dtype=np.int32)
+        self.row = np.repeat(np.arange(len(places)), self.count)
+        self.rows = np.stack([positive, unlabelled]).astype(np.float64)
+        self.features = features
+
+    def values(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.places], minlength=len(self.count)) + w[-1]
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Of the positive and of the unlabelled rows (a row each): rows, sum of log(1 + e^z), sum of its slope by each feature and the bias."""
+        z = self.values(w)
+        loss, rise = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.stack([np.concatenate([[n.sum(), n @ loss], np.bincount(self.places, weights=(n * rise)[self.row], minlength=self.features), [n @ rise]]) for n in self.rows])
+
+
+def spread_sums(table: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Patterns.sums over a distributed table of (places, positive, unlabelled)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, len(w) + 2))
+        for batch in batches:
+            out += Patterns(batch.column("places").to_pylist(), batch.column("positive").to_numpy(), batch.column("unlabelled").to_numpy(), len(w) - 1).sums(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["i", "x"])
+
+    out = np.zeros(2 * (len(w) + 2))
+    for r in table.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # a few numbers for each feature
+        out[r["i"]] = r["x"]
+    return out.reshape(2, -1)
+
+
+def threshold(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The cut on the values z of rows with these counts that maximises recall squared over the share of unlabelled rows above it,
+    which needs no negatives; halfway to the value below."""
+    z, place = np.unique(z, return_inverse=True)
+    p, u = (np.bincount(place, weights=n, minlength=len(z)) for n in (positive, unlabelled))
+    if not p.sum() or not u.sum():
         return np.inf
-    zp, zu = np.sort(z[positive]), np.sort(z[~positive])
-    recall = 1 - np.searchsorted(zp, cuts) / len(zp)
-    share = 1 - np.searchsorted(zu, cuts) / len(zu)
-    best = cuts[np.argmax(recall**2 / np.maximum(share, 1 / len(zu)))]
-    below = z[z < best]
-    return float((best + below.max()) / 2) if len(below) else float(best)
-
-
-def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the bias of a logistic model under the non-negative PU risk (full-batch Adam)."""
-    xp, xu = x[positive], x[~positive]
-    w = np.zeros(x.shape[1] + 1)
+    recall, share = np.cumsum(p[::-1])[::-1] / p.sum(), np.cumsum(u[::-1])[::-1] / u.sum()
+    best = int(np.argmax(np.where(p > 0, recall**2 / np.maximum(share, 1 / u.sum()), -1)))
+    return float((z[best] + z[best - 1]) / 2) if best else float(z[best])
+
+
+def train(sums: Callable[[np.ndarray], np.ndarray], features: int, prior: float, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
+    """Weights and, last, the bias of a logistic model under the non-negative PU risk (full-batch Adam). sums: as Patterns.sums."""
+    w = np.zeros(features + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    if not len(xp) or not len(xu):
+    if not sums(w)[:, 0].all():
         w[-1] = -20.0
         return w
     m, v = np.zeros_like(w), np.zeros_like(w)
-
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def slope(part: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return np.append(part.T @ d, d.sum()) / len(part)
-
+    ones = None
     for t in range(1, steps + 1):
-        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
-        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        negative = slope(xu, sigmoid(zu)) - prior * slope(xp, sigmoid(zp))
+        total = sums(w)
+        (loss_p, *slope_p), (loss_u, *slope_u) = total[:, 1:] / total[:, :1]
+        slope_p, slope_u = np.array(slope_p), np.array(slope_u)
+        if ones is None:  # a bias of 60 makes every rise 1: the mean features of the positive rows
+            ones = sums(np.append(np.zeros(features), 60.0))[0, 2:] / total[0, 0]
+        negative = slope_u - prior * slope_p
         # below zero the unlabelled side is overfitted: only that term is stepped, backwards
-        grad = -negative if negative_risk < 0 else prior * slope(xp, sigmoid(zp) - 1) + negative
+        grad = -negative if loss_u - prior * loss_p < 0 else prior * (slope_p - ones) + negative
         grad[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> tuple[Known, np.ndarray]:
-    """(features, weights), learnt from whole texts of a bounded sample; scores are moved so that the best cut is THRESHOLD."""
-    rows, prior = training_rows(docs, labels, positive_rows, unlabelled_rows)
-    known = Known(choose_features(rows))
+def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, local_places: int = LOCAL_PLACES) -> tuple[Known, np.ndarray]:
+    """(features, weights), learnt from whole texts: a bounded number of confirmed toxic rows, and all rows outside the held-out fold.
+
+    Scores are moved so that the best cut is THRESHOLD.
+    """
+    positive, at_large, prior = training_rows(docs, labels, positive_rows)
+    known = Known(choose_features(positive, at_large))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -160,21 +217,41 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS,
             held = np.split(place, np.searchsorted(doc, np.arange(1, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], names=["positive", "places"])
 
-    sparse = rows.mapInArrow(run, "positive boolean, places binary").collect()  # bounded rows, at most FEATURES places each
-    x = np.zeros((len(sparse), len(known.features)), dtype=np.float32)
-    for row, r in zip(x, sparse, strict=True):
-        row[np.frombuffer(r["places"], dtype=np.int32)] = 1
-    positive = np.array([r["positive"] for r in sparse], dtype=bool)
-    weights = train(x, positive, prior)
-    cut = threshold(x @ weights[:-1] + weights[-1], positive)
+    rows = positive.select("text", F.lit(True).alias("positive")).unionByName(at_large.select("text", F.lit(False).alias("positive")))
+    table = rows.mapInArrow(run, "positive boolean, places binary").groupBy("places").agg(F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("unlabelled"))
+    table = written(table, "patterns")
+    n = len(known.features)
+    places = table.agg(F.sum(F.length("places") / 4 + 1)).first()[0] or 0
+    if places <= local_places:
+        held = table.toArrow()
+        patterns = Patterns(held["places"].to_pylist(), held["positive"].to_numpy(), held["unlabelled"].to_numpy(), n)
+        weights = train(patterns.sums, n, prior)
+        z, of_positive, of_unlabelled = patterns.values(weights), *patterns.rows
+    else:
+        weights = train(lambda w: spread_sums(table, w), n, prior)
+        z, of_positive, of_unlabelled = value_counts(table, weights)
+    cut = threshold(z, of_positive, of_unlabelled)
     weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut if np.isfinite(cut) else 0.0
     return known, weights
 
 
+def value_counts(table: DataFrame, w: np.ndarray, steps: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a distributed table of patterns, to a thousandth, with the positive and unlabelled rows of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = Patterns(batch.column("places").to_pylist(), batch.column("positive").to_numpy(), batch.column("unlabelled").to_numpy(), len(w) - 1).values(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(z / steps).astype(np.int64)), batch.column("positive"), batch.column("unlabelled")], names=["z", "positive", "unlabelled"])
+
+    out = table.mapInArrow(run, "z long, positive long, unlabelled long").groupBy("z").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).toArrow()
+    return out["z"].to_numpy() * steps, out["p"].to_numpy(), out["u"].to_numpy()
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; labels of fold 1 of 3 are never read.
 
-    Null and empty texts score as a text without any known feature; without toxic labels all scores are near 0.
+    Null and empty texts score as a text without any known feature; without toxic labels all scores are near 0. Repeated rows score
+    alike; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

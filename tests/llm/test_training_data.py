@@ -472,6 +472,46 @@ def test_toxicity(spark, rows, empty):
     assert not any(x.predicted for x in toxicity.scored(table, labels.where("false")).collect())
 
 
+def test_pu_training_against_plain_rows(spark):
+    """Steps over counted patterns, local or spread, equal steps over single rows; the cut is the best of all cuts."""
+    r = np.random.RandomState(3)
+    x = (r.rand(400, 6) < 0.3).astype(float)
+    positive = np.concatenate([np.ones(60, bool), np.zeros(340, bool)])
+    x[:60, :2] = r.rand(60, 2) < 0.8
+    prior, w = 0.1, np.append(np.zeros(6), np.log(0.1 / 0.9))
+    m, v = np.zeros(7), np.zeros(7)
+    one = np.hstack([x, np.ones((400, 1))])
+    for t in range(1, 41):
+        z = one @ w
+        rise = 1 / (1 + np.exp(-z))
+        mean = lambda q, s: (one[s] * q[s][:, None]).mean(axis=0)
+        bad = mean(rise, ~positive) - prior * mean(rise, positive)
+        risk = np.logaddexp(0, z[~positive]).mean() - prior * np.logaddexp(0, z[positive]).mean()
+        grad = -bad if risk < 0 else prior * mean(rise - 1, positive) + bad
+        grad[:-1] += 1e-4 * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    held = Counter((np.flatnonzero(a).astype(np.int32).tobytes(), bool(p)) for a, p in zip(x, positive, strict=True))
+    keys = sorted({k for k, _ in held})
+    counts = [[held[k, side] for k in keys] for side in (True, False)]
+    local = toxicity.train(toxicity.Patterns(keys, np.array(counts[0]), np.array(counts[1]), 6).sums, 6, prior, steps=40)
+    table = spark.createDataFrame([(bytearray(k), *n) for k, *n in zip(keys, *counts)], "places binary, positive long, unlabelled long").repartition(3)
+    assert np.allclose(local, w, atol=1e-9)
+    assert np.allclose(toxicity.spread_sums(table, local), toxicity.Patterns(keys, np.array(counts[0]), np.array(counts[1]), 6).sums(local))
+    z = one @ w
+    cut = toxicity.threshold(z.round(9), positive, ~positive)
+    gain = lambda c: np.mean(z[positive] >= c) ** 2 / max(np.mean(z[~positive] >= c), 1 / 340)
+    assert math.isclose(gain(cut), max(gain(c - 1e-6) for c in z[positive]))
+
+
+def test_toxicity_spread_equals_local(spark, rows):
+    every = rows + [(6000 + k, f"stupid scum {k} of the water", "en", "a", 1, None) for k in range(40)]
+    table, labels = spark.createDataFrame(every, SCHEMA), labelled(spark, every)
+    known, local = toxicity.fit(table, labels)
+    again, spread = toxicity.fit(table, labels, local_places=0)
+    assert (known.features == again.features).all() and np.allclose(local[:-1], spread[:-1], atol=1e-6) and abs(local[-1] - spread[-1]) < 0.01
+
+
 def brute_rules(text):
     text = text or ""
     w = words_of(text)
