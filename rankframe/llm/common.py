@@ -67,7 +67,8 @@ def sampled(df: DataFrame, key: Column, most: int, by: Column | None = None) ->
     if by is None:
         return df.where(unit * float(max(df.count(), 1)) < float(most))
     named = df.withColumn("_by", by)
-    counts = named.groupBy(F.col("_by").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    # written, so that its size is known before the plan is made: few values are broadcast, and no task gets all rows of one
+    counts = written(named.groupBy(F.col("_by").alias("_of")).agg(F.count(F.lit(1)).alias("_n")), "counts")
     kept = named.join(counts, F.col("_by").eqNullSafe(F.col("_of")))
     return kept.where(unit < F.lit(float(most)) / F.col("_n")).drop("_by", "_of", "_n")
 

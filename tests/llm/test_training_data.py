@@ -92,6 +92,37 @@ def test_webp_by_hand():
     assert (webp.NEAR[:5] == [[0, 1], [1, 0], [1, 1], [-1, 1], [0, 2]]).all() and len(webp.NEAR) == 120
 
 
+def test_webp_of_another_encoder():
+    """Public one-pixel files, by which browsers are asked whether they read lossless WebP."""
+    files = [base64.b64decode(x) for x in ("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", "UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=")]
+    assert [i.tolist() for i in webp.decode(files)] == [[[0]], [[0xFFFFFFFF]]]
+
+
+def test_long_images_are_finished_alone(monkeypatch):
+    """One by one or in lockstep, with all features of the format, the pixels are the same; broken streams are refused both ways."""
+    long = [np.frombuffer(random.Random(k).randbytes(64 * n) if k else (b"ab cd ef " * 8 * n)[: 64 * n], dtype="<u4").reshape(-1, 16) for k, n in enumerate((500, 30, 2))]
+    for few in (0, 100):
+        monkeypatch.setattr(webp, "FEW", few)
+        for options in ({"cache_bits": 7}, {"cache_bits": 0}, {"groups": 3, "cache_bits": 5}, {"transforms": (0, 1, 2)}):
+            files = webp.encode([*images(), *long], **options)
+            assert all(np.array_equal(a, b) for a, b in zip([*images(), *long], webp.decode(files), strict=True))
+            cut = files[-3][:20] + files[-3][20 : 20 + (len(files[-3]) - 20) // 2]
+            with pytest.raises(ValueError):
+                webp.decode([cut[:16] + (len(cut) - 20).to_bytes(4, "little") + cut[20:]])
+
+
+def test_one_file_for_a_text_taller_than_the_format(spark):
+    text = "".join(map(chr, np.random.RandomState(1).randint(32, 127, (1 << 20) + 70)))
+    frame = spark.createDataFrame([(1, text, 9)], "doc_id long, text string, media long")
+    kept = media.stored(frame, keep=("doc_id", "media"))
+    assert kept.columns == ["doc_id", "media_kept", "n_bytes", "media"]
+    (image,) = webp.decode([bytes(kept.first().media)])
+    assert image.shape == (8193, 32)
+    digest = media.digests(kept).first()
+    data = text.encode() + bytes(-len(text) % 64)
+    assert digest.payload_sha256 == hashlib.sha256(data).hexdigest() and digest.payload_bytes == len(data) and digest.media_sha256 == hashlib.sha256(bytes(kept.first().media)).hexdigest()
+
+
 def test_media_query(docs, rows, empty):
     want = Counter()
     for doc_id, text, *_ in rows:
@@ -102,6 +133,14 @@ def test_media_query(docs, rows, empty):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.digests(kept).collect())
     assert got == want
     assert media.digests(media.stored(empty)).count() == 0
+    files = kept.collect()
+    found = Counter((r.doc_id, r.media_bytes, r.media_sha256, r.feature) for r in media.digests(kept).collect())
+    for r in files:  # the stored form and the feature by plain means
+        data = webp.decode([bytes(r.media)])[0].astype("<u4").tobytes()
+        whole = sum(data)
+        bits = "".join(str(int(64 * sum(data[k * len(data) // 64 : (k + 1) * len(data) // 64]) > whole)) for k in range(64))
+        found[r.doc_id, len(r.media), hashlib.sha256(bytes(r.media)).hexdigest(), f"{int(bits, 2):016x}"] -= 1
+    assert not any(found.values())
     assert media.pixels(kept.where("doc_id = 1000")).first().pixels == [0] * 16
 
 
