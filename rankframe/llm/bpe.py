@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankframe.llm.common import slices
+from rankframe.llm.common import kept_as, slices
 
 #: Entries of the worker's table of words; it starts anew when it is full.
 MOST_WORDS = 500_000
@@ -123,36 +124,46 @@ class Codec:
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", offsets: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' columns of `keep` and ids array<int>; with offsets also starts and ends array<int>, in characters."""
+    """docs' columns of `keep` and ids array<int>; with offsets also starts and ends array<int>, in characters.
+
+    Null is empty text, without ids; texts are encoded whole, however long; repeated rows stay repeated; an empty table gives no
+    rows. A kept column that is called like an output has `_kept` behind its name.
+    """
     file = path or vocabulary_path()
+    outputs = ["ids", *(["starts", "ends"] if offsets else [])]
+    names = kept_as(keep, outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file)
         for batch in slices(batches, "_text"):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            columns = [*[batch.column(c) for c in keep], pa.array([np.frombuffer(x, dtype=np.int32) for x in codec.encode(texts)], pa.list_(pa.int32()))]
+            columns = [*batch.columns[:-1], pa.array([np.frombuffer(x, dtype=np.int32) for x in codec.encode(texts)], pa.list_(pa.int32()))]
             if offsets:
                 places = [codec.offsets(t) for t in texts]
                 columns += [pa.array([[p[k] for p in ps] for ps in places], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *(["starts", "ends"] if offsets else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names.values(), *outputs])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    more = ", starts array<int>, ends array<int>" if offsets else ""
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>{more}")
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], F.col(text).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(o, T.ArrayType(T.IntegerType())) for o in outputs]]))
 
 
 def decoded(tokens: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """tokens' columns of `keep` and data binary: the bytes of the ids; cast to text only if they are whole characters."""
+    """tokens' columns of `keep` and data binary: the bytes of the ids; cast to text only if they are whole characters.
+
+    Null or empty ids give no bytes; repeated rows stay repeated; an empty table gives no rows. A kept column called `data` has
+    `_kept` behind its name.
+    """
     file = path or vocabulary_path()
+    names = kept_as(keep, ("data",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file)
         for batch in batches:
-            data = codec.decode([np.array(ids or [], dtype="<u4").tobytes() for ids in batch.column("ids").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(data, pa.binary())], names=[*keep, "data"])
+            data = codec.decode([np.array(ids or [], dtype="<u4").tobytes() for ids in batch.column("_ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=[*names.values(), "data"])
 
-    kinds = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in keep)
-    return tokens.select(*keep, "ids").mapInArrow(run, f"{kinds}, data binary")
+    rows = tokens.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], F.col("ids").alias("_ids"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields[:-1]).add("data", "binary"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

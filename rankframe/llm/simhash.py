@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.llm.common import ASCII_LOWER, mixed, sampled, slices, written
@@ -300,15 +300,20 @@ def _read(batch: pa.RecordBatch) -> list[bytes]:
     return [(v or "").encode() for v in batch.column("text").to_pylist()]
 
 
+def row_key() -> Column:
+    """One value for each id and text, null apart from any other: rows that share it are the same document."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("-"))))
+
+
 def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, sig): each document's fingerprint and the hash of its set of shingles."""
+    """(key, doc_id, fp, sig): each document's fingerprint and the hash of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp, sig, _, _ = ordered_sets(_read(batch), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64))], names=["doc_id", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64))], names=["key", "doc_id", "fp", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sig long")
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, f"key string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sig long")
 
 
 def shingle_prefixes(docs: DataFrame, shingle: int) -> DataFrame:
@@ -386,19 +391,22 @@ def similar(pairs: DataFrame, shingle: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> DataFrame:
-    """The documents that lead their group (the smallest id), so that one of each group stays, with all columns.
+    """One row of each group, with all columns, whatever their names: that of the smallest id, nulls last.
 
     A group is what links of Jaccard similarity 0.8 or more between sets of word shingles connect; every such pair is
-    found. One of the rows that repeat a leader's id stays. Rows without an id can't be told apart and all stay. Documents
-    without a word (the empty set) are one group.
+    found. Of rows with a leader's id and text one stays, by the hash of all its columns, so that reruns agree; different texts under one
+    id are different documents, and rows without an id are grouped by their texts like any others. Documents without a word
+    (null, empty: the empty set) are one group. An empty table gives no rows.
     """
-    found = shingle_classes(docs, shingle).groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("least")
+    found = shingle_classes(docs, shingle).groupBy("sig").agg(first, F.min("fp").alias("fp"))
     classes = written(found, "sets")
     pairs = written(similar_candidates(docs, classes, shingle, bits), "candidates")
     wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), "wanted")
     texts = written(packed_texts(docs, wanted, shingle), "texts")
     both = pairs.join(texts.select(F.col("sig").alias("u"), F.col("packed").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("packed").alias("b")), "v")
     members = classes.join(components(similar(both, shingle)), F.col("sig") == F.col("node"), "left")
-    leaders = members.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("_kept")).select("_kept").distinct()
-    kept = docs.join(leaders, docs["doc_id"] == leaders["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    leaders = members.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
+    plain = [F.col(f"`{c.name}`") for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    rows = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(*plain).alias("h"))
+    return rows.join(leaders, "key").groupBy("key").agg(F.min_by("doc", "h").alias("doc")).select("doc.*")

@@ -377,6 +377,14 @@ def test_deduplicated_keeps_one_of_each(docs, rows):
     got = simhash.deduplicated(docs).collect()
     ids = [r.doc_id for r in got if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and got[0].__fields__ == docs.columns and 2001 not in ids
+    assert [r.text for r in got if r.doc_id is None] == ["no id here"]  # the other row without an id has no word, like 1000
+
+
+def test_different_texts_under_one_id_stay(spark):
+    texts = [(1, "a b c d e f g h", "x"), (1, "one two three four five six", "x"), (1, "a b c d e f g h", "y"), (None, "p q r s t u", "x"), (None, "v w x y z", "x"), (None, "P q r s t u", "z")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, extra string").repartition(3)
+    got = [sorted(map(str, simhash.deduplicated(f).collect())) for f in (frame, frame.repartition(2))]
+    assert got[0] == got[1] and len(got[0]) == 4
 
 
 def test_deduplicated_finds_all_similar_texts(spark, rows):
@@ -628,22 +636,51 @@ def test_rules_on_labelled_text(spark, rows):
     assert np.mean([x.kept for x in got if x.doc_id < 400]) > 0.99 and not any(x.kept for x in got if x.doc_id >= 400)
 
 
+CLASHING = ("size", "target", "position", "taken", "source_size", "score", "lang_pred", "_text", "_kept", "doc", "key", "kept", "noise", "h", "id", "rid", "ids", "n_tokens", "_id", "extra")
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
+    """Each stage against its operator's plain result, over odd rows, with columns called like everything inside."""
     import corpus_pipeline
+    from pyspark.sql import functions as F
 
-    docs.drop("extra").write.parquet(f"{tmp_path}/documents.parquet")
+    wide = docs.drop("extra").select("*", *[F.lit(f"my {c}").alias(c) for c in CLASHING])
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
     labelled(spark, rows).write.parquet(f"{tmp_path}/labels.parquet")
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
     before = table.count()
+
+    def ids_and_texts(frame):
+        return Counter((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect())
+
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, table, str(tmp_path))
-        assert after.columns == docs.drop("extra").columns, name
+        assert after.columns == wide.columns, name
         path = f"{tmp_path}/{name.replace(' ', '-')}"
         after.write.parquet(path)
-        table = spark.read.parquet(path)
+        was, table = ids_and_texts(table), spark.read.parquet(path)
+        now = ids_and_texts(table)
+        assert set(now) <= set(was) and table.where(" or ".join(f"`{c}` <> 'my {c}'" for c in CLASHING)).count() == 0
+        if name == "SimHash near-dedup":  # one of each group, by brute force over five-word shingles
+            texts = sorted(was, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+            sets = [shingle_set(t) for _, t in texts]
+            roots = brute_components([(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a == b or 5 * len(a & b) >= 4 * len(a | b)], range(len(texts)))
+            assert len(set(roots.values())) == sum(now.values()) and {texts[k][0] for k in set(roots.values())} == {i for i, _ in now}
+        if name == "language ID":
+            assert all(any(map(str.isalpha, t or "")) for _, t in now)
     assert 0 < table.count() <= 3 * before
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() == table.count()
+    encoding = reference_encoding()
+    want = Counter((r.doc_id, tuple(encoding.encode_ordinary(r.text))) for r in table.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == want
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0, name
+
+
+def shingle_set(text):
+    w = words_of(text)
+    return {b" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
 
 
 def compared(spark, name, frame, con):
