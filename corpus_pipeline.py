@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-The columns of documents pass through all stages but the last unchanged; columns that they have besides are kept too.
+The columns of documents, and whatever columns they have besides, pass through all stages but the last unchanged, whatever their
+names. Documents are told apart by id and text: repeated ids, and rows without an id, are documents like any others. Every stage
+gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -12,36 +14,38 @@ from rankframe.llm import bpe, language_id, mixing, resampling, simhash
 from rankframe.llm.common import table, written
 
 
-def _flagged(docs: DataFrame, verdicts: DataFrame, wanted: str) -> DataFrame:
-    """The documents whose id has a verdict that meets the condition; a null id is matched with null."""
-    kept = verdicts.where(wanted).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws: as many as reach the log weight of all but 0.2% of good labelled text."""
-    return _flagged(docs, resampling.resampled(docs, table(spark, sf_dir, "labels")), "kept")
+    """Documents that importance resampling draws: as many as come near the log weight of all but 0.2% of good labelled text.
+
+    Null and empty texts weigh nothing for or against and stay unless the cut is above that; without labels all stay.
+    """
+    return resampling.resampled_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: what has no letter is `und` and goes."""
-    model = language_id.fit(docs)
-    found = language_id.predicted(docs, model, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Documents in a language that the model knows: what is null, empty or without a letter goes, and what scores far below
+    nearly all documents of a known language. Where no document has a language to learn from, all with a letter stay."""
+    return language_id.identified_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more."""
+    """One document of each group of near copies: sets of five-word shingles whose Jaccard similarity is 0.8 or more.
+
+    The smallest id stays, nulls last; texts without a word are one group.
+    """
     return simhash.deduplicated(docs, shingle=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at its target weights, in training order: a document stands as often as the mix takes it."""
+    """The mix at its target weights, in training order: a document stands in each pass of the mix that takes words of it.
+
+    Documents without a word, and those behind a source's share, don't stand in the mix; a null source is a source.
+    """
     return mixing.training_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and their number."""
+    """(doc_id, source, ids, n_tokens) of each document; null text has no ids."""
     return bpe.encoded(docs, keep=("doc_id", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
