@@ -303,22 +303,83 @@ def test_pitman_yor(docs, rows, empty):
 
 
 def test_restaurants_sum_to_one():
-    """The predictive probabilities of all words, and of one unknown word, sum to one in every context."""
+    """The predictive probabilities of all words, and of one unknown word, sum to one in every context and sample."""
     r = np.random.RandomState(1)
-    words, k = np.repeat(np.arange(50), 3), np.tile(np.arange(3), 50)
-    n = r.randint(1, 200, 150)
-    customers = np.bincount(k, weights=n, minlength=pitman_yor.CONTEXTS).astype(float)
-    model = pitman_yor.Restaurants(customers, 50, (0.5, 0.6))
+    words, k = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
+    n = r.randint(1, 200, 200)
+    customers = np.bincount(k, weights=n, minlength=4).astype(float)
+    model = pitman_yor.Restaurants(customers, np.where(np.arange(4) == pitman_yor.NONE, 0, 50.0), 50, (0.5, 0.6))
     seed = np.arange(50, dtype=np.uint64)
-    for sweep in range(3):
-        *_, (opened, guests, at_root) = model.seat(seed, words, k, n, sweep)
-        assert (opened <= n).all() and (opened >= 1).all() and (at_root <= guests).all()
-        model.samples.append((np.bincount(k, weights=opened, minlength=pitman_yor.CONTEXTS), guests.sum(), at_root.sum()))
-        root = model.root(guests, at_root, sweep)
-        unknown = model.root(np.zeros(1), np.zeros(1), sweep)
+    for _, opened, guests, at_root in model.sampled(seed, words, k, n):
+        assert (opened <= n).all() and (opened >= 1).all() and (at_root <= guests).all() and (opened[k == pitman_yor.NONE] == n[k == pitman_yor.NONE]).all()
+        seated = np.where(k == pitman_yor.NONE, 0, opened)
+        totals = (np.bincount(k, weights=seated, minlength=4), guests.sum(), at_root.sum())
+        root, unknown = model.root(guests, at_root, totals), model.root(np.zeros(1), np.zeros(1), totals)
         assert math.isclose(root.sum() + unknown[0], 1)
-        inside = (n - 0.6 * opened) / (pitman_yor.STRENGTH + customers[k]) + model.back_off(sweep)[k] * root[words]
-        assert np.allclose(np.bincount(k, weights=inside)[:3] + model.back_off(sweep)[:3] * unknown, 1)
+        p = model.inside(k, n, opened) + model.back_off(totals)[k] * root[words]
+        assert np.allclose(np.bincount(k, weights=p) + model.back_off(totals) * unknown, 1)
+
+
+def test_table_draws_follow_the_seating():
+    """Draws of the number of tables against all seatings of five customers, counted one by one; Stirling numbers likewise."""
+    d, base, others, n = 0.4, 0.2, 3.0, 5
+    weight = Counter()
+
+    def seat(sizes, seated, w):
+        if seated == n:
+            weight[len(sizes)] += w
+            return
+        for j, size in enumerate(sizes):
+            seat([*sizes[:j], size + 1, *sizes[j + 1 :]], seated + 1, w * (size - d))
+        seat([*sizes, 1], seated + 1, w * (pitman_yor.STRENGTH + d * (others + len(sizes))) * base)
+
+    seat([1], 1, 1.0)
+    drawn = pitman_yor.redrawn(np.full(40_000, n), np.ones(40_000), np.full(40_000, base), d, np.full(40_000, others + 1), np.arange(40_000, dtype=np.uint64), pitman_yor.log_stirling(d))
+    for t in range(1, n + 1):
+        assert abs(np.mean(drawn == t) - weight[t] / sum(weight.values())) < 0.01
+
+
+def test_model_score_against_plain_loops(spark, monkeypatch):
+    """Each token's averaged probability, looked up by plain means in the seatings of a small corpus, gives the documents' scores."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("ab ab ab cd ef gh the the of".split()) + r.choice(["", "", str(r.randint(0, 30))]) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t for k, t in enumerate(texts) if not is_held(k, 7, 2)]
+    flat = Counter(w for t in train for w in words_of(t))
+    total = sum(flat.values()) + len(train)
+    known = {w for w, c in flat.items() if c >= max(8, -(-total // 50_000))}
+    kept = {}
+    inner = pitman_yor.scored_lexicon
+
+    def spied(lexicon, model):
+        kept["lexicon"] = {x.word: x for x in lexicon.collect()}
+        kept["model"], kept["scored"] = model, {x.word: x for x in inner(lexicon, model).collect()}
+        return inner(lexicon, model)
+
+    monkeypatch.setattr(pitman_yor, "scored_lexicon", spied)
+    for hot in (10**6, 30):  # all words broadcast, or the rare ones joined
+        monkeypatch.setattr(pitman_yor.frequent, "__defaults__", (hot, hot))
+        got = {x.doc_id: x for x in pitman_yor.score(frame).collect()}
+        m, scored = kept["model"], kept["scored"]
+        hashes = dict(zip(sorted(known), pitman_yor.word_hashes(__import__("pyarrow").array(sorted(known))), strict=True))
+        number = {w: 2 + sorted(hashes.values()).index(h) for w, h in hashes.items()}
+        pairs = Counter()
+        for t in train:
+            before = pitman_yor.START
+            for w in [*words_of(t), b"\n"]:
+                pairs[w.decode(), before] += 1
+                before = number.get(w, pitman_yor.NONE)
+        assert {(w, k): n for w, x in kept["lexicon"].items() for k, n in zip(x.ks, x.ns, strict=True)} == pairs
+        back = np.mean([m.back_off(s) for s in m.samples], axis=0)
+        new = np.mean([m.root(np.zeros(1), np.zeros(1), s)[0] for s in m.samples])
+        for k, t in enumerate(texts):
+            want, before = 0.0, pitman_yor.START
+            for w in [*words_of(t), b"\n"]:
+                x = scored.get(w.decode())
+                inside = dict(zip(x.ks, x.lps, strict=True)) if x else {}
+                want += inside.get(before, math.log10((x.root_p if x else new) * back[before]))
+                before = number.get(w, pitman_yor.NONE)
+            assert math.isclose(got[k].score, want, rel_tol=1e-5, abs_tol=1e-5)
 
 
 def brute_fingerprint(text, size):
