@@ -6,22 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Script ranges and the share of the sample that decides.
-SCRIPTS = (("ar", "[\\u0600-\\u06FF]", 0.3), ("zh", "[\\u4E00-\\u9FFF]", 0.3), ("ja", "[\\u3040-\\u30FF]", 0.2), ("ko", "[\\uAC00-\\uD7AF]", 0.3), ("ru", "[\\u0400-\\u04FF]", 0.3))
-#: Frequent words of languages in Latin script, in order of precedence.
+SCRIPTS = (
+    ("ar", "[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF]", 0.3),
+    ("zh", "[\\u4E00-\\u9FFF]", 0.3),
+    ("ja", "[\\u3040-\\u309F\\u30A0-\\u30FF]", 0.2),
+    ("ko", "[\\uAC00-\\uD7AF]", 0.3),
+    ("ru", "[\\u0400-\\u04FF]", 0.3),
+)
+#: Words that vote for languages in Latin script, in order of precedence.
 KEYWORDS = {
-    "es": ("el", "la", "de", "que", "y", "en", "los", "del", "por", "con", "para"),
-    "fr": ("le", "la", "de", "et", "les", "des", "en", "un", "une", "que", "dans", "est"),
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist", "des"),
-    "pt": ("o", "de", "que", "e", "do", "da", "em", "um", "para", "com"),
-    "it": ("il", "di", "che", "e", "la", "un", "in", "per", "con", "del"),
+    "es": ("el", "la", "los", "las", "de", "del", "que", "para", "con", "por", "gobierno", "política"),
+    "fr": ("le", "la", "les", "de", "du", "des", "et", "pour", "dans", "avec", "gouvernement", "politique"),
+    "de": ("der", "die", "das", "und", "ist", "für", "mit", "von", "regierung", "politik"),
+    "pt": ("o", "a", "os", "as", "de", "do", "da", "que", "para", "com", "governo", "política"),
+    "it": ("il", "lo", "la", "i", "gli", "le", "di", "del", "che", "per", "governo", "politica"),
 }
-NAMES = {"ar": "Arabic", "de": "German", "en": "English", "es": "Spanish", "fr": "French", "it": "Italian", "ja": "Japanese", "ko": "Korean", "pt": "Portuguese", "ru": "Russian", "zh": "Chinese"}
+#: Names of languages.
+NAMES = {
+    "en": "English", "ar": "Arabic", "fr": "French", "es": "Spanish", "de": "German", "pt": "Portuguese", "it": "Italian", "zh": "Chinese", "ja": "Japanese",
+    "ko": "Korean", "ru": "Russian", "hi": "Hindi", "tr": "Turkish", "nl": "Dutch", "sv": "Swedish", "pl": "Polish", "uk": "Ukrainian",
+}
 SAMPLE, LEAST_CHARS, LEAST_VOTES = 500, 10, 3
 
 
 def detect(text: Column) -> Column:
     """en where the text is short or no other language has enough of its words."""
-    sample = F.lower(F.left(F.trim(text), F.lit(SAMPLE)))
+    sample = F.lower(F.left(text, F.lit(SAMPLE)))
     spaced = F.concat(F.lit(" "), sample, F.lit(" "))
     votes = F.array(*[sum((F.contains(spaced, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for ws in KEYWORDS.values()])
     codes = F.array(*map(F.lit, KEYWORDS))
@@ -31,8 +41,8 @@ def detect(text: Column) -> Column:
 
     out = F.element_at(F.transform(F.array(votes), first_of_most), 1)  # the lambda evaluates the votes once
     for lang, pattern, share in reversed(SCRIPTS):
-        out = F.when(F.regexp_count(sample, F.lit(pattern)) / F.greatest(F.length(sample), F.lit(1)) > share, lang).otherwise(out)
-    return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) < LEAST_CHARS, "en").otherwise(out)
+        out = F.when(F.regexp_count(sample, F.lit(pattern)) > F.length(sample) * share, lang).otherwise(out)
+    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(0)) < LEAST_CHARS, "en").otherwise(out)
 
 
 def name(code: Column) -> Column:

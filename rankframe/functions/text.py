@@ -8,10 +8,24 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common English words left out of queries.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-#: Numeric data in prose (quantity with unit, percent, range, ratio).
-NUMERIC = (r"\d+(\.\d+)?\s*(mg|ml|kg|g|mcg|units?)", r"\d+(\.\d+)?\s*%", r"\d+\s*-\s*\d+", r"\d+/\d+")
+#: Words left out of queries.
+STOP_WORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "have", "will", "shall", "under", "when", "into", "upon", "such", "which", "been", "were", "your", "their",
+    "than", "about", "each", "within", "while", "those", "these", "there", "after", "before", "during", "because", "other", "where", "patients", "patient", "should",
+    "could", "would", "might", "effect", "effects", "used", "using", "use", "dose", "doses", "per", "day", "days", "week", "weeks", "month", "months", "or", "of", "via", "onto",
+)
+#: Words that are no keywords of a chunk.
+KEYWORD_STOP_WORDS = (
+    "with", "from", "this", "that", "have", "been", "their", "there", "which", "should", "would", "could", "will", "into", "about", "after", "before", "during", "without",
+    "between", "includes", "including", "because", "where", "when", "those", "these", "such", "other", "also", "more", "most",
+)
+#: Numeric data in prose.
+NUMERIC = (
+    r"\b\d+\.?\d*\s*(?:mg|mcg|µg|g|kg|ml|L|mL|%|percent|mmol|IU|units?)\b",
+    r"\b\d+\.?\d*\s*(?:times|fold|×|x)\b",
+    r"\bp\s*[<>=]\s*0\.\d+\b",
+    r"\b\d+\.?\d*\s*[:/]\s*\d+\.?\d*\b",
+)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -50,9 +64,10 @@ def holds_any(text: Column, terms: Sequence[str]) -> Column:
 
 
 def matches_any(text: Column, patterns: Sequence[str] = NUMERIC) -> Column:
+    """Whether a pattern stands in the text, in any case; words end where letters of any script end."""
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(f"(?i){p}")
+        out = out | text.rlike(f"(?iU){p}")
     return F.coalesce(out, F.lit(False))
 
 
@@ -67,6 +82,27 @@ def section_number(title: Column) -> Column:
     return F.regexp_extract(title, r"^\s*(\d+(?:\.\d+)*)", 1)
 
 
+def keyword_tokens(text: Column) -> Column:
+    """Lower-cased words of four or more ASCII letters; a longer word of any script gives no piece of itself."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"), F.lit(0))
+
+
+def page_issues(text: Column, least: int = 50) -> Column:
+    """What is odd about a page's text: empty_text or very_short_text, and abrupt_ending where no sentence or line ends it. Null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(t, r"^\s+|\s+$", "")
+    size = F.when(bare == "", "empty_text").when(F.length(t) < least, "very_short_text")
+    return F.array_compact(F.array(size, F.when(~t.rlike(r"[.!?\n]\z"), "abrupt_ending")))
+
+
+def hashed_embedding(text: Column, size: int = 64) -> Column:
+    """array<float> of unit length: signed counts of the hashed words; zeros for text without a word. A stand-in for a model."""
+    ws = words(F.lower(F.coalesce(text, F.lit(""))))
+    slots = F.transform(ws, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("i"), (F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) * 2 - 1).alias("s")))
+    sums = let(slots, lambda xs: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(xs, lambda x: x["i"] == k), F.lit(0).cast("long"), lambda acc, x: acc + x["s"])))
+    return let(sums, lambda v: let(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x), lambda n: F.transform(v, lambda x: F.when(n > 0, x / F.sqrt(n)).otherwise(0.0).cast("float"))))
+
+
 def first_class(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
     """The label of the first rule of which a term stands in the text."""
     out = F.lit(default)

@@ -22,7 +22,7 @@ def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VE
     """(src, dst, relationship, confidence, context, doc_id): `word verb word` where both are entities of the chunk; the last chunk wins."""
     rows = None
     for v in verbs:
-        pattern = F.lit(rf"(\w+)\s+{v}\s+(\w+)")
+        pattern = F.lit(rf"(?U)(\w+)\s+{v}\s+(\w+)")  # letters of any script
         pairs = F.arrays_zip(F.regexp_extract_all(F.lower(text), pattern, F.lit(1)).alias("src"), F.regexp_extract_all(F.lower(text), pattern, F.lit(2)).alias("dst"))
         part = chunks.where(F.contains(F.lower(text), F.lit(v))).select("doc_id", F.left(text, F.lit(200)).alias("context"), F.lit(v).alias("relationship"), F.explode(pairs).alias("p"))
         rows = part if rows is None else rows.unionByName(part)
@@ -45,8 +45,14 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataF
 
 
 def expanded(results: DataFrame, related: DataFrame, mentioned: DataFrame, most: int = NEIGHBOURS, boost: float = BOOST) -> DataFrame:
-    """Results (query_id, doc_id, score) and up to `most` chunks of related entities (query_id, entity) that they lack, at the boost score."""
-    more = related.join(mentioned, "entity").select("query_id", "doc_id").distinct().join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    """Results (query_id, doc_id, score) and up to `most` chunks of related entities (query_id, entity) that they lack, at the boost score.
+
+    A query takes the chunks of smallest id. It holds at most as many chunks as the largest result, so of each entity only `most`
+    and as many chunks can enter: an entity of most chunks brings no more than these into the join.
+    """
+    held = results.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    first = mentioned.select("entity", "doc_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy("doc_id"))).where(F.col("r") <= most + held).drop("r")
+    more = related.join(first, "entity").select("query_id", "doc_id").distinct().join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     more = more.withColumn("r", rank).where(F.col("r") <= most).select("query_id", "doc_id", F.lit(boost).alias("score"))
     every = results.select("query_id", "doc_id", "score").unionByName(more)

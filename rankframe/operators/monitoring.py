@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Coefficients of the polynomial for the normal distribution's integral.
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
-THRESHOLDS = {"f1": 0.1, "precision": 0.15, "recall": 0.12}
+#: The share of its baseline by which each metric may drop.
+THRESHOLDS = {"precision": 0.1, "recall": 0.15, "f1": 0.12}
 
 
 def recent(rows: DataFrame, as_of: str | Column, days: int, ts: str = "ts") -> DataFrame:
@@ -29,11 +32,46 @@ def last_n(rows: DataFrame, key: str, n: int = 1000, order: Sequence[str] = ("ts
 
 
 def cooled(alerts: DataFrame, key: str, seconds: int = 3600, ts: str = "ts") -> DataFrame:
-    """(key, ts): the alerts that fire, at least `seconds` after the last fired one of their key; a fold over each key's times."""
-    times = alerts.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts))).alias("times"))
-    first = F.array().cast("array<timestamp>")
-    fired = F.aggregate("times", first, lambda acc, t: F.when((F.size(acc) == 0) | (F.unix_micros(t) - F.unix_micros(F.element_at(acc, -1)) >= seconds * 1_000_000), F.array_append(acc, t)).otherwise(acc))
-    return times.select(key, F.explode(fired).alias(ts))
+    """(key, ts): the alerts that fire, at least `seconds` after the last fired one of their key.
+
+    The first alert after a gap of `seconds` always fires, so a key's alerts are cut at such gaps into runs, found from the first and
+    last alert of each stretch of that length. Each run is read once in order, with one number held; a hot key is as many runs as
+    it has gaps. Null times and keys don't fire.
+    """
+    length = seconds * 1_000_000
+    rows = alerts.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).withColumn("b", F.floor(F.col("at") / F.lit(length)))
+    spans = rows.groupBy("k", "b").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    order = Window.partitionBy("k").orderBy("b")
+    spans = spans.withColumn("new", F.coalesce((F.col("low") - F.lag("high").over(order) >= length).cast("long"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    kind = rows.schema["k"].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, 0
+        for batch in batches:
+            held = list(zip(batch.column("k").to_pylist(), batch.column("run").to_pylist(), strict=True))
+            fired = []
+            for place, (now, at) in enumerate(zip(held, batch.column("at").to_pylist(), strict=True)):
+                if now != of or at - last >= length:
+                    fired.append(place)
+                    of, last = now, at
+            some = batch.take(pa.array(fired, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column("k"), some.column("at")], names=["k", "at"])
+
+    runs = rows.join(spans.select("k", "b", "run"), ["k", "b"]).repartition("k", "run").sortWithinPartitions("k", "run", "at")
+    found = runs.select("k", "run", "at").mapInArrow(fold, T.StructType().add("k", kind).add("at", "long"))
+    return found.select(F.col("k").alias(key), F.timestamp_micros("at").alias(ts))
+
+
+def metric_drops(measured: DataFrame, base: DataFrame, key: str, thresholds: Mapping[str, float] = THRESHOLDS) -> DataFrame:
+    """The rows of measured (key and the metrics) that fall under their baseline (key and the metrics) by more than the threshold's share.
+
+    Adds metric, value, baseline and drop_percentage; a row may drop in several metrics.
+    """
+    both = measured.join(base.select(F.col(key).alias("_of"), *[F.col(m).alias(f"_base_{m}") for m in thresholds]), F.col(key) == F.col("_of"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"_base_{m}").alias("baseline"), F.lit(float(t)).alias("t")) for m, t in thresholds.items()])
+    rows = both.withColumn("x", F.explode(each)).where("x.value < x.baseline * (1 - x.t)")
+    drop = (F.col("x.baseline") - F.col("x.value")) / F.col("x.baseline") * 100
+    return rows.select(*measured.columns, "x.metric", "x.value", "x.baseline", drop.alias("drop_percentage"))
 
 
 def latency_report(rows: DataFrame, failed: Column, value: str, key: str) -> DataFrame:

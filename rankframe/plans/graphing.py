@@ -37,7 +37,7 @@ def entity_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(G.mentions(table(spark, sf_dir, "documents"), PATTERNS))
 
 
-@register()
+@register(f"WITH {EDGES_SQL} SELECT src, dst, x.r AS relationship, 0.8::DOUBLE AS confidence, x.d AS doc_id FROM ed")
 def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One edge for each pair, the last document wins."""
     return _graph(spark, sf_dir)[1].select("src", "dst", "relationship", "confidence", "doc_id")

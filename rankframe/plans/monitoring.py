@@ -104,6 +104,21 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("source").alias("query"), F.col("lang").alias("session_id")).agg(F.count(F.lit(1)).alias("retrieved"), F.sum("quality").alias("relevant"), (F.sum("quality") + 1).alias("marked"))
 
 
+@register(
+    f"""WITH {ENTRIES_SQL}, m AS (SELECT query, session_id, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr),
+b AS (SELECT query, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f FROM m GROUP BY 1), l AS (SELECT query, session_id, unnest(['precision', 'recall', 'f1']) AS metric, unnest([precision, recall, f1]) AS value, unnest([p, r, f]) AS baseline, unnest([0.1, 0.15, 0.12]) AS t FROM m JOIN b USING (query))
+SELECT query, session_id, metric, round(value, 6) AS value, round(baseline, 6) AS baseline, round((baseline - value) / baseline * 100, 4) AS drop_percentage FROM l WHERE value < baseline * (1 - t)"""
+)
+def metric_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: sessions whose precision, recall or F1 falls under the mean of their query by more than the thresholds."""
+    precision, recall = F.col("relevant") / F.col("retrieved"), F.col("relevant") / F.col("marked")
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    measured = _entries(spark, sf_dir).select("query", "session_id", precision.alias("precision"), recall.alias("recall")).withColumn("f1", f1)
+    base = measured.groupBy("query").agg(*[F.avg(m).alias(m) for m in M.THRESHOLDS])
+    found = M.metric_drops(measured, base, "query")
+    return found.select("query", "session_id", "metric", F.round("value", 6).alias("value"), F.round("baseline", 6).alias("baseline"), F.round("drop_percentage", 4).alias("drop_percentage"))
+
+
 @register(f"WITH {ENTRIES_SQL} SELECT count(*) AS n, count(DISTINCT session_id) AS n_sessions, count(DISTINCT query) AS n_queries, round(avg(relevant), 6) AS mean_relevant, round(avg(precision), 6) AS mean_precision, round(stddev_samp(precision), 6) AS std_precision, round(avg(recall), 6) AS mean_recall, round(stddev_samp(recall), 6) AS std_recall, CASE WHEN avg(precision) < 0.6 THEN 12 ELSE 10 END AS top_k, avg(precision) < 0.6 AND count(*) >= 50 AS retrain FROM pr")
 def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E13, E17."""
