@@ -28,11 +28,26 @@ def _units(rows: list, size: int) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
+def kept(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row (to nine digits, ties by the smaller id) and their ids; only what reaches the k-th is sorted."""
+    if scores.shape[1] <= k:
+        return scores, docs
+    rough = np.round(scores, 9)
+    least = np.partition(rough, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, col = np.nonzero(rough >= least[:, None])
+    order = np.lexsort((docs[row, col], -rough[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    first = place < k
+    col = col[first].reshape(len(scores), k)
+    return np.take_along_axis(scores, col, axis=1), np.take_along_axis(docs, col, axis=1)
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, other_than_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine top-k of (query_id, embedding) over (doc_id, embedding).
 
     A query is answered in blocks of QUERY_BLOCK rows: a block is broadcast, every batch of chunks is one matrix product, and
-    only k rows for each query and batch leave it. Null and zero vectors have no neighbours. other_than_self drops
+    only the k best of each query leave a task. Null and zero vectors have no neighbours. other_than_self drops
     pairs of equal ids.
     """
     numbered = queries.where("embedding is not null").select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block"))
@@ -44,6 +59,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, other_than_self: bool
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             ids = np.array(ids)
+            best, held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
@@ -51,11 +67,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, other_than_self: bool
                     sims = np.nan_to_num(q @ _units(part.column("embedding").to_pylist(), q.shape[1]).T, nan=-np.inf)
                     if other_than_self:
                         sims[ids[:, None] == docs[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(docs, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-                    row, col = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-                    score = sims[row, col]
-                    keep = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[keep]]), pa.array(docs[col[keep]]), pa.array(score[keep])], names=["query_id", "doc_id", "score"])
+                    best, held = kept(np.hstack([best, sims]), np.hstack([held, np.broadcast_to(docs, sims.shape)]), k)
+            row, col = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(held[row, col]), pa.array(best[row, col])], names=["query_id", "doc_id", "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {chunks.schema['doc_id'].dataType.simpleString()}, score double"
         part = chunks.where("embedding is not null").select("doc_id", "embedding").mapInArrow(run, kinds)

@@ -34,15 +34,48 @@ def ontology(spark: SparkSession, path: str, buckets: tuple[str, ...]) -> DataFr
     return long.select("bucket", plain(F.col("e.name")).alias("concept"), F.explode(F.transform(names, plain)).alias("synonym")).where("synonym <> ''").distinct()
 
 
+def with_judgements(qrels: DataFrame, more: DataFrame) -> DataFrame:
+    """Judgements (query_id, doc_id) and further ones, each once."""
+    return qrels.select("query_id", "doc_id").unionByName(more.select("query_id", "doc_id")).distinct()
+
+
 def append_daily(rows: DataFrame, path: str, ts: str = "ts") -> None:
-    """Appends rows as JSON lines in a folder for each day."""
+    """Appends rows (feedback, measurements, conversation turns) as JSON lines in a folder for each day."""
     rows.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").json(path)
 
 
+def daily_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All lines of all days of a log, with _corrupt_record: the line itself where it is no JSON of this schema. Blank lines don't count."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).json(path)
+
+
 def daily(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All days of a log; lines that aren't JSON are left out."""
-    read = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(read).json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    """The sound lines of all days of a log; rejected() has the others."""
+    return daily_lines(spark, path, schema).where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def rejected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(line): the lines that daily() leaves out."""
+    return daily_lines(spark, path, schema).cache().where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """Rows with nested structs (triplets, training examples, reports) as JSON lines, replacing an earlier export."""
+    rows.write.mode("overwrite").json(path)
+
+
+def store_baseline(base: DataFrame, path: str) -> None:
+    base.write.mode("overwrite").parquet(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def download_link(url: Column) -> Column:
+    """The direct download of a shared file's link (…/d/<id>/… or …?id=<id>); any other link as it is."""
+    key = F.coalesce(F.nullif(F.regexp_extract(url, r"/d/([^/]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"[?&]id=([^&]+)", 1), F.lit("")))
+    return F.when(url.contains("drive.google.com") & key.isNotNull(), F.concat(F.lit("https://drive.google.com/uc?export=download&id="), key)).otherwise(url)
 
 
 def routed(files: DataFrame) -> DataFrame:
