@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
+from rankframe.sources.scratch import written
 
 K1, B = 1.5, 0.75
 #: Queries are broadcast up to this number of distinct terms; beyond it the joins shuffle.
 MOST_BROADCAST_TERMS = 200_000
+#: Queries scored in one pass over the postings, and pairs of query and document whose scores a task holds at once.
+QUERY_BLOCK, CELLS = 4096, 1 << 20
 
 
 def few(df: DataFrame, rows: int) -> bool:
@@ -33,6 +40,19 @@ def postings(docs: DataFrame, terms: DataFrame, tokens: Column | None = None) ->
     return each.join(small(terms, MOST_BROADCAST_TERMS), "term", "left_semi").groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def indexed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """postings() of the given distinct terms and corpus_stats(), from one written table: every text is tokenised once.
+
+    What a document holds besides the terms is one row without a term, which carries its length.
+    """
+    arrays = docs.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    each = arrays.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("token"))
+    asked = each.join(small(terms.select(F.col("term").alias("token"), F.col("term")), MOST_BROADCAST_TERMS), "token", "left")
+    rows = written(asked.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = rows.agg(F.coalesce(F.sum(F.when(F.col("doc_len") > 0, F.col("tf"))), F.lit(0)).alias("n")).select(F.lit(docs.count()).cast("long").alias("n_docs"), F.col("n"))
+    return rows.where("term is not null"), stats.select("n_docs", (F.col("n") / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+
+
 def corpus_stats(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """One row: n_docs and avgdl."""
     return docs.select(F.size(T.tokens(F.col("text")) if tokens is None else tokens).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl"))
@@ -61,18 +81,82 @@ def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     """(query_id, doc_id, score, rank): the k best positive scores of each query, ties by doc_id.
 
     index and stats: postings of just the queries' terms and corpus_stats, where the caller has them. While the
-    queries' terms can be broadcast, weighed postings are dealt by document, so that the scores of a document for all
-    queries are summed where its postings lie, and pairs of query and document never shuffle before they are cut.
+    queries' terms can be broadcast, a document's weighed postings are one row, the scores of all queries are summed
+    where it lies, and each task keeps a running top k: pairs of query and document never leave a task before they are cut.
+    doc_id is a whole number there.
     """
     terms = query_terms(queries)
+    if index is None and stats is None:
+        index, stats = indexed(docs, terms.select("term").distinct())
     index = postings(docs, terms.select("term").distinct()) if index is None else index
     stats = corpus_stats(docs) if stats is None else stats
     weighed = index.join(idf(index, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     weighed = weighed.select("doc_id", "term", part.alias("part"))
-    asked = weighed.repartition("doc_id").join(F.broadcast(terms), "term") if few(terms, MOST_BROADCAST_TERMS) else weighed.join(terms, "term")
-    scores = asked.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
-    return top_k(scores, k)
+    if not few(terms, MOST_BROADCAST_TERMS):
+        scores = weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
+        return top_k(scores, k)
+    asked = terms.toArrow()  # at most MOST_BROADCAST_TERMS rows
+    ids = asked["query_id"].combine_chunks().dictionary_encode()
+    words = asked["term"].combine_chunks().dictionary_encode()
+    if not len(ids.dictionary):
+        return top_k(weighed.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.col("part").alias("score")).where("false"), k)
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(words.dictionary.to_pylist())), "t int, term string")
+    by_doc = weighed.join(F.broadcast(numbers), "term").groupBy("doc_id").agg(F.collect_list(F.struct("t", "part")).alias("p")).select("doc_id", F.col("p.t").alias("t"), F.col("p.part").alias("part"))
+    scored = None
+    for at in range(0, len(ids.dictionary), QUERY_BLOCK):
+        inside = np.flatnonzero((ids.indices.to_numpy() >= at) & (ids.indices.to_numpy() < at + QUERY_BLOCK))
+        rows = _scored(by_doc, ids.dictionary.slice(at, QUERY_BLOCK), ids.indices.to_numpy()[inside] - at, words.indices.to_numpy()[inside], asked["n"].to_numpy()[inside], len(words.dictionary), k, queries.schema["query_id"].dataType.simpleString())
+        scored = rows if scored is None else scored.unionByName(rows)
+    return top_k(scored, k)
+
+
+def _scored(by_doc: DataFrame, ids: pa.Array, query: np.ndarray, term: np.ndarray, n: np.ndarray, terms: int, k: int, kind: str) -> DataFrame:
+    """(query_id, doc_id, score): the k best of each query in every task. by_doc: (doc_id, t, part), a document's weighed terms.
+
+    query, term, n: which queries ask for which term, and how often. A few documents at a time, the parts of all pairs of query and
+    document that share a term are added up in one table; only k rows for each query leave a task.
+    """
+    order = np.argsort(term, kind="stable")
+    bounds = np.searchsorted(term[order], np.arange(terms + 1))
+    shared = by_doc.sparkSession.sparkContext.broadcast((ids, query[order], n[order].astype(np.float64), bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, query, n, bounds = shared.value
+        best, held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+        names = None
+        step = max(16, CELLS // len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                size = np.asarray(part.column("t").value_lengths())
+                t, weight = part.column("t").flatten().to_numpy(), part.column("part").flatten().to_numpy()
+                many = bounds[t + 1] - bounds[t]
+                doc = np.repeat(np.repeat(np.arange(part.num_rows), size), many)
+                place = np.repeat(bounds[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                sums = np.bincount(query[place] * part.num_rows + doc, weights=np.repeat(weight, many) * n[place], minlength=len(ids) * part.num_rows).reshape(len(ids), -1)
+                docs = part.column("doc_id").to_numpy()
+                names = docs.dtype
+                best, held = kept(np.hstack([best, np.where(sums > 0, sums, -np.inf)]), np.hstack([held, np.broadcast_to(docs, sums.shape)]), k)
+        if names is not None:
+            row, col = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(held[row, col]), pa.array(best[row, col])], names=["query_id", "doc_id", "score"])
+
+    return by_doc.mapInArrow(run, f"query_id {kind}, doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def kept(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row (to nine digits, ties by the smaller id) and their ids; only what reaches the k-th is sorted."""
+    if scores.shape[1] <= k:
+        return scores, docs
+    rough = np.round(scores, 9)
+    least = np.partition(rough, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, col = np.nonzero(rough >= least[:, None])
+    order = np.lexsort((docs[row, col], -rough[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    col = col[place < k].reshape(len(scores), k)
+    return np.take_along_axis(scores, col, axis=1), np.take_along_axis(docs, col, axis=1)
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", key: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -81,13 +165,41 @@ def top_k(scores: DataFrame, k: int, score: str = "score", key: str = "query_id"
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+def containing(docs: DataFrame, passages: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id): documents that hold a passage (query_id, text) word for word.
 
-    An equi-join on each passage's rarest inner token finds the candidates, so no passage meets every document.
+    An equi-join on each passage's rarest inner token finds the candidates, so no passage meets every document. A passage
+    without an inner token (a few words, or another script) is found by its character trigrams instead: a document that
+    holds it holds them all; one of fewer than three characters meets every document. index: postings() of the
+    passages' terms, where the caller has them.
     """
+    anchored = F.size(T.tokens(F.col("text"))) > 2
+    odd = passages.where(~F.coalesce(anchored, F.lit(False)) & F.col("text").isNotNull())
+    found = _anchored(docs, passages.where(anchored), index)
+    return found if few(odd, 0) else found.unionByName(_by_trigrams(docs, odd)).distinct()
+
+
+def _by_trigrams(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Passages by their rarest trigram; those too short for one are looked for in every text."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))
+    long = passages.where(F.length("text") > 2).select("query_id", "text", F.explode(grams).alias("gram"))
+    wanted = long.select("gram").distinct()
+    texts = docs.where("text is not null").select("doc_id", "text")
+    of_docs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))
+    held = texts.where(F.length("text") > 2).select("doc_id", F.explode(of_docs).alias("gram")).join(small(wanted, MOST_BROADCAST_TERMS), "gram", "left_semi")
+    df = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    anchor = long.join(df, "gram").groupBy("query_id", "text").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
+    near = held.join(anchor, "gram").select("query_id", "doc_id", F.col("text").alias("passage"))
+    found = texts.join(near, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    short = passages.where(F.length("text") <= 2).select("query_id", F.col("text").alias("passage"))
+    if few(short, 0):
+        return found.distinct()
+    return found.unionByName(texts.join(short, F.contains("text", F.col("passage"))).select("query_id", "doc_id")).distinct()
+
+
+def _anchored(docs: DataFrame, passages: DataFrame, index: DataFrame | None) -> DataFrame:
     inner = passages.select("query_id", "text", T.tokens(F.col("text")).alias("t")).select("query_id", "text", F.explode(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))).alias("term"))
-    index = postings(docs, inner.select("term").distinct())
+    index = postings(docs, inner.select("term").distinct()) if index is None else index
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     anchor = inner.join(df, "term").groupBy("query_id", "text").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
     near = index.select("doc_id", "term").join(anchor, "term").select("query_id", "doc_id", F.col("text").alias("passage"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankframe.operators.bm25 import top_k
+from rankframe.operators.bm25 import kept, top_k
 
 #: Query vectors that visit every task in one pass; more are taken in as many passes.
 QUERY_BLOCK = 4096
@@ -28,21 +28,6 @@ def _units(rows: list, size: int) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
-def kept(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores of each row (to nine digits, ties by the smaller id) and their ids; only what reaches the k-th is sorted."""
-    if scores.shape[1] <= k:
-        return scores, docs
-    rough = np.round(scores, 9)
-    least = np.partition(rough, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    row, col = np.nonzero(rough >= least[:, None])
-    order = np.lexsort((docs[row, col], -rough[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    first = place < k
-    col = col[first].reshape(len(scores), k)
-    return np.take_along_axis(scores, col, axis=1), np.take_along_axis(docs, col, axis=1)
-
-
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, other_than_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine top-k of (query_id, embedding) over (doc_id, embedding).
 

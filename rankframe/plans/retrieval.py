@@ -65,8 +65,9 @@ def passage_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {BM25_SQL}, {QRELS_SQL}, {METRICS_SQL} SELECT * FROM ev")
 def bm25_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 to E5, J4, W2, T2."""
-    docs = dealt(table(spark, sf_dir, "documents"))
-    return _rounded(metrics.per_query(bm25.search(docs, _passages(spark, sf_dir), K), bm25.containing(docs, _passages(spark, sf_dir))))
+    docs, passages = dealt(table(spark, sf_dir, "documents")), _passages(spark, sf_dir)
+    index, stats = bm25.indexed(docs, bm25.query_terms(passages).select("term").distinct())  # one index for the run and the judgements
+    return _rounded(metrics.per_query(bm25.search(docs, passages, K, index=index, stats=stats), bm25.containing(docs, passages, index)))
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
