@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from rankframe.functions import text as T
 from rankframe.sources.scratch import written
@@ -96,36 +97,35 @@ def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     if not few(terms, MOST_BROADCAST_TERMS):
         scores = weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
         return top_k(scores, k)
-    asked = terms.toArrow()  # at most MOST_BROADCAST_TERMS rows
-    ids = asked["query_id"].combine_chunks().dictionary_encode()
-    words = asked["term"].combine_chunks().dictionary_encode()
-    if not len(ids.dictionary):
-        return top_k(weighed.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.col("part").alias("score")).where("false"), k)
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(words.dictionary.to_pylist())), "t int, term string")
+    asked = terms.collect()  # at most MOST_BROADCAST_TERMS rows
+    ids = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in asked))}
+    words = {w: i for i, w in enumerate(dict.fromkeys(r["term"] for r in asked))}
+    query, term, n = (np.array(x, dtype=np.int64) for x in ([ids[r["query_id"]] for r in asked], [words[r["term"]] for r in asked], [r["n"] for r in asked]))
+    numbers = docs.sparkSession.createDataFrame([(i, w) for w, i in words.items()], "t int, term string")
     by_doc = weighed.join(F.broadcast(numbers), "term").groupBy("doc_id").agg(F.collect_list(F.struct("t", "part")).alias("p")).select("doc_id", F.col("p.t").alias("t"), F.col("p.part").alias("part"))
     scored = None
-    for at in range(0, len(ids.dictionary), QUERY_BLOCK):
-        inside = np.flatnonzero((ids.indices.to_numpy() >= at) & (ids.indices.to_numpy() < at + QUERY_BLOCK))
-        rows = _scored(by_doc, ids.dictionary.slice(at, QUERY_BLOCK), ids.indices.to_numpy()[inside] - at, words.indices.to_numpy()[inside], asked["n"].to_numpy()[inside], len(words.dictionary), k, queries.schema["query_id"].dataType.simpleString())
+    for at in range(0, max(len(ids), 1), QUERY_BLOCK):
+        some = np.flatnonzero((query >= at) & (query < at + QUERY_BLOCK))
+        rows = _scored(by_doc, at, min(QUERY_BLOCK, len(ids) - at), query[some] - at, term[some], n[some], len(words), k)
         scored = rows if scored is None else scored.unionByName(rows)
-    return top_k(scored, k)
+    named = docs.sparkSession.createDataFrame([(i, q) for q, i in ids.items()], T_.StructType().add("q", "integer").add(T_.StructField("query_id", queries.schema["query_id"].dataType)))
+    return top_k(scored.join(F.broadcast(named), "q").select("query_id", "doc_id", "score"), k)
 
 
-def _scored(by_doc: DataFrame, ids: pa.Array, query: np.ndarray, term: np.ndarray, n: np.ndarray, terms: int, k: int, kind: str) -> DataFrame:
-    """(query_id, doc_id, score): the k best of each query in every task. by_doc: (doc_id, t, part), a document's weighed terms.
+def _scored(by_doc: DataFrame, first: int, queries: int, query: np.ndarray, term: np.ndarray, n: np.ndarray, terms: int, k: int) -> DataFrame:
+    """(q, doc_id, score): the k best of each query, numbered from `first`, in every task. by_doc: (doc_id, t, part), a document's weighed terms.
 
     query, term, n: which queries ask for which term, and how often. A few documents at a time, the parts of all pairs of query and
     document that share a term are added up in one table; only k rows for each query leave a task.
     """
     order = np.argsort(term, kind="stable")
     bounds = np.searchsorted(term[order], np.arange(terms + 1))
-    shared = by_doc.sparkSession.sparkContext.broadcast((ids, query[order], n[order].astype(np.float64), bounds))
+    shared = by_doc.sparkSession.sparkContext.broadcast((query[order], n[order].astype(np.float64), bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, query, n, bounds = shared.value
-        best, held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
-        names = None
-        step = max(16, CELLS // len(ids))
+        query, n, bounds = shared.value
+        best, held = np.zeros((queries, 0)), np.zeros((queries, 0), dtype=np.int64)
+        step = max(16, CELLS // max(queries, 1))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
@@ -134,15 +134,15 @@ def _scored(by_doc: DataFrame, ids: pa.Array, query: np.ndarray, term: np.ndarra
                 many = bounds[t + 1] - bounds[t]
                 doc = np.repeat(np.repeat(np.arange(part.num_rows), size), many)
                 place = np.repeat(bounds[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                sums = np.bincount(query[place] * part.num_rows + doc, weights=np.repeat(weight, many) * n[place], minlength=len(ids) * part.num_rows).reshape(len(ids), -1)
+                sums = np.bincount(query[place] * part.num_rows + doc, weights=np.repeat(weight, many) * n[place], minlength=queries * part.num_rows).reshape(queries, -1)
                 docs = part.column("doc_id").to_numpy()
-                names = docs.dtype
                 best, held = kept(np.hstack([best, np.where(sums > 0, sums, -np.inf)]), np.hstack([held, np.broadcast_to(docs, sums.shape)]), k)
-        if names is not None:
-            row, col = np.nonzero(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(held[row, col]), pa.array(best[row, col])], names=["query_id", "doc_id", "score"])
+        row, col = np.nonzero(np.isfinite(best))
+        kind = pa.int32() if by_doc_kind == "int" else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array((row + first).astype(np.int32)), pa.array(held[row, col], kind), pa.array(best[row, col])], names=["q", "doc_id", "score"])
 
-    return by_doc.mapInArrow(run, f"query_id {kind}, doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, score double")
+    by_doc_kind = by_doc.schema["doc_id"].dataType.simpleString()
+    return by_doc.mapInArrow(run, f"q int, doc_id {by_doc_kind}, score double")
 
 
 def kept(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

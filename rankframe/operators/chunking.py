@@ -33,23 +33,21 @@ def is_plain_header(line: Column, following: Column) -> Column:
 def sections(docs: DataFrame, text: str = "text", header: Callable[[Column, Column], Column] = is_header) -> DataFrame:
     """(doc_id, section_index, section_title, content): lines between headers; a section without content is dropped.
 
-    Lines of one document are taken by array functions, so nothing shuffles.
+    Lines of one document are taken by array functions, so nothing shuffles; a section is a slice between two headers.
     """
     lines = docs.select("doc_id", F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     lines = lines.withColumn("lines", F.transform("lines", lambda x, i: F.struct(F.trim(x).alias("line"), F.coalesce(header(x, F.get("lines", i + 1)), F.lit(False)).alias("header"))))
-    empty = F.array().cast("array<struct<title:string,parts:array<string>>>")
-    first = F.struct(empty.alias("done"), F.lit("").alias("title"), F.array().cast("array<string>").alias("parts"))
+    heads = F.concat(F.array(F.lit(-1)), F.filter(F.transform("lines", lambda x, i: F.when(x["header"], i)), lambda i: i.isNotNull()))
 
-    def step(acc: Column, x: Column) -> Column:
-        filed = F.when(F.size(acc["parts"]) > 0, F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["parts"].alias("parts")))).otherwise(acc["done"])
-        grown = F.when(x["line"] != "", F.array_append(acc["parts"], x["line"])).otherwise(acc["parts"])
-        none = F.array().cast("array<string>")
-        return F.struct(F.when(x["header"], filed).otherwise(acc["done"]).alias("done"), F.when(x["header"], x["line"]).otherwise(acc["title"]).alias("title"), F.when(x["header"], none).otherwise(grown).alias("parts"))
+    def cut(starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            inside = F.slice("lines", at + 2, F.coalesce(F.get(starts, k + 1), F.size("lines")) - at - 1)
+            parts = F.filter(F.transform(inside, lambda x: x["line"]), lambda x: x != "")
+            return F.struct(F.when(at >= 0, F.get("lines", F.greatest(at, F.lit(0)))["line"]).otherwise("").alias("title"), parts.alias("parts"))
 
-    def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["parts"]) > 0, F.array_append(acc["done"], F.struct(acc["title"].alias("title"), acc["parts"].alias("parts")))).otherwise(acc["done"])
+        return F.filter(F.transform(starts, one), lambda s: F.size(s["parts"]) > 0)
 
-    found = lines.select("doc_id", F.posexplode(F.aggregate("lines", first, step, finish)).alias("section_index", "s"))
+    found = lines.select("doc_id", F.posexplode(T.let(heads, cut)).alias("section_index", "s"))
     return found.select("doc_id", "section_index", F.col("s.title").alias("section_title"), F.array_join("s.parts", "\n").alias("content"))
 
 
@@ -60,27 +58,30 @@ def sentences(text: Column) -> Column:
 def packed(parts: Column, target: int = TARGET, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> Column:
     """array<struct<start,end,parts>>: sentences packed to chunks that repeat the last `overlap` sentences of the one before.
 
-    A chunk closes before a sentence if the target would be passed and it has the least length, or if it has the most. A
-    fold over the array; lengths leave out the joining spaces.
+    A chunk closes before a sentence if the target would be passed and it has the least length, or if it has the most. The
+    fold goes over the sentences' lengths and holds numbers only; a chunk is a slice. Lengths leave out the joining spaces.
     """
-    chunk = "struct<start:int,end:int,parts:array<string>>"
-    first = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit(0).alias("i"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(acc["cur"])
-        close = ((n > 0) & (acc["len"] + F.length(s) > target) & (acc["len"] >= least)) | (acc["len"] >= most)
-        kept = F.slice(acc["cur"], F.greatest(n - overlap + 1, F.lit(1)), F.lit(overlap))
-        cur = F.when(close, kept).otherwise(acc["cur"])
-        size = F.when(close, F.aggregate(kept, F.lit(0), lambda t, x: t + F.length(x))).otherwise(acc["len"])
-        done = F.when(close, F.array_append(acc["done"], F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end"), acc["cur"].alias("parts")))).otherwise(acc["done"])
-        start = F.when(close, F.greatest(acc["i"] - F.least(n, F.lit(overlap)), F.lit(0))).otherwise(acc["start"])
-        return F.struct(done.alias("done"), F.array_append(cur, s).alias("cur"), (size + F.length(s)).alias("len"), start.alias("start"), (acc["i"] + 1).alias("i"))
+    first = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit(0).alias("i"))
 
-    def finish(acc: Column) -> Column:
-        last = F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end"), acc["cur"].alias("parts"))
-        return F.when(F.size(acc["cur"]) > 0, F.array_append(acc["done"], last)).otherwise(acc["done"])
+    def bounds(lengths: Column) -> Column:
+        def step(acc: Column, size: Column) -> Column:
+            n = acc["i"] - acc["start"]
+            close = ((n > 0) & (acc["len"] + size > target) & (acc["len"] >= least)) | (acc["len"] >= most)
+            kept = F.least(n, F.lit(overlap))
+            held = F.aggregate(F.slice(lengths, acc["i"] - kept + 1, kept), F.lit(0), lambda t, x: t + x)
+            done = F.when(close, F.array_append(acc["done"], F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end")))).otherwise(acc["done"])
+            return F.struct(done.alias("done"), (F.when(close, held).otherwise(acc["len"]) + size).alias("len"), F.when(close, acc["i"] - kept).otherwise(acc["start"]).alias("start"), (acc["i"] + 1).alias("i"))
 
-    return F.aggregate(parts, first, step, finish)
+        def finish(acc: Column) -> Column:
+            last = F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end"))
+            return F.when(acc["i"] > acc["start"], F.array_append(acc["done"], last)).otherwise(acc["done"])
+
+        return F.aggregate(lengths, first, step, finish)
+
+    def sliced(ps: Column) -> Column:
+        return F.transform(T.let(F.transform(ps, F.length), bounds), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.slice(ps, c["start"] + 1, c["end"] - c["start"] + 1).alias("parts")))
+
+    return T.let(parts, sliced)
 
 
 def chunks(docs: DataFrame, text: str = "text", target: int = TARGET, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:

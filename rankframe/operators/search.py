@@ -52,8 +52,8 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, extra
     blended with what its query's terms weigh in it, raised by its quality and cut to k. The variants and one index of
     their terms are written once and serve both the hits and the weights.
     """
-    every, stats = written(variants(queries, extra), "variants"), bm25.corpus_stats(docs)
-    index = written(bm25.postings(docs, bm25.query_terms(every).select("term").distinct()), "postings")
+    every = written(variants(queries, extra), "variants")
+    index, stats = bm25.indexed(docs, bm25.query_terms(every).select("term").distinct())
     near = dense.nearest(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), queries, pool).select("query_id", "doc_id", "score", F.lit(-1).alias("variant_ord"))
     found = S.first_variant(near.unionByName(_first_hits(docs, every, pool, index, stats))).select("query_id", "doc_id", "variant_ord")
     asked = S.adaptive_alpha(queries, groups).select("query_id", "alpha", F.col("embedding").alias("_q"), T.without(T.tokens(F.col("text"))).alias("query_tokens"))

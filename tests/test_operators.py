@@ -1,10 +1,15 @@
 """Operators on small inputs: golden values from their formulas, and streams against their batch form."""
 
 import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rankframe.operators import metrics, monitoring, scoring
+from rankframe.functions import lang, queries
+from rankframe.functions import text as T
+from rankframe.operators import bm25, catalogue, graph, metrics, monitoring, scoring
 from rankframe.sources import logs
 from rankframe.streaming import measurements
 
@@ -76,3 +81,152 @@ def test_cooldown_stream(spark, tmp_path):
     frame = events(spark).where("failed")
     got = {tuple(r) for r in streamed(spark, frame, measurements.cooled, tmp_path, "cooled").where("alert_type <> 'late'").collect()}
     assert got == {tuple(r) for r in monitoring.cooled(frame, "alert_type").collect()} and got
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row older than the watermark, which an earlier batch has passed, doesn't count; one within it does."""
+    rows = [(f"2024-01-01 {t}", 1, False, 1.0) for t in ("00:01:00", "01:00:00")], [(f"2024-01-01 {t}", 1, False, 9.0) for t in ("00:02:00", "00:58:00")], [("2024-01-01 09:00:00", 2, False, 0.0)]
+    for k, part in enumerate(rows):
+        frame = spark.createDataFrame(part, "ts string, monitor int, failed boolean, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = measurements.windowed(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/out")
+        query.processAllAvailable()
+        query.stop()
+    got = {(str(r.start), r.n) for r in spark.read.parquet(f"{tmp_path}/out").where("monitor = 1").collect()}
+    assert got == {("2024-01-01 00:00:00", 1), ("2024-01-01 00:55:00", 1), ("2024-01-01 01:00:00", 1)}
+
+
+def test_session_stream_equals_batch(spark, tmp_path):
+    frame = events(spark)
+    got = {(r.user_id, str(r.start), r.n) for r in streamed(spark, frame, measurements.sessions, tmp_path, "sessions").where("user_id >= 0").collect()}
+    per = frame.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")).collect()
+    assert got == {(r.user_id, str(r.session_window.start), r.n) for r in per}
+
+
+def test_cooldown_of_a_hot_key(spark):
+    """One key with nearly all alerts, in bursts and alone, against a plain loop; null keys and times don't fire."""
+    r = random.Random(4)
+    times = [("hot", r.randint(0, 400) * 1000 + r.choice((0, 0, 900))) for _ in range(3000)] + [("cold", t) for t in (5, 3605, 7204, 7206, 20000)] + [(None, 1), ("hot", None)]
+    frame = spark.createDataFrame(times, "k string, s long").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    want, last = set(), {}
+    for k, t in sorted((k, t) for k, t in times if k is not None and t is not None):
+        if k not in last or t - last[k] >= 3600:
+            last[k] = t
+            want.add((k, t))
+    assert {(x.k, int(x.ts.timestamp())) for x in monitoring.cooled(frame, "k").collect()} == {(k, t) for k, t in want} and monitoring.cooled(frame.limit(0), "k").count() == 0
+
+
+def test_metric_drops_by_hand(spark):
+    base = spark.createDataFrame([("q", 0.8, 0.5, 0.6)], "query string, precision double, recall double, f1 double")
+    rows = spark.createDataFrame([("q", 0.73, 0.43, 0.53), ("q", 0.71, 0.42, 0.52), ("x", 0.0, 0.0, 0.0)], "query string, precision double, recall double, f1 double")
+    got = {(r.metric, r.value) for r in monitoring.metric_drops(rows, base, "query").collect()}
+    assert got == {("precision", 0.71), ("recall", 0.42), ("f1", 0.52)}
+
+
+def test_recommendations_and_activation(spark):
+    patterns = spark.createDataFrame([("safety", 0.2), ("dosing", 0.9), ("general", 0.4)], "category string, mean_precision double")
+    assert {tuple(r) for r in monitoring.recommendations(patterns, {"safety": "rank sections first"}).collect()} == {("safety", "rank sections first"), ("general", "review the ranking")}
+
+
+def test_query_expressions(spark):
+    texts = ["What is the dose of warfarin 5 mg in children, risk and danger?", "straße altes ältalt", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, q string").select("i", queries.features(F.col("q")).alias("f"), queries.category(F.col("q")).alias("c"), queries.feedback_metadata(F.col("q")).alias("m")).orderBy("i").collect()
+    f = rows[0].f
+    assert (f.length, f.has_question_mark, f.starts_with_wh, f.has_drug_names, f.has_dosage_terms, f.has_age_terms, f.has_hepatic_terms) == (13, True, True, True, True, True, False)
+    assert (f.drug_count, f.safety_term_count, f.age_term_count, rows[0].c, rows[0].m.contains_dosing_terms, rows[0].m.word_count) == (1, 2, 1, "dosing", True, 13)
+    assert not rows[1].f.has_hepatic_terms and rows[2].f.length == 0 and rows[3].c == "general"
+    names = spark.createDataFrame([("Pi ",), ("USA",), ("us",), ("",), (None,)], "n string").select(queries.document_type(F.col("n")).alias("t"), queries.region(F.col("n")).alias("r")).collect()
+    assert names[0].t.canonical == "pis" and "PRODUCT INFORMATION" in names[0].t.variants and names[0].t.variants == sorted(names[0].t.variants)
+    assert (names[1].r.canonical, names[1].r.variants) == ("USA", ["USA"]) and names[2].r.variants == ["UNITED STATES", "UNITED_STATES", "US", "USA"]
+    assert names[3].t.variants == [] and names[4].r.canonical is None and names[1].t.variants == ["usa", "USA"]
+
+
+def test_language_rules(spark):
+    texts = {"مرحبا بالعالم العربي": "ar", "你好世界这是中文文本测试": "zh", "これはにほんごのぶんしょうです": "ja", "안녕하세요 세계 여러분": "ko", "Привет мир, как дела": "ru", "el gato de la casa con los perros": "es", "short": "en", "   el la de   ": "en", "plain words without any votes": "en"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lang.detect(F.col("t")).alias("l")).collect()
+    assert {r.t: r.l for r in got} == texts
+    assert spark.range(1).select(lang.name(F.lit("tr")), lang.name(F.lit("xx"))).first()[:] == ("Turkish", "Unknown")
+
+
+def test_logs_and_exports(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", 1.5, "2024-01-01"), ("b", 2.5, "2024-01-02")], "q string, v double, d string").withColumn("ts", F.col("d").cast("timestamp")).drop("d")
+    logs.append_daily(rows, path)
+    logs.append_daily(rows.limit(1), path)
+    (tmp_path / "log" / "date=2024-01-01" / "more.json").write_text('not json\n\n{"q": "c", "v": 3.0}\n')
+    schema = rows.drop("ts").schema
+    assert sorted(r.q for r in logs.daily(spark, path, schema).collect()) == ["a", "a", "b", "c"]
+    assert [r.line for r in logs.rejected(spark, path, schema).collect()] == ["not json"]
+    truth = spark.createDataFrame([("q", "1")], "query_id string, doc_id string")
+    assert logs.with_judgements(truth, spark.createDataFrame([("q", "1"), ("q", "2")], truth.schema)).count() == 2
+    logs.export(rows.select("q", F.struct("v").alias("nested")), str(tmp_path / "out"))
+    assert {(r.q, r.nested.v) for r in spark.read.json(str(tmp_path / "out")).collect()} == {("a", 1.5), ("b", 2.5)}
+    links = spark.createDataFrame([("https://drive.google.com/file/d/XY/view",), ("https://drive.google.com/open?id=Z&x=1",), ("https://a.b/c",)], "u string").select(logs.download_link(F.col("u")).alias("l")).collect()
+    assert [r.l for r in links] == ["https://drive.google.com/uc?export=download&id=XY", "https://drive.google.com/uc?export=download&id=Z", "https://a.b/c"]
+
+
+def test_guarded_delete(spark, tmp_path):
+    path = str(tmp_path / "ns")
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "ns string, v int").write.partitionBy("ns").parquet(path)
+    assert catalogue.delete_namespace(spark, path, "ns", "a") == 2 and spark.read.parquet(path).count() == 3
+    assert catalogue.delete_namespace(spark, path, "ns", "a", dry_run=False) == 2 and [r.v for r in spark.read.parquet(path).collect()] == [3]
+    assert catalogue.delete_namespace(spark, path, "ns", "none", dry_run=False) == 0
+
+
+def test_requests(spark):
+    bodies = ['{"instance_id": "1", "document_type": "x", "source_type": "api"}', "{oops", "[1]", '{"instance_id": "1", "source_type": "fax"}', None]
+    frame = spark.createDataFrame([(k, b, False) for k, b in enumerate(bodies)], "i int, body string, has_file boolean")
+    got = {r.i: (r.route, r.errors) for r in catalogue.validated(frame).collect()}
+    assert got[0] == ("api", []) and got[1] == (None, ["not a JSON object"]) and got[3] == (None, ["missing document_type", "unknown source_type"]) and got[4][0] is None and got[2][0] is None
+
+
+def test_sql_functions(spark):
+    catalogue.register_functions(spark, catalogue.SQL_FUNCTIONS)
+    row = spark.sql(r"SELECT normalised_text(' a \t b\r\n\n\n\nc ') AS t, word_jaccard('A b c', 'b C d') AS j").first()
+    assert row.t == "a b\n\nc" and row.j == 0.5
+
+
+def test_embedding_and_search_plugs(spark):
+    frame = spark.createDataFrame([(1, "red green blue"), (2, ""), (3, None), (4, "green red blue")], "i int, t string")
+    got = {r.i: np.array(r.embedding) for r in catalogue.embedded(frame, "t", T.hashed_embedding).collect()}
+    assert math.isclose(np.linalg.norm(got[1]), 1, rel_tol=1e-6) and not got[2].any() and not got[3].any() and np.allclose(got[1], got[4])
+    assert spark.range(1).select(T.padded(F.array(F.lit(1.0).cast("float")), 3)).first()[0] == [1.0, 0.0, 0.0]
+    with pytest.raises(ValueError):
+        catalogue.compared(frame, {})
+
+
+def test_passages_of_any_length_and_script(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "Привет мир, как дела"), (3, "x"), (4, None), (5, "zz two three z")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "two three"), (2, "мир, как"), (3, "x"), (4, "two three four five"), (5, "zz")], "query_id long, text string")
+    want = {(1, 1), (1, 5), (2, 2), (3, 3), (5, 5), (4, 1)}
+    assert {tuple(r) for r in bm25.containing(docs, asked).collect()} == want
+    assert bm25.containing(docs.limit(0), asked).count() == 0 and bm25.search(docs, asked.limit(0), 3).count() == 0
+
+
+def test_bm25_against_plain_loops(spark):
+    """The running top k over several tasks and blocks of queries against scores by the formula."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "ff", f"w{chr(97 + r.randint(0, 25))}"]) for _ in range(r.randint(0, 12))) for _ in range(80)]
+    asks = [" ".join(r.choice(["aa", "bb", "ff", "wq", "we", "none"]) for _ in range(r.randint(1, 5))) for _ in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = bm25.search(docs, spark.createDataFrame(list(enumerate(asks)), "query_id long, text string"), 7).collect()
+    tokens, n = [t.split() for t in texts], len(texts)
+    average = sum(map(len, tokens)) / n
+    terms = {w for a in asks for w in a.split()}
+    df = {w: sum(w in t for t in tokens) for w in terms if any(w in t for t in tokens)}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    want = []
+    for q, a in enumerate(asks):
+        scores = [(round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in a.split() if w in idf), 9), d) for d, t in enumerate(tokens)]
+        want += [(q, d, k + 1) for k, (s, d) in enumerate(sorted((s for s in scores if s[0] > 0), key=lambda s: (-s[0], s[1]))[:7])]
+    assert sorted((r.query_id, r.doc_id, r.rank) for r in found) == sorted(want)
+
+
+def test_hub_entities_in_expansion(spark):
+    """An entity of all documents brings the smallest ids that the results lack, whatever is held already."""
+    mentioned = spark.createDataFrame([(d, "hub") for d in range(500)] + [(7, "rare"), (400, "rare")], "doc_id long, entity string")
+    results = spark.createDataFrame([(1, d, 1.0) for d in range(0, 12)], "query_id long, doc_id long, score double")
+    related = spark.createDataFrame([(1, "hub"), (1, "rare"), (2, "rare")], "query_id long, entity string")
+    got = graph.expanded(results, related, mentioned, most=3).collect()
+    assert sorted(r.doc_id for r in got if r.query_id == 1 and r.score < 1) == [12, 13, 14] and sorted(r.doc_id for r in got if r.query_id == 2) == [7, 400]
