@@ -21,10 +21,23 @@ def recent(rows: DataFrame, as_of: str | Column, days: int, ts: str = "ts") -> D
     return rows.where((F.col(ts) > at - F.make_dt_interval(F.lit(days))) & (F.col(ts) <= at))
 
 
-def rolling_error_rate(rows: DataFrame, failed: Column, key: str, last: int = 100, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Adds error_rate: the share of failures among the last `last` rows of the key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(last - 1), 0)
-    return rows.withColumn("error_rate", F.avg(failed.cast("double")).over(w))
+def rolling_error_rate(rows: DataFrame, failed: Column, key: str, last: int = 100, order: Sequence[str] = ("ts", "event_id"), unit: str = "day") -> DataFrame:
+    """Adds error_rate: the share of failures among the last `last` rows of the key, in the given order, of which the first is a time.
+
+    A key's rows are taken by stretches of time (`unit`), each led by as many of the rows before it as its first rows look back on; so a
+    hot key is many windows. Counts by key and stretch tell which stretches these are. Rows without a time come first.
+    """
+    stretch = F.coalesce(F.date_trunc(unit, F.col(order[0]).cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    tagged = rows.withColumn("_failed", failed.cast("double")).withColumn("_b", stretch)
+    counts = tagged.groupBy(F.col(key).alias("_key"), "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(Window.partitionBy("_key").orderBy("_b")))
+    later = counts.select(F.col("_key").alias("_key2"), F.col("_b").alias("_to"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    leads = counts.join(later, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_b") < F.col("_to")) & (F.col("_before") - F.col("_upto") < last - 1)).select("_key", F.col("_b").alias("_from"), "_to")
+    back = Window.partitionBy(key, "_b").orderBy(*[F.desc(c) for c in order])
+    tails = tagged.withColumn("_r", F.row_number().over(back)).where(F.col("_r") < last).drop("_r")
+    ahead = tails.join(leads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_from"))).drop("_key", "_from", "_b").withColumnRenamed("_to", "_b")
+    both = tagged.withColumn("_own", F.lit(True)).unionByName(ahead.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(-(last - 1), 0)
+    return both.withColumn("error_rate", F.avg("_failed").over(w)).where("_own").select(*rows.columns, "error_rate")
 
 
 def last_n(rows: DataFrame, key: str, n: int = 1000, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

@@ -237,11 +237,18 @@ def fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.paragraphs_packed(C.lines_of(T.normalised(F.col("text"))), F.lit(1200))).alias("chunk_index", "text"))
 
 
-@register(f"WITH {learning.CANDIDATES_SQL} SELECT query_id, count(*) AS n, round(0.3 * least(avg(score) / 0.5, 1.0) + 0.3 * least(count(DISTINCT lang) / 3.0, 1.0) + 0.2 * least(count(DISTINCT source) / 5.0, 1.0) + 0.2 * 0.5, 6)::DOUBLE AS quality FROM ca JOIN documents USING (doc_id) GROUP BY 1")
+@register(
+    rf"""WITH {learning.CANDIDATES_SQL}, pw AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS a FROM benchmark),
+nw AS (SELECT query_id, doc_id, score, lang, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS b FROM ca JOIN documents USING (doc_id)),
+si AS (SELECT nw.*, len(list_intersect(a, b))::DOUBLE / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1) AS similarity FROM nw JOIN pw USING (query_id))
+SELECT query_id, count(*) AS n, round(0.3 * least(avg(score) / 0.5, 1.0) + 0.3 * least(count(DISTINCT lang) / 3.0, 1.0) + 0.2 * least(count(DISTINCT source) / 5.0, 1.0) + 0.2 * least(avg(similarity), 1.0), 6)::DOUBLE AS quality FROM si GROUP BY 1"""
+)
 def negative_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N5."""
-    found = learning._parts(spark, sf_dir)[0].join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("similarity", F.lit(0.5))
-    return N.quality(found, "lang", F.col("source")).withColumn("quality", F.round("quality", 6))
+    """The passage itself is the positive that the negatives are compared with."""
+    found = learning._parts(spark, sf_dir)[0].join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    likeness = N.semantic(found, _passages(spark, sf_dir), N.MOST_CANDIDATES).select("query_id", "doc_id", "similarity")
+    rated = found.join(likeness, ["query_id", "doc_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return N.quality(rated, "lang", F.col("source")).withColumn("quality", F.round("quality", 6))
 
 
 def _adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,10 +49,13 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_sentence_index").cast("long").alias("start_sentence_index"), F.col("end_sentence_index").cast("long").alias("end_sentence_index"), "text")
 
 
-@register(r"WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents), "
-          r"se AS (SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS k FROM n) SELECT doc_id, k AS n_sentences, k AS n_covered, 1.0::DOUBLE AS coverage FROM se WHERE k > 0")
+@register(
+    f"""WITH ck AS ({ORACLES["document_chunks"]}), {PACK_SQL}, un AS (SELECT doc_id, i, ss[i + 1] AS sentence FROM (SELECT doc_id, ss, unnest(range(len(ss))) AS i FROM se)),
+ok AS (SELECT un.doc_id, i, bool_or(contains(ck.text, sentence)) AS ok FROM un LEFT JOIN ck ON un.doc_id = ck.doc_id GROUP BY ALL)
+SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (ok) AS n_covered, (count(*) FILTER (ok))::DOUBLE / count(*) AS coverage FROM ok GROUP BY 1"""
+)
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence stands in some chunk."""
+    """How many of each document's sentences stand in some chunk."""
     docs = table(spark, sf_dir, "documents")
     return C.coverage(docs, C.chunks(docs))
 

@@ -20,8 +20,9 @@ BOUNDARY_SQL = f"{CANDIDATES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY q
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, queries = table(spark, sf_dir, "documents"), _passages(spark, sf_dir)
-    qrels = bm25.containing(docs, queries)
-    return N.candidates(bm25.search(docs, queries, K), qrels), qrels
+    index, stats = bm25.indexed(docs, bm25.query_terms(queries).select("term").distinct())
+    qrels = bm25.containing(docs, queries, index)
+    return N.candidates(bm25.search(docs, queries, K, index=index, stats=stats), qrels), qrels
 
 
 @register(f"WITH {CANDIDATES_SQL} SELECT query_id, doc_id, pos FROM ca")

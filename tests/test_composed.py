@@ -136,3 +136,11 @@ def test_ingest_replaces(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, text string").parquet(source)
         ingest.ingest(stream, path, str(tmp_path / "progress")).awaitTermination()
     assert {(r.doc_id, r.text) for r in ingest.current(spark, path).collect()} == {(1, "New text."), (2, "Stays.")}
+
+
+def test_mining_statistics_count_the_negatives(spark):
+    from rankframe.plans import composed
+
+    each = composed.adaptive_negatives(spark, "/root/testdata/sf0.001").collect()
+    got = {(r.strategy, r.n_queries, r.n_negatives) for r in composed.mining_statistics(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(s, len({r.query_id for r in each if r.strategy == s}), sum(r.strategy == s for r in each)) for s in {r.strategy for r in each}}

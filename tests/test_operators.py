@@ -230,3 +230,18 @@ def test_hub_entities_in_expansion(spark):
     related = spark.createDataFrame([(1, "hub"), (1, "rare"), (2, "rare")], "query_id long, entity string")
     got = graph.expanded(results, related, mentioned, most=3).collect()
     assert sorted(r.doc_id for r in got if r.query_id == 1 and r.score < 1) == [12, 13, 14] and sorted(r.doc_id for r in got if r.query_id == 2) == [7, 400]
+
+
+def test_rolling_rate_of_a_hot_key(spark):
+    """Dense and sparse days, a null key and a null time, against a plain loop."""
+    r = random.Random(7)
+    made = [("hot", r.choice((0, 0, 0, 1, 5, 9, 30)) * 86400 + r.randint(0, 80000)) for _ in range(700)] + [("rare", d * 86400) for d in range(40)] + [(None, 5), (None, 7), ("rare", None)]
+    rows = [(k, s, i, r.random() < 0.3) for i, (k, s) in enumerate(made)]
+    frame = spark.createDataFrame(rows, "k string, s long, event_id int, bad boolean").withColumn("ts", F.timestamp_seconds("s")).repartition(4)
+    got = {x.event_id: x.error_rate for x in monitoring.rolling_error_rate(frame, F.col("bad"), "k", last=25).collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", "rare", None):
+        mine = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        for i, x in enumerate(mine):
+            near = [y[3] for y in mine[max(0, i - 24) : i + 1]]
+            assert math.isclose(got[x[2]], sum(near) / len(near))
