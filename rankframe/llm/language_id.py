@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankframe.llm.common import held_out, kept_as, sampled, slices, written
+from rankframe.llm.common import held_out, kept_as, sampled, slices
 
 #: n-gram lengths, and the bits of their hashes.
 ORDERS, HASH_BITS = (1, 2, 3, 4), 20
@@ -187,9 +187,10 @@ def identified_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.col("lang").isNotNull().alias("known"))
     if model is None:
         return rows.where(F.col("text").rlike(r"\p{L}")).select("doc.*")
-    found = written(predicted(rows, model, keep=("doc", "known")).where(F.col("lang_pred") != UNKNOWN), "languages")
-    floor = found.where("known").agg(F.percentile_approx("score", F.lit(FLOOR_SHARE), F.lit(100_000))).first()[0] or 0.0
-    return found.where(F.col("score") >= FLOOR_FACTOR * floor).select("doc.*")
+    known = predicted(rows.where("known"), model, keep=("known",)).where(F.col("lang_pred") != UNKNOWN)
+    floor = known.agg(F.percentile_approx("score", F.lit(FLOOR_SHARE), F.lit(100_000))).first()[0] or 0.0
+    # scored once more, so that no copy of the texts is written
+    return predicted(rows, model, keep=("doc",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= FLOOR_FACTOR * floor)).select("doc.*")
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
