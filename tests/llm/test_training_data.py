@@ -347,7 +347,7 @@ def test_model_score_against_plain_loops(spark, monkeypatch):
     train = [t for k, t in enumerate(texts) if not is_held(k, 7, 2)]
     flat = Counter(w for t in train for w in words_of(t))
     total = sum(flat.values()) + len(train)
-    known = {w for w, c in flat.items() if c >= max(8, -(-total // 50_000))}
+    known = {w for w, c in flat.items() if c >= max(8, -(-total // 10_000))}
     kept = {}
     inner = pitman_yor.scored_lexicon
 
@@ -357,8 +357,9 @@ def test_model_score_against_plain_loops(spark, monkeypatch):
         return inner(lexicon, model)
 
     monkeypatch.setattr(pitman_yor, "scored_lexicon", spied)
-    for hot in (10**6, 30):  # all words broadcast, or the rare ones joined
-        monkeypatch.setattr(pitman_yor.frequent, "__defaults__", (hot, hot))
+    for hot, cells in ((10**6, 10**6), (30, 10**6), (30, 20), (10**6, 0)):  # all is told to the tasks, or rare words and entries are joined
+        monkeypatch.setattr(pitman_yor, "HOT_WORDS", hot)
+        monkeypatch.setattr(pitman_yor, "HOT_ENTRIES", cells)
         got = {x.doc_id: x for x in pitman_yor.score(frame).collect()}
         m, scored = kept["model"], kept["scored"]
         hashes = dict(zip(sorted(known), pitman_yor.word_hashes(__import__("pyarrow").array(sorted(known))), strict=True))
