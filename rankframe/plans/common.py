@@ -7,6 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The words left out of queries, as SQL literals for the oracles, written out apart from the library's own list.
+STOP_LIST = ", ".join(
+    f"'{w}'"
+    for w in (
+        "the and for with from that this have will shall under when into upon such which been were your their than about each within while those these there after before "
+        "during because other where patients patient should could would might effect effects used using use dose doses per day days week weeks month months or of via onto"
+    ).split()
+)
+
+
 def registering(queries: dict, oracles: dict) -> Callable:
     def register(sql: str | None = None) -> Callable:
         def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

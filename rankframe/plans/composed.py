@@ -12,7 +12,7 @@ from rankframe.operators import conversations as V
 from rankframe.operators import scoring as S
 from rankframe.operators import training as N
 from rankframe.plans import conversing, ingesting, learning, scoring
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import STOP_LIST, registering, table
 from rankframe.plans.retrieval import BM25_SQL, METRICS_SQL, QRELS_SQL, K, _passages
 
 QUERIES: dict = {}
@@ -118,7 +118,7 @@ dq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e FROM benchmark JOIN
 dn AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(dq.e, dd.e), 9) DESC, doc_id) AS rank FROM dq, dd),
 al2 AS (SELECT query_id, doc_id, min(o) AS variant_ord FROM (SELECT query_id, doc_id, -1 AS o FROM dn WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, variant_ord FROM mu) GROUP BY ALL),
 ix AS (WITH {BM25_SQL} SELECT query_id, term, idf FROM q JOIN idf USING (term) WHERE idf > 0),
-hh AS (SELECT u.query_id, u.doc_id, u.variant_ord, d.text, d.source, coalesce(list_cosine_similarity(dq.e, dd.e), 0) AS score, al.alpha, list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], x)) AS query_tokens
+hh AS (SELECT u.query_id, u.doc_id, u.variant_ord, d.text, d.source, coalesce(list_cosine_similarity(dq.e, dd.e), 0) AS score, al.alpha, list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains([{STOP_LIST}], x)) AS query_tokens
   FROM al2 u JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = u.query_id JOIN al ON al.query_id = u.query_id LEFT JOIN dq ON dq.query_id = u.query_id LEFT JOIN dd ON dd.doc_id = u.doc_id),
 bo AS (SELECT hh.query_id, doc_id, sum(CASE WHEN contains(lower(text), term) THEN idf ELSE 0 END) AS boost FROM hh JOIN ix USING (query_id) GROUP BY ALL),
 hf AS (SELECT hh.*, coalesce(boost, 0) AS boost, boost IS NOT NULL AS has, length(text) AS n, len(query_tokens) AS asked, len(list_filter(query_tokens, lambda t: contains(lower(text), t))) AS found FROM hh LEFT JOIN bo USING (query_id, doc_id)),
@@ -174,7 +174,7 @@ def grounded_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH a AS (WITH {BM25_SQL}, {QRELS_SQL}, {METRICS_SQL} SELECT * FROM ev), b AS (WITH {BM25_SQL.replace('run AS (', 'run0 AS (')}, {QRELS_SQL},
-  s AS (SELECT run0.query_id, run0.doc_id, score, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], x))) AS qt, regexp_extract_all(lower(d.text), '[a-z]{{2,}}') AS tt FROM run0 JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE trim(d.text) <> ''),
+  s AS (SELECT run0.query_id, run0.doc_id, score, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains([{STOP_LIST}], x))) AS qt, regexp_extract_all(lower(d.text), '[a-z]{{2,}}') AS tt FROM run0 JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE trim(d.text) <> ''),
   run AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, tt))::DOUBLE / len(qt) ELSE 0.0 END, 9) DESC, doc_id) AS rank FROM s), {METRICS_SQL} SELECT * FROM ev),
 x AS (SELECT 'mrr' AS metric, avg(mrr) AS v FROM a WHERE has_truth UNION ALL SELECT 'ndcg', avg(ndcg) FROM a WHERE has_truth UNION ALL SELECT 'map', avg(map) FROM a WHERE has_truth),
 y AS (SELECT 'mrr' AS metric, avg(mrr) AS v FROM b WHERE has_truth UNION ALL SELECT 'ndcg', avg(ndcg) FROM b WHERE has_truth UNION ALL SELECT 'map', avg(map) FROM b WHERE has_truth)

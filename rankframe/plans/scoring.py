@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankframe.functions import text as T
 from rankframe.operators import bm25
 from rankframe.operators import scoring as S
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import STOP_LIST, registering, table
 from rankframe.plans.retrieval import BM25_SQL, K, _passages
 
 QUERIES: dict = {}
@@ -64,7 +64,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUN_SQL = f"""{BM25_SQL},
-hit AS (SELECT run.*, d.text, d.source, list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], x)) AS query_tokens FROM run JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id)"""
+hit AS (SELECT run.*, d.text, d.source, list_filter(regexp_extract_all(lower(b.text), '[a-z]{{2,}}'), lambda x: NOT list_contains([{STOP_LIST}], x)) AS query_tokens FROM run JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id)"""
 
 
 @register(
@@ -115,7 +115,7 @@ def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {RUN_SQL}, t AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM hit WHERE rank <= 3),
-c AS (SELECT query_id, term, count(*) AS n FROM t WHERE term NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with') AND (query_id, term) NOT IN (SELECT (query_id, term) FROM q) GROUP BY ALL),
+c AS (SELECT query_id, term, count(*) AS n FROM t WHERE term NOT IN ({STOP_LIST}) AND (query_id, term) NOT IN (SELECT (query_id, term) FROM q) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS rank FROM c) SELECT * FROM k WHERE rank <= 5"""
 )
 def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
