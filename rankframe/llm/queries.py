@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, language_id, license_scan, media, mixing, pitman_yor, quality_rules, resampling, simhash, toxicity
+from rankframe.llm import bpe, language_id, license_scan, media, mixing, packing, pitman_yor, quality_rules, resampling, simhash, toxicity
 from rankframe.llm.common import table
 
 
@@ -52,13 +52,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_webp, op2_mix_sources, op3_license_scan, op4_language_id, op5_pitman_yor, op6_simhash_golay, op7_importance_resampling, op8_byte_bpe, op9_toxicity_nnpu, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_webp, op2_mix_sources, op3_license_scan, op4_language_id, op5_pitman_yor, op6_simhash_golay, op7_importance_resampling, op8_byte_bpe, op9_toxicity_nnpu, op10_quality_rules, op11_pack_sequences, pipeline)}
 
 #: A word of the license scan.
 LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
