@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankframe.llm import bpe, language_id, license_scan, media, mixing, packing, pitman_yor, quality_rules, resampling, simhash, toxicity
+from rankframe.llm import bpe, centroids, language_id, license_scan, media, merkle, mixing, packing, pitman_yor, quality_rules, resampling, simhash, toxicity
 from rankframe.llm.common import table
 
 
@@ -57,13 +57,21 @@ def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proved(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).drop("n_measured")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_webp, op2_mix_sources, op3_license_scan, op4_language_id, op5_pitman_yor, op6_simhash_golay, op7_importance_resampling, op8_byte_bpe, op9_toxicity_nnpu, op10_quality_rules, op11_pack_sequences, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_webp, op2_mix_sources, op3_license_scan, op4_language_id, op5_pitman_yor, op6_simhash_golay, op7_importance_resampling, op8_byte_bpe, op9_toxicity_nnpu, op10_quality_rules, op11_pack_sequences, op12_merkle_manifest, op13_centroid_threshold, pipeline)}
 
 #: A word of the license scan.
 LICENSE_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -121,4 +129,48 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(ba.n, 0)::BIGINT AS n_base,
 FROM w LEFT JOIN ba USING (rid) LEFT JOIN mt USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_license_scan": LICENSE_SQL}
+
+def _levels(start: str, by: str, levels: int, first: str) -> str:
+    """CTEs of the nodes <first>0, <first>1, ... of trees of up to 16^levels leaves, their runs, and the paths of all leaves through them."""
+    out = [f"{first}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {by}) AS n FROM {start}), {first}f0 AS MATERIALIZED (SELECT *, pos AS p, h AS own, '' AS proof FROM {first}0)"]
+    for k in range(levels):
+        out.append(f"""{first}r{k} AS MATERIALIZED (SELECT {by}, pos // 16 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {first}{k} GROUP BY ALL),
+{first}{k + 1} AS MATERIALIZED (SELECT {by}, run AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {first}r{k}),
+{first}f{k + 1} AS MATERIALIZED (SELECT f.* REPLACE (f.p // 16 AS p, CASE WHEN r.n = 1 THEN f.folded ELSE sha256(array_to_string(hs[:f.p % 16], '') || f.folded || array_to_string(hs[f.p % 16 + 2:], '')) END AS folded,
+  CASE WHEN r.n = 1 THEN f.proof ELSE f.proof || array_to_string(hs[:f.p % 16], '') || array_to_string(hs[f.p % 16 + 2:], '') END AS proof) FROM {first}f{k} f JOIN {first}r{k} r ON f.{by} = r.{by} AND f.p // 16 = r.run)""")
+    return ",\n".join(out)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 bit by bit over the digits of the id.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))))"
+#: Trees of up to 16^5 documents and 16^4 sources, all levels written out.
+MERKLE_SQL = f"""
+WITH lf AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256(concat({", ".join(_FIELD.format(c) for c in merkle.FIELDS)})) AS h,
+  CASE WHEN {_CRC} % 5 = 0 THEN sha256(concat({", ".join(_FIELD.format(c) for c in merkle.FIELDS[:-1])}, CASE WHEN text IS NULL THEN '-' ELSE strlen({_LOW}) || ':' || {_LOW} END)) END AS t FROM documents),
+ps AS (SELECT *, coalesce(t, h) AS folded, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM lf),
+{_levels("ps", "tree", 5, "a")},
+sr AS (SELECT tree AS source, h, h AS folded, '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM a5),
+{_levels("sr", "tree", 4, "b")},
+fl AS (SELECT f.doc_id, f.own, f.folded AS at_source, f.proof AS below, s.h AS subroot, s.pos FROM af5 f JOIN sr s ON f.tree = s.source),
+g0 AS (SELECT *, pos AS p, at_source AS folded FROM fl),
+{", ".join(f"g{k + 1} AS (SELECT g.* REPLACE (g.p // 16 AS p, CASE WHEN r.n = 1 THEN g.folded ELSE sha256(array_to_string(hs[:g.p % 16], '') || g.folded || array_to_string(hs[g.p % 16 + 2:], '')) END AS folded) FROM g{k} g JOIN br{k} r ON g.p // 16 = r.run)" for k in range(4))}
+SELECT doc_id, g4.own AS leaf, g4.subroot, b4.h AS root, sha256(below || bf4.proof) AS proof_sha256, g4.folded AS folded_root, g4.folded = b4.h AS verified, (len(below || bf4.proof) // 64)::BIGINT AS n_siblings
+FROM g4 JOIN bf4 ON bf4.pos = g4.pos, b4
+"""
+
+_CLUSTER_ROUNDS = ",\n".join(
+    f"""a{r} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v.e) AS e, min({{'d': list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c}}) AS b FROM v, c{r} k GROUP BY rid),
+s{r} AS (SELECT c, list(x ORDER BY i) AS e FROM (SELECT b.c AS c, i, floor(sum(e[i]) / count(*))::BIGINT AS x FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT k.c, coalesce(s.e, k.e) AS e FROM c{r} k LEFT JOIN s{r} s ON k.c = s.c)""" for r in range(11))
+#: All rounds written out, every vector against every centroid.
+CLUSTER_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c, e FROM v QUALIFY c < 8),
+{_CLUSTER_ROUNDS}
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.c)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256 FROM a10 JOIN c10 k ON k.c = b.c
+"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": MIX_SQL, "op3_license_scan": LICENSE_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_centroid_threshold": CLUSTER_SQL}
