@@ -6,7 +6,7 @@ larger one. The least sum of padding and penalties over all ways to cut is found
 size less than the full one, so the best start of a window that ends at j has the least cost plus position among the last `size`
 tokens, which a monotone queue hands out; windows of a power of two need no padding and are looked up apart.
 
-The sum is least within a chunk of CHUNK tokens or one longer document; a chunk ends with a document, so documents are never moved
+The sum is least within a chunk of CHUNK tokens (a parameter) or one longer document; a chunk ends with a document, so documents are never moved
 and a task holds one chunk. Sequences hold documents of one task only: where the table is read in other splits, the sequences differ.
 """
 
@@ -149,7 +149,7 @@ class Chunk:
 OUTPUTS = (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))
 
 
-def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_tokens: int = CHUNK) -> DataFrame:
     """One row per piece: docs' columns of `keep`, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id and offset.
 
     A document's tokens are its ids and one end id; null text has the end id alone. Repeated rows are documents of their own; an
@@ -168,7 +168,7 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, text: str
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "_text"):
             chunk.add(codec, batch)
-            if chunk.tokens >= CHUNK:
+            if chunk.tokens >= chunk_tokens:
                 arrays, n = chunk.pieces(size, number)
                 number += n
                 chunk = Chunk()
