@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,42 @@ class Codec:
             out[k] = ids
         return out
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow array one after another, and how many each has: encode() with words split, told apart and
+        put together by columns. A text of other white space stands as one word of its own."""
+        values = pc.binary_join_element_wise("\n", texts.fill_null(""), "")
+        pieces = pc.split_pattern(pc.replace_substring(values, "\n", " \n"), " ")
+        coded = pieces.flatten().dictionary_encode()
+        index, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at = pieces.offsets.to_numpy().astype(np.int64)
+        at, ends = at[:-1] - at[0], at[1:] - at[0]
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+        fresh = [w for w in names if w not in self.words]
+        odd = {w for w in fresh if not w or w[-1].isspace() or w[0] != "\n" and w[0].isspace() or w[0] == "\n" and w[1:2].isspace()}
+        self.learn([w for w in fresh if w not in odd])
+        strange = np.fromiter((w in odd for w in names), dtype=bool, count=len(names))[index]
+        strange[at] = False  # what stands before the first newline is no word
+        whole = np.logical_or.reduceat(strange, at) if len(at) else strange
+        first, where = np.unique(index[at[~whole] + 1], return_inverse=True)
+        rest = [texts[k].as_py() or "" for k in np.flatnonzero(whole).tolist()]
+        index[at[~whole] + 1] = len(names) + where
+        index[at[whole]] = len(names) + len(first) + np.arange(len(rest))
+        kept = np.ones(len(index), dtype=bool)
+        kept[at[~whole]] = False
+        for k in np.flatnonzero(whole).tolist():
+            kept[at[k] + 1 : ends[k]] = False
+        empty = b""
+        data = [self.words.get(w, empty) for w in names] + self.whole([names[k][1:] for k in first.tolist()]) + self.whole(rest)
+        length = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+        table, start = np.frombuffer(b"".join(data), dtype="<u4"), np.cumsum(length) - length
+        sizes = np.where(kept, length[index], 0)
+        counts = np.add.reduceat(sizes, at) if len(at) else sizes
+        index = index[kept]
+        sizes = length[index]
+        place = np.repeat(start[index] - (np.cumsum(sizes) - sizes), sizes)
+        return table[place + np.arange(len(place))], counts
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids."""
         every = np.frombuffer(b"".join(ids), dtype="<u4")

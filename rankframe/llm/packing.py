@@ -33,6 +33,8 @@ SENTENCE_CUT = 2
 INNER_CUT = 6
 #: Tokens without the end of a sentence after which a cut may fall.
 STEP = 32
+#: Text that is encoded in one vectorised step (a longer single text is one of its own).
+STEP_BYTES = 4 << 20
 #: Tokens over which the sum is least.
 CHUNK = 1 << 20
 
@@ -43,12 +45,15 @@ def windows(bounds: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.nda
     Cost: for each window, `size` less its length, nothing for a power of two, and the penalty of the bound where it ends.
     """
     n = len(bounds)
-    exact: dict[int, list[int]] = {}
+    ends, starts = [], []
     for p in (1 << e for e in range(size.bit_length())):
         start = np.searchsorted(bounds, bounds - p)
         hit = np.flatnonzero(bounds[start] == bounds - p)
-        for j, i in zip(hit.tolist(), start[hit].tolist()):
-            exact.setdefault(j, []).append(i)
+        ends.append(hit)
+        starts.append(start[hit])
+    end = np.concatenate(ends)
+    exact = np.concatenate(starts)[np.argsort(end, kind="stable")].tolist()  # starts of windows of a power of two, by where they end
+    upto, k = np.cumsum(np.bincount(end, minlength=n)).tolist(), 0
     place, pen = bounds.tolist(), penalty.tolist()
     cost, back = [0] * n, [0] * n
     key = [place[0]] * n
@@ -59,9 +64,11 @@ def windows(bounds: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.nda
             queue.popleft()
         i = queue[0]
         least = key[i] + size - at
-        for e in exact.get(j, ()):
-            if cost[e] < least:
-                least, i = cost[e], e
+        while k < upto[j]:
+            if cost[exact[k]] < least:
+                i = exact[k]
+                least = cost[i]
+            k += 1
         cost[j] = least = least + pen[j]
         back[j] = i
         key[j] = least = least + at
@@ -97,9 +104,7 @@ class Chunk:
 
     def add(self, codec: Codec, batch: pa.RecordBatch) -> None:
         text = batch.column("_text")
-        encoded = codec.encode([t or "" for t in text.to_pylist()])
-        plain = np.frombuffer(b"".join(encoded), dtype="<u4")
-        counts = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
+        plain, counts = codec.flat(text)
         before = np.concatenate([[0], np.cumsum(counts)])
         data, _ = text_bytes(text)
         stop = np.cumsum(codec.length[plain])
@@ -166,7 +171,7 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SIZE, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, chunk = Codec.of(file), Chunk()
         number = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", STEP_BYTES):
             chunk.add(codec, batch)
             if chunk.tokens >= chunk_tokens:
                 arrays, n = chunk.pieces(size, number)

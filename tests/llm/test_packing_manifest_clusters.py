@@ -219,3 +219,17 @@ def test_queries_over_given_tables(spark):
     assert Counter(tuple(r)[:7] for r in queries.op12_merkle_manifest(spark, sf).collect()) == Counter(plain_manifest(rows))
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     assert Counter(map(tuple, queries.op13_centroid_threshold(spark, sf).collect())) == plain_clusters([(r["vec_id"], [int(np.floor(1024 * float(x))) for x in r["embedding"]]) for r in vectors])
+
+
+def test_flat_equals_encode():
+    """Words split and put together by columns give the same ids as words looked up text by text, whatever the white space."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [None, "", " ", "a  b", "\n\nx", " x", "x ", "x\n y", "\ty", "a\n", "<|endoftext|> x", "中文 。\n x"]
+    texts += ["".join(r.choice(["a", "Bc", "é", "1", ".", " ", "\n", "\t", "  "]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    codec = bpe.Codec.of(bpe.vocabulary_path())
+    ids, counts = codec.flat(pa.array(texts, pa.string()).slice(1))
+    want = codec.encode([t or "" for t in texts[1:]])
+    assert ids.tobytes() == b"".join(want) and counts.tolist() == [len(x) // 4 for x in want]
+    assert [len(x) for x in codec.flat(pa.array([], pa.string()))] == [0, 0]
