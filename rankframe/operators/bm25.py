@@ -84,7 +84,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     index and stats: postings of just the queries' terms and corpus_stats, where the caller has them. While the
     queries' terms can be broadcast, a document's weighed postings are one row, the scores of all queries are summed
     where it lies, and each task keeps a running top k: pairs of query and document never leave a task before they are cut.
-    doc_id is a whole number there.
+    doc_id is a number or a string.
     """
     terms = query_terms(queries)
     if index is None and stats is None:
@@ -124,9 +124,10 @@ def _scored(by_doc: DataFrame, first: int, queries: int, query: np.ndarray, term
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, n, bounds = shared.value
-        best, held = np.zeros((queries, 0)), np.zeros((queries, 0), dtype=np.int64)
+        best, held, kind = np.zeros((queries, 0)), None, None
         step = max(16, CELLS // max(queries, 1))
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 size = np.asarray(part.column("t").value_lengths())
@@ -135,16 +136,22 @@ def _scored(by_doc: DataFrame, first: int, queries: int, query: np.ndarray, term
                 doc = np.repeat(np.repeat(np.arange(part.num_rows), size), many)
                 place = np.repeat(bounds[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 sums = np.bincount(query[place] * part.num_rows + doc, weights=np.repeat(weight, many) * n[place], minlength=queries * part.num_rows).reshape(queries, -1)
-                docs = part.column("doc_id").to_numpy()
-                best, held = kept(np.hstack([best, np.where(sums > 0, sums, -np.inf)]), np.hstack([held, np.broadcast_to(docs, sums.shape)]), k)
-        row, col = np.nonzero(np.isfinite(best))
-        kind = pa.int32() if by_doc_kind == "int" else pa.int64()
-        yield pa.RecordBatch.from_arrays([pa.array((row + first).astype(np.int32)), pa.array(held[row, col], kind), pa.array(best[row, col])], names=["q", "doc_id", "score"])
+                docs = np.broadcast_to(comparable(part.column("doc_id")), sums.shape)
+                best, held = kept(np.hstack([best, np.where(sums > 0, sums, -np.inf)]), docs if held is None else np.hstack([held, docs]), k)
+        if held is not None:
+            row, col = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array((row + first).astype(np.int32)), pa.array(held[row, col].tolist(), kind), pa.array(best[row, col])], names=["q", "doc_id", "score"])
 
     by_doc_kind = by_doc.schema["doc_id"].dataType.simpleString()
     return by_doc.mapInArrow(run, f"q int, doc_id {by_doc_kind}, score double")
 
 
+def comparable(ids: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark sorts them: numbers, or strings by code points."""
+    values = ids.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
 def kept(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest scores of each row (to nine digits, ties by the smaller id) and their ids; only what reaches the k-th is sorted."""
     if scores.shape[1] <= k:

@@ -81,6 +81,50 @@ def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Which neighbours a vector takes: those whose document stands in one of two sources, and of one language; every third takes any of one of them.
+WANTED_SOURCES = F.when(F.col("query_id") % 3 != 1, F.array(*[F.concat(F.lit("src"), ((F.col("query_id") + k) % 25).cast("string")) for k in (0, 7)]))
+WANTED_LANGS = F.when(F.col("query_id") % 3 != 2, F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("de"), F.lit("fr"))))
+
+
+@register(
+    """WITH d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e, source, lang FROM embeddings JOIN documents ON doc_id = vec_id),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 3 <> 1 THEN ['src' || (vec_id % 25), 'src' || ((vec_id + 7) % 25)] END AS sources, CASE WHEN vec_id % 3 <> 2 THEN CASE WHEN vec_id % 2 = 0 THEN ['en'] ELSE ['de', 'fr'] END END AS langs FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, doc_id, list_cosine_similarity(q.e, d.e) AS score FROM q JOIN d ON q.query_id <> d.doc_id AND (sources IS NULL OR list_contains(sources, source)) AND (langs IS NULL OR list_contains(langs, lang)))
+SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM p QUALIFY rank <= 10"""
+)
+def filtered_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of those that pass each query's own filters, which are applied before the cut. Queries: ids divisible by 20, against all."""
+    v, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    chunks = v.select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding").withColumn("source", WANTED_SOURCES).withColumn("lang", WANTED_LANGS)
+    found = dense.nearest(chunks, queries, 10, other_than_self=True, filters=("source", "lang"))
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    index = dense.CellIndex(v.select(F.col("vec_id").alias("doc_id"), "embedding"))
+    return index.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, other_than_self=True)
+
+
+@register()
+def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, approximate: the ten nearest by inverted lists, of ids divisible by 20 among all; its recall is indexed_recall."""
+    return _indexed(spark, sf_dir).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"WITH {DENSE_SQL} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_pairs, TRUE AS reached, TRUE AS exact_scores FROM run WHERE query_id % 20 = 0")
+def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, approximate: whether the lists give 0.9 of the exact neighbours, and each that they share the exact score."""
+    v = table(spark, sf_dir, "embeddings")
+    exact = dense.nearest(v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, other_than_self=True)
+    both = exact.join(_indexed(spark, sf_dir).select("query_id", "doc_id", F.col("score").alias("_s")), ["query_id", "doc_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_pairs"), (F.count("_s") >= 0.9 * F.count(F.lit(1))).alias("reached"),
+        F.coalesce(F.bool_and(F.abs(F.col("_s") - F.col("score")) < 1e-9), F.lit(True)).alias("exact_scores"),
+    )
+
+
 def dense_run_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     run = _neighbours(spark, sf_dir)
@@ -88,7 +132,7 @@ def dense_run_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     hits = labelled.withColumn("rel", (F.col("ql") == F.col("dl")).cast("int"))
     per = hits.groupBy("query_id", F.col("ql").alias("label")).agg(F.sum("rel").alias("n_hits"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"))
-    return per.join(F.broadcast(sizes.withColumnRenamed("n", "size")), "label").select("query_id", (F.col("n_hits") / F.col("n")).alias("precision"), (F.col("n_hits") / (F.col("size") - 1)).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+    return per.join(sizes.withColumnRenamed("n", "size"), "label").select("query_id", (F.col("n_hits") / F.col("n")).alias("precision"), (F.col("n_hits") / (F.col("size") - 1)).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
 @register(

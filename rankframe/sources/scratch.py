@@ -21,8 +21,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once for all that read it, whichever executors are lost."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, in folders by the column `by`: computed once for all that read it, whichever executors are lost."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
