@@ -91,12 +91,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
         index, stats = indexed(docs, terms.select("term").distinct())
     index = postings(docs, terms.select("term").distinct()) if index is None else index
     stats = corpus_stats(docs) if stats is None else stats
-    weighed = index.join(idf(index, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    weighed = weighed.select("doc_id", "term", part.alias("part"))
+    weighed = _weighed(index, stats, k1, b)
     if not few(terms, MOST_BROADCAST_TERMS):
-        scores = weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
-        return top_k(scores, k)
+        return top_k(_summed(weighed, terms), k)
     asked = terms.collect()  # at most MOST_BROADCAST_TERMS rows
     ids = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in asked))}
     words = {w: i for i, w in enumerate(dict.fromkeys(r["term"] for r in asked))}
@@ -112,6 +109,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     return top_k(scored.join(F.broadcast(named), "q").select("query_id", "doc_id", "score"), k)
 
 
+def _weighed(index: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """(doc_id, term, part): what a term adds to the score of a document that holds it."""
+    rows = index.join(idf(index, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
+    return rows.select("doc_id", "term", part.alias("part"))
+
+
+def _summed(weighed: DataFrame, terms: DataFrame) -> DataFrame:
+    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("n")).alias("score")).where("score > 0")
+
+
+def pairs(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score): every positive score, without a cut. For short documents, such as the phrases of a term corpus."""
+    terms = query_terms(queries)
+    return _summed(_weighed(*indexed(docs, terms.select("term").distinct()), k1, b), terms)
+
+
 def _scored(by_doc: DataFrame, first: int, queries: int, query: np.ndarray, term: np.ndarray, n: np.ndarray, terms: int, k: int) -> DataFrame:
     """(q, doc_id, score): the k best of each query, numbered from `first`, in every task. by_doc: (doc_id, t, part), a document's weighed terms.
 

@@ -108,7 +108,7 @@ def _extra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {MULTI_SQL} SELECT query_id, doc_id, variant_ord::BIGINT AS variant_ord, round(score, 4) AS score FROM mu WHERE r = 1")
 def multi_query_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage and its concept variants, hits by the first variant that found them."""
+    """Each passage and its concept variants, hits by the first variant that found them (ladder_hits has the other variants)."""
     found = search.multi_query(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), _extra(spark, sf_dir), K)
     return found.select("query_id", "doc_id", F.col("variant_ord").cast("long").alias("variant_ord"), F.round("score", 4).alias("score"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankframe.plans import catalogue, composed, conversing, graphing, ingesting, learning, monitoring, retrieval, scoring, streams, texts
+from rankframe.plans import catalogue, composed, conversing, graphing, ingesting, laddering, learning, monitoring, retrieval, scoring, streams, texts
 
-MODULES = (texts, retrieval, scoring, ingesting, graphing, learning, monitoring, conversing, catalogue, composed, streams)
+MODULES = (texts, retrieval, scoring, ingesting, graphing, learning, monitoring, conversing, catalogue, composed, laddering, streams)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
