@@ -35,7 +35,7 @@ def test_whole_search(spark, docs):
     concepts = spark.createDataFrame([("short", "vixen", 1), ("short", "FOX zeta", 2)], "query_id string, term string, rank int")
     hits, meta = ladder.search(docs, queries, lambda t: F.array(F.lit(1.0), F.length(t) / 100.0), corpus, concepts, {}, 8, ())
     m = {r["query_id"]: r for r in meta.collect()}
-    assert [v["source"] for v in m["short"]["variants"]] == ["base", "concept", "concept", "prf", "prf", "prf", "prf", "prf", "bm25", "bm25"]
+    assert [v["source"] for v in m["short"]["variants"]] == ["base", "concept", "concept", "prf", "prf", "prf", "bm25", "bm25"]
     assert set(m["short"]["bm25_terms"]) == {"the zeta", "fox den"} and m["long"]["bm25_terms"] == [] and m["long"]["n_scored_terms"] == 1
     assert m["none"]["n_base"] == 0 and [v["n_hits"] for v in m["none"]["variants"]] == [0, 0] and not m["none"]["fallback_type"]
     rows = hits.collect()
