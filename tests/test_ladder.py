@@ -43,3 +43,28 @@ def test_whole_search(spark, docs):
     # variants that differ from the query by case alone are not run
     same = ladder.query_variants(queries, spark.createDataFrame([("long", "", 1)], "query_id string, term string, rank int"), concepts.limit(0), concepts.limit(0))
     assert same.where("query_id = 'long'").count() == 1
+
+
+def test_intents(spark):
+    """Golden queries worked out by hand from the rule table; ties go to the first intent, queries without a rule are .5 sure."""
+    from rankframe.functions import intents as I
+
+    rows = [(1, "What is the dose of warfarin for children?"), (2, " "), (3, None), (4, "Contraindicated with another drug"), (5, "renal toxicity")]
+    got = {r["q"]: r for r in I.classified(spark.createDataFrame(rows, "q int, text string")).collect()}
+    # dosing: pattern 2.5, features 3 + 1; pediatric: pattern 3, feature 1, context 2; information: keyword 1.5, features 2 + 1
+    assert (got[1]["intent"], got[1]["score"]) == ("dosing_inquiry", 6.5) and [tuple(a) for a in got[1]["alternatives"]] == [("pediatric_concerns", 6.0), ("drug_information", 4.5)]
+    assert abs(got[1]["confidence"] - 6.5 / 17) < 1e-9 and got[1]["reasoning"] == "Classified as dosing inquiry because: contains dosage-related terms; age-specific dosing query"
+    for k in (2, 3):
+        assert (got[k]["intent"], got[k]["score"], got[k]["confidence"], got[k]["n_rules"]) == ("safety_concerns", 0.0, 0.5, 0) and got[k]["reasoning"].endswith(I.NO_REASON)
+    assert (got[4]["intent"], got[4]["score"]) == ("contraindication", 3.0) and got[4]["alternatives"][0]["intent"] == "drug_interaction"
+    # pattern 3, keyword 2, features 3 + 1.5, context 2
+    assert got[5]["score"] == 11.5 and got[5]["text"] == "renal toxicity"
+
+
+def test_every_intent_is_met(spark):
+    from rankframe.functions import intents as I
+    from rankframe.plans import laddering
+
+    phrases = spark.createDataFrame([(p,) for p in laddering.PHRASES], "text string")
+    met = {r["intent"] for r in I.classified(phrases).select("intent").distinct().collect()}
+    assert met == set(I.INTENTS) - {"general_medical"}  # no rule speaks for it
