@@ -135,10 +135,10 @@ def past_case_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_search(spark, sf_dir, docs, queries)[0])
 
 
-#: Fixture: what is asked behind a document's text, so that every intent, kind of rule and reason is met.
+#: Fixture: what is asked behind a user's turn, so that every intent, kind of rule and reason is met.
 PHRASES = (
     "side effects and risk for the heart in children?", "what is the dose, 5 mg twice daily", "tell me about warfarin", "how to treat asthma by therapy", "interaction with other drug", "nausea and headache after it",
-    "under 12 years baby", "for the elderly, 80 years old", "breast milk while pregnant", "avoid, not recommended", "half-life and clearance", "monitor the ecg and liver test", "", "fda approved labeling",
+    "under 12 years baby", "for old people", "breast milk while pregnant", "avoid, not recommended", "half-life and clearance", "monitor the ecg and liver test", "", "fda approved labeling",
     "pediatric dose for a child", "renal toxicity warning, is it safe", "how much to give", "hepatic adverse reactions of warfarin",
 )
 
@@ -150,18 +150,18 @@ def _quoted(text: str) -> str:
 def _intent_sql() -> str:
     """Every rule as a row, joined with every query; word borders as in the features' SQL."""
     phrases = ", ".join(map(_quoted, PHRASES))
-    features = catalogue.FEATURES_SQL.replace(catalogue.FEATURES_SQL[catalogue.FEATURES_SQL.index("WITH x AS (") : catalogue.FEATURES_SQL.index(", y AS (")], f"WITH x AS (SELECT doc_id, lower(trim(text || ' ' || ([{phrases}])[doc_id % {len(PHRASES)} + 1])) AS q FROM documents)")
+    features = catalogue.FEATURES_SQL.replace(catalogue.FEATURES_SQL[catalogue.FEATURES_SQL.index("WITH x AS (") : catalogue.FEATURES_SQL.index(", y AS (")], f"WITH x AS (SELECT conv_id * 100 + turn AS doc_id, lower(trim(text || ' ' || ([{phrases}])[(conv_id + turn) % {len(PHRASES)} + 1])) AS q FROM conversations WHERE role = 'user')")
     border = r"[^\p{L}\p{N}_]"
     held = lambda r: f"regexp_matches(' ' || q || ' ', {_quoted(r.condition.replace(chr(92) + 'b', border))})" if r.kind == "pattern" else f"contains(q, {_quoted(r.condition)})" if r.kind == "keyword" else f"({r.condition})"
     rules = " UNION ALL ".join(f"SELECT doc_id, {I.INTENTS.index(r.intent)} AS ord, {r.weight}::DOUBLE AS w FROM g WHERE {held(r)}" for r in I.RULES)
     names = ", ".join(f"({n}, {_quoted(i)})" for n, i in enumerate(I.INTENTS))
     said = ", ".join(f"CASE WHEN intent = {_quoted(i)} AND ({c}) THEN {_quoted(w)} END" for i, c, w in I.REASONS)
-    return f"""WITH f AS MATERIALIZED ({features}), x2 AS (SELECT doc_id, lower(trim(text || ' ' || ([{phrases}])[doc_id % {len(PHRASES)} + 1])) AS q FROM documents), g AS MATERIALIZED (SELECT * FROM f JOIN x2 USING (doc_id)),
+    return f"""WITH f AS MATERIALIZED ({features}), x2 AS (SELECT conv_id * 100 + turn AS doc_id, lower(trim(text || ' ' || ([{phrases}])[(conv_id + turn) % {len(PHRASES)} + 1])) AS q FROM conversations WHERE role = 'user'), g AS MATERIALIZED (SELECT * FROM f JOIN x2 USING (doc_id)),
 m AS MATERIALIZED ({rules}), i(ord, intent) AS (VALUES {names}),
 s AS (SELECT g.doc_id, i.ord, i.intent, coalesce(sum(w), 0.0) AS score FROM g CROSS JOIN i LEFT JOIN m ON m.doc_id = g.doc_id AND m.ord = i.ord GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS r FROM s),
 t AS (SELECT doc_id, max(CASE WHEN r = 1 THEN intent END) AS intent, max(score) AS score, round(CASE WHEN sum(score) > 0 THEN max(score) / sum(score) ELSE 0.5 END, 6) AS confidence, string_agg(intent || ':' || round(score, 1), ',' ORDER BY r) FILTER (WHERE r > 1) AS alternatives FROM k WHERE r <= 3 GROUP BY 1)
-SELECT t.*, 'Classified as ' || replace(intent, '_', ' ') || ' because: ' || coalesce(nullif(concat_ws('; ', {said}), ''), {_quoted(I.NO_REASON)}) AS reasoning, (SELECT count(*) FROM m WHERE m.doc_id = t.doc_id) AS n_rules,
+SELECT t.* RENAME (doc_id AS turn_id), 'Classified as ' || replace(intent, '_', ' ') || ' because: ' || coalesce(nullif(concat_ws('; ', {said}), ''), {_quoted(I.NO_REASON)}) AS reasoning, (SELECT count(*) FROM m WHERE m.doc_id = t.doc_id) AS n_rules,
   CASE intent {' '.join(f"WHEN {_quoted(i)} THEN {k}" for i, k, *_ in I.STRATEGIES)} ELSE 10 END::BIGINT AS top_k, intent <> 'dosing_inquiry' AS expand_query, CASE intent {' '.join(f"WHEN {_quoted(i)} THEN {_quoted(x)}" for i, *_, x in I.STRATEGIES)} ELSE '' END AS sections
 FROM t JOIN g USING (doc_id)"""
 
@@ -169,8 +169,8 @@ FROM t JOIN g USING (doc_id)"""
 @register(_intent_sql())
 def classified_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fourteen intents by pattern, keyword, feature and context, with two alternatives, reasons and what to fetch."""
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
-    asked = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat_ws(" ", "text", phrase).alias("text"))
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(PHRASES) + 1).cast("int"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.concat_ws(" ", "text", phrase).alias("text"))
     found = H.strategies(I.classified(asked), I.STRATEGIES)
     named = F.array_join(F.transform("alternatives", lambda a: F.concat_ws(":", a["intent"], a["score"].cast("string"))), ",")
-    return found.select("doc_id", "intent", "score", F.round("confidence", 6).alias("confidence"), named.alias("alternatives"), "reasoning", F.col("n_rules").cast("long").alias("n_rules"), F.col("top_k").cast("long").alias("top_k"), "expand_query", "sections")
+    return found.select("turn_id", "intent", "score", F.round("confidence", 6).alias("confidence"), named.alias("alternatives"), "reasoning", F.col("n_rules").cast("long").alias("n_rules"), F.col("top_k").cast("long").alias("top_k"), "expand_query", "sections")
