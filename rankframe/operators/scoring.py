@@ -128,6 +128,37 @@ def concept_variants(query_tokens: DataFrame, concepts: DataFrame, k: int = 6) -
     return wide.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).where(F.col("rank") <= k).withColumnRenamed("term", "synonym")
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of a-z and 0-9, whatever stands between them."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def phrase_matches(queries: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, at, length, phrase): where a phrase's words stand one after another in (query_id, text), words counted from 0.
+
+    A match inside a longer one doesn't count. Runs of up to as many words as the longest phrase has meet the phrases (phrase, its
+    words joined by spaces) by an equi-join, so neither side visits all of the other. Repeated ids are one query with all their texts' matches.
+    """
+    most = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+    runs = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("phrase")))
+    empty = F.array().cast("array<struct<at:int,length:int,phrase:string>>")
+    every = T.let(plain_words(F.col(text)), lambda w: F.concat(*[F.when(F.size(w) >= n, runs(w, n)).otherwise(empty) for n in range(1, most + 1)], empty))
+    each = queries.select("query_id", F.explode(every).alias("r")).select("query_id", "r.*").join(phrases.distinct(), "phrase")
+    held = each.groupBy("query_id").agg(F.collect_set(F.struct("at", "length", "phrase")).alias("m"))
+    inside = lambda x, y: (y["length"] > x["length"]) & (y["at"] <= x["at"]) & (y["at"] + y["length"] >= x["at"] + x["length"])
+    return held.select("query_id", F.explode(F.filter("m", lambda x: ~F.exists("m", lambda y: inside(x, y)))).alias("x")).select("query_id", "x.*")
+
+
+def phrase_concepts(queries: DataFrame, concepts: DataFrame, k: int = 6, text: str = "text") -> DataFrame:
+    """(query_id, synonym, rank): as concept_variants, with synonyms (concept, synonym) of one or more words, the longest that stands in
+    the query winning; synonyms that stand anywhere in the query's text are left out."""
+    rows = concepts.select("concept", F.array_join(plain_words(F.col("synonym")), " ").alias("phrase")).where("phrase <> ''").distinct()
+    named = phrase_matches(queries, rows.select("phrase"), text).join(rows, "phrase").select("query_id", "concept").distinct()
+    wide = named.join(rows, "concept").select("query_id", "phrase").distinct().join(queries.select("query_id", F.lower(text).alias("_t")), "query_id").where(~F.contains("_t", F.col("phrase")))
+    ranked = wide.select("query_id", "phrase").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("phrase")))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("phrase").alias("synonym"), "rank")
+
+
 def first_variant(found: DataFrame) -> DataFrame:
     """One row per (query_id, doc_id) of hits of several query variants: that of the first variant (variant_ord) that found it."""
     rank = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("variant_ord", F.desc("score")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
@@ -17,13 +17,17 @@ STRATEGIES = (("safety", 15, True, "warnings,adverse"), ("dosing", 8, False, "do
 DEFAULT_STRATEGY = (10, True, "")
 
 
-def term_corpus(docs: DataFrame, phrases: Sequence[str], triggers: Sequence[str]) -> DataFrame:
-    """(term, n_docs): phrases that a pattern finds, and trigger words with the word after them, in lower case."""
-    low = F.lower(F.coalesce("text", F.lit("")))
+def corpus_terms(text: Column, phrases: Sequence[str], triggers: Sequence[str]) -> Column:
+    """The distinct phrases of a text that a pattern finds, and trigger words with the word after them, in lower case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     w = T.words(low)
     pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(a.isin(list(triggers)) & b.isNotNull(), F.concat_ws(" ", a, b)))
-    found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in phrases], F.array_compact(pairs))
-    return docs.select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in phrases], F.array_compact(pairs)))
+
+
+def term_corpus(docs: DataFrame, phrases: Sequence[str], triggers: Sequence[str]) -> DataFrame:
+    """(term, n_docs): how many documents have each of their corpus_terms."""
+    return docs.select(F.explode(corpus_terms(F.col("text"), phrases, triggers)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def variants(queries: DataFrame, extra: DataFrame) -> DataFrame:

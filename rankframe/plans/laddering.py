@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from rankframe.functions import intents as I
 from rankframe.functions import text as T
-from rankframe.operators import ladder
+from rankframe.operators import corpus, ladder
+from rankframe.operators import scoring as S
 from rankframe.operators import search as H
 from rankframe.plans import catalogue, composed, scoring
 from rankframe.plans.common import STOP_LIST, registering, table
 from rankframe.plans.retrieval import BM25_SQL, _passages
+from rankframe.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -174,3 +176,84 @@ def classified_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = H.strategies(I.classified(asked), I.STRATEGIES)
     named = F.array_join(F.transform("alternatives", lambda a: F.concat_ws(":", a["intent"], a["score"].cast("string"))), ",")
     return found.select("turn_id", "intent", "score", F.round("confidence", 6).alias("confidence"), named.alias("alternatives"), "reasoning", F.col("n_rules").cast("long").alias("n_rules"), F.col("top_k").cast("long").alias("top_k"), "expand_query", "sections")
+
+
+#: Fixture ontology with synonyms of one to three words, and what stands behind a user's turn.
+PHRASE_CONCEPTS = (
+    ("infarction", "myocardial infarction"), ("infarction", "acute myocardial infarction"), ("infarction", "heart attack"), ("infarction", "MI"), ("heart", "heart"), ("heart", "cardiac muscle"), ("pain", "chest pain"), ("pain", "angina pectoris"),
+    ("pain", "pain"), ("articles", "the"), ("articles", "of the"), ("articles", "une"), ("imaging", "x-ray"), ("imaging", "chest x-ray film"), ("imaging", "radiograph"),
+)
+TAILS = ("a heart attack", "acute myocardial infarction/chest pain", "my heart, an attack", "Chest X-ray film of the heart", "", "x ray", "chest   x-ray")
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+@register(
+    f"""WITH u AS (SELECT conv_id * 100 + turn AS query_id, text || ' ' || ([{', '.join(map(_quoted, TAILS))}])[(conv_id + turn) % {len(TAILS)} + 1] AS text FROM conversations WHERE role = 'user'),
+c AS (SELECT DISTINCT concept, array_to_string({_words('synonym')}, ' ') AS phrase FROM (VALUES {', '.join(f"({_quoted(a)}, {_quoted(b)})" for a, b in PHRASE_CONCEPTS)}) v(concept, synonym)),
+w AS (SELECT query_id, {_words('text')} AS ws FROM u),
+g AS (SELECT query_id, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS pos, ws FROM w, (VALUES (1), (2), (3)) l(n)),
+m AS (SELECT DISTINCT query_id, pos, n, phrase FROM (SELECT query_id, pos, n, array_to_string(ws[pos + 1 : pos + n], ' ') AS phrase FROM g) JOIN c USING (phrase)),
+o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.query_id = m.query_id AND y.n > m.n AND y.pos <= m.pos AND y.pos + y.n >= m.pos + m.n)),
+e AS (SELECT DISTINCT o.query_id, s.phrase FROM o JOIN c USING (phrase) JOIN c s ON s.concept = c.concept JOIN u ON u.query_id = o.query_id WHERE NOT contains(lower(u.text), s.phrase))
+SELECT query_id, phrase AS synonym, row_number() OVER (PARTITION BY query_id ORDER BY phrase) AS rank FROM e QUALIFY rank <= 6"""
+)
+def phrase_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11 with synonyms of several words: the longest phrase that stands in a turn names the concept."""
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), ((F.col("conv_id") + F.col("turn")) % len(TAILS) + 1).cast("int"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat_ws(" ", "text", tail).alias("text"))
+    concepts = spark.createDataFrame(PHRASE_CONCEPTS, "concept string, synonym string")
+    return S.phrase_concepts(asked, concepts).select("query_id", "synonym", F.col("rank").cast("long").alias("rank"))
+
+
+#: Fixture: the documents as an earlier state knew them: without every third one of three sources, without one source, and with a source that is gone.
+CHANGED = ("src1", "src2", "src3")
+NOW = "2024-06-01 12:00:00"
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("source") != "src5", F.col("source")).alias("part"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("changed"))
+    before = docs.where(~(F.coalesce(F.col("part").isin(*CHANGED), F.lit(False)) & (F.col("doc_id") % 3 == 0)) & F.coalesce(F.col("part") != "src4", F.lit(True)))
+    return docs, before.unionByName(docs.where("part = 'src6'").withColumn("part", F.lit("gone")))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, before = _states(spark, sf_dir)
+    now = F.lit(NOW).cast("timestamp")
+    old = F.when(F.col("part") == "src7", now - F.expr("interval 3601 seconds")).otherwise(now - F.expr("interval 3600 seconds"))
+    store = written(corpus.counted(before, "part", "changed", composed.PHRASES, composed.TRIGGERS, old), "store")
+    return corpus.refreshed(store, docs, "part", "changed", composed.PHRASES, composed.TRIGGERS, now)
+
+
+@register(composed.ORACLES["term_corpus"])
+def refreshed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term corpus after a refresh of an earlier state equals a full build."""
+    return corpus.merged(_refreshed(spark, sf_dir)[0])
+
+
+@register(
+    """WITH d AS (SELECT doc_id, nullif(source, 'src5') AS part FROM documents), n AS (SELECT part, CASE WHEN part = 'src4' THEN 'new' WHEN part IN ('src1', 'src2', 'src3') AND count(*) FILTER (WHERE doc_id % 3 = 0) = count(*) THEN 'new' WHEN part IN ('src1', 'src2', 'src3') AND count(*) FILTER (WHERE doc_id % 3 = 0) > 0 THEN 'changed' WHEN part = 'src7' THEN 'aged' ELSE 'same' END AS state FROM d GROUP BY part)
+SELECT state, count(*) AS n_parts, coalesce(string_agg(part, ',' ORDER BY part), '') AS parts FROM (SELECT * FROM n UNION ALL SELECT DISTINCT 'gone', 'gone' FROM d WHERE part = 'src6') GROUP BY 1"""
+)
+def corpus_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts the refresh counted again, and why; the others were taken over."""
+    met = _refreshed(spark, sf_dir)[1]
+    return met.groupBy("state").agg(F.count(F.lit(1)).alias("n_parts"), F.array_join(F.array_sort(F.collect_list("part")), ",").alias("parts"))
+
+
+#: Fixture: what the corpus is built around.
+SEEDS = ("the heat of the house", "de la maison et les", "und der die das", "quick brown fox", "que el de los")
+SEED_TYPES = ("src1", "src2", "src3")
+
+
+@register(
+    f"""WITH {DOCS_SQL}, sd AS (SELECT s, {_letters('s')} AS e, k FROM (VALUES {', '.join(f'({_quoted(x)})' for x in SEEDS)}) v(s), (VALUES {', '.join(f'({_quoted(x)})' for x in SEED_TYPES)}) t(k)),
+sh AS (SELECT doc_id FROM sd JOIN ld ON ld.kind = sd.k WHERE list_sum(ld.e) > 0 QUALIFY row_number() OVER (PARTITION BY s, k ORDER BY round(list_cosine_similarity(sd.e, ld.e), 9) DESC, doc_id) <= 50)
+SELECT * FROM ({composed.ORACLES['term_corpus'].replace('FROM documents)', 'FROM documents WHERE doc_id IN (SELECT doc_id FROM sh))', 1)})"""
+)
+def seeded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the fifty nearest documents of every seed and type."""
+    docs = _documents(spark, sf_dir).where("text is not null").withColumn("embedding", letters(F.col("text")))
+    return corpus.seeded(docs, spark.createDataFrame([(s,) for s in SEEDS], "seed string"), SEED_TYPES, letters, composed.PHRASES, composed.TRIGGERS)
