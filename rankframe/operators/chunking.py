@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankframe.functions import lang
 from rankframe.functions import text as T
 
 TARGET, LEAST, MOST, OVERLAP = 500, 200, 750, 4
@@ -92,17 +93,65 @@ def chunks(docs: DataFrame, text: str = "text", target: int = TARGET, least: int
     return out.select("*", F.greatest(F.lit(0), F.col("end_sentence_index") - F.col("start_sentence_index") + 1).alias("sentence_count"), (F.col("chunk_index") > 0).alias("has_overlap"), F.size(T.words(F.col("text"))).alias("word_count"), F.length("text").alias("char_count"), F.format_string("%d.%d", F.lit(1), F.col("chunk_index") + 1).alias("citation_id"))
 
 
-def paragraphs_packed(parts: Column, size: Column) -> Column:
-    """array<string>: parts joined by blank lines while they stay within the size."""
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def paragraphs_packed(parts: Column, size: Column, gap: str = "\n\n") -> Column:
+    """array<string>: parts joined by the gap while what is joined and the next part stay within the size.
 
-    def step(acc: Column, p: Column, most: Column) -> Column:
-        flush = (F.length(acc["cur"]) + F.length(p) > most) & (acc["cur"] != "")
-        done = F.when(flush, F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-        cur = F.when(flush | (acc["cur"] == ""), p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
-        return F.struct(done.alias("done"), cur.alias("cur"))
+    The fold goes over lengths and holds numbers only; a joined text is a slice of the parts.
+    """
+    first = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit(0).alias("i"))
+
+    def bounds(lengths: Column, most: Column) -> Column:
+        def step(acc: Column, n: Column) -> Column:
+            flush = (acc["len"] + n > most) & (acc["len"] > 0)
+            done = F.when(flush, F.array_append(acc["done"], F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end")))).otherwise(acc["done"])
+            whole = F.when(flush | (acc["len"] == 0), n).otherwise(acc["len"] + len(gap) + n)
+            return F.struct(done.alias("done"), whole.alias("len"), F.when(flush, acc["i"]).otherwise(acc["start"]).alias("start"), (acc["i"] + 1).alias("i"))
+
+        last = lambda acc: F.array_append(acc["done"], F.struct(acc["start"].alias("start"), (acc["i"] - 1).alias("end")))
+        return F.aggregate(lengths, first, step, lambda acc: F.when(acc["len"] > 0, last(acc)).otherwise(acc["done"]))
 
-    return T.let(size, lambda most: F.aggregate(parts, first, lambda acc, p: step(acc, p, most), lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])))
+    def joined(ps: Column, most: Column) -> Column:
+        return F.transform(T.let(F.transform(ps, F.length), lambda ls: bounds(ls, most)), lambda c: F.array_join(F.slice(ps, c["start"] + 1, c["end"] - c["start"] + 1), gap))
+
+    return T.let(size, lambda most: T.let(parts, lambda ps: joined(F.filter(ps, lambda p: p != ""), most)))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def simple_chunks(docs: DataFrame, text: str = "text", target: int = TARGET, short: int = 100) -> DataFrame:
+    """(doc_id, chunk_index, text, mode): the plain splitter, for texts without headers.
+
+    Paragraphs (mode paragraphs) are packed to a third of the text, 50 at least and `target` at most; a text of one paragraph is packed by
+    sentences in the same way (sentences), and one under `short` characters is dealt to equal runs of sentences (runs), about half as
+    many as it has. Null and blank texts give nothing.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    paragraphs = F.split(raw, "\n\n")
+    rows = docs.select("doc_id", F.length(raw).alias("_n"), F.transform(paragraphs, stripped).alias("_p"), F.transform(F.split(raw, r"(?<=[.!?])\s+"), stripped).alias("_s"))
+    rows = rows.withColumn("_single", (F.size("_p") == 1) | ((F.size("_p") == 2) & (F.get("_p", F.lit(1)) == ""))).withColumn("_runs", F.col("_single") & (F.col("_n") < short))
+    size = F.least(F.lit(target), F.greatest(F.floor(F.col("_n") / 3).cast("int"), F.lit(50)))
+    n = F.size("_s")
+    per = F.greatest(F.lit(1), F.floor(n / F.least(n, F.greatest(F.lit(2), F.floor(n / 2).cast("int") + 1))).cast("int"))
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(n / per).cast("int") - 1), lambda k: stripped(F.array_join(F.slice("_s", k * per + 1, per), " ")))
+    made = F.when(F.col("_runs"), F.filter(runs, lambda t: t != "")).when(F.col("_single"), paragraphs_packed(F.col("_s"), size, " ")).otherwise(paragraphs_packed(F.col("_p"), size))
+    mode = F.when(F.col("_runs"), "runs").when(F.col("_single"), "sentences").otherwise("paragraphs")
+    return rows.select("doc_id", F.posexplode(made).alias("chunk_index", "text"), mode.alias("mode"))
+
+
+def described(made: DataFrame, text: str = "text", section_title: Column | None = None, page: Column | None = None, domain: Sequence[str] = ()) -> DataFrame:
+    """Adds what a chunk's record holds besides its text: language, page, section_title, section_code, keywords (the eight most frequent,
+    ties by word), has_numeric_data, has_domain_patterns, text_density, normalized_text and citation_id. All of it is computed from the row."""
+    title = F.lit("DOCUMENT_CONTENT") if section_title is None else section_title
+    where = F.lit(1) if page is None else page
+    t = F.col(text)
+    counted = lambda ks: F.array_sort(F.transform(F.array_distinct(ks), lambda k: F.struct((-F.size(F.filter(ks, lambda x: x == k))).alias("n"), k.alias("token"))))
+    keywords = T.let(T.without(T.keyword_tokens(t), T.KEYWORD_STOP_WORDS), lambda ks: F.transform(F.slice(counted(ks), 1, 8), lambda x: x["token"]))
+    return made.withColumns({
+        "language": lang.detect(t), "page": where, "section_title": title, "section_code": T.section_number(title), "keywords": keywords, "has_numeric_data": T.matches_any(t),
+        "has_domain_patterns": T.matches_any(t, domain) if domain else F.lit(False), "text_density": T.density(t), "normalized_text": T.for_metadata(t), "citation_id": F.format_string("%d.%d", where, F.col("chunk_index") + 1),
+    })
 
 
 def merged(small: DataFrame, least: int = 550) -> DataFrame:
@@ -122,10 +171,11 @@ def coverage(docs: DataFrame, made: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("ok").cast("long")).alias("n_covered")).withColumn("coverage", F.col("n_covered") / F.col("n_sentences"))
 
 
-def statistics(made: DataFrame, by: str) -> DataFrame:
-    """(by, n_chunks, min_chars, max_chars, avg_chars, n_duplicates): a duplicate repeats document and first 80 characters."""
-    per = made.groupBy(by, "doc_id", F.left("text", F.lit(80)).alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("lo"), F.max(F.length("text")).alias("hi"), F.sum(F.length("text")).alias("chars"))
-    return per.groupBy(by).agg(F.sum("n").alias("n_chunks"), F.min("lo").alias("min_chars"), F.max("hi").alias("max_chars"), (F.sum("chars") / F.sum("n")).alias("avg_chars"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+def statistics(made: DataFrame, by: str, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(by, n_chunks, min_chars, max_chars, avg_chars, n_duplicates, n_duplicate_keys): a duplicate repeats the keys (such as page and
+    section) and the first 80 characters; n_duplicate_keys counts the keys that stand more than once."""
+    per = made.groupBy(by, *keys, F.left("text", F.lit(80)).alias("head")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("lo"), F.max(F.length("text")).alias("hi"), F.sum(F.length("text")).alias("chars"))
+    return per.groupBy(by).agg(F.sum("n").alias("n_chunks"), F.min("lo").alias("min_chars"), F.max("hi").alias("max_chars"), (F.sum("chars") / F.sum("n")).alias("avg_chars"), F.sum(F.col("n") - 1).alias("n_duplicates"), F.sum((F.col("n") > 1).cast("long")).alias("n_duplicate_keys"))
 
 
 def windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
+from rankframe.sources.scratch import written
 
 
 def sessions(messages: DataFrame, pages: DataFrame | None, key: str, at: str, query: str, limit: int | None = 50) -> DataFrame:
@@ -39,10 +40,31 @@ def upserted(registrations: DataFrame, key: str, at: str, keep_first: tuple[str,
 
 
 def collision_safe(names: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
-    """Adds object_name: name, then name_1, name_2 before the extension."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    base, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return names.withColumn("object_name", F.when(n > 0, F.concat(base, F.lit("_"), n, ext)).otherwise(F.col(name)))
+    """Adds object_name: name, then name_1, name_2 before the extension, distinct over all rows; a null name has none.
+
+    Rows of one name are numbered in order. A name that comes out twice, since a row is called so or two families meet, stays with
+    the row that is called so, else with the first in order; the others take numbers behind their family's last one, until no name is
+    taken twice. Each round moves whole families at once and names by an anti-join, so rounds are few: as many as collisions in a chain.
+    """
+    parts = r"^(.*?)(\.[^.]*)?$"
+    rows = names.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1)
+    call = F.when(F.col("_n") > 0, F.concat(F.regexp_extract(name, parts, 1), F.lit("_"), F.col("_n"), F.regexp_extract(name, parts, 2))).otherwise(F.col(name))
+    done, open_ = None, written(rows.withColumn("object_name", call), "names")
+    while True:
+        turn = Window.partitionBy("object_name").orderBy(F.col("_n") > 0, *order, "_n")
+        placed = open_.withColumn("_turn", F.when(F.col("object_name").isNull(), 1).otherwise(F.row_number().over(turn)))
+        if done is not None:
+            taken = done.select("object_name", F.lit(True).alias("_taken")).distinct()
+            placed = placed.join(taken, "object_name", "left").withColumn("_turn", F.when(F.col("_taken"), 2).otherwise(F.col("_turn"))).drop("_taken")
+        placed = written(placed, "placed-names")
+        won = placed.where("_turn = 1").drop("_turn")
+        done = won if done is None else written(done.unionByName(won), "names")
+        lost = placed.where("_turn > 1").drop("_turn")
+        if lost.isEmpty():
+            return done.drop("_n")
+        last = done.select(name, "_n").unionByName(placed.select(name, "_n")).groupBy(name).agg(F.max("_n").alias("_last"))
+        lost = lost.join(last, name).withColumn("_n", F.col("_last") + F.row_number().over(Window.partitionBy(name).orderBy("_n"))).drop("_last")
+        open_ = written(lost.withColumn("object_name", call).select(*placed.drop("_turn").columns), "names")
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,8 @@ from rankframe.operators.chunking import sentences
 
 MOST_SEGMENTS = 20
 FULL, PARTIAL, LENGTH_SHARE = 0.8, 0.7, 0.7
+#: How like the text behind a found beginning, and around a found middle, must be; least sizes of both, and characters around the middle.
+HEAD_LIKE, MIDDLE_LIKE, LEAST_HEAD, LEAST_MIDDLE, AROUND = 0.6, 0.5, 30, 20, 100
 
 
 def flat(text: Column) -> Column:
@@ -22,8 +24,9 @@ def grounded(pairs: DataFrame, text: str = "text", passage: str = "passage") ->
 
     exact: the passage stands in the text but for case and white space. full, partial: a run of as many sentences as the
     passage has (20 at most) is more than .8, or more than .7 at .7 of the length or more, like it. prefix: the longest run
-    of its first words, over half of them and 30 characters at least. middle: its middle half, for passages of 50
-    characters or more. match_start counts characters of the flat text from 0, null for full, partial and none. A blank
+    of its first words, over half of them and 30 characters at least, where the text from there on, as long as the passage, is more
+    than .6 like it. middle: its middle half, for passages of 50 characters or more, where it and 100 characters on both sides are
+    more than .5 like the passage. match_start counts characters of the flat text from 0, null for full, partial and none. A blank
     passage has none. The windows grow with the text's sentences, each window with the passage.
     """
     rows = pairs.withColumn("_t", flat(F.col(text))).withColumn("_p", flat(F.col(passage)))
@@ -34,20 +37,25 @@ def grounded(pairs: DataFrame, text: str = "text", passage: str = "passage") ->
     near = F.transform(starts, lambda i: F.array_join(F.slice("_s", i, F.col("_m")), " "))
     scored = F.transform(near, lambda w: F.struct(T.blended_similarity(w, F.col("_p")).alias("similarity"), F.length(w).alias("n")))
     rows = rows.withColumn("_best", F.when(F.col("_miss"), F.array_max(scored)))
-    w = F.split("_p", " ")
+    n, w = F.length("_p"), F.split("_p", " ")
     half = F.greatest(F.floor(F.size(w) / 2), F.lit(4)).cast("int") + 1
-    sizes = F.when(F.col("_miss") & (F.size(w) > half), F.sequence(F.size(w) - 1, half, F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    heads = F.transform(sizes, lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))
-    rows = rows.withColumn("_head", F.get(F.filter(heads, lambda h: (F.length(h) >= 30) & (F.instr(F.col("_t"), h) > 0)), F.lit(0)))
-    n = F.length("_p")
-    middle = F.when(F.col("_miss") & (n >= 50), F.substring("_p", F.floor(n / 4).cast("int") + 1, F.floor(n / 2).cast("int")))
-    rows = rows.withColumn("_middle", F.when(F.contains("_t", middle), middle))
+    sizes = F.when(F.col("_miss") & (F.size(w) >= half), F.sequence(F.size(w), half, F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(F.transform(sizes, lambda n: F.array_join(F.slice(w, F.lit(1), n), " ")), lambda h: (F.length(h) >= LEAST_HEAD) & F.contains("_t", h))
+    placed = F.transform(heads, lambda h: F.struct((F.instr(F.col("_t"), h) - 1).alias("at"), T.blended_similarity(F.col("_p"), F.substring("_t", F.instr(F.col("_t"), h), n)).alias("like")))
+    rows = rows.withColumn("_head", F.get(F.filter(placed, lambda x: x["like"] > HEAD_LIKE), F.lit(0)))
+    size = F.greatest(F.lit(LEAST_HEAD), F.floor(n / 2).cast("int"))
+    middle = F.when(F.col("_miss") & (n >= 50), F.substring("_p", F.floor(n / 4).cast("int") + 1, size))
+    rows = rows.withColumn("_middle", F.when((F.length(F.trim(middle)) >= LEAST_MIDDLE) & F.contains("_t", middle), middle))
+    at = F.instr("_t", F.col("_middle")) - 1
+    first = F.greatest(F.lit(0), at - AROUND)
+    around = F.substring("_t", first + 1, at + F.length("_middle") + AROUND - first)
+    rows = rows.withColumn("_around", F.when(F.col("_middle").isNotNull(), T.blended_similarity(F.col("_p"), around)))
     like, long = F.col("_best.similarity"), F.col("_best.n")
     kind = (
         F.when(F.col("_p") == "", "none").when(F.col("_exact") >= 0, "exact").when(like > FULL, "full").when((like > PARTIAL) & (long >= LENGTH_SHARE * n), "partial")
-        .when(F.col("_head").isNotNull(), "prefix").when(F.col("_middle").isNotNull(), "middle").otherwise("none")
+        .when(F.col("_head").isNotNull(), "prefix").when(F.col("_around") > MIDDLE_LIKE, "middle").otherwise("none")
     )
     rows = rows.withColumn("match_type", kind)
-    at = F.when(F.col("match_type") == "exact", F.col("_exact")).when(F.col("match_type") == "prefix", F.instr("_t", F.col("_head")) - 1).when(F.col("match_type") == "middle", F.instr("_t", F.col("_middle")) - 1)
-    alike = F.when(F.col("match_type") == "exact", 1.0).when(F.col("match_type") == "none", 0.0).when(F.col("match_type") == "prefix", F.length("_head") / n).when(F.col("match_type") == "middle", 0.5).otherwise(like)
-    return rows.withColumn("similarity", alike).withColumn("match_start", at).drop("_t", "_p", "_exact", "_miss", "_s", "_m", "_best", "_head", "_middle")
+    at = F.when(F.col("match_type") == "exact", F.col("_exact")).when(F.col("match_type") == "prefix", F.col("_head.at")).when(F.col("match_type") == "middle", F.instr("_t", F.col("_middle")) - 1)
+    alike = F.when(F.col("match_type") == "exact", 1.0).when(F.col("match_type") == "none", 0.0).when(F.col("match_type") == "prefix", F.col("_head.like")).when(F.col("match_type") == "middle", F.col("_around")).otherwise(like)
+    return rows.withColumn("similarity", alike).withColumn("match_start", at).drop("_t", "_p", "_exact", "_miss", "_s", "_m", "_best", "_head", "_middle", "_around")

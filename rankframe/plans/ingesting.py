@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
 from rankframe.operators import chunking as C
+from rankframe.plans import texts
 from rankframe.plans.common import dealt, registering, table
 
 QUERIES: dict = {}
@@ -84,10 +85,53 @@ def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "island", F.col("first_index").cast("long").alias("first_index"), "n_merged", F.col("char_count").cast("long").alias("char_count"))
 
 
-@register()
+SIMPLE_SQL = r"""
+d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS t FROM documents),
+p AS (SELECT doc_id, length(t) AS n, list_transform(string_split(t, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ps, list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ss FROM d),
+m AS (SELECT *, CASE WHEN NOT (len(ps) = 1 OR (len(ps) = 2 AND ps[2] = '')) THEN 'paragraphs' WHEN n < 100 THEN 'runs' ELSE 'sentences' END AS mode, greatest(1, len(ss) // least(len(ss), greatest(2, len(ss) // 2 + 1))) AS per FROM p),
+ru AS (SELECT doc_id, k, regexp_replace(array_to_string(ss[k * per + 1 : k * per + per], ' '), '^\s+|\s+$', '', 'g') AS text FROM (SELECT *, unnest(range((len(ss) + per - 1) // per)) AS k FROM m WHERE mode = 'runs')),
+pk AS (SELECT doc_id, mode, CASE mode WHEN 'sentences' THEN ' ' ELSE chr(10) || chr(10) END AS gap, least(500, greatest(n // 3, 50)) AS most, list_filter(CASE mode WHEN 'sentences' THEN ss ELSE ps END, lambda x: x <> '') AS parts FROM m WHERE mode <> 'runs'),
+f AS (SELECT doc_id, mode, gap, most, parts, 0 AS i, 0 AS start, 0 AS size, NULL::INT AS os, NULL::INT AS oe FROM pk WHERE len(parts) > 0
+  UNION ALL SELECT doc_id, mode, gap, most, parts, i + 1, CASE WHEN fl THEN i ELSE start END, CASE WHEN fl OR size = 0 THEN ln ELSE size + length(gap) + ln END, CASE WHEN fl THEN start END, CASE WHEN fl THEN i - 1 END
+  FROM (SELECT *, length(parts[i + 1]) AS ln, size + length(parts[i + 1]) > most AND size > 0 AS fl FROM f WHERE i < len(parts))),
+e AS (SELECT doc_id, mode, gap, parts, os AS s, oe AS e FROM f WHERE oe IS NOT NULL UNION ALL SELECT doc_id, mode, gap, parts, start, i - 1 FROM f WHERE i = len(parts))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_index, CASE mode WHEN 'sentences' THEN array_to_string(parts[s + 1 : e + 1], ' ') ELSE array_to_string(parts[s + 1 : e + 1], chr(10) || chr(10)) END AS text, mode FROM e
+UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1, text, 'runs' FROM ru WHERE text <> ''"""
+
+
+@register(f"WITH RECURSIVE {SIMPLE_SQL}")
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: lines as paragraphs, packed to min(500, max(a third, 50)) characters."""
-    t = T.normalised(F.col("text"))
-    parts = F.filter(F.transform(F.split(t, "\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    size = F.least(F.lit(500), F.greatest(F.floor(F.length(t) / 3), F.lit(50)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.paragraphs_packed(parts, size)).alias("chunk_index", "text"))
+    """K5: every second document with its lines as paragraphs, the others by sentences, short ones in equal runs."""
+    shown = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    made = C.simple_chunks(dealt(table(spark, sf_dir, "documents")).select("doc_id", shown.alias("text")))
+    return made.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+_PLAIN_LANG = texts.LANG_SQL[texts.LANG_SQL.index("x AS (SELECT doc_id, text, lower(left") :]
+
+
+@register(
+    f"""WITH ck AS MATERIALIZED (SELECT doc_id * 100000 + chunk_index AS doc_id, text FROM ({ORACLES['document_chunks']})),
+fe AS ({texts.ORACLES['text_features'].replace('FROM documents', 'FROM ck')}), kw AS ({texts.ORACLES['text_keywords'].replace('FROM documents', 'FROM ck')}), la AS (WITH m0 AS (SELECT * FROM ck), {_PLAIN_LANG})
+SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS chunk_index, language, (doc_id // 100000) % 5 + 1 AS page, ((doc_id // 100000) % 9) || '.1 Part' AS section_title, ((doc_id // 100000) % 9) || '.1' AS section_code,
+  coalesce((SELECT string_agg(token, ',' ORDER BY rank) FROM kw WHERE kw.doc_id = ck.doc_id), '') AS keywords, has_numeric_data, contains(lower(text), 'license') AS has_domain_patterns, text_density,
+  trim(regexp_replace(regexp_replace(text, '-\\s*\\n\\s*', '', 'g'), '\\s+', ' ', 'g')) AS normalized_text, ((doc_id // 100000) % 5 + 1) || '.' || (doc_id % 100000 + 1) AS citation_id FROM ck JOIN fe USING (doc_id) JOIN la USING (doc_id)"""
+)
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a chunk's record holds, of every chunk of all documents; the page and section are fixtures."""
+    made = C.chunks(dealt(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", "text")
+    title = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".1 Part"))
+    found = C.described(made, section_title=title, page=(F.col("doc_id") % 5 + 1).cast("int"), domain=("license",))
+    return found.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "language", F.col("page").cast("long").alias("page"), "section_title", "section_code", F.array_join("keywords", ",").alias("keywords"), "has_numeric_data", "has_domain_patterns", F.round("text_density", 6).alias("text_density"), "normalized_text", "citation_id")
+
+
+@register(
+    f"""WITH ck AS ({ORACLES['document_chunks']}), k AS (SELECT source, doc_id % 5 + 1 AS page, (doc_id % 3)::VARCHAR AS section, left(c.text, 80) AS head, count(*) AS n, min(length(c.text)) AS lo, max(length(c.text)) AS hi, sum(length(c.text)) AS chars FROM ck c JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n_chunks, min(lo) AS min_chars, max(hi) AS max_chars, round(sum(chars)::DOUBLE / sum(n), 1) AS avg_chars, sum(n - 1)::BIGINT AS n_duplicates, count(*) FILTER (n > 1) AS n_duplicate_keys FROM k GROUP BY 1"""
+)
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By page, section and first 80 characters, over the chunks of all documents of a source."""
+    docs = dealt(table(spark, sf_dir, "documents"))
+    made = C.chunks(docs).select("doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumns({"page": F.col("doc_id") % 5 + 1, "section": (F.col("doc_id") % 3).cast("string")})
+    found = C.statistics(made, "source", ("page", "section")).withColumn("avg_chars", F.round("avg_chars", 1))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("min_chars", "max_chars")})

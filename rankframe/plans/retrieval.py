@@ -81,9 +81,11 @@ def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-#: Which neighbours a vector takes: those whose document stands in one of two sources, and of one language; every third takes any of one of them.
-WANTED_SOURCES = F.when(F.col("query_id") % 3 != 1, F.array(*[F.concat(F.lit("src"), ((F.col("query_id") + k) % 25).cast("string")) for k in (0, 7)]))
-WANTED_LANGS = F.when(F.col("query_id") % 3 != 2, F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("de"), F.lit("fr"))))
+def _wanted(queries: DataFrame) -> DataFrame:
+    """Filters of vectors: documents of one of two sources, and of a language or two; every third vector takes any of one of them."""
+    sources = F.array(*[F.concat(F.lit("src"), ((F.col("query_id") + k) % 25).cast("string")) for k in (0, 7)])
+    langs = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("de"), F.lit("fr")))
+    return queries.withColumns({"source": F.when(F.col("query_id") % 3 != 1, sources), "lang": F.when(F.col("query_id") % 3 != 2, langs)})
 
 
 @register(
@@ -96,7 +98,7 @@ def filtered_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of those that pass each query's own filters, which are applied before the cut. Queries: ids divisible by 20, against all."""
     v, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     chunks = v.select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id", "source", "lang"), "doc_id")
-    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding").withColumn("source", WANTED_SOURCES).withColumn("lang", WANTED_LANGS)
+    queries = _wanted(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
     found = dense.nearest(chunks, queries, 10, other_than_self=True, filters=("source", "lang"))
     return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 

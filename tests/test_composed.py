@@ -87,10 +87,57 @@ def test_grounding(spark):
     rows = [
         (1, text, "The RIVER of\nthe south was seen"), (2, text, sentence[1].replace("castle", "house").replace("that day", "that one day")), (3, text, "a wholly other line with nothing to find in it at all"),
         (4, text, ""), (5, None, "some passage"), (6, text, "the bridge of the east was seen by all people from abroad arriving yesterday evening"),
+        (7, "start " + "zyx. " * 60 + "the bridge of the east was seen by all people who came but none of it was written down", "the bridge of the east was seen by all people who went"),
+        (8, "we know that " + sentence[0][6:40] + " some, and also all who ever came that day to the place", "xx " + sentence[0] + " zz"),
+        (9, "q. " * 90 + "kjhgf vbnm ert yuio " + sentence[0][14:43] + " plmok nijb uhvy gctf " + "q. " * 90, sentence[0]),
     ]
     got = {r.id: r for r in grounding.grounded(spark.createDataFrame(rows, "id int, text string, passage string")).collect()}
-    assert [got[i].match_type for i in range(1, 7)] == ["exact", "full", "none", "none", "none", "prefix"]
-    assert got[1].match_start == text.index("the river") and got[6].match_start == text.index("the bridge")
+    assert [got[i].match_type for i in range(1, 6)] == ["exact", "full", "none", "none", "none"] and got[1].match_start == text.index("the river")
+    # a page that shares only the beginning, or only the middle, has no match; one that goes on alike has
+    assert [got[i].match_type for i in (6, 9)] == ["none", "none"] and got[7].match_type in ("prefix", "partial", "full")
+    for r in got.values():
+        if r.match_type in ("prefix", "middle"):
+            assert r.similarity > (0.6 if r.match_type == "prefix" else 0.5) and r.match_start is not None
+
+
+def test_grounding_against_a_plain_loop(spark):
+    """Beginnings and middles of passages in texts that share more or less of the rest, worked out loop by loop."""
+    import random
+
+    def sets(a, b, whole):
+        x, y = (set(a), set(b)) if whole else (set(a.split()), set(b.split()))
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    like = lambda a, b: 0.3 * sets(a, b, True) + 0.7 * sets(a, b, False)
+
+    def plain(t, p):
+        w, n = p.split(" "), len(p)
+        for k in range(len(w), max(len(w) // 2, 4), -1):
+            h = " ".join(w[:k])
+            if len(h) >= 30 and h in t and like(p, t[t.index(h) : t.index(h) + n]) > 0.6:
+                return "prefix", t.index(h)
+        m = p[n // 4 : n // 4 + max(30, n // 2)] if n >= 50 else ""
+        if len(m.strip()) >= 20 and m in t:
+            at = t.index(m)
+            if like(p, t[max(0, at - 100) : at + len(m) + 100]) > 0.5:
+                return "middle", at
+        return "none", None
+
+    r, rows = random.Random(1), []
+    words = ["castle", "north", "river", "seen", "walk", "old", "bridge", "people", "quiet", "stone"]
+    for k in range(300):
+        passage = " ".join(r.choice(words) for _ in range(r.randint(8, 16)))
+        cut = r.randint(4, 16)
+        kept = passage.split()[r.choice([0, 0, 2, 3]) :][:cut]
+        text = " ".join([r.choice(words[5:]) for _ in range(r.randint(0, 12))] + kept + [r.choice(words[:7]) for _ in range(r.randint(0, 12))])
+        rows.append((k, text, passage))
+    got = {x.id: x for x in grounding.grounded(spark.createDataFrame(rows, "id int, text string, passage string")).collect()}
+    met = set()
+    for k, text, passage in rows:
+        if got[k].match_type in ("prefix", "middle", "none"):
+            met.add(got[k].match_type)
+            assert (got[k].match_type, got[k].match_start) == plain(text, passage)
+    assert met == {"prefix", "middle", "none"}
 
 
 def test_grounded_passages(spark, texts):

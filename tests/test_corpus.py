@@ -9,8 +9,10 @@ from rankframe.operators import scoring as S
 
 T0 = datetime.datetime(2024, 1, 1)
 SCHEMA = "doc_id int, text string, part string, changed timestamp"
-NOW = F.lit("2024-01-02 00:00:00").cast("timestamp")
-JUST = F.lit("2024-01-01 23:30:00").cast("timestamp")
+
+
+def at(text):
+    return F.lit(text).cast("timestamp")
 
 
 def row(k, text, part, day=0):
@@ -22,20 +24,21 @@ def states(met):
 
 
 def test_refresh(spark):
+    now, just = at("2024-01-02 00:00:00"), at("2024-01-01 23:30:00")
     old = spark.createDataFrame([row(1, "Motion of light", "a"), row(2, "nation", "b"), row(3, "of x", None), row(4, "ration", "c"), row(5, None, "e")], SCHEMA)
     new = spark.createDataFrame([row(1, "Motion of light", "a"), row(2, "station", "b", 1), row(3, "of x", None), row(6, "motion", "d"), row(5, None, "e"), row(7, "of light", "e")], SCHEMA)
-    store = corpus.counted(old, "part", "changed", ["[a-z]+tion"], ["of"], JUST)
-    after, met = corpus.refreshed(store, new, "part", "changed", ["[a-z]+tion"], ["of"], NOW)
+    store = corpus.counted(old, "part", "changed", ["[a-z]+tion"], ["of"], just)
+    after, met = corpus.refreshed(store, new, "part", "changed", ["[a-z]+tion"], ["of"], now)
     assert states(met) == {"a": "same", "b": "changed", None: "same", "c": "gone", "d": "new", "e": "changed"}
-    full = corpus.merged(corpus.counted(new, "part", "changed", ["[a-z]+tion"], ["of"], NOW))
+    full = corpus.merged(corpus.counted(new, "part", "changed", ["[a-z]+tion"], ["of"], now))
     assert set(map(tuple, corpus.merged(after).collect())) == set(map(tuple, full.collect())) == {("motion", 2), ("of light", 2), ("station", 1), ("of x", 1)}
     # what was taken over keeps its time, what was counted again has the new one
-    assert {r["part"] for r in after.where(F.col("built_at") == JUST).select("part").distinct().collect()} == {"a", None}
-    later = F.lit("2024-01-02 00:30:01").cast("timestamp")
+    assert {r["part"] for r in after.where(F.col("built_at") == just).select("part").distinct().collect()} == {"a", None}
+    later = at("2024-01-02 00:30:01")
     assert states(corpus.changes(store, old, "part", "changed", later)) == dict.fromkeys(["a", "b", None, "c", "e"], "aged")
-    nothing, met = corpus.refreshed(store.limit(0), new, "part", "changed", ["[a-z]+tion"], ["of"], NOW)
+    nothing, met = corpus.refreshed(store.limit(0), new, "part", "changed", ["[a-z]+tion"], ["of"], now)
     assert set(states(met).values()) == {"new"} and corpus.merged(nothing).count() == 4
-    assert corpus.refreshed(store, new.limit(0), "part", "changed", ["x"], [], NOW)[0].count() == 0
+    assert corpus.refreshed(store, new.limit(0), "part", "changed", ["x"], [], now)[0].count() == 0
 
 
 def test_phrases(spark):
