@@ -105,11 +105,11 @@ def ensemble(scores: DataFrame, weights: Mapping[str, float] | None = None) -> D
     return scores.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * weight).alias("ensemble_score"))
 
 
-def consolidated(hits: DataFrame, most_hits: int = 15, budget: int = 25_000) -> DataFrame:
-    """(query_id, source, n_chunks, avg_score, text) of the first hits by source, within a budget of characters by score."""
-    groups = hits.where(F.col("rank") <= most_hits).groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("score").alias("avg_score"), F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"))
+def consolidated(hits: DataFrame, most_hits: int = 15, budget: int = 25_000, by: Sequence[str] = ("source",)) -> DataFrame:
+    """(query_id, the columns of `by`, n_chunks, avg_score, text) of the first hits by source, or by source and page, within a budget of characters by score."""
+    groups = hits.where(F.col("rank") <= most_hits).groupBy("query_id", *by).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("score").alias("avg_score"), F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"))
     groups = groups.withColumn("text", F.array_join(F.col("parts.text"), "\n\n")).drop("parts")
-    running = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy(F.desc(F.round("avg_score", 9)), "source").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy(F.desc(F.round("avg_score", 9)), *by).rowsBetween(Window.unboundedPreceding, 0))
     return groups.withColumn("_chars", running).where(F.col("_chars") <= budget).drop("_chars")
 
 

@@ -129,3 +129,16 @@ def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("source").alias("answer_id"), F.ascii("lang").alias("category_ord"), F.col("doc_id").alias("rank"), F.concat("lang", (F.col("doc_id") % 6).cast("string")).alias("source"))
     return V.numbered(chunks).select("answer_id", "rank", "source", F.col("doc_num").cast("long").alias("doc_num"), F.col("pos").cast("long").alias("pos"))
+
+
+@register(
+    """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'doc_' || (doc_id % 3) || '_' || (doc_id % 4 + 1) || '.pdf' ELSE 'doc_' || (doc_id % 3) || '.pdf' END AS name FROM documents)
+SELECT count(*) AS n_documents, count(*) AS n_names, count(DISTINCT name) AS n_kept FROM n"""
+)
+def literal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object names stay distinct where documents are literally called like a numbered one; each name is kept by one document."""
+    k = F.col("doc_id")
+    base = F.concat(F.lit("doc_"), (k % 3).cast("string"))
+    name = F.when(k % 11 == 5, F.concat(base, F.lit("_"), (k % 4 + 1).cast("string"), F.lit(".pdf"))).otherwise(F.concat(base, F.lit(".pdf")))
+    found = V.collision_safe(table(spark, sf_dir, "documents").select("doc_id", name.alias("name")), "name", ("doc_id",))
+    return found.agg(F.count(F.lit(1)).alias("n_documents"), F.count_distinct("object_name").alias("n_names"), F.count_distinct(F.when(F.col("name") == F.col("object_name"), F.col("name"))).alias("n_kept"))

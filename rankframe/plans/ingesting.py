@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankframe.functions import tables
 from rankframe.functions import text as T
 from rankframe.operators import chunking as C
 from rankframe.plans import texts
@@ -135,3 +136,13 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = C.chunks(docs).select("doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumns({"page": F.col("doc_id") % 5 + 1, "section": (F.col("doc_id") % 3).cast("string")})
     found = C.statistics(made, "source", ("page", "section")).withColumn("avg_chars", F.round("avg_chars", 1))
     return found.withColumns({c: F.col(c).cast("long") for c in ("min_chars", "max_chars")})
+
+
+@register(ORACLES["document_chunks"])
+def lateral_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents by a table function in SQL."""
+    tables.register_tables(spark)
+    return spark.sql(
+        "SELECT d.doc_id, CAST(c.chunk_index AS BIGINT) AS chunk_index, CAST(c.start_sentence_index AS BIGINT) AS start_sentence_index, CAST(c.end_sentence_index AS BIGINT) AS end_sentence_index, c.text FROM {docs} d, LATERAL text_chunks(d.text) c",
+        docs=dealt(table(spark, sf_dir, "documents")),
+    )

@@ -113,6 +113,16 @@ def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.consolidated(_run(spark, sf_dir)).select("query_id", "source", "n_chunks", F.round("avg_score", 4).alias("avg_score"), F.length("text").cast("long").alias("n_chars"))
 
 
+@register(
+    f"""WITH {RUN_SQL}, g AS (SELECT query_id, source, doc_id % 4 AS page, count(*) AS n_chunks, avg(score) AS avg_score, sum(length(text)) + 2 * (count(*) - 1) AS n_chars FROM hit WHERE rank <= 15 GROUP BY ALL),
+r AS (SELECT *, sum(n_chars) OVER (PARTITION BY query_id ORDER BY round(avg_score, 9) DESC, source, page ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT query_id, source, page, n_chunks, round(avg_score, 4) AS avg_score, n_chars::BIGINT AS n_chars FROM r WHERE run <= 25000"""
+)
+def page_groups_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits consolidated by source and page within a budget of characters."""
+    found = S.consolidated(_run(spark, sf_dir).withColumn("page", F.col("doc_id") % 4), by=("source", "page"))
+    return found.select("query_id", "source", "page", "n_chunks", F.round("avg_score", 4).alias("avg_score"), F.length("text").cast("long").alias("n_chars"))
+
+
 @register(
     f"""WITH {RUN_SQL}, t AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM hit WHERE rank <= 3),
 c AS (SELECT query_id, term, count(*) AS n FROM t WHERE term NOT IN ({STOP_LIST}) AND (query_id, term) NOT IN (SELECT (query_id, term) FROM q) GROUP BY ALL),

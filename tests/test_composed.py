@@ -191,3 +191,15 @@ def test_mining_statistics_count_the_negatives(spark):
     each = composed.adaptive_negatives(spark, "/root/testdata/sf0.001").collect()
     got = {(r.strategy, r.n_queries, r.n_negatives) for r in composed.mining_statistics(spark, "/root/testdata/sf0.001").collect()}
     assert got == {(s, len({r.query_id for r in each if r.strategy == s}), sum(r.strategy == s for r in each)) for s in {r.strategy for r in each}}
+
+
+def test_object_names(spark):
+    """Numbers give way to literal names, in chains too; repeated rows and null names don't stop it."""
+    from rankframe.operators import conversations
+
+    names = ["x.pdf", "x.pdf", "x_1.pdf", "x_1.pdf", "x.pdf", "x_1_1.pdf", "y", "y", "y_1", None, None, "x.pdf"]
+    got = conversations.collision_safe(spark.createDataFrame(list(enumerate(names)), "id int, name string"), "name", ("id",)).collect()
+    by_id = {r.id: r.object_name for r in got}
+    made = [v for v in by_id.values() if v is not None]
+    assert len(got) == len(names) and len(set(made)) == len(made) == 10 and by_id[9] is None
+    assert [by_id[i] for i in (0, 2, 5, 6, 8)] == ["x.pdf", "x_1.pdf", "x_1_1.pdf", "y", "y_1"] and {by_id[i] for i in (1, 4, 11)} == {"x_2.pdf", "x_3.pdf", "x_4.pdf"}
