@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +84,50 @@ def test_cooldown_stream(spark, tmp_path):
     assert got == {tuple(r) for r in monitoring.cooled(frame, "alert_type").collect()} and got
 
 
+def test_cooldown_out_of_order(spark, tmp_path):
+    """Alerts that come late by less than the watermark, in several batches, fire as the fold over all of them in order does."""
+    r = random.Random(8)
+    rows = [(k, 10 * n + r.randint(0, 500) + r.random()) for n in range(0, 2400, 3) for k in ("a", "b")] + [("one", 77.25)]
+    frame = spark.createDataFrame(rows, "alert_type string, s double").select("alert_type", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("long")).alias("ts"))
+    parts = [frame.where((F.unix_seconds("ts") >= lo) & (F.unix_seconds("ts") < lo + 6000)) for lo in range(0, 30000, 6000)]
+    for part in [*parts, spark.createDataFrame([("late", None)], "alert_type string, ts timestamp").withColumn("ts", F.lit("2030-01-01").cast("timestamp"))]:
+        part.orderBy(F.xxhash64("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = measurements.cooled(source, 900).writeStream.format("memory").queryName("disordered").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(query.recentProgress) > 3
+    got = {tuple(x) for x in spark.table("disordered").where("alert_type <> 'late'").collect()}
+    assert got == {tuple(x) for x in monitoring.cooled(frame, "alert_type", 900).collect()} and len(got) > 40
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """The listener's counts equal the rows fed: read, kept, and late behind the watermark of an earlier batch."""
+    fed = [[("00:01:00", 1), ("02:00:00", 2), ("02:00:00", 2)], [("00:02:00", 3), ("00:03:00", 4), ("01:58:00", 5), ("03:00:00", 6)], [("00:00:00", 7), ("04:00:00", 8)]]
+    counts = measurements.RowCounts()
+    spark.streams.addListener(counts)
+    try:
+        for part in fed:
+            frame = spark.createDataFrame([(f"2024-01-01 {t}", k) for t, k in part], "ts string, k int").withColumn("ts", F.col("ts").cast("timestamp"))
+            frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            query = measurements.counted(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), "k").writeStream.format("parquet").queryName("late").option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/out")
+            query.processAllAvailable()
+            query.stop()
+        for _ in range(100):
+            if sum(b[0] for b in counts.batches.values()) == 9:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    total = counts.written(spark, f"{tmp_path}/counts").agg(*[F.sum(c).alias(c) for c in ("n_read", "n_kept", "n_late")]).first()
+    assert tuple(total) == (9, 5, 3) and {r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1, 2, 5, 6, 8}
+
+
+def test_metric_means_stream_equals_batch(spark, tmp_path):
+    frame = events(spark).withColumn("metrics", F.create_map(F.lit("a"), F.col("value"), F.lit("b"), F.when(F.col("failed"), F.lit(None)).otherwise(F.lit(2.0))))
+    got = {tuple(r) for r in streamed(spark, frame, measurements.metric_means, tmp_path, "means").where("monitor >= 0").collect()}
+    assert got == {tuple(r) for r in measurements.metric_means(frame).collect()} and len({r[2] for r in got}) == 2
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     """A row older than the watermark, which an earlier batch has passed, doesn't count; one within it does."""
     rows = [(f"2024-01-01 {t}", 1, False, 1.0) for t in ("00:01:00", "01:00:00")], [(f"2024-01-01 {t}", 1, False, 9.0) for t in ("00:02:00", "00:58:00")], [("2024-01-01 09:00:00", 2, False, 0.0)]
