@@ -32,6 +32,16 @@ def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VE
     return last.select("src", "dst", F.col("x.relationship").alias("relationship"), F.lit(0.8).alias("confidence"), F.col("x.context").alias("context"), F.col("x.doc_id").alias("doc_id"))
 
 
+def cooccurrences(mentioned: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, n_chunks) with a < b: in how many chunks both entities stand, at least `least` of them.
+
+    Pairs are made within a chunk, entity by entity, and counted before they are shuffled.
+    """
+    held = mentioned.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("es"))
+    each = held.select("es", F.posexplode("es").alias("i", "a")).select("a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
+    return each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_chunks")).where(F.col("n_chunks") >= least)
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
     """(key, entity, hop): entities within `hops` undirected steps of each key's seeds (key, entity), without the seeds."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -151,6 +151,72 @@ def feedback_patterns(entries: DataFrame, category: Column) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("precision").alias("mean_precision"), F.coalesce(F.stddev_samp("precision"), F.lit(0.0)).alias("std_precision"), F.sum((F.col("precision") < 0.3).cast("long")).alias("n_low"), F.sum((F.col("relevant") == 0).cast("long")).alias("n_zero"))
 
 
+def failure_examples(entries: DataFrame, order: Sequence[str] = ("query", "session_id"), most: int = 5) -> DataFrame:
+    """(pattern, n, example, query, precision): low_precision (under .3 of what was retrieved) and zero_relevant, with how many entries
+    fail so and the first `most` of them in order. Entries that retrieved nothing have no precision."""
+    precision = F.when(F.col("retrieved") > 0, F.col("relevant") / F.col("retrieved"))
+    named = F.array_compact(F.array(F.when(precision < 0.3, "low_precision"), F.when(F.col("relevant") == 0, "zero_relevant")))
+    rows = entries.select(*order, precision.alias("precision"), F.explode(named).alias("pattern"))
+    totals = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("example", F.row_number().over(Window.partitionBy("pattern").orderBy(*order))).where(F.col("example") <= most)
+    return first.join(totals, "pattern").select("pattern", "n", "example", "query", "precision")
+
+
+#: Under which mean precision of which category (null: of all) a parameter changes.
+IMPROVEMENTS = ((None, 0.4, "top_k", ""), ("safety", 0.5, "sections", "warning,adverse,contraindication,safety"), ("dosing", 0.5, "sections", "dosage,administration,pediatric"))
+
+
+def adapted(patterns: DataFrame, summary: DataFrame, top_k: int = 10, sections: str = "", rules: Sequence[tuple[str | None, float, str, str]] = IMPROVEMENTS) -> DataFrame:
+    """One row: top_k and sections as the rules change them, in order, a later one of the same parameter overriding; and applied, how many hold.
+
+    patterns: feedback_patterns by category; summary: one row with mean_precision. A category without feedback changes nothing.
+    """
+    means = patterns.agg(*[F.min(F.when(F.col("category") == c, F.col("mean_precision"))).alias(f"_{c}") for c, *_ in rules if c])
+    rows = summary.select(F.coalesce("mean_precision", F.lit(0.0)).alias("_all")).crossJoin(F.broadcast(means))  # one row and one row
+    k, named, applied = F.lit(top_k), F.lit(sections), F.lit(0)
+    for category, under, parameter, value in rules:
+        holds = F.coalesce(F.col(f"_{category}" if category else "_all") < under, F.lit(False))
+        applied = applied + holds.cast("int")
+        if parameter == "top_k":
+            k = F.when(holds, F.least(k + 2, F.lit(15))).otherwise(k)
+        else:
+            named = F.when(holds, F.lit(value)).otherwise(named)
+    return rows.select(k.alias("top_k"), named.alias("sections"), applied.alias("applied"))
+
+
+def sketched(rows: DataFrame, failed: Column, value: str, at: str, key: str, distinct: str) -> DataFrame:
+    """(key, day, total, errors, n, sum, values, users): what a day of a key leaves behind to be merged for any span.
+
+    values is a quantile sketch of the successes' values, users a distinct sketch of the column `distinct`; both are bounded in size,
+    so a hot key is summed in every task and never sorted.
+    """
+    good = ~failed & F.col(value).isNotNull()
+    return rows.groupBy(key, F.to_date(at).alias("day")).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(failed.cast("long")).alias("errors"), F.sum(good.cast("long")).alias("n"), F.sum(F.when(good, F.col(value))).alias("sum"),
+        F.kll_sketch_agg_double(F.when(good, F.col(value)), F.lit(SKETCH)).alias("values"), F.hll_sketch_agg(distinct).alias("users"),
+    )
+
+
+def alpha_performance(rows: DataFrame, alpha: str = "alpha", value: str = "f1") -> DataFrame:
+    """One row: n, mean_alpha, std_alpha (of the sample), mean_f1 and their Pearson correlation, 0 where it isn't defined."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(alpha).alias("mean_alpha"), F.stddev_samp(alpha).alias("std_alpha"), F.avg(value).alias("mean_f1"), F.corr(alpha, value).alias("c"))
+    return found.withColumn("correlation", F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0))).drop("c")
+
+
+#: Size of the quantile sketches: ranks are within about 0.7% of the exact ones.
+SKETCH = 400
+
+
+def merged_report(days: DataFrame, key: str, share: float = 0.95) -> DataFrame:
+    """(key, total, errors, error_rate, mean, quantile, n_users) over the days given: counts and means exact, the quantile and the
+    number of users estimated."""
+    both = days.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("total", "errors", "n", "sum")], F.kll_merge_agg_double("values").alias("_values"), F.hll_union_agg("users").alias("_users"))
+    return both.select(
+        key, "total", "errors", (F.col("errors") / F.col("total")).alias("error_rate"), (F.col("sum") / F.nullif("n", F.lit(0))).alias("mean"),
+        F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("_values", F.lit(share))).alias("quantile"), F.hll_sketch_estimate("_users").alias("n_users"),
+    )
+
+
 def recommendations(patterns: DataFrame, rules: Mapping[str, str], least: float = 0.5) -> DataFrame:
     """(category, advice) for categories whose mean precision is under `least`."""
     table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.lit(None)

@@ -37,6 +37,12 @@ def entity_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(G.mentions(table(spark, sf_dir, "documents"), PATTERNS))
 
 
+@register(f"WITH {MENTIONS_SQL}, md AS (SELECT DISTINCT doc_id, entity FROM me) SELECT x.entity AS a, y.entity AS b, count(*) AS n_chunks FROM md x JOIN md y ON x.doc_id = y.doc_id AND x.entity < y.entity GROUP BY ALL HAVING count(*) >= 3")
+def entity_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entities that stand together in three documents or more."""
+    return G.cooccurrences(G.mentions(table(spark, sf_dir, "documents"), PATTERNS), 3)
+
+
 @register(f"WITH {EDGES_SQL} SELECT src, dst, x.r AS relationship, 0.8::DOUBLE AS confidence, x.d AS doc_id FROM ed")
 def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One edge for each pair, the last document wins."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.operators import monitoring as M
 from rankframe.plans.common import registering, table
+from rankframe.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -156,3 +157,58 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 in batch: sessions with a gap of half an hour."""
     per = _events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return per.select("user_id", F.unix_seconds("session_window.start").alias("start"), "n")
+
+
+@register(
+    f"""WITH {ENTRIES_SQL}, en2 AS (SELECT query || '/' || session_id AS query, session_id, retrieved, CASE WHEN length(query) % 2 = 0 THEN relevant ELSE relevant // 4 END AS relevant FROM en), f AS (SELECT query, session_id, relevant::DOUBLE / retrieved AS precision, unnest(list_filter([CASE WHEN relevant::DOUBLE / retrieved < 0.3 THEN 'low_precision' END, CASE WHEN relevant = 0 THEN 'zero_relevant' END], lambda x: x IS NOT NULL)) AS pattern FROM en2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY query, session_id) AS example, count(*) OVER (PARTITION BY pattern) AS n FROM f) SELECT pattern, n, example, query, round(precision, 6) AS precision FROM r WHERE example <= 5"""
+)
+def failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of failure with five examples each; every second query's relevant hits are quartered, so that both kinds are met."""
+    entries = _entries(spark, sf_dir).where("session_id is not null").withColumn("relevant", F.when(F.length("query") % 2 == 0, F.col("relevant")).otherwise(F.floor(F.col("relevant") / 4)))
+    found = M.failure_examples(entries.withColumn("query", F.concat_ws("/", "query", "session_id")))
+    return found.select("pattern", "n", F.col("example").cast("long").alias("example"), "query", F.round("precision", 6).alias("precision"))
+
+
+@register(
+    f"""WITH {ENTRIES_SQL}, p AS (SELECT CASE session_id WHEN 'en' THEN 'safety' WHEN 'de' THEN 'dosing' ELSE 'general' END AS category, precision / k AS precision, k FROM pr, (VALUES (1), (2), (4)) v(k)),
+m AS (SELECT k, avg(precision) AS every, avg(precision) FILTER (category = 'safety') AS safety, avg(precision) FILTER (category = 'dosing') AS dosing FROM p GROUP BY k)
+SELECT k::BIGINT AS scale, CASE WHEN every < 0.4 THEN 12 ELSE 10 END::BIGINT AS top_k, CASE WHEN dosing < 0.5 THEN 'dosage,administration,pediatric' WHEN safety < 0.5 THEN 'warning,adverse,contraindication,safety' ELSE '' END AS sections, ((every < 0.4)::INT + coalesce(safety < 0.5, FALSE)::INT + coalesce(dosing < 0.5, FALSE)::INT)::BIGINT AS applied FROM m"""
+)
+def adapted_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits to fetch and sections to prefer by the feedback as it is, and with its precision halved and quartered."""
+    out = None
+    for k in (1, 2, 4):
+        entries = _entries(spark, sf_dir).withColumn("relevant", F.col("relevant") / k)
+        category = F.when(F.col("session_id") == "en", "safety").when(F.col("session_id") == "de", "dosing").otherwise("general")
+        one = M.adapted(M.feedback_patterns(entries, category), M.feedback_summary(entries)).select(F.lit(k).cast("long").alias("scale"), F.col("top_k").cast("long").alias("top_k"), "sections", F.col("applied").cast("long").alias("applied"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    f"""WITH {ENTRIES_SQL}, m AS (SELECT query, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, (retrieved % 10) / 10.0 AS alpha FROM pr)
+SELECT count(*) AS n, round(avg(alpha), 6) AS mean_alpha, round(stddev_samp(alpha), 6) AS std_alpha, round(avg(f1), 6) AS mean_f1, round(coalesce(corr(alpha, f1), 0), 6) AS correlation FROM m"""
+)
+def alpha_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the weight of each session goes with its F1; the weight is a fixture."""
+    precision, recall = F.col("relevant") / F.col("retrieved"), F.col("relevant") / F.col("marked")
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    found = M.alpha_performance(_entries(spark, sf_dir).select(((F.col("retrieved") % 10) / 10.0).alias("alpha"), f1.alias("f1")))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean_alpha", "std_alpha", "mean_f1", "correlation")])
+
+
+@register(
+    """SELECT user_id % 50 AS monitor, count(*) AS total, sum((event_type = 'error')::INT)::BIGINT AS errors, round(avg(CASE WHEN event_type <> 'error' THEN value END), 6) AS mean, TRUE AS quantile_near, TRUE AS users_near FROM events WHERE ts < TIMESTAMP '2030-01-01' GROUP BY 1"""
+)
+def sketched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E13, E19 by sketches of each day, merged: exact counts and means; whether the estimated p95 stands within 2.5% of
+    the exact rank, and the number of users within 5% (or one) of the exact one."""
+    events = _events(spark, sf_dir)
+    days = written(M.sketched(events, F.col("failed"), "value", "ts", "monitor", "user_id"), "days")
+    found = M.merged_report(days, "monitor")
+    x = F.when(~F.col("failed"), F.col("value"))
+    exact = events.join(found.select("monitor", "quantile"), "monitor").groupBy("monitor").agg(F.avg((x <= F.col("quantile")).cast("double")).alias("_upto"), F.avg((x < F.col("quantile")).cast("double")).alias("_under"), F.count_distinct("user_id").alias("_u"))
+    near = (F.col("_upto") >= 0.925) & (F.col("_under") <= 0.975)
+    close = F.abs(F.col("n_users") - F.col("_u")) <= F.greatest(F.lit(1), 0.05 * F.col("_u"))
+    return found.join(exact, "monitor").select("monitor", "total", "errors", F.round("mean", 6).alias("mean"), F.coalesce(near, F.lit(True)).alias("quantile_near"), close.alias("users_near"))
