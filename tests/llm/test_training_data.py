@@ -485,11 +485,14 @@ def test_resampling(spark, docs, rows, empty):
     assert len(got) == len(every) and not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 5000)
     assert np.mean([r.kept for r in got if r.doc_id is not None and r.doc_id < 1000]) > 0.97
     top = resampling.resampled(table, labels, k=50).collect()
-    least = sorted((r.key for r in top), reverse=True)[49]
-    assert all(r.kept == (r.key >= least) for r in top)
+    least = sorted((r.key for r in top if r.kept), reverse=True)[49]
+    assert all(r.drawn == (r.kept and r.key >= least) for r in top) and {r.doc_id for r in top if r.kept} == {r.doc_id for r in got if r.kept}
     heaviest = {r.doc_id for r in sorted(top, key=lambda r: -r.log_weight)[:50]}
-    other = {r.doc_id for r in resampling.resampled(table, labels, k=50, seed=1).where("kept").collect()}
-    assert {r.doc_id for r in top if r.kept} not in (heaviest, other)  # the draw decides
+    other = {r.doc_id for r in resampling.resampled(table, labels, k=50, seed=1).where("drawn").collect()}
+    assert {r.doc_id for r in top if r.drawn} not in (heaviest, other)  # the draw decides
+    assert abs(sum(r.drawn for r in got) - 0.5 * sum(r.kept for r in got)) < 8
+    sample = resampling.resampled_documents(table, labels, sample=True)
+    assert sample.count() == sum(r.drawn for r in got) and sample.columns == table.columns
     assert resampling.resampled(empty, labels).count() == 0
     assert all(r.kept for r in resampling.resampled(docs, labels.where("false")).collect())
 
@@ -505,6 +508,32 @@ def test_draw_follows_the_weights(spark):
     assert all(abs(first[k] / 4000 - w / sum(weights)) < 0.03 for k, w in enumerate(weights))
 
 
+def test_registered_draw(spark):
+    """Over the whole table of the query, seeds draw other documents (5% at least), and over fifty seeds heavier ones stand in more samples."""
+    from pyspark.sql import functions as F
+
+    from rankframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = {r.doc_id for r in queries.op7_importance_resampling(spark, sf).where("drawn").collect()}
+    two = {r.doc_id for r in resampling.resampled(docs, labels, seed=1).where("drawn").collect()}
+    assert len(one - two) >= 0.05 * len(one)
+    kept = resampling.resampled(docs, labels).where("kept").join(docs.select("doc_id", "text"), "doc_id")
+    keys = kept.crossJoin(spark.range(50).withColumnRenamed("id", "s")).select("s", "doc_id", "log_weight", (F.col("log_weight") + resampling.gumbel(F.xxhash64(F.col("doc_id").cast("string"), "text", F.concat(F.lit("gumbel "), F.col("s").cast("string"))))).alias("key"))
+    samples = defaultdict(list)
+    for r in keys.collect():
+        samples[r.s].append((r.key, r.doc_id, r.log_weight))
+    assert {d for _, d, _ in sorted(samples[0], reverse=True)[: len(one)]} == one
+    times, weight = Counter(), {}
+    for rows in samples.values():
+        weight |= {d: w for _, d, w in rows}
+        times.update(d for _, d, _ in sorted(rows, reverse=True)[: len(one)])
+    order = sorted(weight, key=weight.get)
+    share = [np.mean([times[d] / 50 for d in part]) for part in np.array_split(np.array(order), 4)]
+    assert share == sorted(share) and share[0] + 0.3 < share[-1] and abs(np.mean([times[d] / 50 for d in order]) - 0.5) < 0.02
+
+
 def test_weights_against_brute_force(spark, docs, rows):
     """Counts, ratios and weights of the bags of n-grams against a plain count of each text's words, pairs and shapes."""
     from pyspark.sql import functions as F
@@ -524,7 +553,7 @@ def test_weights_against_brute_force(spark, docs, rows):
         assert len(bucket) == len(w) + 2 * max(len(w) - 1, 0) and (len(w) > 99 or len(set(bucket[: len(w)])) == len(set(w)))
     ratios = resampling.log_ratios(counts)
     got = resampling.weighed(docs.select("doc_id", "text"), ratios).collect()
-    brute = Counter((r[0], len(words_of(r[1])), round(sum(ratios[b] for b in bucket) * 64 / max(len(bucket), 64), 6) + 0.0) for r, bucket in zip(rows, each, strict=True))
+    brute = Counter((r[0], len(words_of(r[1])), round(sum(ratios[b] for b in bucket) * 64 / (64 + len(bucket)), 6) + 0.0) for r, bucket in zip(rows, each, strict=True))
     assert Counter((r.doc_id, r.n_words, round(r.log_weight, 6) + 0.0) for r in got) == brute
 
 
