@@ -333,24 +333,85 @@ def shingle_prefixes(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.repartition("shingle").dropDuplicates(["shingle", "sig"])  # documents of one set bring the same rows
 
 
-def similar_candidates(docs: DataFrame, classes: DataFrame, shingle: int, bits: int = MOST_BITS) -> DataFrame:
-    """(u, v), u < v: pairs of sets that may be similar: all that share enough of their prefixes, and those near in SimHash."""
-    rows = shingle_prefixes(docs, shingle)
-    left, right = (rows.select("shingle", F.col("sig").alias(n), F.col("size").alias(f"size_{n}"), F.col("rest").alias(f"rest_{n}")) for n in ("u", "v"))
+#: Turns in which every list is compared with one of its sets, before what is left is compared pair by pair.
+TURNS = 3
+
+
+def _may_be_similar() -> Column:
+    """Whether rows u and v of one list may belong to similar sets: by their sizes, and by what is left of the smaller from there on."""
     p, q = SIMILAR
     # of sizes a and b, similar sets share p / (p + q) of a + b, which is 2 p / (p + q) or more of the smaller
     first = F.when(F.col("size_u") <= F.col("size_v"), (F.col("rest_u") + 1) * (p + q) >= F.col("size_u") * 2 * p).otherwise((F.col("rest_v") + 1) * (p + q) >= F.col("size_v") * 2 * p)
-    near = (F.col("u") < F.col("v")) & (F.col("size_u") * q >= F.col("size_v") * p) & (F.col("size_v") * q >= F.col("size_u") * p) & first
-    met = left.join(right, "shingle").where(near).groupBy("u", "v").agg(
+    return (F.col("size_u") * q >= F.col("size_v") * p) & (F.col("size_v") * q >= F.col("size_u") * p) & first
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "shingle"])
+
+
+def _grouped(rows: DataFrame, links_: DataFrame) -> DataFrame:
+    """rows of lists with c, the group that the links have brought their set to."""
+    roots = components(links_)
+    return written(rows.join(roots, F.col("sig") == F.col("node"), "left").withColumn("c", F.coalesce("root", "sig")).drop("node", "root"), "grouped")
+
+
+def pivot_pairs(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of one set of each list, its pivot, with those of the list in other groups; and the lists, without their pivots, that hold
+    more than one group. Which set is the pivot depends on the turn, and is the same in all lists as far as can be."""
+    spread = F.xxhash64("sig", F.lit(turn))
+    lists = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("sig", "size", "rest", "c"), spread).alias("pivot")).where("lo <> hi")
+    pivots = lists.select("shingle", F.col("pivot.sig").alias("sig_v"), F.col("pivot.size").alias("size_v"), F.col("pivot.rest").alias("rest_v"), F.col("pivot.c").alias("c_v"))
+    both = written(_side(rows, "u").join(pivots, "shingle").where("sig_u <> sig_v"), "pivots")
+    met = both.where((F.col("c_u") != F.col("c_v")) & _may_be_similar()).select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v")).distinct()
+    return met, both.select("shingle", F.col("sig_u").alias("sig"), F.col("size_u").alias("size"), F.col("rest_u").alias("rest"))
+
+
+def pairs_across(rows: DataFrame) -> DataFrame:
+    """(u, v), u < v: all pairs of sets of different groups that share enough of their lists to be similar."""
+    p, q = SIMILAR
+    near = (F.col("sig_u") < F.col("sig_v")) & (F.col("c_u") != F.col("c_v")) & _may_be_similar()
+    met = _side(rows, "u").join(_side(rows, "v"), "shingle").where(near).groupBy(F.col("sig_u").alias("u"), F.col("sig_v").alias("v")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rest_u").alias("rest_u"), F.min("rest_v").alias("rest_v"), F.max(F.col("size_u") + F.col("size_v")).alias("both")
     )
     # what they share is counted up to the last shingle met, and no more can follow than either has left
-    met = met.where((F.col("n") + F.least("rest_u", "rest_v")) * (p + q) >= F.col("both") * p).select("u", "v")
+    return met.where((F.col("n") + F.least("rest_u", "rest_v")) * (p + q) >= F.col("both") * p).select("u", "v")
+
+
+def near_in_simhash(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """(u, v), u < v: sets of one fingerprint with its smallest, and the smallest ones of fingerprints near each other."""
     heads = written(classes.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
     close = links(heads, bits).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
     same = classes.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b"))
     close = close.select("a", "b").unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    return met.unionByName(close).distinct()
+    return close.distinct()
+
+
+def similar_sets(docs: DataFrame, classes: DataFrame, shingle: int, bits: int = MOST_BITS) -> DataFrame:
+    """(u, v): links between similar sets whose components are those of all pairs of similar sets.
+
+    Sets that share a shingle of their prefixes stand in one list. First each list is compared with one of its sets, which brings a group of
+    near copies together by as many links as it has sets; a list whose sets have come to one group is done with. After TURNS such turns
+    the lists that still hold several groups are compared pair by pair, but only across groups: a pair left out is in one group
+    already, or was compared.
+    """
+    prefixes = shingle_prefixes(docs, shingle)
+    shared = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = written(prefixes.join(shared, "shingle", "left_semi"), "lists")
+    close = written(near_in_simhash(classes, bits), "close")
+    wanted = written(rows.select("sig").unionByName(close.select(F.explode(F.array("u", "v")).alias("sig"))).distinct(), "wanted")
+    texts = written(packed_texts(docs, wanted, shingle), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("sig").alias("u"), F.col("packed").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("packed").alias("b")), "v")
+        return written(similar(both, shingle), "similar")
+
+    found, seen = verified(close), close
+    for turn in range(TURNS):
+        met, rows = pivot_pairs(_grouped(rows, found), turn)
+        met = written(met.join(seen, ["u", "v"], "left_anti"), "candidates")
+        found, seen = found.unionByName(verified(met)), seen.unionByName(met)
+    rest = written(pairs_across(_grouped(rows, found)).join(seen, ["u", "v"], "left_anti"), "candidates")
+    return found.unionByName(verified(rest))
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -401,11 +462,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> Da
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("least")
     found = shingle_classes(docs, shingle).groupBy("sig").agg(first, F.min("fp").alias("fp"))
     classes = written(found, "sets")
-    pairs = written(similar_candidates(docs, classes, shingle, bits), "candidates")
-    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), "wanted")
-    texts = written(packed_texts(docs, wanted, shingle), "texts")
-    both = pairs.join(texts.select(F.col("sig").alias("u"), F.col("packed").alias("a")), "u").join(texts.select(F.col("sig").alias("v"), F.col("packed").alias("b")), "v")
-    members = classes.join(components(similar(both, shingle)), F.col("sig") == F.col("node"), "left")
+    members = classes.join(components(similar_sets(docs, classes, shingle, bits)), F.col("sig") == F.col("node"), "left")
     leaders = members.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
     plain = [F.col(f"`{c.name}`") for c in docs.schema if "map<" not in c.dataType.simpleString()]
     rows = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(*plain).alias("h"))

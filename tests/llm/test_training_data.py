@@ -449,6 +449,24 @@ def test_different_texts_under_one_id_stay(spark):
     assert got[0] == got[1] and len(got[0]) == 4
 
 
+def test_near_copies_are_linked_by_few_pairs(spark):
+    """A group of near copies comes together by about as many links as it has texts, not by all pairs."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for k in range(240):
+        copy = list(base)
+        for _ in range(r.randint(0, 2)):
+            copy[r.randrange(len(copy))] = f"x{k}{r.randrange(9)}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    classes = simhash.shingle_classes(frame, 5).groupBy("sig").agg(__import__("pyspark").sql.functions.min("fp").alias("fp"))
+    found = simhash.similar_sets(frame, classes, 5)
+    n = classes.count()
+    assert n > 150 and found.count() < 8 * n < n * (n - 1) / 4
+    assert simhash.components(found).select("root").distinct().count() == 1 and simhash.deduplicated(frame).count() == 1
+
+
 def test_deduplicated_finds_all_similar_texts(spark, rows):
     """Edited copies around 0.8, short and long, chains of them, copies by case: the groups are those of brute-force Jaccard."""
     r = random.Random(8)
