@@ -51,7 +51,7 @@ TEMPLATES = (
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: Share of a template's distinct words that a block must hold; templates of fewer distinct words than SHORT need all.
+#: Share of a template's distinct words that a block must hold; templates of fewer distinct words than SHORT need all, in their order.
 CONTAINMENT, SHORT = 0.8, 16
 #: Bound of what is broadcast: distinct words of all templates together.
 MOST_TEMPLATE_WORDS = 20_000
@@ -92,22 +92,22 @@ def phrase_places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:
 
 
 def template_index(templates: Sequence[Template], threshold: float, short: int, order: dict[str, int]) -> list[tuple]:
-    """(word, width, place, template, label, size, need, words, without) for the prefix words of each template in the global order."""
+    """(word, width, place, template, label, size, need, words, without, notice) for the prefix words of each template in the global order."""
     rows = []
     for number, t in enumerate(templates):
         words = sorted(set(words_of(t.notice)), key=lambda w: (order.get(w, 0), w))
         need = needed(len(words), threshold, short)
-        rows += [(w, width(t), k, number, t.label, len(words), need, words, words_of(t.without)) for k, w in enumerate(words[: len(words) - need + 1])]
+        rows += [(w, width(t), k, number, t.label, len(words), need, words, words_of(t.without), words_of(t.notice)) for k, w in enumerate(words[: len(words) - need + 1])]
     return rows
 
 
 def matches(held: DataFrame, templates: Sequence[Template], threshold: float, short: int) -> DataFrame:
-    """(rid, block, label, share): blocks of the texts that match a template. held: (rid, held array of (at, word)), with
+    """(rid, width, block, template, label, share): blocks of the texts that match a template. held: (rid, held array of (at, word)), with
     the words of the templates in each text and their places."""
     counts = held.select(F.explode(F.array_distinct(F.col("held.word"))).alias("word")).groupBy("word").count()
     order = {r["word"]: r["count"] for r in counts.collect()}  # words of the templates only
     rows = template_index(templates, threshold, short, order)
-    index = held.sparkSession.createDataFrame(rows, "word string, width int, t_place int, template int, label string, t_size int, need int, t_words array<string>, without array<string>")
+    index = held.sparkSession.createDataFrame(rows, "word string, width int, t_place int, template int, label string, t_size int, need int, t_words array<string>, without array<string>, notice array<string>")
     ordered = sorted({w for t in templates for w in words_of(t.notice)}, key=lambda w: (order.get(w, 0), w))
     heads = sorted({r[0] for r in rows})
     least = {w: min(r[6] for r in rows if r[1] == w) for w in sorted({r[1] for r in rows})}
@@ -121,7 +121,12 @@ def matches(held: DataFrame, templates: Sequence[Template], threshold: float, sh
     close = (F.col("n") >= F.col("need")) & (F.col("place") <= F.col("n") - F.col("need")) & (F.lit(1) + F.least(F.col("n") - F.col("place"), F.col("t_size") - F.col("t_place")) - 1 >= F.col("need"))
     pairs = prefix.join(F.broadcast(index), ["word", "width"]).where(close).withColumn("shared", F.size(F.array_intersect("held", "t_words")))
     pairs = pairs.where((F.col("shared") >= F.col("need")) & (F.size(F.array_intersect("all", "without")) == 0))
-    return pairs.select("rid", "width", "block", "template", "label", (F.col("shared") / F.col("t_size")).alias("share")).distinct()
+    found = pairs.select("rid", "width", "block", "template", "label", (F.col("shared") / F.col("t_size")).alias("share"), (F.col("t_size") < short).alias("brief"), "notice").distinct()
+    # a short notice's words are common ones: they must stand in their order
+    inside = F.filter("held", lambda x: x["at"].between(F.col("block") * F.col("width"), (F.col("block") + 2) * F.col("width") - 1))
+    in_order = F.aggregate(inside, F.lit(0), lambda k, x: F.when(x["word"] == F.get("notice", k), k + 1).otherwise(k)) == F.size("notice")
+    placed = found.where("brief").join(held, "rid").where(in_order).select(*found.columns)
+    return found.where(~F.col("brief")).unionByName(placed).select("rid", "width", "block", "template", "label", "share")
 
 
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[Template] = TEMPLATES, threshold: float = CONTAINMENT, short: int = SHORT) -> DataFrame:

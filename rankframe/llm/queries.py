@@ -117,12 +117,12 @@ ph AS (SELECT label, regexp_extract_all(phrase, '{LICENSE_WORDS}') AS ps FROM (V
 pl AS (SELECT rid, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(ps)] = ps)) AS place FROM w JOIN ph ON list_has_all(ws, ps)),
 ba AS (SELECT rid, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM pl GROUP BY rid),
 no AS (SELECT label, regexp_extract_all(lower(notice), '{LICENSE_WORDS}') AS every, regexp_extract_all(lower(wo), '{LICENSE_WORDS}') AS wo FROM (VALUES {_rows(license_scan.TEMPLATES)}) v(label, notice, wo)),
-te AS (SELECT row_number() OVER () AS template, label, list_distinct(every) AS ts, wo, greatest(8, 2 ** ceil(log2(1.25 * len(every))))::INT AS width FROM no),
-bl AS (SELECT rid, width, block, list_distinct(ws[block * width + 1 : block * width + 2 * width]) AS bs FROM (
+te AS (SELECT row_number() OVER () AS template, label, list_distinct(every) AS ts, ' ' || array_to_string(every, ' .* ') || ' ' AS pattern, wo, greatest(8, 2 ** ceil(log2(1.25 * len(every))))::INT AS width FROM no),
+bl AS (SELECT rid, width, block, ' ' || array_to_string(ws[block * width + 1 : block * width + 2 * width], '  ') || ' ' AS run, list_distinct(ws[block * width + 1 : block * width + 2 * width]) AS bs FROM (
   SELECT rid, ws, width, unnest(range(((len(ws) + width - 1) // width)::BIGINT)) AS block FROM w, (SELECT DISTINCT width FROM te))),
-pr AS (SELECT rid, block, template, label, len(list_intersect(bs, ts)) AS shared, len(ts) AS size, list_has_any(bs, wo) AS other FROM bl JOIN te USING (width)),
+pr AS (SELECT rid, block, template, label, len(list_intersect(bs, ts)) AS shared, len(ts) AS size, list_has_any(bs, wo) AS other, run, pattern FROM bl JOIN te USING (width)),
 mt AS (SELECT rid, list(DISTINCT label) AS ls, max(shared::DOUBLE / size) AS share, count(*) AS n FROM pr
-  WHERE NOT other AND shared >= CASE WHEN size < {license_scan.SHORT} THEN size ELSE ceil({license_scan.CONTAINMENT} * size - 1e-9) END GROUP BY rid)
+  WHERE NOT other AND shared >= CASE WHEN size < {license_scan.SHORT} THEN size ELSE ceil({license_scan.CONTAINMENT} * size - 1e-9) END AND (size >= {license_scan.SHORT} OR regexp_matches(run, pattern)) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(ba.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(ba.ls, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(coalesce(ba.ls, []) || coalesce(mt.ls, []))), ',') AS labels,
   CASE WHEN ba.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, coalesce(mt.n, 0)::BIGINT AS n_blocks
