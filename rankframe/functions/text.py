@@ -245,3 +245,25 @@ def past_answer(text: Column, fallback: str = "", most_chars: int = 200) -> Colu
     bare = F.regexp_replace(F.regexp_replace(text, r"```[\s\S]*?```", ""), r"^\s+|\s+$", "")
     inner = F.when(bare.startswith("{"), F.coalesce(F.get_json_object(bare, "$.answer"), bare)).otherwise(bare)
     return F.when((inner != "") & (inner != F.lit(fallback)), F.left(inner, F.lit(most_chars)))
+
+
+def cleaned_metadata(values: Mapping[str, Column | tuple[Column, str]]) -> Column:
+    """map<string,string> of what is not null: strings, numbers and flags as text; a list as JSON of its elements that aren't null, as text.
+
+    values: name to column, or for a list to (column, "list").
+    """
+    pairs = []
+    for name, value in values.items():
+        if isinstance(value, tuple):
+            listed = F.to_json(F.transform(F.filter(value[0], lambda x: x.isNotNull()), lambda x: x.cast("string")))
+            pairs.append(F.struct(F.lit(name).alias("k"), F.when(value[0].isNotNull(), listed).alias("v")))
+        else:
+            pairs.append(F.struct(F.lit(name).alias("k"), value.cast("string").alias("v")))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["v"].isNotNull()))
+
+
+def longest(*extractions: Column) -> Column:
+    """Of several extractions of one page the one with the most characters but for white space around, the first of equals; null counts as empty."""
+    bare = [F.regexp_replace(F.coalesce(e, F.lit("")), r"^\s+|\s+$", "") for e in extractions]
+    sized = F.array(*[F.struct(F.length(b).alias("n"), F.lit(-k).alias("place"), b.alias("text")) for k, b in enumerate(bare)])
+    return F.array_max(sized)["text"]

@@ -132,3 +132,29 @@ def listing(pages: DataFrame, messages: DataFrame, key: str) -> DataFrame:
     """Each page with its number of messages, 0 where it has none."""
     counts = messages.groupBy(key).agg(F.count(F.lit(1)).alias("n_messages"))
     return pages.join(counts, key, "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))
+
+
+#: The source of an answer's first and second paragraph, of any other, and words that tell it better, the first that fits.
+PARAGRAPH_SOURCES = ("PIS", "LRD", "OTHER")
+SOURCE_WORDS = (("PIS", ("no source 1", "no pi document")), ("LRD", ("no source 2", "no lrd document")), ("OTHER", ("no source 3", "past cases")))
+
+
+def tokens(answers: DataFrame, text: str = "text", key: str = "answer_id") -> DataFrame:
+    """(key, paragraph, source_type, index, total_tokens, token, is_citation): answers as they are given out, word by word.
+
+    Paragraphs stand between blank lines, also escaped ones; blank ones don't count. A word behind the first of its paragraph brings its
+    space. index runs through the whole answer. A null or blank answer gives nothing.
+    """
+    whole = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\n\\n"), F.lit("\n\n")), F.lit("\\n"), F.lit("\n"))
+    paragraphs = F.filter(F.transform(F.split(whole, "\n\n"), lambda p: T.words(p)), lambda w: F.size(w) > 0)
+    rows = answers.select(key, paragraphs.alias("_p"))
+    before = lambda i: F.aggregate(F.slice("_p", 1, i), F.lit(0), lambda n, w: n + F.size(w))
+    each = rows.select(key, F.aggregate("_p", F.lit(0), lambda n, w: n + F.size(w)).alias("total_tokens"), F.posexplode(F.transform("_p", lambda w, i: F.struct(w.alias("w"), before(i).alias("first")))).alias("paragraph", "x"))
+    low = F.lower(F.array_join("x.w", " "))
+    first, second, other = PARAGRAPH_SOURCES
+    source = F.when(F.col("paragraph") == 0, first).when(F.col("paragraph") == 1, second).otherwise(other)
+    for name, words in reversed(SOURCE_WORDS):
+        source = F.when(T.holds_any(low, words), name).otherwise(source)
+    found = each.select(key, "total_tokens", "paragraph", source.alias("source_type"), F.col("x.first").alias("_first"), F.posexplode("x.w").alias("_i", "_w"))
+    token = F.when(F.col("_i") > 0, F.concat(F.lit(" "), F.col("_w"))).otherwise(F.col("_w"))
+    return found.select(key, "paragraph", "source_type", (F.col("_first") + F.col("_i")).alias("index"), "total_tokens", token.alias("token"), token.rlike(r"\[\d+\.\d+\]").alias("is_citation"))

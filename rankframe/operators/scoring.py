@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,16 @@ def overlap_score(query_tokens: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(text))) / F.size(q)).otherwise(0.0)
 
 
+def pair_scorer(score: Callable[[list[str], list[str]], Sequence[float]]) -> Callable[[Column, Column], Column]:
+    """A scorer of (query, text) columns from a function over lists of both: a model is called once for each Arrow batch. Nulls reach it as empty texts."""
+
+    @F.pandas_udf("double")
+    def run(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(score(query.fillna("").tolist(), text.fillna("").tolist()), dtype="float64")
+
+    return run
+
+
 def reranked(hits: DataFrame, score: Column, k: int, text: str = "text") -> DataFrame:
     """The k best hits of each query by another score; blank text is dropped, a null score falls back to the old one."""
     rows = hits.where(F.trim(text) != "").withColumn("rerank_score", F.coalesce(score, F.col("score")))

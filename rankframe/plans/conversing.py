@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankframe.functions import text as T
 from rankframe.operators import conversations as V
 from rankframe.plans.common import registering, table
 
@@ -142,3 +143,44 @@ def literal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k % 11 == 5, F.concat(base, F.lit("_"), (k % 4 + 1).cast("string"), F.lit(".pdf"))).otherwise(F.concat(base, F.lit(".pdf")))
     found = V.collision_safe(table(spark, sf_dir, "documents").select("doc_id", name.alias("name")), "name", ("doc_id",))
     return found.agg(F.count(F.lit(1)).alias("n_documents"), F.count_distinct("object_name").alias("n_names"), F.count_distinct(F.when(F.col("name") == F.col("object_name"), F.col("name"))).alias("n_kept"))
+
+
+TOLD_SQL = r"replace(text, '. ', '.' || chr(10) || chr(10)) || CASE conv_id % 4 WHEN 0 THEN '\n\nno LRD document [1.2] found' WHEN 1 THEN chr(10) || chr(10) || 'see past cases [2.1][3.1]' ELSE '' END"
+
+
+def _told() -> F.Column:
+    more = F.when(F.col("conv_id") % 4 == 0, "\\n\\nno LRD document [1.2] found").when(F.col("conv_id") % 4 == 1, "\n\nsee past cases [2.1][3.1]").otherwise("")
+    return F.concat(F.replace("text", F.lit(". "), F.lit(".\n\n")), more)
+
+
+@register(
+    f"""WITH a AS (SELECT conv_id * 100 + turn AS answer_id, {TOLD_SQL} AS t FROM conversations), p AS (SELECT answer_id, list_filter(list_transform(string_split(replace(replace(t, '\\n\\n', chr(10) || chr(10)), '\\n', chr(10)), chr(10) || chr(10)), lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')), lambda w: len(w) > 0) AS ps FROM a),
+e AS (SELECT answer_id, ps, unnest(range(len(ps))) AS paragraph FROM p), f AS (SELECT answer_id, paragraph, ps[paragraph + 1] AS ws, coalesce(list_sum(list_transform(ps[1 : paragraph], lambda w: len(w))), 0) AS before, list_sum(list_transform(ps, lambda w: len(w))) AS total, lower(array_to_string(ps[paragraph + 1], ' ')) AS low FROM e),
+w AS (SELECT *, unnest(range(len(ws))) AS i FROM f), z AS (SELECT *, CASE WHEN i > 0 THEN ' ' ELSE '' END || ws[i + 1] AS token FROM w)
+SELECT answer_id, paragraph, CASE WHEN contains(low, 'no source 1') OR contains(low, 'no pi document') THEN 'PIS' WHEN contains(low, 'no source 2') OR contains(low, 'no lrd document') THEN 'LRD' WHEN contains(low, 'no source 3') OR contains(low, 'past cases') THEN 'OTHER' WHEN paragraph = 0 THEN 'PIS' WHEN paragraph = 1 THEN 'LRD' ELSE 'OTHER' END AS source_type,
+  (before + i)::BIGINT AS index, total::BIGINT AS total_tokens, token, regexp_matches(token, '\\[\\d+\\.\\d+\\]') AS is_citation FROM z"""
+)
+def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers word by word with the source of each paragraph."""
+    told = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), _told().alias("text"))
+    return V.tokens(told).withColumns({c: F.col(c).cast("long") for c in ("paragraph", "index", "total_tokens")})
+
+
+@register(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, n_chars, doc_id % 2 = 0 AS even, CASE WHEN doc_id % 5 <> 0 THEN [source, NULL, lang] END AS tags FROM documents)
+SELECT doc_id, concat_ws(';', 'even=' || even, 'lang=' || lang, 'n_chars=' || n_chars, 'tags=' || CASE WHEN tags IS NOT NULL THEN to_json(list_filter(tags, lambda x: x IS NOT NULL))::VARCHAR END) AS metadata FROM d"""
+)
+def cleaned_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata without nulls, all values as text."""
+    k = F.col("doc_id")
+    values = {"even": k % 2 == 0, "lang": F.when(k % 3 != 0, F.col("lang")), "n_chars": F.col("n_chars"), "tags": (F.when(k % 5 != 0, F.array("source", F.lit(None), "lang")), "list")}
+    found = table(spark, sf_dir, "documents").select("doc_id", T.cleaned_metadata(values).alias("m"))
+    return found.select("doc_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"))
+
+
+@register(r"""WITH p AS (SELECT page_id, [regexp_replace(html, '<[^>]*>', ' ', 'g'), url, CASE WHEN page_id % 2 = 0 THEN html END] AS es FROM pages), b AS (SELECT page_id, list_transform(es, lambda x: regexp_replace(coalesce(x, ''), '^\s+|\s+$', '', 'g')) AS bs FROM p) SELECT page_id, length(bs[list_position(list_transform(bs, lambda x: length(x)), list_max(list_transform(bs, lambda x: length(x))))]) AS n_chars, list_position(list_transform(bs, lambda x: length(x)), list_max(list_transform(bs, lambda x: length(x)))) = 3 AS is_raw FROM b""")
+def longest_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of three extractions of each page."""
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", T.longest(F.regexp_replace("html", "<[^>]*>", " "), F.col("url"), F.when(F.col("page_id") % 2 == 0, F.col("html"))).alias("t"), "html")
+    return found.select("page_id", F.length("t").cast("long").alias("n_chars"), F.coalesce((F.col("page_id") % 2 == 0) & (F.col("t") == F.regexp_replace("html", r"^\s+|\s+$", "")) & (F.regexp_replace("html", "<[^>]*>", " ") != F.col("html")), F.lit(False)).alias("is_raw"))

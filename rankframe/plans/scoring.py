@@ -146,3 +146,23 @@ def concept_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _passages(spark, sf_dir).select("query_id", F.explode(T.tokens(F.col("text"), "[a-z]{1,}")).alias("term")).distinct()
     concepts = spark.createDataFrame(CONCEPTS, "concept string, synonym string")
     return S.concept_variants(tokens, concepts).select("query_id", "synonym", F.col("rank").cast("long").alias("rank"))
+
+
+def _shares(queries: list[str], texts: list[str]) -> list[float]:
+    """The share of a query's words that its text has, as a stand-in for a model's scores of a batch of pairs."""
+    out = []
+    for q, t in zip(queries, texts):
+        asked = set(q.split())
+        out.append(len(asked & set(t.lower().split())) / len(asked) if asked else 0.0)
+    return out
+
+
+@register(
+    f"""WITH {RUN_SQL}, s AS (SELECT h.query_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(h.text), '\\s+'), lambda x: x <> '') AS t FROM hit h JOIN benchmark b ON b.item_id = h.query_id WHERE trim(h.text) <> ''),
+k AS (SELECT *, CASE WHEN len(a) > 0 THEN len(list_intersect(a, t))::DOUBLE / len(a) ELSE 0.0 END AS o FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(o, 9) DESC, doc_id) AS rerank_rank FROM k) SELECT query_id, doc_id, rerank_rank, round(o, 6) AS rerank_score FROM r WHERE rerank_rank <= 10"""
+)
+def pair_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranking by a function over batches of pairs."""
+    asked = _passages(spark, sf_dir).select("query_id", F.lower("text").alias("_q"))
+    best = S.reranked(_run(spark, sf_dir).join(asked, "query_id"), S.pair_scorer(_shares)(F.col("_q"), F.col("text")), 10)
+    return best.select("query_id", "doc_id", F.col("rerank_rank").cast("long").alias("rerank_rank"), F.round("rerank_score", 6).alias("rerank_score"))

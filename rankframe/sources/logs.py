@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankframe.sources.scratch import written
+
 #: Extensions and leading bytes of files.
 MAGIC = (("pdf", "25504446"), ("docx", "504B0304"))
 
@@ -56,7 +58,7 @@ def daily(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def rejected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """(line): the lines that daily() leaves out."""
-    return daily_lines(spark, path, schema).cache().where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
+    return written(daily_lines(spark, path, schema), "lines").where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
 
 
 def export(rows: DataFrame, path: str) -> None:
