@@ -112,6 +112,8 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The counts that the rules look at, one row per document; null text counts as empty and has none, long texts are taken whole,
+    repeated rows stay repeated; an empty table gives no rows."""
     names = [c.split()[0] for c in MEASURED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,8 @@ def _simhash(hashes: np.ndarray, many: np.ndarray, worded: np.ndarray) -> np.nda
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc id, fp): the signed form of each document's fingerprint; null text counts as empty."""
+    """(doc id, fp): the signed form of each document's fingerprint; null text counts as empty, long texts are taken whole, repeated rows
+    stay repeated; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
