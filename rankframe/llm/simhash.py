@@ -358,8 +358,9 @@ def _grouped(rows: DataFrame, links_: DataFrame) -> DataFrame:
 
 def pivot_pairs(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(u, v) of one set of each list, its pivot, with those of the list in other groups; and the lists, without their pivots, that hold
-    more than one group. Which set is the pivot depends on the turn, and is the same in all lists as far as can be."""
-    spread = F.xxhash64("sig", F.lit(turn))
+    more than one group. The pivot is the set that has most of its shingles left from there on: what copies were made of has fewer rare
+    shingles of its own than they have, and is near all of them where they are not near each other."""
+    spread = F.struct(-(F.col("rest") + 1) / F.col("size"), F.xxhash64("sig", F.lit(turn)))
     lists = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("sig", "size", "rest", "c"), spread).alias("pivot")).where("lo <> hi")
     pivots = lists.select("shingle", F.col("pivot.sig").alias("sig_v"), F.col("pivot.size").alias("size_v"), F.col("pivot.rest").alias("rest_v"), F.col("pivot.c").alias("c_v"))
     both = written(_side(rows, "u").join(pivots, "shingle").where("sig_u <> sig_v"), "pivots")
