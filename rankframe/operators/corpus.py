@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankframe.operators import dense
 from rankframe.operators.search import corpus_terms, term_corpus
+from rankframe.sources.scratch import written
 
 #: Seconds after which a part is counted again even if nothing is known to have changed.
 MAX_AGE = 3600
@@ -63,5 +64,6 @@ def seeded(docs: DataFrame, seeds: DataFrame, types: Sequence[str], embed: Calla
     """
     asked = seeds.select("seed", embed(F.col("seed")).alias("embedding"), F.explode(F.array(*map(F.lit, types))).alias("kind"))
     asked = asked.select(F.struct("seed", "kind").alias("query_id"), "embedding", F.array("kind").alias("document_type"))
-    found = dense.nearest(docs, asked, k, filters=("document_type",)).select("doc_id").distinct()
+    vectors = written(docs.select("doc_id", "embedding", "document_type"), "vectors")  # embedded once
+    found = dense.nearest(vectors, asked, k, filters=("document_type",)).select("doc_id").distinct()
     return term_corpus(docs.join(found, "doc_id", "left_semi"), phrases, triggers)

@@ -83,7 +83,9 @@ def search(docs: DataFrame, queries: DataFrame, embed: Callable[[Column], Column
     variants being (ord, source, text, n_hits) in order. A query without hits has its row there too.
     """
     asked = written(S.adaptive_alpha(queries, groups), "asked")
-    base = base_hits(docs, asked, k)
+    vectors = written(docs.select("doc_id", "embedding", *FILTERS), "vectors")  # embedded once for all stages
+    corpus = written(corpus.select("term"), "corpus")
+    base = base_hits(vectors, asked, k)
     active = written(active_filters(asked, base, k), "active")
     scored = written(bm25.pairs(corpus.select(F.col("term").alias("doc_id"), F.col("term").alias("text")), asked.select("query_id", "text")).withColumnRenamed("doc_id", "term"), "phrases")
     best = scored.join(active.where("short").select("query_id"), "query_id", "left_semi")
@@ -92,14 +94,15 @@ def search(docs: DataFrame, queries: DataFrame, embed: Callable[[Column], Column
     feedback = S.feedback_terms(base.where("rank <= 3").join(texts, "doc_id"), bm25.query_terms(asked))
     every = written(query_variants(asked, concepts, feedback, best), "variants")
     more = every.where("ord > 0").join(active.select("query_id", *FILTERS), "query_id").withColumn("embedding", embed(F.col("text")))
-    found = dense.nearest(docs, more.withColumn("query_id", F.struct("query_id", "ord")), k, filters=FILTERS)
+    more = written(more.select(F.struct("query_id", "ord").alias("query_id"), "embedding", *FILTERS), "more")
+    found = dense.nearest(vectors, more, k, filters=FILTERS)
     found = base.select("query_id", F.lit(0).alias("ord"), "doc_id", "score").unionByName(found.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.ord").alias("ord"), "doc_id", "score"))
     found = written(found, "found")
 
     hits = S.first_variant(found.withColumnRenamed("ord", "variant_ord")).withColumnRenamed("variant_ord", "ord").join(texts, "doc_id")
     counts = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("bm25_terms"))
     hits = hits.join(asked.select("query_id", "alpha", T.without(T.tokens(F.col("text"))).alias("query_tokens")), "query_id")
-    hits = bm25.term_boost(hits, scored).join(counts, "query_id", "left").withColumn("bm25_terms", F.coalesce("bm25_terms", F.lit(0)))
+    hits = bm25.phrase_boost(hits, scored).join(counts, "query_id", "left").withColumn("bm25_terms", F.coalesce("bm25_terms", F.lit(0)))
     rated = bm25.top_k(S.quality_rescored(S.quality_bonus(S.hybrid(hits), section=section, sections=sections)), k, "final_score")
 
     ran = every.join(found.groupBy("query_id", "ord").agg(F.count(F.lit(1)).alias("n_hits")), ["query_id", "ord"], "left")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from rankframe.functions import intents as I
 from rankframe.functions import text as T
@@ -21,10 +24,21 @@ register = registering(QUERIES, ORACLES)
 K = 10
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _counts(low: pa.Array) -> pa.Array:
+    values = low.cast(pa.large_string())
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    at = np.flatnonzero((raw >= 97) & (raw <= 122))  # bytes of ASCII letters stand in no other character
+    row = np.searchsorted(offsets - offsets[0], at, side="right") - 1
+    counts = np.bincount(26 * row + (raw[at] - 97), minlength=26 * len(values)).astype(np.float64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * 26), pa.array(counts))
+
+
 def letters(text: Column) -> Column:
     """A fixture embedding that SQL can express: how often each letter from a to z stands in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return T.let(low, lambda t: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(t) - F.length(F.replace(t, F.char(c.cast("long")), F.lit("")))).cast("double")))
+    return _counts(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def _letters(text: str) -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankframe.operators import ladder
+from rankframe.operators import bm25, ladder
 
 SCHEMA = "doc_id string, text string, embedding array<double>, document_type string, region string, user_id string, section string"
 
@@ -68,3 +68,28 @@ def test_every_intent_is_met(spark):
     phrases = spark.createDataFrame([(p,) for p in laddering.PHRASES], "text string")
     met = {r["intent"] for r in I.classified(phrases).select("intent").distinct().collect()}
     assert met == set(I.INTENTS) - {"general_medical"}  # no rule speaks for it
+
+
+def test_texts_are_embedded_once(spark, docs):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embedded(text):
+        met.add(1)
+        return [1.0, float(len(text))]
+
+    queries = asked(spark, ("region", "zeta", "r", ["a"], ["fr"], None), ("type", "zeta", "r", ["q"], ["en"], None))
+    some = docs.where("text is not null").withColumn("embedding", embedded("text"))
+    concepts = spark.createDataFrame([("region", "vixen", 1)], "query_id string, term string, rank int")
+    hits, _ = ladder.search(some, queries, lambda t: F.array(F.lit(1.0), F.length(t) / 100.0), spark.createDataFrame([("the zeta",)], "term string"), concepts, {}, 8, ())
+    assert hits.count() and met.value == 12  # not once more for each stage
+
+
+def test_terms_held_by_texts(spark):
+    texts = spark.createDataFrame([(1, "bathe cats äöü"), (2, ""), (3, None), (4, "the ca"), (5, "aaa")], "doc_id long, text string")
+    terms = ["the ca", "the cats", "öü", "a", "aaaa", "zeta", "athe c"]
+    got = {(r["doc_id"], r["term"]) for r in bm25.held_terms(texts, spark.createDataFrame([(t,) for t in terms], "term string"), block=2).collect()}
+    assert got == {(d, t) for d, x in ((1, "bathe cats äöü"), (4, "the ca"), (5, "aaa")) for t in terms if t in x}
+    hits = spark.createDataFrame([(9, 1, "Bathe cats"), (8, 1, "Bathe cats"), (9, 5, "aaa")], "query_id long, doc_id long, text string")
+    scores = spark.createDataFrame([(9, "the ca", 2.0), (9, "a", 0.5), (8, "zeta", 4.0)], "query_id long, term string, score double")
+    assert sorted((r["query_id"], r["doc_id"], r["bm25_boost"]) for r in bm25.phrase_boost(hits, scores).collect()) == sorted((r["query_id"], r["doc_id"], r["bm25_boost"]) for r in bm25.term_boost(hits, scores).collect())
