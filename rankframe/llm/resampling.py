@@ -9,6 +9,7 @@ of log weight plus Gumbel noise, the noise from a hash of id, text and seed. n-g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,13 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankframe.llm.common import LOWER, SPACE, Spans, held_out, mixed, sampled, slices, text_bytes, written
+from rankframe.llm.common import LOWER, SPACE, Spans, held_out, mixed, slices, text_bytes, written
 
 #: Buckets of hashed words and word pairs; a word's shape has 6 bits, so pairs of shapes need no hash.
 WORD_BUCKETS, SHAPE_BITS = 1 << 14, 6
 SHAPE_BUCKETS = 1 << (2 * SHAPE_BITS)
-#: Bound of the fit: labelled good documents that the target model learns from.
-TARGET_ROWS = 20_000
 #: n-grams of the raw distribution that the target's words and shapes are smoothed with, so that a small target
 #: doesn't call what it merely lacks bad.
 SMOOTHING = (1 << 16, 1 << 10)
@@ -70,7 +69,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
-    """Two rows of counts by bucket: in the target documents and in all. target_ids: (doc_id), of a bounded number."""
+    """Two rows of counts by bucket: in the target documents and in all. target_ids: (doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, WORD_BUCKETS + SHAPE_BUCKETS), dtype=np.int64)
@@ -82,7 +81,8 @@ def gram_counts(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[0][at], counts[1][at])], names=["bucket", "target", "every"])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(target_ids.select(F.col("doc_id").alias("_t")).distinct()), F.col("doc_id") == F.col("_t"), "left")
+    # merged whatever the size: the ids grow with the labels
+    marked = docs.select("doc_id", "text").join(target_ids.select(F.col("doc_id").alias("_t")).distinct().hint("merge"), F.col("doc_id") == F.col("_t"), "left")
     parts = marked.select("text", F.col("_t").isNotNull().alias("target")).mapInArrow(run, "bucket long, target long, every long")
     out = np.zeros((2, WORD_BUCKETS + SHAPE_BUCKETS))
     for r in parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).collect():  # one row per bucket
@@ -146,6 +146,16 @@ def kth_largest(values: DataFrame, k: int) -> float:
             return low
 
 
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The quantile of a column `key`, exact and between two values as `percentile` has it; None without values."""
+    n, least = values.agg(F.count("key"), F.min("key")).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    low, high = (least if i == 0 else kth_largest(values, n - i) for i in (math.floor(place), math.ceil(place)))
+    return low + (place - math.floor(place)) * (high - low)
+
+
 def keyed(docs: DataFrame, carried: Sequence[str], ratios: np.ndarray, seed: int) -> DataFrame:
     """The struct `doc` (the carried columns of each row of docs), id, n_words, log_weight and key: the same for equal ids and texts, whenever computed."""
     noise = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(f"gumbel {seed}"))
@@ -153,24 +163,23 @@ def keyed(docs: DataFrame, carried: Sequence[str], ratios: np.ndarray, seed: int
     return weighed(rows, ratios).withColumn("key", F.col("log_weight") + gumbel(F.col("noise"))).drop("noise")
 
 
-def drawn(docs: DataFrame, labels: DataFrame, k: int | None, share: float, target_rows: int, lost_share: float, seed: int) -> tuple[DataFrame, np.ndarray, float, float]:
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None, share: float, lost_share: float, seed: int) -> tuple[DataFrame, np.ndarray, float, float]:
     """(keyed rows with doc_id alone, written; the log ratios; the floor of the filter; the k-th largest key of what passes it)."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     apart = held_out(F.col("doc_id"), 5, 2)
-    calibration = sampled(good.where(apart), F.col("doc_id"), target_rows)
-    good = written(sampled(good.where(~apart), F.col("doc_id"), target_rows), "target")
+    calibration, good = written(good.where(apart), "calibration"), written(good.where(~apart), "target")
     ratios = log_ratios(gram_counts(docs, good))
     rows = written(keyed(docs, ["doc_id"], ratios, seed), "weights")
     floor = None
     for ids in (calibration, good):
         if floor is None:
-            floor = rows.join(F.broadcast(ids.select(F.col("doc_id").alias("id"))), "id", "left_semi").agg(F.percentile("log_weight", lost_share)).first()[0]
+            floor = quantile(rows.join(ids.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi").select(F.col("log_weight").alias("key")), lost_share)
     floor = float("-inf") if floor is None else floor - SLACK
     passing = rows.where(F.col("log_weight") >= floor)
     return rows, ratios, floor, kth_largest(passing, round(share * passing.count()) if k is None else k)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float = SHARE, target_rows: int = TARGET_ROWS, lost_share: float = LOST_SHARE, seed: int = 0) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float = SHARE, lost_share: float = LOST_SHARE, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, n_words, log_weight, key, kept, drawn.
 
     kept is the filter: the log weight comes within SLACK of what all but lost_share of the good rows of the held-out fold reach (of
@@ -178,18 +187,18 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, share: f
     noise, so that each stands in it in proportion to its weight; k is `share` of the kept ones unless given, which puts the cut inside
     the mass of the weights, and another seed draws others.
 
-    labels: (doc_id, quality); good rows outside the held-out fold (crc32 of the id modulo 5 is 2) are the target, up to about
-    target_rows of them. Rows of equal id and text stand or fall together, so that ties at the cut may draw more than k. Null and
+    labels: (doc_id, quality); good rows outside the held-out fold (crc32 of the id modulo 5 is 2) are the target, all
+    of them. Rows of equal id and text stand or fall together, so that ties at the cut may draw more than k. Null and
     empty texts have weight 0; without good labels all weigh 0 and all are kept; an empty table gives no rows; other columns are ignored.
     """
-    rows, _, floor, least = drawn(docs, labels, k, share, target_rows, lost_share, seed)
+    rows, _, floor, least = drawn(docs, labels, k, share, lost_share, seed)
     kept = F.col("log_weight") >= floor
     return rows.select("doc.doc_id", held_out(F.col("doc.doc_id"), 5, 2).alias("held_out"), "n_words", "log_weight", "key", kept.alias("kept"), (kept & (F.col("key") >= least)).alias("drawn"))
 
 
-def resampled_documents(docs: DataFrame, labels: DataFrame, sample: bool = False, k: int | None = None, share: float = SHARE, target_rows: int = TARGET_ROWS, lost_share: float = LOST_SHARE, seed: int = 0) -> DataFrame:
+def resampled_documents(docs: DataFrame, labels: DataFrame, sample: bool = False, k: int | None = None, share: float = SHARE, lost_share: float = LOST_SHARE, seed: int = 0) -> DataFrame:
     """The rows of docs that resampled() keeps, or with `sample` those that it draws, with all their columns, whatever these are called.
     Their weights are computed once more, so that no copy of the texts is written."""
-    _, ratios, floor, least = drawn(docs, labels, k, share, target_rows, lost_share, seed)
+    _, ratios, floor, least = drawn(docs, labels, k, share, lost_share, seed)
     rows = keyed(docs, docs.columns, ratios, seed).where(F.col("log_weight") >= floor)
     return (rows.where(F.col("key") >= least) if sample else rows).select("doc.*")

@@ -816,3 +816,39 @@ def test_license_scan_against_sql(spark, docs, rows):
     odd.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], None if r[1] is None else r[1].replace("\x00", "\x01")) for r in rows])
     clean = docs.selectExpr("doc_id", "replace(text, '\\0', '\\u0001') AS text")
     compared(spark, "op3_license_scan", license_scan.license_scan(clean), odd)
+
+
+def test_models_learn_from_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"good words number {k % 7}" if k % 2 else f"$$ ## {k % 5} BAD", "en" if k % 3 else "de") for k in range(45_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    met = []
+    kept, resampling.gram_counts = resampling.gram_counts, lambda d, ids: met.append(ids.count()) or kept(d, ids)
+    try:
+        resampling.resampled(docs, labels)
+    finally:
+        resampling.gram_counts = kept
+    assert met == [docs.where("crc32(cast(doc_id as string)) % 5 != 2").count()]  # above the 20,000 of the bounded fit before
+    some = docs.where("doc_id < 2400")
+    marks = language_id.Landmarks(["good words number 1", "$$ ## 2 BAD"])
+    gram, _ = language_id._ridge_parts(some, marks, ["de", "en"])
+    assert gram[-1, -1] == 2400
+    seen = []
+    parts, language_id._ridge_parts = language_id._ridge_parts, lambda r, *x: seen.append(r.count()) or parts(r, *x)
+    try:
+        language_id.fit(some)
+    finally:
+        language_id._ridge_parts = parts
+    assert seen == [2400]  # 500 of each language before
+
+
+def test_quantile(spark):
+    from pyspark.sql import functions as F
+
+    values = [float(x) for x in np.random.RandomState(1).randn(301)]
+    frame = spark.createDataFrame([(v,) for v in [*values, values[0]]], "key double")
+    for share in (0.0, 0.002, 0.1, 0.37, 1.0):
+        assert resampling.quantile(frame, share) == pytest.approx(frame.agg(F.percentile("key", share)).first()[0], abs=1e-12)
+    assert resampling.quantile(frame.where("false"), 0.1) is None
