@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankframe.llm.common import held_out, kept_as, sampled, slices
+from rankframe.llm.common import held_out, kept_as, slices
 
 #: n-gram lengths, and the bits of their hashes.
 ORDERS, HASH_BITS = (1, 2, 3, 4), 20
-#: Bounds of the fit: landmarks in all, training rows of each language. Landmarks are the texts nearest to LANDMARK_CHARS long.
-LANDMARKS, ROWS_PER_LANGUAGE, LANDMARK_CHARS = 96, 500, 1500
+#: Landmarks in all; they are the texts nearest to LANDMARK_CHARS long.
+LANDMARKS, LANDMARK_CHARS = 96, 1500
 RIDGE = 1e-3
 #: Presence values that one matrix product holds (documents times n-grams of the landmarks).
 BLOCK_CELLS = 1 << 24
@@ -91,7 +91,7 @@ class Landmarks:
 
 
 def _ridge_parts(rows: DataFrame, landmarks: Landmarks, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of outer products of features (with a constant) with themselves and with -1/+1 targets, a pair per partition."""
+    """Sums of outer products of features (with a constant) with themselves and with -1/+1 targets, added up by place."""
     shared = rows.sparkSession.sparkContext.broadcast(landmarks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,13 +105,15 @@ def _ridge_parts(rows: DataFrame, landmarks: Landmarks, languages: list[str]) ->
                 y = np.where(np.array(part.column("lang").to_pylist())[:, None] == np.array(languages)[None, :], 1.0, -1.0)
                 gram += x.T @ x
                 target += x.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([target.tobytes()], pa.binary())], names=["gram", "target"])
+        both = np.hstack([gram, target]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both)], names=["place", "part"])
 
-    parts = rows.select("text", "lang").repartition(8).mapInArrow(run, "gram binary, target binary").collect()
     size = landmarks.root.shape[1] + 1
-    gram = sum((np.frombuffer(r["gram"]).reshape(size, size) for r in parts), np.zeros((size, size)))
-    target = sum((np.frombuffer(r["target"]).reshape(size, len(languages)) for r in parts), np.zeros((size, len(languages))))
-    return gram, target
+    sums = np.zeros(size * (size + len(languages)))
+    for r in rows.select("text", "lang").mapInArrow(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("part")).collect():  # one row per place of the matrix
+        sums[r["place"]] = r["part"]
+    both = sums.reshape(size, -1)
+    return both[:, :size], both[:, size:]
 
 
 class Model:
@@ -125,18 +127,16 @@ class Model:
         return out / out.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = ROWS_PER_LANGUAGE, ridge: float = RIDGE) -> Model | None:
-    """Fits on a bounded sample: about rows_per_language whole texts of each language, of which the landmarks are some.
+def fit(docs: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Fits on all whole texts with a language; the landmarks, which span the features, are some of them.
 
     docs: (doc_id, text, lang) rows to learn from; null text, text without a letter or null lang don't count. Each language
     has as many landmarks as any other (fewer if it has fewer texts), those whose length is nearest to LANDMARK_CHARS, by
     powers of two. None if nothing is left.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    rows = sampled(rows, F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), rows_per_language, F.col("lang")).cache()
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
-        rows.unpersist()
         return None
     share = max(1, landmarks // len(languages))
     far = F.abs(F.round(F.log2(F.length("text") / float(LANDMARK_CHARS))))
@@ -144,7 +144,6 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, rows_per_language: int = RO
     chosen = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).orderBy("lang", "_r")
     marks = Landmarks([r["text"] for r in chosen.select("text").collect()])
     gram, target = _ridge_parts(rows, marks, languages)
-    rows.unpersist()
     scale = max(gram[-1, -1], 1.0)
     weights = np.linalg.solve(gram / scale + ridge * np.eye(len(gram)), target / scale)
     return Model(marks, weights, languages)
