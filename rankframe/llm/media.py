@@ -58,7 +58,7 @@ def stored(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", STEP_BYTES):
             texts = [(t or "").encode() for t in batch.column("_text").to_pylist()]
-            media = webp.encode([to_image(payload(t)) for t in texts], CACHE_BITS)
+            media = webp.encode([to_image(payload(t)) for t in texts], CACHE_BITS, None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[*names.values(), "n_bytes", "media"])
 
     rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], F.col(text).alias("_text"))

@@ -24,6 +24,9 @@ NEAR = np.array(sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x
 LONGEST, LEAST_COPY, MOST_COPY, DISTANCES = 9, 4, 4096, tuple(range(1, 13))
 #: With fewer images than this left in a lockstep, each is finished on its own: a step's cost no longer pays.
 FEW = 32
+#: Plans that are tried where an estimate speaks for them, blocks of 16 pixels a side; bits that a symbol in use and a palette's colour cost.
+PLANS = {"green": [(GREEN,), (CROSS,)], "spatial": [(PREDICTOR,), (PREDICTOR, GREEN), (PREDICTOR, CROSS)], "palette": [(PALETTE,)]}
+FITTED_BITS, CODE_BITS, COLOUR_BITS = 4, 4, 24
 #: encode() stores code lengths by one fixed code: lengths 3 and 4 for these symbols.
 LENGTH_CODE = {7: 3, 8: 3, 9: 3, 18: 3} | dict.fromkeys((0, 1, 2, 3, 4, 5, 6, 17), 4)
 
@@ -337,18 +340,30 @@ def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
 
-def _predicted(mode: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """Predictions by mode from the pixels at the left, top, top right and top left; channels last."""
+def _guesses(left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> list[np.ndarray]:
+    """What each of the 14 modes predicts from the pixels at the left, top, top right and top left; channels last."""
     nearer = np.abs(top - corner).sum(-1) < np.abs(left - corner).sum(-1)
     half = _average(left, top)
     diff = half - corner
-    plans = [
+    return [
         np.broadcast_to(np.array([255, 0, 0, 0]), left.shape), left, top, right, corner,
         _average(_average(left, right), top), _average(left, corner), half, _average(corner, top), _average(top, right),
         _average(_average(left, corner), _average(top, right)), np.where(nearer[..., None], left, top),
         np.clip(left + top - corner, 0, 255), np.clip(half + np.sign(diff) * (np.abs(diff) >> 1), 0, 255),
     ]
-    return np.choose(np.minimum(mode, 13)[..., None], plans)
+
+
+def _predicted(mode: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Predictions by mode."""
+    return np.choose(np.minimum(mode, 13)[..., None], _guesses(left, top, right, corner))
+
+
+def _around(image: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The channels of each pixel of an image, put end to end, and those at its left, top, top right and top left (zeros outside)."""
+    width = image.shape[1]
+    c = np.pad(_channels(image).reshape(-1, 4), ((width + 1, 1), (0, 0)))
+    k = np.arange(image.size) + width + 1
+    return c[k], (c[k - 1], c[k - width], c[k - width + 1], c[k - width - 1])
 
 
 def _block_map(image: np.ndarray, width: int, height: int, bits: int) -> np.ndarray:
@@ -357,21 +372,25 @@ def _block_map(image: np.ndarray, width: int, height: int, bits: int) -> np.ndar
     return image[np.arange(height)[:, None] >> bits, np.arange(width)[None, :] >> bits]
 
 
-def _undo_predictor(residual: np.ndarray, modes: np.ndarray) -> np.ndarray:
-    """Inverts the predictor, pixel by pixel; the first row and column have modes of their own."""
-    height, width = residual.shape
-    add = _channels(residual)
-    flat = np.zeros((height * width, 4), dtype=np.int32)
-    for y in range(height):
-        for x in range(width):
-            k = y * width + x
-            left, top = flat[k - 1] if x else None, flat[k - width] if y else None
-            if y and x:
-                guess = _predicted(np.array(modes[y, x]), left, top, flat[k - width + 1], flat[k - width - 1])
-            else:
-                guess = left if x else top if y else np.array([255, 0, 0, 0])
-            flat[k] = (add[y, x] + guess) & 255
-    return _argb(flat).reshape(height, width)
+def _undo_predictors(residuals: Sequence[np.ndarray], modes: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Inverts the predictor of many images at once: a step takes the pixels of all images whose left, top and top right are known, x + 2 y
+    being equal. The first row and column have modes of their own."""
+    size = np.array([r.size for r in residuals])
+    width = np.repeat([r.shape[1] for r in residuals], size)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    x, y = place % width, place // width
+    mode = np.concatenate([m.ravel() for m in modes])
+    add = _channels(np.concatenate([r.ravel() for r in residuals]))
+    out = np.zeros((len(place), 4), dtype=np.int32)
+    order = np.argsort(x + 2 * y, kind="stable")
+    for at in np.split(order, np.cumsum(np.bincount(x + 2 * y))[:-1]):
+        left, top, right, corner = (out[np.maximum(at - back, 0)] for back in (1, width[at], width[at] - 1, width[at] + 1))
+        guess = _predicted(mode[at], left, top, right, corner)
+        guess = np.where((x[at] == 0)[:, None], top, guess)
+        guess = np.where((y[at] == 0)[:, None], left, guess)
+        guess = np.where((place[at] == 0)[:, None], np.array([255, 0, 0, 0]), guess)
+        out[at] = (add[at] + guess) & 255
+    return [part.reshape(r.shape) for part, r in zip(np.split(_argb(out), np.cumsum(size)[:-1]), residuals, strict=True)]
 
 
 def _cross(argb: np.ndarray, factors: np.ndarray, sign: int) -> np.ndarray:
@@ -445,15 +464,23 @@ def decode(files: Sequence[bytes]) -> list[np.ndarray]:
     images = [x.reshape(h, w) for x, w, h in zip(_decode_pixels(r, lanes, inner, height, True), inner, height, strict=True)]
     if (r.pos > r.end).any():
         raise ValueError("a stream ends early")
-    for k, todo in enumerate(steps):
-        for step in reversed(todo):
-            if step[0] == GREEN:
-                images[k] = _green(images[k], 1)
-            elif step[0] == PALETTE:
-                images[k] = _undo_palette(images[k], step[2], step[1])
-            else:
-                blocks = _block_map(step[3], step[1], len(images[k]), step[2])
-                images[k] = _cross(images[k], blocks, 1) if step[0] == CROSS else _undo_predictor(images[k], (blocks >> np.uint32(8)).astype(np.int64) & 15)
+    while any(steps):
+        spatial = []
+        for k, todo in enumerate(steps):
+            while todo and todo[-1][0] != PREDICTOR:
+                step = todo.pop()
+                if step[0] == GREEN:
+                    images[k] = _green(images[k], 1)
+                elif step[0] == PALETTE:
+                    images[k] = _undo_palette(images[k], step[2], step[1])
+                else:
+                    images[k] = _cross(images[k], _block_map(step[3], step[1], len(images[k]), step[2]), 1)
+            if todo:
+                spatial.append((k, todo.pop()))
+        if spatial:
+            modes = [(_block_map(step[3], step[1], len(images[k]), step[2]) >> np.uint32(8)).astype(np.int64) & 15 for k, step in spatial]
+            for (k, _), image in zip(spatial, _undo_predictors([images[k] for k, _ in spatial], modes), strict=True):
+                images[k] = image
     return images
 
 
@@ -689,14 +716,88 @@ def _put_pixels(t: _Tokens, images: list[np.ndarray], cache_bits: int = 0, top:
     t.put(image[written], value[written], bits[written])
 
 
-def encode(images: Sequence[np.ndarray], cache_bits: int = 0, transforms: Sequence[int] = (), groups: int = 1, block_bits: int = 2) -> list[bytes]:
+def _estimates(images: Sequence[np.ndarray]) -> dict[str, np.ndarray]:
+    """Bits of each image by the entropy of its samples, as they are, less green, less the pixel before, both, and by a palette (inf over 256
+    colours). A pixel equal to the one before is part of a copy and costs nothing; a symbol in use costs its place in a code."""
+    n = len(images)
+    size = np.array([i.size for i in images])
+    pixels, image = np.concatenate([i.ravel() for i in images]), np.repeat(np.arange(n), size)
+    before = np.concatenate([BLACK.reshape(1), pixels[:-1]])
+    before[np.cumsum(size) - size] = BLACK
+    new = np.flatnonzero(pixels != before)
+    pixels, before, image = pixels[new], before[new], image[new]
+
+    def bits(owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        total = np.bincount(owner, weights=counts, minlength=n)
+        spread = np.bincount(owner, weights=counts * np.log2(np.maximum(counts, 1)), minlength=n)
+        return total * np.log2(np.maximum(total, 1)) - spread + CODE_BITS * np.bincount(owner, weights=counts > 0, minlength=n)
+
+    def samples(values: Sequence[np.ndarray]) -> np.ndarray:
+        owner = np.repeat(np.arange(n), 256)
+        return sum(bits(owner, np.bincount(image * 256 + v, minlength=n * 256)) for v in values)
+
+    def less_green(b: np.ndarray, g: np.ndarray, r: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        return b - g, g, r - g, a
+
+    now = tuple(np.ascontiguousarray(pixels).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    step = tuple(a - b for a, b in zip(now, before.astype("<u4").view(np.uint8).reshape(-1, 4).T, strict=True))
+    colours, counts = np.unique(image.astype(np.uint64) << np.uint64(32) | pixels, return_counts=True)
+    owner = (colours >> np.uint64(32)).astype(np.int64)
+    number = np.bincount(owner, minlength=n) + 1
+    palette = np.where(number <= 256, bits(owner, counts) + COLOUR_BITS * number, np.inf)
+    return {"plain": samples(now), "green": samples(less_green(*now)), "spatial": np.minimum(samples(step), samples(less_green(*step))), "palette": palette}
+
+
+def _smallest(images: Sequence[np.ndarray], cache_bits: int) -> list[bytes]:
+    """A file of each image without transforms, or with those of the plans that its estimate speaks for if that is smaller."""
+    files = encode(images, cache_bits)
+    bits = _estimates(images)
+    for way, plans in PLANS.items():
+        some = np.flatnonzero(bits[way] < bits["plain"])
+        if way == "palette":  # black, before the first pixel, may be a colour less or one more
+            some = some[[len(np.unique(images[k])) <= 256 for k in some]] if len(some) else some
+        for plan in plans if len(some) else ():
+            for k, other in zip(some, encode([images[k] for k in some], cache_bits, plan, 1, FITTED_BITS, True), strict=True):
+                files[k] = min(files[k], other, key=len)
+    return files
+
+
+def _fitted_modes(image: np.ndarray, bits: int) -> np.ndarray:
+    """The mode of each block that leaves the least differences, as a block image."""
+    c, around = _around(image)
+    h, w = _blocks(image.shape[0], bits), _blocks(image.shape[1], bits)
+    block = _block_map(np.arange(h * w), image.shape[1], image.shape[0], bits).ravel()
+    cost = [np.bincount(block, weights=np.abs((((c - g) & 255) ^ 128) - 128).sum(axis=1), minlength=h * w) for g in _guesses(*around)]
+    return np.argmin(cost, axis=0).reshape(h, w).astype(np.uint32) << np.uint32(8)
+
+
+def _fitted_factors(image: np.ndarray, bits: int) -> np.ndarray:
+    """The factors of each block that foretell red and blue from green, and the rest of blue from red, with the least squares."""
+    c = (_channels(image).reshape(-1, 4) ^ 128) - 128
+    red, green, blue = c[:, 1], c[:, 2], c[:, 3].astype(np.float64)
+    h, w = _blocks(image.shape[0], bits), _blocks(image.shape[1], bits)
+    block = _block_map(np.arange(h * w), image.shape[1], image.shape[0], bits).ravel()
+
+    def factor(of: np.ndarray, by: np.ndarray) -> np.ndarray:
+        up, down = (np.bincount(block, weights=x * by, minlength=h * w) for x in (of, by))
+        return np.clip(np.rint(32 * up / np.maximum(down, 1)), -128, 127).astype(np.int64)
+
+    to_red, green_blue = factor(red, green), factor(blue, green)
+    red_blue = factor(blue - (green_blue[block] * green >> 5), red)
+    return ((to_red & 255) | (green_blue & 255) << 8 | (red_blue & 255) << 16).astype(np.uint32).reshape(h, w)
+
+
+def encode(images: Sequence[np.ndarray], cache_bits: int = 0, transforms: Sequence[int] | None = (), groups: int = 1, block_bits: int = 2, fitted: bool = False) -> list[bytes]:
     """A lossless WebP file of each image (height x width, ARGB, at most 16,384 a side).
 
-    transforms, applied in order: PREDICTOR (the blocks take turns in all 14 modes), CROSS (fixed factors by block),
-    GREEN, PALETTE (an image of at most 256 colours; first in the list).
+    transforms, applied in order: PREDICTOR (the blocks take turns in all 14 modes; fitted: each the best one), CROSS (fixed factors by
+    block; fitted: by least squares), GREEN, PALETTE (an image of at most 256 colours; first in the list). None: those that
+    make each image's file smallest, fitted.
     """
     if not images:
         return []
+    if transforms is None:
+        return _smallest(images, cache_bits)
     n = len(images)
     every, t = np.arange(n), _Tokens()
     if any(max(i.shape) > 1 << 14 or not i.size for i in images):
@@ -726,6 +827,8 @@ def encode(images: Sequence[np.ndarray], cache_bits: int = 0, transforms: Sequen
             sizes = [(_blocks(i.shape[0], block_bits), _blocks(i.shape[1], block_bits)) for i in now]
             turn = [np.arange(h * w).reshape(h, w).astype(np.uint32) for h, w in sizes]
             blocks = [(x % 14) << np.uint32(8) if kind == PREDICTOR else (x * np.uint32(0x2B15) + np.uint32(0x1D07F3)) & np.uint32(0xFFFFFF) for x in turn]
+            if fitted:
+                blocks = [(_fitted_modes if kind == PREDICTOR else _fitted_factors)(i, block_bits) for i in now]
             _put_pixels(t, blocks)
             maps = [_block_map(b, i.shape[1], i.shape[0], block_bits) for b, i in zip(blocks, now, strict=True)]
             if kind == CROSS:
@@ -733,14 +836,13 @@ def encode(images: Sequence[np.ndarray], cache_bits: int = 0, transforms: Sequen
             else:
                 guessed = []
                 for i, m in zip(now, maps, strict=True):
-                    c = np.pad(_channels(i).reshape(-1, 4), ((i.shape[1] + 1, 1), (0, 0)))
-                    k = np.arange(i.size) + i.shape[1] + 1
-                    guess = _predicted((m >> np.uint32(8)).astype(np.int64).ravel(), c[k - 1], c[k - i.shape[1]], c[k - i.shape[1] + 1], c[k - i.shape[1] - 1])
+                    c, around = _around(i)
+                    guess = _predicted((m >> np.uint32(8)).astype(np.int64).ravel(), *around)
                     x, y = np.arange(i.size) % i.shape[1], np.arange(i.size) // i.shape[1]
-                    guess = np.where((x == 0)[:, None], c[k - i.shape[1]], guess)
-                    guess = np.where((y == 0)[:, None], c[k - 1], guess)
+                    guess = np.where((x == 0)[:, None], around[1], guess)
+                    guess = np.where((y == 0)[:, None], around[0], guess)
                     guess[0] = 255, 0, 0, 0
-                    guessed.append(_argb(c[k] - guess).reshape(i.shape))
+                    guessed.append(_argb(c - guess).reshape(i.shape))
                 now = guessed
     t.put(every, 0, 1)
     _put_pixels(t, now, cache_bits, True, groups)

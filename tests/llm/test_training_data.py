@@ -70,6 +70,23 @@ def test_webp_round_trip(options):
     assert all(np.array_equal(a, b) for a, b in zip(images(), made, strict=True))
 
 
+def test_webp_chooses_transforms():
+    """Each image takes the transforms that make it smallest: a gradient the predictor, grey noise the green, few colours a palette."""
+    r = np.random.RandomState(1)
+    y, x = np.mgrid[:64, :48]
+    slope = ((255 << 24) | ((x * 3 + y) % 256 << 16) | ((x * 3 + y * 2) % 256 << 8) | ((x + y * 3) % 256)).astype(np.uint32)
+    grey = r.randint(0, 256, (64, 64)).astype(np.uint32) * np.uint32(0x10101)
+    few = r.choice(np.array([0x11223344, 0x99887766, 0x1, 0xFF00FF00, 5, 6, 7], dtype=np.uint32), (40, 40))
+    text = np.frombuffer(" ".join(r.choice(" ".join(PROSE.values()).split(), 900)).encode()[:3200], dtype="<u4").reshape(-1, 16)
+    made = [slope, grey, few, text, *images()]
+    plain, best = webp.encode(made, 7), webp.encode(made, 7, None)
+    assert all(np.array_equal(a, b) for a, b in zip(made, webp.decode(best), strict=True))
+    assert all(len(a) <= len(b) for a, b in zip(best, plain, strict=True))
+    assert len(best[0]) * 10 < len(plain[0]) and len(best[1]) * 3 < len(plain[1]) * 2 and len(best[2]) < len(plain[2]) and best[3] == plain[3]
+    modes = webp._fitted_modes(slope, 4) >> np.uint32(8)
+    assert modes.shape == (4, 3) and modes.max() < 14 and len(webp.encode([], 7, None)) == 0
+
+
 def test_webp_palettes():
     few = [i for i in images() if len(np.unique(i)) <= 256]
     for more in ((), (0,), (1,)):
