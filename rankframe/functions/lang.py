@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankframe.functions import text as T
+
 #: Script ranges and the share of the sample that decides.
 SCRIPTS = (
     ("ar", "[\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF]", 0.3),
@@ -31,18 +33,20 @@ SAMPLE, LEAST_CHARS, LEAST_VOTES = 500, 10, 3
 
 def detect(text: Column) -> Column:
     """en where the text is short or no other language has enough of its words."""
-    sample = F.lower(F.left(text, F.lit(SAMPLE)))
-    spaced = F.concat(F.lit(" "), sample, F.lit(" "))
-    votes = F.array(*[sum((F.contains(spaced, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for ws in KEYWORDS.values()])
     codes = F.array(*map(F.lit, KEYWORDS))
 
     def first_of_most(v: Column) -> Column:
         return F.when(F.array_max(v) >= LEAST_VOTES, F.element_at(codes, F.array_position(v, F.array_max(v)).cast("int"))).otherwise("en")
 
-    out = F.element_at(F.transform(F.array(votes), first_of_most), 1)  # the lambda evaluates the votes once
-    for lang, pattern, share in reversed(SCRIPTS):
-        out = F.when(F.regexp_count(sample, F.lit(pattern)) > F.length(sample) * share, lang).otherwise(out)
-    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(0)) < LEAST_CHARS, "en").otherwise(out)
+    def of(sample: Column) -> Column:
+        votes = T.let(F.split(sample, " "), lambda words: F.array(*[F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))) for ws in KEYWORDS.values()]))
+        out = T.let(votes, first_of_most)
+        for lang, pattern, share in reversed(SCRIPTS):
+            out = F.when(F.regexp_count(sample, F.lit(pattern)) > F.length(sample) * share, lang).otherwise(out)
+        return out
+
+    found = T.let(F.lower(F.left(text, F.lit(SAMPLE))), of)  # each value is computed once, however many words are looked for
+    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(0)) < LEAST_CHARS, "en").otherwise(found)
 
 
 def name(code: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -290,3 +291,37 @@ def test_rolling_rate_of_a_hot_key(spark):
         for i, x in enumerate(mine):
             near = [y[3] for y in mine[max(0, i - 24) : i + 1]]
             assert math.isclose(got[x[2]], sum(near) / len(near))
+
+
+def test_language_of_odd_texts_and_one_sample(spark):
+    """Words count once each, between single spaces or at the ends; the sample stands in the plan once, however many words are looked for."""
+    texts = [None, "", "el", "el la de", "der und die das haus", "der\tund\ndie das haus", "de de de de de de", "EL  LOS LAS para", "la le de du", "x" * 600, "Ğ" + " der die das"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r.k: r.x for r in frame.select("k", lang.detect(F.col("text")).alias("x")).collect()}
+
+    def plain(t):
+        if len((t or "").strip()) < lang.LEAST_CHARS:
+            return "en"
+        spaced = f" {t[:lang.SAMPLE].lower()} "
+        votes = [sum(f" {w} " in spaced for w in ws) for ws in lang.KEYWORDS.values()]
+        return list(lang.KEYWORDS)[votes.index(max(votes))] if max(votes) >= lang.LEAST_VOTES else "en"
+
+    assert got == {k: plain(t) for k, t in enumerate(texts)}
+    assert frame.select(lang.detect(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_relations_take_whole_words_of_any_script(spark):
+    """Pairs as the plain pattern finds them, without overlaps; with kinds, pairs of other words don't leave their row."""
+    texts = ["a causes b causes c treats d", "été  causes\u00a0haus causes causes b", "a_1 causes b2, x causes y", "acauses b causesc d causes", None, "causes causes causes causes causes causes"]
+    chunks = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    entities = spark.createDataFrame([(k, e) for k, t in enumerate(texts) for e in set(re.findall(r"\w+", t or ""))], "doc_id long, entity string")
+    want = {}
+    for k, t in enumerate(texts):
+        for v in ("treats", "causes"):
+            for a, b in re.findall(rf"(\w+)\s+{v}\s+(\w+)", t or ""):
+                want[a, b] = max(want.get((a, b), (-1, "")), (k, v))
+    for kinds in ((), (r"\S+",), ("[a-z]", "b2")):
+        found = graph.relations(chunks, entities, ("treats", "causes"), kinds=kinds)
+        whole = re.compile("|".join(f"(?:{p})" for p in kinds) or r"\S+")
+        assert {(r.src, r.dst): (r.doc_id, r.relationship) for r in found.collect()} == {k: v for k, v in want.items() if all(whole.fullmatch(w) for w in k)}
+        assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
