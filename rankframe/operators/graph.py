@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankframe.functions import text as T
+from rankframe.sources.scratch import written
+
 #: Verbs of relations.
 VERBS = ("treats", "causes", "prevents", "increases", "decreases", "associated_with", "contraindicated")
 BOOST, NEIGHBOURS, HOPS = 0.15, 10, 2
@@ -14,20 +17,29 @@ BOOST, NEIGHBOURS, HOPS = 0.15, 10, 2
 
 def mentions(chunks: DataFrame, patterns: Sequence[str], text: str = "text") -> DataFrame:
     """(doc_id, entity), distinct: lower-cased matches of any pattern."""
-    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)) for p in patterns])))
+    found = T.let(F.lower(text), lambda low: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns]))))
     return chunks.select("doc_id", F.explode(found).alias("entity"))
 
 
-def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VERBS, text: str = "text") -> DataFrame:
-    """(src, dst, relationship, confidence, context, doc_id): `word verb word` where both are entities of the chunk; the last chunk wins."""
-    rows = None
-    for v in verbs:
-        pattern = F.lit(rf"(?U)(\w+)\s+{v}\s+(\w+)")  # letters of any script
-        pairs = F.arrays_zip(F.regexp_extract_all(F.lower(text), pattern, F.lit(1)).alias("src"), F.regexp_extract_all(F.lower(text), pattern, F.lit(2)).alias("dst"))
-        part = chunks.where(F.contains(F.lower(text), F.lit(v))).select("doc_id", F.left(text, F.lit(200)).alias("context"), F.lit(v).alias("relationship"), F.explode(pairs).alias("p"))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.select("doc_id", "context", "relationship", F.col("p.src").alias("src"), F.col("p.dst").alias("dst"))
-    rows = rows.join(mentioned.withColumnRenamed("entity", "src"), ["doc_id", "src"], "left_semi").join(mentioned.withColumnRenamed("entity", "dst"), ["doc_id", "dst"], "left_semi")
+def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VERBS, text: str = "text", kinds: Sequence[str] = ()) -> DataFrame:
+    """(src, dst, relationship, confidence, context, doc_id): `word verb word` where both are entities of the chunk; the last chunk wins.
+
+    A text is read once for all verbs, each word once for each verb: a word is taken whole, so no part of it is tried again. kinds:
+    patterns one of which matches each entity as a whole; pairs of other words don't leave their row.
+    """
+    whole = "^(?:" + "|".join(f"(?:{p})" for p in kinds) + ")$"
+
+    def found(low: Column, v: str) -> Column:
+        pairs = F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)\w++\s++{v}\s++\w++"), F.lit(0))  # letters of any script
+        ends = F.transform(pairs, lambda m: T.let(F.split(m, r"(?U)\s+"), lambda x: F.struct(F.get(x, F.lit(0)).alias("src"), F.element_at(x, -1).alias("dst"), F.lit(v).alias("relationship"))))
+        ends = F.filter(ends, lambda x: x["src"].rlike(whole) & x["dst"].rlike(whole)) if kinds else ends
+        return F.when(F.contains(low, F.lit(v)), ends).otherwise(F.array().cast("array<struct<src:string,dst:string,relationship:string>>"))
+
+    every = T.let(F.lower(text), lambda low: F.flatten(F.array(*[found(low, v) for v in verbs])))
+    rows = chunks.select("doc_id", F.left(text, F.lit(200)).alias("context"), F.explode(every).alias("p")).select("doc_id", "context", "p.*")
+    rows = written(rows, "relations")
+    held = written(mentioned.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "entities")
+    rows = rows.join(held.withColumnRenamed("entity", "src"), ["doc_id", "src"], "left_semi").join(held.withColumnRenamed("entity", "dst"), ["doc_id", "dst"], "left_semi")
     last = rows.groupBy("src", "dst").agg(F.max(F.struct("doc_id", "relationship", "context")).alias("x"))
     return last.select("src", "dst", F.col("x.relationship").alias("relationship"), F.lit(0.8).alias("confidence"), F.col("x.context").alias("context"), F.col("x.doc_id").alias("doc_id"))
 

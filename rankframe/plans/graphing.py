@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankframe.operators import bm25
 from rankframe.operators import graph as G
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import dealt, registering, table
 from rankframe.plans.retrieval import BM25_SQL, K, _passages
 
 QUERIES: dict = {}
@@ -26,9 +26,9 @@ EDGES_SQL = (
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     mentioned = G.mentions(docs, PATTERNS)
-    return mentioned, G.relations(docs, mentioned, [rf"{v}" for v in VERBS])
+    return mentioned, G.relations(docs, mentioned, [rf"{v}" for v in VERBS], kinds=PATTERNS)
 
 
 @register(f"WITH {MENTIONS_SQL} SELECT entity, count(DISTINCT doc_id) AS n_chunks FROM me GROUP BY 1")
@@ -40,7 +40,7 @@ def entity_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {MENTIONS_SQL}, md AS (SELECT DISTINCT doc_id, entity FROM me) SELECT x.entity AS a, y.entity AS b, count(*) AS n_chunks FROM md x JOIN md y ON x.doc_id = y.doc_id AND x.entity < y.entity GROUP BY ALL HAVING count(*) >= 3")
 def entity_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities that stand together in three documents or more."""
-    return G.cooccurrences(G.mentions(table(spark, sf_dir, "documents"), PATTERNS), 3)
+    return G.cooccurrences(G.mentions(dealt(table(spark, sf_dir, "documents")), PATTERNS), 3)
 
 
 @register(f"WITH {EDGES_SQL} SELECT src, dst, x.r AS relationship, 0.8::DOUBLE AS confidence, x.d AS doc_id FROM ed")
@@ -56,7 +56,7 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _passages(spark, sf_dir)
     seeds = G.mentions(queries.select(F.col("query_id").alias("doc_id"), "text"), PATTERNS).select(F.col("doc_id").alias("key"), "entity")
     related = G.neighbourhood(edges, seeds).select(F.col("key").alias("query_id"), "entity")
-    run = bm25.search(table(spark, sf_dir, "documents"), queries, K)
+    run = bm25.search(dealt(table(spark, sf_dir, "documents")), queries, K)
     return G.expanded(run, related, mentioned).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
