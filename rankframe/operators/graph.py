@@ -55,8 +55,11 @@ def cooccurrences(mentioned: DataFrame, least: int = 1) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(key, entity, hop): entities within `hops` undirected steps of each key's seeds (key, entity), without the seeds."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """(key, entity, hop): entities within `hops` undirected steps of each key's seeds (key, entity), without the seeds.
+
+    Edges may repeat: what a step reaches is made distinct, not the edges, of which a task would have to hold its share.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = seeds.select("key", "entity", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):

@@ -67,6 +67,6 @@ SELECT key, entity, min(hop)::BIGINT AS hop FROM r GROUP BY ALL HAVING min(hop)
 )
 def supplier_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 on the graph of suppliers and parts: two steps around the suppliers of one nation."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
     seeds = table(spark, sf_dir, "supplier").where("s_nationkey = 1").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("entity"))
     return G.neighbourhood(edges, seeds).select("key", "entity", F.col("hop").cast("long").alias("hop"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rankframe.functions import lang, queries
 from rankframe.functions import text as T
 from rankframe.operators import bm25, catalogue, graph, metrics, monitoring, scoring
+from rankframe.plans.common import dealt
 from rankframe.sources import logs
 from rankframe.streaming import measurements
 
@@ -325,3 +326,23 @@ def test_relations_take_whole_words_of_any_script(spark):
         whole = re.compile("|".join(f"(?:{p})" for p in kinds) or r"\S+")
         assert {(r.src, r.dst): (r.doc_id, r.relationship) for r in found.collect()} == {k: v for k, v in want.items() if all(whole.fullmatch(w) for w in k)}
         assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbourhood_of_repeated_edges(spark):
+    """Repeated edges give each entity once, and no task has to make all edges distinct."""
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (2, 3), (3, 4), (2, 1)], "src long, dst long")
+    found = graph.neighbourhood(edges, spark.createDataFrame([(9, 1), (9, 1)], "key long, entity long"))
+    assert sorted(map(tuple, found.collect())) == [(9, 2, 1), (9, 3, 2)]
+    assert "Aggregate [src" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dealt_counts_splits_with_rows(spark, tmp_path):
+    """One row group in many splits is read by one task: it is dealt to as many as there are cores."""
+    spark.range(60_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() >= 4 and dealt(scan).select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
