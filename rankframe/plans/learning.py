@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rankframe.operators import bm25
 from rankframe.operators import training as N
-from rankframe.plans.common import registering, table
+from rankframe.plans.common import dealt, registering, table
 from rankframe.plans.retrieval import BM25_SQL, K, QRELS_SQL, _passages
+from rankframe.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -19,10 +20,10 @@ BOUNDARY_SQL = f"{CANDIDATES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY q
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs, queries = table(spark, sf_dir, "documents"), _passages(spark, sf_dir)
+    docs, queries = dealt(table(spark, sf_dir, "documents")), _passages(spark, sf_dir)
     index, stats = bm25.indexed(docs, bm25.query_terms(queries).select("term").distinct())
-    qrels = bm25.containing(docs, queries, index)
-    return N.candidates(bm25.search(docs, queries, K, index=index, stats=stats), qrels), qrels
+    qrels = written(bm25.containing(docs, queries, index), "qrels")  # read more than once, as the candidates are
+    return written(N.candidates(bm25.search(docs, queries, K, index=index, stats=stats), qrels), "candidates"), qrels
 
 
 @register(f"WITH {CANDIDATES_SQL} SELECT query_id, doc_id, pos FROM ca")
