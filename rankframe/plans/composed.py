@@ -12,8 +12,9 @@ from rankframe.operators import conversations as V
 from rankframe.operators import scoring as S
 from rankframe.operators import training as N
 from rankframe.plans import conversing, ingesting, learning, scoring
-from rankframe.plans.common import STOP_LIST, registering, table
+from rankframe.plans.common import STOP_LIST, dealt, registering, table
 from rankframe.plans.retrieval import BM25_SQL, METRICS_SQL, QRELS_SQL, K, _passages
+from rankframe.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -109,7 +110,7 @@ def _extra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {MULTI_SQL} SELECT query_id, doc_id, variant_ord::BIGINT AS variant_ord, round(score, 4) AS score FROM mu WHERE r = 1")
 def multi_query_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each passage and its concept variants, hits by the first variant that found them (ladder_hits has the other variants)."""
-    found = search.multi_query(table(spark, sf_dir, "documents"), _passages(spark, sf_dir), _extra(spark, sf_dir), K)
+    found = search.multi_query(dealt(table(spark, sf_dir, "documents")), _passages(spark, sf_dir), _extra(spark, sf_dir), K)
     return found.select("query_id", "doc_id", F.col("variant_ord").cast("long").alias("variant_ord"), F.round("score", 4).alias("score"))
 
 
@@ -160,7 +161,7 @@ def domain_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B10."""
     docs = table(spark, sf_dir, "documents")
-    hits = bm25.search(docs, _passages(spark, sf_dir), K).join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
+    hits = bm25.search(dealt(docs), _passages(spark, sf_dir), K).join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
     return search.projected(hits).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -182,8 +183,10 @@ SELECT metric, round(x.v, 4) AS before, round(y.v, 4) AS after, round(y.v - x.v,
 )
 def rerank_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics before and after re-ranking."""
-    qrels = bm25.containing(table(spark, sf_dir, "documents"), _passages(spark, sf_dir))
-    hits = scoring._run(spark, sf_dir)
+    docs, passages = dealt(table(spark, sf_dir, "documents")), _passages(spark, sf_dir)
+    index, stats = bm25.indexed(docs, bm25.query_terms(passages).select("term").distinct())  # one index for the run and the judgements
+    qrels = bm25.containing(docs, passages, index)
+    hits = written(scoring._run(spark, sf_dir, index, stats), "hits")  # read before and after re-ranking
     after = S.reranked(hits, S.overlap_score(F.col("query_tokens"), F.col("text")), K).select("query_id", "doc_id", F.col("rerank_rank").alias("rank"))
     means = [metrics.summary(metrics.per_query(run, qrels), ("mrr", "ndcg", "map")) for run in (after, hits)]
     found = metrics.against_baseline(*means)
@@ -210,7 +213,7 @@ def long_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def dispatched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6; tested against a brute-force version."""
-    return C.dispatched(table(spark, sf_dir, "documents"))
+    return C.dispatched(dealt(table(spark, sf_dir, "documents")))
 
 
 @register(
@@ -253,6 +256,7 @@ def negative_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = learning._parts(spark, sf_dir)[0].join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    found = written(found, "found")  # each strategy reads it
     return N.adaptive(found, _passages(spark, sf_dir), "lang", F.col("source"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankframe.functions import text as T
 from rankframe.operators import bm25
 from rankframe.operators import scoring as S
-from rankframe.plans.common import STOP_LIST, registering, table
+from rankframe.plans.common import STOP_LIST, dealt, registering, table
 from rankframe.plans.retrieval import BM25_SQL, K, _passages
 
 QUERIES: dict = {}
@@ -56,9 +56,9 @@ def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.intents(_passages(spark, sf_dir), rules).withColumn("confidence", F.round("confidence", 6))
 
 
-def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = bm25.search(docs, _passages(spark, sf_dir), K)
+    hits = bm25.search(docs if index is not None else dealt(docs), _passages(spark, sf_dir), K, index=index, stats=stats)
     queries = _passages(spark, sf_dir).select("query_id", T.without(T.tokens(F.col("text"))).alias("query_tokens"))
     return hits.join(docs.select("doc_id", "text", "source"), "doc_id").join(queries, "query_id")
 
