@@ -219,22 +219,21 @@ def links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps.
 
-    Every round is written to the shared folder; the driver sees only a count and a checksum.
+    Every round is written to the shared folder; the driver sees only whether all components are stars around their smallest node. The
+    joins are merged on the key that the minima were grouped by, so that no round builds tables in the driver.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -339,11 +338,10 @@ TURNS = 3
 
 
 def _may_be_similar() -> Column:
-    """Whether rows u and v of one list may belong to similar sets: by their sizes, and by what is left of the smaller from there on."""
+    """Whether rows u and v of one list may be the first shingle that two similar sets share: of sets of sizes a and b these share p / (p + q)
+    of a + b, and no more can follow than either has left. So similar sets pass in the list of their first common shingle, if in no other."""
     p, q = SIMILAR
-    # of sizes a and b, similar sets share p / (p + q) of a + b, which is 2 p / (p + q) or more of the smaller
-    first = F.when(F.col("size_u") <= F.col("size_v"), (F.col("rest_u") + 1) * (p + q) >= F.col("size_u") * 2 * p).otherwise((F.col("rest_v") + 1) * (p + q) >= F.col("size_v") * 2 * p)
-    return (F.col("size_u") * q >= F.col("size_v") * p) & (F.col("size_v") * q >= F.col("size_u") * p) & first
+    return (F.least("rest_u", "rest_v") + 1) * (p + q) >= (F.col("size_u") + F.col("size_v")) * p
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -351,32 +349,29 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, links_: DataFrame) -> DataFrame:
-    """rows of lists with c, the group that the links have brought their set to."""
-    roots = components(links_)
-    return written(rows.join(roots, F.col("sig") == F.col("node"), "left").withColumn("c", F.coalesce("root", "sig")).drop("node", "root"), "grouped")
+    """rows of lists with c, their set's group, after links between groups (c_u, c_v); without a link the groups stay as they are."""
+    if links_.isEmpty():
+        return rows
+    roots = components(links_.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")))
+    return written(rows.join(roots, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c")).drop("node", "root"), "grouped")
 
 
 def pivot_pairs(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of one set of each list, its pivot, with those of the list in other groups; and the lists, without their pivots, that hold
-    more than one group. The pivot is the set that has most of its shingles left from there on: what copies were made of has fewer rare
+    """(u, v, c_u, c_v) of one set of each list, its pivot, with those of the list in other groups; and the lists, without their pivots, that
+    hold more than one group. The pivot is the set that has most of its shingles left from there on: what copies were made of has fewer rare
     shingles of its own than they have, and is near all of them where they are not near each other."""
     spread = F.struct(-(F.col("rest") + 1) / F.col("size"), F.xxhash64("sig", F.lit(turn)))
     lists = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("sig", "size", "rest", "c"), spread).alias("pivot")).where("lo <> hi")
     pivots = lists.select("shingle", F.col("pivot.sig").alias("sig_v"), F.col("pivot.size").alias("size_v"), F.col("pivot.rest").alias("rest_v"), F.col("pivot.c").alias("c_v"))
     both = written(_side(rows, "u").join(pivots, "shingle").where("sig_u <> sig_v"), "pivots")
-    met = both.where((F.col("c_u") != F.col("c_v")) & _may_be_similar()).select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v")).distinct()
-    return met, both.select("shingle", F.col("sig_u").alias("sig"), F.col("size_u").alias("size"), F.col("rest_u").alias("rest"))
+    met = both.where((F.col("c_u") != F.col("c_v")) & _may_be_similar()).select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v"), F.least("c_u", "c_v").alias("c_u"), F.greatest("c_u", "c_v").alias("c_v")).distinct()
+    return met, both.select("shingle", *[F.col(f"{c}_u").alias(c) for c in ("sig", "size", "rest", "c")])
 
 
 def pairs_across(rows: DataFrame) -> DataFrame:
-    """(u, v), u < v: all pairs of sets of different groups that share enough of their lists to be similar."""
-    p, q = SIMILAR
+    """(u, v), u < v: all pairs of sets of different groups that may be similar by the first shingle that they share."""
     near = (F.col("sig_u") < F.col("sig_v")) & (F.col("c_u") != F.col("c_v")) & _may_be_similar()
-    met = _side(rows, "u").join(_side(rows, "v"), "shingle").where(near).groupBy(F.col("sig_u").alias("u"), F.col("sig_v").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("rest_u").alias("rest_u"), F.min("rest_v").alias("rest_v"), F.max(F.col("size_u") + F.col("size_v")).alias("both")
-    )
-    # what they share is counted up to the last shingle met, and no more can follow than either has left
-    return met.where((F.col("n") + F.least("rest_u", "rest_v")) * (p + q) >= F.col("both") * p).select("u", "v")
+    return _side(rows, "u").join(_side(rows, "v"), "shingle").where(near).select(F.col("sig_u").alias("u"), F.col("sig_v").alias("v")).distinct()
 
 
 def near_in_simhash(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
@@ -408,11 +403,14 @@ def similar_sets(docs: DataFrame, classes: DataFrame, shingle: int, bits: int =
         return written(similar(both, shingle), "similar")
 
     found, seen = verified(close), close
+    rows = _grouped(rows.withColumn("c", F.col("sig")), found.select(F.col("u").alias("c_u"), F.col("v").alias("c_v")))
     for turn in range(TURNS):
-        met, rows = pivot_pairs(_grouped(rows, found), turn)
+        met, rows = pivot_pairs(rows, turn)
         met = written(met.join(seen, ["u", "v"], "left_anti"), "candidates")
-        found, seen = found.unionByName(verified(met)), seen.unionByName(met)
-    rest = written(pairs_across(_grouped(rows, found)).join(seen, ["u", "v"], "left_anti"), "candidates")
+        new = verified(met)
+        rows = _grouped(rows, new)
+        found, seen = found.unionByName(new.select("u", "v")), seen.unionByName(met.select("u", "v"))
+    rest = written(pairs_across(rows).join(seen, ["u", "v"], "left_anti"), "candidates")
     return found.unionByName(verified(rest))
 
 
@@ -437,8 +435,9 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, shingle: int) -> DataFrame:
-    """(u, v) of the pairs of packed texts a and b whose shingle sets are similar."""
+    """The pairs (u, v, and what else they have) of packed texts a and b whose shingle sets are similar."""
     p, q = SIMILAR
+    names = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "a", 1 << 18):
@@ -448,9 +447,9 @@ def similar(pairs: DataFrame, shingle: int) -> DataFrame:
             order = np.lexsort((hashes, pair))
             hashes, pair = hashes[order], pair[order]
             both = np.bincount(pair[1:][(hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-            yield batch.select(["u", "v"]).filter(pa.array(both * (p + q) >= (size[:n] + size[n:]) * p))
+            yield batch.select(names).filter(pa.array(both * (p + q) >= (size[:n] + size[n:]) * p))
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(run, pairs.select(names).schema)
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, bits: int = MOST_BITS) -> DataFrame:

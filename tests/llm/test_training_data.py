@@ -486,6 +486,18 @@ def test_near_copies_are_linked_by_few_pairs(spark):
     assert simhash.components(found).select("root").distinct().count() == 1 and simhash.deduplicated(frame).count() == 1
 
 
+def test_lists_pair_only_sets_that_may_be_similar(spark, monkeypatch):
+    # of 10 and 12 shingles similar sets share 9.8: 1 and 9 are enough, 1 and 7 are not, however many the smaller has left
+    rows = spark.createDataFrame([(1, 5, 10, 9, 5), (1, 6, 12, 9, 6), (2, 5, 10, 8, 5), (2, 7, 12, 7, 7)], "shingle long, sig long, size int, rest int, c long")
+    both = simhash._side(rows, "u").join(simhash._side(rows, "v"), "shingle").where("sig_u < sig_v")
+    assert [(r.sig_u, r.sig_v) for r in both.where(simhash._may_be_similar()).collect()] == [(5, 6)]
+    assert [tuple(r) for r in simhash.pairs_across(rows).collect()] == [(5, 6)]
+    plain, rounds = simhash.written, []
+    monkeypatch.setattr(simhash, "written", lambda df, name: rounds.append(name) or plain(df, name))
+    star = spark.createDataFrame([(2, 1), (1, 3), (9, 8)], "u long, v long")  # in place already: no round is needed
+    assert {(r.node, r.root) for r in simhash.components(star).collect()} == {(2, 1), (3, 1), (9, 8)} and len(rounds) == 1
+
+
 def test_deduplicated_finds_all_similar_texts(spark, rows):
     """Edited copies around 0.8, short and long, chains of them, copies by case: the groups are those of brute-force Jaccard."""
     r = random.Random(8)
