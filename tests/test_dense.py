@@ -82,3 +82,23 @@ def test_bm25_ids_of_any_type(spark):
     a = {(r["doc_id"], round(r["score"], 9), r["rank"]) for r in bm25.search(strings, queries, 3).collect()}
     b = {(f"d{r['doc_id']}", round(r["score"], 9), r["rank"]) for r in bm25.search(numbers, queries, 3).collect()}
     assert a == b and len(a) == 3
+
+
+def test_tasks_hold_bounded_tables(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    # 4,096 queries of 4,096 chunks: one product of both blocks, or a quarter of it, would not do
+    x = np.random.RandomState(1).rand(4096, 8)
+    side = lambda key, name: pa.table({key: np.arange(4096), name: pa.array(x.tolist())})
+    run = dense._product(10, True, (), pa.table({"query_id": [0], "doc_id": [0], "score": [0.0]}).slice(0, 0))
+    chunks, queries = side("doc_id", "embedding"), side("query_id", "_vector")
+    tracemalloc.start()
+    assert run(chunks, queries).num_rows == 40_960
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    # terms 0 to 2 are asked for by 1, 3 and 0 queries; a document above the bound comes alone, none is lost
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "t": [[0], [0, 1], [0, 1, 1], [2], [0, 1]]}, pa.schema([("doc_id", pa.int64()), ("t", pa.list_(pa.int32()))]))
+    assert [p.column("doc_id").to_pylist() for p in bm25.pieces(batch, np.array([0, 1, 4, 4]), 5)] == [[1, 2], [3], [4, 5]]
+    assert [p.column("doc_id").to_pylist() for p in bm25.pieces(batch.slice(1), np.array([0, 1, 4, 4]), 100)] == [[2, 3, 4, 5]]
