@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankframe.functions import text as T
+from rankframe.operators.bm25 import MOST_BROADCAST_TERMS, small
 from rankframe.sources.scratch import written
 
 #: Verbs of relations.
@@ -16,9 +17,18 @@ BOOST, NEIGHBOURS, HOPS = 0.15, 10, 2
 
 
 def mentions(chunks: DataFrame, patterns: Sequence[str], text: str = "text") -> DataFrame:
-    """(doc_id, entity), distinct: lower-cased matches of any pattern."""
-    found = T.let(F.lower(text), lambda low: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in patterns]))))
-    return chunks.select("doc_id", F.explode(found).alias("entity"))
+    """(doc_id, entity), distinct: lower-cased matches of any pattern.
+
+    The outer explode keeps the optimiser from looking through every text a second time in a filter for texts that have any.
+    """
+    found = T.let(F.lower(text), lambda low: F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(from_start(p)), F.lit(0)) for p in patterns]))))
+    return chunks.select("doc_id", F.explode_outer(found).alias("entity")).where("entity is not null")
+
+
+def from_start(pattern: str) -> str:
+    """A pattern that begins with any letters is tried only where a run of letters begins: what matches within the run matches from there, and
+    what follows a match in its run can't match, since the letters before took as many as they could. The matches are the same."""
+    return f"(?<![a-z]){pattern}" if pattern.startswith("[a-z]*") and "|" not in pattern and pattern[6:7] not in ("?", "+") else pattern
 
 
 def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VERBS, text: str = "text", kinds: Sequence[str] = ()) -> DataFrame:
@@ -47,11 +57,17 @@ def relations(chunks: DataFrame, mentioned: DataFrame, verbs: Sequence[str] = VE
 def cooccurrences(mentioned: DataFrame, least: int = 1) -> DataFrame:
     """(a, b, n_chunks) with a < b: in how many chunks both entities stand, at least `least` of them.
 
-    Pairs are made within a chunk, entity by entity, and counted before they are shuffled.
+    Entities of fewer chunks have no such pair. The others are numbered in their order, so that pairs are two numbers until they are
+    counted; they are made within a chunk, entity by entity, and counted before they are shuffled.
     """
-    held = mentioned.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("es"))
-    each = held.select("es", F.posexplode("es").alias("i", "a")).select("a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
-    return each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_chunks")).where(F.col("n_chunks") >= least)
+    held = written(mentioned.distinct(), "mentions")
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    names = written(often.select("entity").orderBy("entity").select(F.monotonically_increasing_id().alias("e"), "entity"), "numbers")  # parts of the range rise
+    numbered = held.join(small(names, MOST_BROADCAST_TERMS), "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    each = numbered.select("es", F.posexplode("es").alias("i", "a")).select("a", F.explode_outer(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b")).where("b is not null")
+    counts = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_chunks")).where(F.col("n_chunks") >= least)
+    of = lambda end: small(names.select(F.col("e").alias(end), F.col("entity").alias(f"_{end}")), MOST_BROADCAST_TERMS)
+    return counts.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "n_chunks")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:

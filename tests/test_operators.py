@@ -346,3 +346,21 @@ def test_dealt_counts_splits_with_rows(spark, tmp_path):
         assert scan.rdd.getNumPartitions() >= 4 and dealt(scan).select(F.spark_partition_id().alias("p")).distinct().count() == 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_cooccurrences_count_numbers(spark, monkeypatch):
+    plain, tables = graph.written, {}
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    rows = [(1, "b"), (1, "a"), (1, "é"), (1, "once"), (2, "a"), (2, "b"), (2, "b"), (2, "é"), (3, "é"), (3, "b"), (4, "b"), (None, "a")]
+    found = graph.cooccurrences(spark.createDataFrame(rows, "doc_id long, entity string"), 2)
+    assert {tuple(r) for r in found.collect()} == {("a", "b", 2), ("a", "é", 2), ("b", "é", 3)}
+    # what stands once isn't numbered, and the numbers rise as the entities do
+    assert [r.entity for r in tables["numbers"].orderBy("e").collect()] == ["a", "b", "é"]
+
+
+def test_mentions_try_runs_of_letters_once(spark):
+    assert graph.from_start("[a-z]*ment[a-z]*") == "(?<![a-z])[a-z]*ment[a-z]*" and graph.from_start("[a-z]*?ment") == "[a-z]*?ment" and graph.from_start("ment") == "ment"
+    patterns = ("[a-z]*tion[a-z]*", "[a-z]*mente", "[a-z]*ment[a-z]*")
+    text = "Momentemente xmenteyment, a1mente2 stationtion éction mentementes tion-tion MENTE moment"
+    got = {r.entity for r in graph.mentions(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), patterns).collect()}
+    assert got == {m for p in patterns for m in re.findall(p, text.lower())}
