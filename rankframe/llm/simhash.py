@@ -369,9 +369,14 @@ def pivot_pairs(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 
 
 def pairs_across(rows: DataFrame) -> DataFrame:
-    """(u, v), u < v: all pairs of sets of different groups that may be similar by the first shingle that they share."""
+    """(u, v), u < v: all pairs of sets of different groups that may be similar by the first shingle that they share, and by how many they
+    share in their prefixes: what comes after the prefix that ends first is at most all that its set has left."""
+    p, q = SIMILAR
     near = (F.col("sig_u") < F.col("sig_v")) & (F.col("c_u") != F.col("c_v")) & _may_be_similar()
-    return _side(rows, "u").join(_side(rows, "v"), "shingle").where(near).select(F.col("sig_u").alias("u"), F.col("sig_v").alias("v")).distinct()
+    met = _side(rows, "u").join(_side(rows, "v"), "shingle").where(near).select(F.col("sig_u").alias("u"), F.col("sig_v").alias("v")).distinct()
+    held = rows.groupBy("sig").agg(F.collect_list("shingle").alias("s"), F.max("size").alias("size")).withColumn("left", F.col("size") - F.floor(F.col("size") * (q - p) / q) - 1)
+    both = met.join(held.select(*[F.col(c).alias(d) for c, d in (("sig", "u"), ("s", "s_u"), ("size", "size_u"), ("left", "left_u"))]), "u").join(held.select(*[F.col(c).alias(d) for c, d in (("sig", "v"), ("s", "s_v"), ("size", "size_v"), ("left", "left_v"))]), "v")
+    return both.where((F.size(F.array_intersect("s_u", "s_v")) + F.greatest("left_u", "left_v")) * (p + q) >= (F.col("size_u") + F.col("size_v")) * p).select("u", "v")
 
 
 def near_in_simhash(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
