@@ -18,8 +18,9 @@ from rankframe.llm.common import kept_as, slices
 #: A payload is a multiple of BLOCK bytes: a row of 16 pixels of four bytes. The format allows SIDE pixels a side.
 BLOCK, WIDTH, SIDE = 64, 16, 1 << 14
 CACHE_BITS = 7
-#: Bytes of text or files whose images are decoded together.
-STEP_BYTES = 3 << 20
+#: Bytes of text whose images are encoded together, and of files whose images are decoded together: a step of the lockstep costs less
+#: for each image the more there are.
+STEP_BYTES, FILE_BYTES = 3 << 20, 6 << 20
 
 
 def payload(text: bytes) -> bytes:
@@ -66,7 +67,7 @@ def stored(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None]]]:
-    for batch in slices(batches, "media", STEP_BYTES // 2):
+    for batch in slices(batches, "media", FILE_BYTES):
         files = batch.column("media").to_pylist()
         images = iter(webp.decode([f for f in files if f is not None]))
         yield batch, [None if f is None else next(images) for f in files]

@@ -15,6 +15,8 @@ import numpy as np
 #: Fixed values of the format: order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 LITERALS, LENGTH_CODES, DISTANCE_CODES = 256, 24, 40
+#: For each symbol of the code-length code, the extra bits behind it and the shortest run that it stands for.
+RUN_BITS, RUN_LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
 HASH = np.uint32(0x1E35A7BD)
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 BLACK = np.uint32(0xFF000000)
@@ -126,8 +128,8 @@ def _read_lengths(r: _Reader, lanes: np.ndarray, alphabet: np.ndarray) -> np.nda
         e = flat[offset[live] + (w & mask[live])]
         symbol, used = e >> 4, (e & 15).astype(np.int64)
         w >>= used
-        more = np.select([symbol == 16, symbol == 17, symbol == 18], [2, 3, 7], 0)
-        run = np.where(symbol < 16, 1, (w & ((1 << more) - 1)) + np.select([symbol == 17, symbol == 18], [3, 11], 3))
+        more = RUN_BITS[symbol]
+        run = (w & ((1 << more) - 1)) + RUN_LEAST[symbol]
         value = np.where(symbol < 16, symbol, np.where(symbol == 16, last[live], 0))
         r.pos[at[live]] += used + more
         if (place[live] + run > full[live]).any():
