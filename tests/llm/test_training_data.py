@@ -881,3 +881,18 @@ def test_quantile(spark):
     for share in (0.0, 0.002, 0.1, 0.37, 1.0):
         assert resampling.quantile(frame, share) == pytest.approx(frame.agg(F.percentile("key", share)).first()[0], abs=1e-12)
     assert resampling.quantile(frame.where("false"), 0.1) is None
+
+
+def test_rare_contexts_have_restaurants(spark):
+    """Held by the tasks or not, every word has a restaurant: the same text scores nearly the same, and tokens behind rare words are known."""
+    r = random.Random(5)
+    turns = [("the",), ("of",), ("and",), *[(f"k{i}", f"v{i}") for i in range(40)]]
+    texts = [" ".join(x for _ in range(r.randint(0, 30)) for x in r.choice(turns)) for _ in range(80)] + [None, ""]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held, joined, none = ({x.doc_id: x for x in pitman_yor.score(frame, share=share, least=least).collect()} for share, least in ((10**6, 1), (8, 1), (8, 10**6)))
+    assert pitman_yor.score(frame, share=8, least=1).where("doc_id = 3").count() == 3
+    for k in held:
+        assert held[k][:6] == joined[k][:6] or math.isclose(held[k].base_score, joined[k].base_score)
+    total = [sum(x.score for x in got.values()) for got in (held, joined, none)]
+    assert abs(total[0] - total[1]) < 0.05 * abs(total[0]) and total[2] < 1.1 * total[1]  # the rare ones have a discount of their own
