@@ -40,6 +40,8 @@ END, END_HASH = "\n", np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task counts before it hands on what it has; entries and words, the most frequent ones, that every task holds; bits of the
 #: map of the frequent words' other entries.
 STEP_TOKENS, HOT_ENTRIES, HOT_WORDS, MAP_BITS = 800_000, 1_500_000, 100_000, 1 << 26
+#: Bytes of a file's dictionary: the numbers of the rows whose tokens stand in it.
+ROW_NUMBERS = 8 << 20
 #: Entries of the lexicon that one sweep takes together.
 STEP_ENTRIES = 300_000
 #: Up to this many customers of a dish the number of tables is drawn from its exact distribution; more (a few pairs of frequent words) are
@@ -148,8 +150,9 @@ def spelt(words: Spans, span: np.ndarray) -> pa.Array:
 
 
 def counted(docs: DataFrame, known: np.ndarray | None) -> DataFrame:
-    """Counts over the training texts (text): (h, n) of each word hash where known is None, else (w, k, n, c, word): n of each word hash in
-    each context but NONE, and there its count c and the word itself. A task adds up what it meets, a bounded number of tokens at a time."""
+    """Counts over the training texts (text): (h, n) of each word hash where known is None, else (w, k, n, c, word): n = c of each word hash in
+    each context but NONE, the word itself in one of its rows (of none, if it has no other). A task adds up what it meets, a bounded number
+    of tokens at a time."""
 
     def summed(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, at, place = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
@@ -166,11 +169,16 @@ def counted(docs: DataFrame, known: np.ndarray | None) -> DataFrame:
             _, first, n = summed(pairs)
             w, k = (np.concatenate([x[j] for x in pairs])[first] for j in (2, 3))
             order = np.argsort(w)  # equal words side by side
-            m = len(w)
-            columns = [
-                pa.array(np.concatenate([w[order], h]).view(np.int64)), pa.array(np.concatenate([k[order], np.full(len(h), NONE)]).astype(np.int32)), pa.array(np.concatenate([n[order], np.zeros(len(h), dtype=np.int64)])),
-                pa.array(np.concatenate([np.zeros(m, dtype=np.int64), c])), pa.concat_arrays([pa.nulls(m, pa.string()), pa.concat_arrays([x[2] for x in each]).take(pa.array(at))]),
-            ]
+            w, k, n = w[order], k[order], n[order]
+            own = starts(w)
+            place = np.searchsorted(h, w[own])  # h rises and has every word
+            alone_ = np.delete(np.arange(len(h)), place)
+            spelling = np.concatenate([np.full(len(w), -1), at[alone_]])
+            spelling[own] = at[place]
+            zeros = np.zeros(len(alone_), dtype=np.int64)
+            c = pa.array(np.concatenate([n, zeros]))
+            word = pa.concat_arrays([x[2] for x in each]).take(pa.array(spelling, mask=spelling < 0))
+            columns = [pa.array(np.concatenate([w, h[alone_]]).view(np.int64)), pa.array(np.concatenate([k, zeros + NONE]).astype(np.int32)), c, c, word]
             return pa.RecordBatch.from_arrays(columns, names=["w", "k", "n", "c", "word"])
 
         size = 0
@@ -294,7 +302,7 @@ class Bases:
 
 
 def seated(others: DataFrame, bases: Bases, discount: float, least: int) -> DataFrame:
-    """(w, k, n, c, word): of following(), what each word brings to the root (k is NONE): n tables for its customers, or these themselves
+    """(w, k, n, c, word): of following(), what each word brings to the root (k is NONE): n tables for its c customers, or these themselves
     where the context has no restaurant."""
     shared = others.sparkSession.sparkContext.broadcast(bases)
 
@@ -307,8 +315,8 @@ def seated(others: DataFrame, bases: Bases, discount: float, least: int) -> Data
                 pass
             opened = np.where(batch.column("c").to_numpy()[k] < least, n, opened)
             w, place = np.unique(w[n > 0], return_inverse=True)
-            opened = np.bincount(place, weights=opened[n > 0], minlength=len(w)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), NONE, dtype=np.int32)), pa.array(opened), pa.array(np.zeros(len(w), dtype=np.int64)), pa.nulls(len(w), pa.string())], names=["w", "k", "n", "c", "word"])
+            opened, n = (np.bincount(place, weights=x[n > 0], minlength=len(w)).astype(np.int64) for x in (opened, n))
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), NONE, dtype=np.int32)), pa.array(opened), pa.array(n), pa.nulls(len(w), pa.string())], names=["w", "k", "n", "c", "word"])
 
     return others.select("h", "c", "ws", "ns").mapInArrow(run, "w long, k int, n long, c long, word string")
 
@@ -540,10 +548,10 @@ def behind_others(others: DataFrame, bases: Bases, discount: float, least: int)
             done, rest = np.flatnonzero(held[pair]), np.flatnonzero(~held[pair])
             ids, place = np.unique(rid[done], return_inverse=True)
             sums = np.bincount(place, weights=np.log10(inside + left * base)[pair[done]], minlength=len(ids))
-            later = [pa.concat_arrays([pa.nulls(len(ids), x.type), x]) for x in (pa.array(w[pair[rest]].view(np.int64)), pa.array(inside[pair[rest]]), pa.array(left[pair[rest]]))]
+            later = [pa.concat_arrays([pa.nulls(len(ids), x.type), x]) for x in (pa.array(w[pair[rest]].view(np.int64)), pa.array(inside[pair[rest]], pa.float32()), pa.array(left[pair[rest]], pa.float32()))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, rid[rest]])), pa.concat_arrays([pa.array(sums, pa.float64()), pa.nulls(len(rest), pa.float64())]), *later], names=["rid", "score", "w", "inside", "left"])
 
-    return others.mapInArrow(run, "rid long, score double, w long, inside double, left double")
+    return others.mapInArrow(run, "rid long, score double, w long, inside float, left float")
 
 
 def score(docs: DataFrame, folds: int = 7, remainder: int = 2, share: int = CONTEXT_SHARE, least: int = CONTEXT_COUNT) -> DataFrame:
@@ -566,7 +574,7 @@ def score(docs: DataFrame, folds: int = 7, remainder: int = 2, share: int = CONT
     top = most_frequent(counts, "n", HOT_WORDS).where("held").select("h", "n").toArrow()  # at most HOT_WORDS rows
     order = np.argsort(top["h"].to_numpy().view(np.uint64))
     unigrams = Bases(top["h"].to_numpy().view(np.uint64)[order], top["n"].to_numpy()[order] / max(total, 1), v)
-    others = written(following(rows, known_contexts, unigrams), "following")
+    others = written(following(rows, known_contexts, unigrams), "following", {"parquet.dictionary.page.size": ROW_NUMBERS})
     once, twice = (F.size(F.filter("ns", lambda n, c=c: n == c)) for c in (1, 2))
     once, twice = (x or 0 for x in others.where(F.col("c") >= least).agg(F.sum(once), F.sum(twice)).first())
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
@@ -631,22 +639,22 @@ def score(docs: DataFrame, folds: int = 7, remainder: int = 2, share: int = CONT
                 "rid": pa.array(np.concatenate([rid, rid[doc[rare]]])), "doc_id": pa.concat_arrays([batch.column("doc_id"), pa.nulls(every, batch.column("doc_id").type)]),
                 "train": column(batch.column("train").to_numpy(zero_copy_only=False), pa.bool_()), "n_tokens": column(count, pa.int64()), "n_known": column(sums[0].astype(np.int64), pa.int64()),
                 "base_score": column(sums[1], pa.float64()), "score": column(sums[2], pa.float64()), "k": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(k[rare].astype(np.int32))]), "counted": pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(open_[rare])]),
-                "w": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[rare].view(np.int64))]), "left": pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(other[rare])]),
+                "w": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[rare].view(np.int64))]), "left": pa.concat_arrays([pa.nulls(n, pa.float32()), pa.array(other[rare], pa.float32())]),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(run, f"rid long, doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, k int, counted boolean, w long, left double")
+    parts = rows.mapInArrow(run, f"rid long, doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double, k int, counted boolean, w long, left float")
     bases = Bases(hashes[order], hot["root_p"].to_numpy()[order], v)
     parts = parts.unionByName(behind_others(others, bases, discount, least), allowMissingColumns=True)
     # a document's own row has no word; a hash of its number spreads such rows over the tasks
-    counted_ = F.coalesce("counted", F.lit(False))
-    parts = parts.withColumn("key", F.when(F.col("w").isNull(), F.xxhash64("rid", F.lit("row"))).when(counted_, F.xxhash64("w", "k")).otherwise(F.col("w")))
+    counted_, has_word = F.coalesce("counted", F.lit(False)), F.col("left").isNotNull()
+    parts = parts.withColumn("key", F.when(F.col("w").isNull(), F.xxhash64("rid", F.lit("row"))).when(counted_, F.xxhash64("w", "k")).otherwise(F.col("w"))).drop("w")
     # words that no task holds with all their entries, and the other words' entries that no task holds
     rare_words = ranked.where("not held").select(F.col("w").alias("key2"), F.lit(False).alias("entry"), F.col("base_lp").alias("b"), F.log10("root_p").alias("root_lp"), "ks", "lps")
     entries_ = each.where("not held").select(F.xxhash64("w", "k").alias("key2"), F.lit(True).alias("entry"), F.col("lp").alias("root_lp"))
     keyed = rare_words.unionByName(entries_, allowMissingColumns=True)
-    joined = parts.join(keyed, (F.col("key") == F.col("key2")) & F.col("w").isNotNull() & (counted_ == F.col("entry")), "left")
+    joined = parts.join(keyed, (F.col("key") == F.col("key2")) & has_word & (counted_ == F.col("entry")), "left")
     at = F.array_position("ks", F.col("k")).cast("int")
     root_lp = F.coalesce("root_lp", F.lit(new))
     inside = (
@@ -654,7 +662,7 @@ def score(docs: DataFrame, folds: int = 7, remainder: int = 2, share: int = CONT
         .when(at > 0, F.get("lps", at - 1)).otherwise(root_lp + F.col("left"))
     )
     own = F.col("n_tokens").isNotNull()
-    named = F.col("w").isNotNull() & ~counted_
+    named = has_word & ~counted_
     summed = joined.select(
         "rid", "doc_id", "train", "n_tokens", own.cast("long").alias("copies"), F.coalesce("n_known", (named & F.col("key2").isNotNull()).cast("long")).alias("n_known"),
         F.coalesce("base_score", F.when(named, F.coalesce("b", F.lit(no_base))).otherwise(0.0)).alias("base_score"), F.coalesce("score", inside).alias("score"),
