@@ -46,7 +46,7 @@ def detect(text: Column) -> Column:
         return out
 
     found = T.let(F.lower(F.left(text, F.lit(SAMPLE))), of)  # each value is computed once, however many words are looked for
-    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(0)) < LEAST_CHARS, "en").otherwise(found)
+    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"^\s+|\s+\z", "")), F.lit(0)) < LEAST_CHARS, "en").otherwise(found)
 
 
 def name(code: Column) -> Column:

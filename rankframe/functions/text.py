@@ -38,7 +38,7 @@ def normalised(text: Column) -> Column:
     out = F.regexp_replace(text, r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.regexp_replace(out, r"^\s+|\s+\z", "")
 
 
 def for_metadata(text: Column) -> Column:

@@ -146,8 +146,10 @@ def described(made: DataFrame, text: str = "text", section_title: Column | None
     title = F.lit("DOCUMENT_CONTENT") if section_title is None else section_title
     where = F.lit(1) if page is None else page
     t = F.col(text)
-    counted = lambda ks: F.array_sort(F.transform(F.array_distinct(ks), lambda k: F.struct((-F.size(F.filter(ks, lambda x: x == k))).alias("n"), k.alias("token"))))
-    keywords = T.let(T.without(T.keyword_tokens(t), T.KEYWORD_STOP_WORDS), lambda ks: F.transform(F.slice(counted(ks), 1, 8), lambda x: x["token"]))
+    ends = lambda ks: F.filter(F.transform(ks, lambda k, i: F.when(F.coalesce(F.get(ks, i + 1) != k, F.lit(True)), i)), lambda i: i.isNotNull())
+    counted = lambda ks, es: F.sort_array(F.transform(es, lambda i, j: F.struct((F.coalesce(F.get(es, j - 1), F.lit(-1)) - i).alias("n"), F.get(ks, i).alias("token"))))
+    words = F.sort_array(T.without(T.keyword_tokens(t), T.KEYWORD_STOP_WORDS))
+    keywords = T.let(words, lambda ks: T.let(ends(ks), lambda es: F.transform(F.slice(counted(ks, es), 1, 8), lambda x: x["token"])))
     return made.withColumns({
         "language": lang.detect(t), "page": where, "section_title": title, "section_code": T.section_number(title), "keywords": keywords, "has_numeric_data": T.matches_any(t),
         "has_domain_patterns": T.matches_any(t, domain) if domain else F.lit(False), "text_density": T.density(t), "normalized_text": T.for_metadata(t), "citation_id": F.format_string("%d.%d", where, F.col("chunk_index") + 1),

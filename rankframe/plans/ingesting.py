@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankframe.functions import tables
 from rankframe.functions import text as T
 from rankframe.operators import chunking as C
+from rankframe.operators import records
 from rankframe.plans import texts
 from rankframe.plans.common import dealt, registering, table
 
@@ -120,9 +121,8 @@ SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS chunk_index, language, (do
 )
 def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that a chunk's record holds, of every chunk of all documents; the page and section are fixtures."""
-    made = C.chunks(dealt(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", "text")
     title = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".1 Part"))
-    found = C.described(made, section_title=title, page=(F.col("doc_id") % 5 + 1).cast("int"), domain=("license",))
+    found = records.records(dealt(table(spark, sf_dir, "documents")), section_title=title, page=(F.col("doc_id") % 5 + 1).cast("int"), domain=("license",))
     return found.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "language", F.col("page").cast("long").alias("page"), "section_title", "section_code", F.array_join("keywords", ",").alias("keywords"), "has_numeric_data", "has_domain_patterns", F.round("text_density", 6).alias("text_density"), "normalized_text", "citation_id")
 
 

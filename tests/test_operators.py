@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankframe.functions import lang, queries
 from rankframe.functions import text as T
-from rankframe.operators import bm25, catalogue, graph, metrics, monitoring, scoring
+from rankframe.operators import bm25, catalogue, chunking, graph, metrics, monitoring, records, scoring
 from rankframe.plans.common import dealt
 from rankframe.sources import logs
 from rankframe.streaming import measurements
@@ -364,3 +364,30 @@ def test_mentions_try_runs_of_letters_once(spark):
     text = "Momentemente xmenteyment, a1mente2 stationtion éction mentementes tion-tion MENTE moment"
     got = {r.entity for r in graph.mentions(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), patterns).collect()}
     assert got == {m for p in patterns for m in re.findall(p, text.lower())}
+
+
+def test_records_of_chunks_as_their_columns(spark):
+    """What steps over whole documents find is what the columns of each chunk say, on odd texts and sizes."""
+    odd = [None, "", " ", ".", "a \u2028", "la de el \u2028", "c \x85 ", "d. \u2028 e", "f- \n g.\r\nh.\x0b i. \t j", "x" * 499 + " de la el " + "y " * 300, "de la " * 83 + "delta el los las", "x " * 247 + "el lade que", "\u0130 " * 249 + "la de el los"]
+    some = "the la de el los que der die das und Licensed 5 mg p<0.05 3/4 \u0663 \uff15% \u00bd 7\u00d7 \u0130stanbul \u03a3\u0391\u03a3. pol\u00edtica e\u0301s \u212aelvin ab_cd abc1def word-\nbreak co-\n\n -- a-b with banana banana zebra apple ABCDEFGHIJ internationalization U.S.A. ... ?! \u043f\u0440\u0438\u0432\u0435\u0442 \u4f60\u597d \u3053\u308c\u306f \uc548\ub155".split(" ")
+    r = random.Random(5)
+    gaps = [" "] * 9 + ["  ", "\n", "\n\n\n", "\r\n", "\t", ". ", ".  ", "! \n ", ".\x0b", "-\n", "\u2028"]
+    texts = odd + ["".join(r.choice(some[: r.choice((6, 20, 99))]) + r.choice(gaps) for _ in range(r.choice((3, 30, 300)))) for _ in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    fixed = {"section_title": F.concat(F.col("doc_id").cast("string"), F.lit(".1 Part")), "page": (F.col("doc_id") % 5 + 1).cast("int"), "domain": ("license",)}
+    for sizes in ({}, {"target": 60, "least": 20, "most": 90, "overlap": 1}):
+        got = records.records(docs, **sizes, **fixed)
+        want = chunking.described(chunking.chunks(docs, **sizes).select("doc_id", "chunk_index", "text"), **fixed).select(got.columns)
+        key = lambda x: (x.doc_id, x.chunk_index)
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert records.records(docs.where("doc_id < 3"), **fixed).count() == 0 and {r.language for r in got.collect()} > {"en", "es", "de", "ru"}
+
+
+def test_records_of_a_long_sentence(spark):
+    """A chunk's words are counted in one pass: one sentence of 40,000 different words, each against each, would take minutes."""
+    words = ["w" + "".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words + words[70:60:-1]))], "doc_id long, text string")
+    began = time.time()
+    for found in (records.records(docs), chunking.described(chunking.chunks(docs).select("doc_id", "chunk_index", "text"))):
+        assert found.first().keywords == sorted(words[61:71])[:8]
+    assert time.time() - began < 20
