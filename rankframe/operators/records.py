@@ -29,7 +29,7 @@ VOTERS = sorted({w for ws in lang.KEYWORDS.values() for w in ws})
 VOTES = {w: 1 << k for k, w in enumerate(VOTERS)}
 BITS = np.array([*VOTES.values(), 0], dtype=np.uint64)
 WHITE = " \t\n\v\f\r"
-BLANKS, BETWEEN = re.compile(r"[ \t]{2,}|\t"), re.compile(r"([.!?])(?:[\n\v\f]\s*| \s+)", re.ASCII)
+BLANKS, BETWEEN = re.compile(r"  +"), re.compile(r"([.!?])(?:[\n\v\f]\s*| \s+)", re.ASCII)
 HYPHEN, RUN = re.compile(r"-\s*\n\s*", re.ASCII), re.compile(r"\s+", re.ASCII)
 
 
@@ -94,7 +94,8 @@ def normalised(text: str) -> str:
     """`text.normalised`, with one space between sentences."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if "\t" in text or "  " in text:
+    text = text.replace("\t", " ")
+    if "  " in text:
         text = BLANKS.sub(" ", text)
     if "\n\n\n" in text:
         text = re.sub(r"\n{3,}", "\n\n", text)
@@ -139,10 +140,11 @@ def described(batch: pa.RecordBatch, target: int = TARGET, least: int = LEAST, m
     doc = np.repeat(np.arange(len(cuts)), many)
     cut = np.array([c for cs in cuts for c in cs], dtype=np.int64).reshape(-1, 2) + sums(n)[doc][:, None]
     lo, hi = starts[cut[:, 0]], ends[cut[:, 1]]
+    lowered = text.lower()
     numbers, longer = sums(kind & NUMBER > 0), sums(points == 0x130)  # the one character that lower case makes longer
     columns = {
-        "doc_id": batch.column("doc_id").take(pa.array(doc)), "chunk_index": pa.array(counted(many).astype(np.int32)), "text": sliced(text, lo, hi), "language": languages(text, points, longer, lo, hi),
-        "keywords": keywords(text, longer, lo, hi), "has_number": pa.array(numbers[hi] > numbers[lo]), "text_density": densities(kind, lo, hi), "normalized_text": flat(text, points, kind, starts, ends, cut),
+        "doc_id": batch.column("doc_id").take(pa.array(doc)), "chunk_index": pa.array(counted(many).astype(np.int32)), "text": sliced(text, lo, hi), "language": languages(text, lowered, points, longer, lo, hi),
+        "keywords": keywords(lowered, longer, lo, hi), "has_number": pa.array(numbers[hi] > numbers[lo]), "text_density": densities(kind, lo, hi), "normalized_text": flat(text, points, kind, starts, ends, cut),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -182,9 +184,9 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
-def keywords(text: str, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+def keywords(lowered: str, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     """The most frequent words of each chunk, ties by word, of those that `text.keyword_tokens` finds and that are no stop words."""
-    points = codes(text.lower())
+    points = codes(lowered)
     lo, hi = lo + longer[lo], hi + longer[hi]
     word = np.zeros(len(points) + 2, dtype=bool)
     word[1:-1] = kinds()[points] & WORD > 0
@@ -213,12 +215,12 @@ def keywords(text: str, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(sums(np.minimum(each, MOST_KEYWORDS)).astype(np.int32)), names.take(pa.array(order[token[best]])).cast(pa.string()))
 
 
-def languages(text: str, points: np.ndarray, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+def languages(text: str, lowered: str, points: np.ndarray, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     """`lang.detect` of each chunk. Its votes are bits, joined over the words that its sample holds whole; the last one may be cut."""
     stop = np.minimum(hi, lo + lang.SAMPLE)
     blanks = np.flatnonzero(points == 32)
     begin, end = np.append(0, blanks + 1), np.append(blanks, len(points))
-    data = np.frombuffer(f"{text.lower()} ".encode(), dtype=np.uint8)
+    data = np.frombuffer(f"{lowered} ".encode(), dtype=np.uint8)
     votes = BITS[pc.index_in(strings(data, np.append(0, np.flatnonzero(data == 32) + 1)), pa.array([f"{w} " for w in VOTERS], pa.large_string())).fill_null(len(VOTERS)).to_numpy()]
     first, last = np.searchsorted(begin, lo), np.searchsorted(end, stop, side="right")
     held = np.bitwise_or.reduceat(np.append(votes, np.uint64(0)), np.stack([first, last], axis=1).ravel())[::2] if len(lo) else np.zeros(0, np.uint64)
